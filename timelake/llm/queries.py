@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, substring
+from . import bpe, jaccard, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +45,12 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_substrings(docs, 13).select("doc_id", "n_words", "n_removed", hex_sha256(F.col("kept_text")).alias("kept_sha256"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), 5, 0.8)
+
+
 def queries() -> dict:
-    return {"op2_bpe": op2_bpe, "op5_substring": op5_substring}
+    return {"op2_bpe": op2_bpe, "op5_substring": op5_substring, "op7_jaccard": op7_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
