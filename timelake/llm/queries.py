@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hilbert, jaccard, pii, pivots, quality, substring, warc
+from . import bpe, hilbert, htmltext, jaccard, mixing, pii, pivots, quality, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,24 @@ def op8_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.top_k(table(spark, sf_dir, "embeddings"), 5, 50)
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmltext.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+#: The weights that op9 mixes the languages to.
+TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = docs.select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id").select("doc_id", F.col("lang").alias("domain"))
+    texts = docs.select("doc_id", "text")
+    model = mixing.learn(texts, labelled)
+    mixed = mixing.mix(texts, model, {d: w for d, w in TARGETS.items() if d in model.domains})
+    return mixed.select("doc_id", F.col("tokens").alias("n_tokens"), "rate", "n_copies", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find(docs, pii.fit(docs))
@@ -91,7 +109,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def queries() -> dict:
-    return {"op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_substring": op5_substring, "op6_hilbert": op6_hilbert, "op7_jaccard": op7_jaccard, "op8_pivots": op8_pivots, "op10_pii": op10_pii}
+    return {"op1_html": op1_html, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_substring": op5_substring, "op6_hilbert": op6_hilbert, "op7_jaccard": op7_jaccard, "op8_pivots": op8_pivots, "op9_mixing": op9_mixing, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
