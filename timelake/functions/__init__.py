@@ -1 +1 @@
-"""."""
+"""Column functions: clocks, text and scalars."""

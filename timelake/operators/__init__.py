@@ -1 +1 @@
-"""."""
+"""DataFrame operators over intervals, tags, sequences, frames, edits and vectors."""
