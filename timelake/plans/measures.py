@@ -389,16 +389,16 @@ V = "v AS (SELECT vec_id AS id, label, list_transform(CAST(embedding AS DOUBLE[]
 V1_SQL = f"WITH {V}, s AS (SELECT a.id, b.label, list_dot_product(a.v, b.v) AS c FROM v a JOIN v b ON b.id % 4 = 0 WHERE a.id % 4 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY id, label ORDER BY c DESC) AS n FROM s), m AS (SELECT id, label, avg(c) AS score FROM r WHERE n <= 5 GROUP BY 1, 2), w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC) AS k, score - lead(score) OVER (PARTITION BY id ORDER BY score DESC) AS lead FROM m)"
 
 
-@query(f"{V1_SQL} SELECT id, CASE WHEN lead >= 0.02 THEN label END AS label, round(score, 6) AS top, round(lead, 6) AS lead FROM w WHERE k = 1")
+@query(f"{V1_SQL} SELECT id, CASE WHEN lead >= 0.02 THEN label ELSE -1 END AS label, round(score, 6) AS top, round(lead, 6) AS lead FROM w WHERE k = 1")
 def v1_assign_by_neighbours(spark, d):
     v = vecs(spark, d)
-    return vectors.assign_by_neighbours(v.where("id % 4 <> 0"), v.where("id % 4 = 0"), 5, 0.02).select("id", "label", F.round("top", 6).alias("top"), F.round("lead", 6).alias("lead"))
+    return vectors.assign_by_neighbours(v.where("id % 4 <> 0"), v.where("id % 4 = 0"), 5, 0.02).select("id", F.coalesce("label", F.lit(-1)).alias("label"), F.round("top", 6).alias("top"), F.round("lead", 6).alias("lead"))
 
 
-@query(f"WITH {V}, p AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v), c AS (SELECT label, i, avg(x) AS x FROM p GROUP BY 1, 2), m AS (SELECT label, list(x ORDER BY i) AS m FROM c GROUP BY 1), s AS (SELECT id, m.label, list_dot_product(v.v, m.m) / sqrt(list_dot_product(m.m, m.m)) AS score FROM v, m), w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC) AS k, score - lead(score) OVER (PARTITION BY id ORDER BY score DESC) AS lead FROM s) SELECT id, CASE WHEN lead >= 0.01 THEN label END AS label, round(score, 6) AS top, round(lead, 6) AS lead FROM w WHERE k = 1")
+@query(f"WITH {V}, p AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v), c AS (SELECT label, i, avg(x) AS x FROM p GROUP BY 1, 2), m AS (SELECT label, list(x ORDER BY i) AS m FROM c GROUP BY 1), s AS (SELECT id, m.label, list_dot_product(v.v, m.m) / sqrt(list_dot_product(m.m, m.m)) AS score FROM v, m), w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC) AS k, score - lead(score) OVER (PARTITION BY id ORDER BY score DESC) AS lead FROM s) SELECT id, CASE WHEN lead >= 0.01 THEN label ELSE -1 END AS label, round(score, 6) AS top, round(lead, 6) AS lead FROM w WHERE k = 1")
 def v3_assign_by_means(spark, d):
     v = vecs(spark, d)
-    return vectors.assign_by_means(v, v, 0.01).select("id", "label", F.round("top", 6).alias("top"), F.round("lead", 6).alias("lead"))
+    return vectors.assign_by_means(v, v, 0.01).select("id", F.coalesce("label", F.lit(-1)).alias("label"), F.round("top", 6).alias("top"), F.round("lead", 6).alias("lead"))
 
 
 @query(f"{V1_SQL}, q AS (SELECT round(w.lead, 4) AS lead, count(*) AS n, sum(CASE WHEN w.label = v.label THEN 1 ELSE 0 END) AS ok FROM w JOIN v USING (id) WHERE k = 1 GROUP BY 1), rr AS (SELECT lead, sum(ok) OVER (ORDER BY lead DESC) / sum(n) OVER (ORDER BY lead DESC) AS p FROM q) SELECT min(lead) AS margin FROM rr WHERE p >= 0.2")
