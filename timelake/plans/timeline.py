@@ -94,7 +94,8 @@ def w17_lay_out(spark, d):
     return intervals.lay_out(spans(spark, d, "click"), 0.5).select("id", F.round("at", 4).alias("at"))
 
 
-MAP = F.array(*(F.struct(F.lit(float(a)).alias("local"), F.lit(float(b)).alias("source")) for a, b in ((0, 10), (100, 130), (250, 255), (500, 505.5))))
+def knots():
+    return F.array(*(F.struct(F.lit(float(a)).alias("local"), F.lit(float(b)).alias("source")) for a, b in ((0, 10), (100, 130), (250, 255), (500, 505.5))))
 
 
 def prices(spark, d):
@@ -108,12 +109,12 @@ TO_LOCAL = "CASE WHEN {0} < 10 - 1e-9 OR {0} > 505.5 + 1e-9 THEN NULL WHEN {0} <
 
 @query(f"WITH {PRICES} SELECT o_orderkey, round({TO_SOURCE.format('t')}, 6) AS source, round({TO_LOCAL.format('t')}, 6) AS local FROM o")
 def p1_p2_clocks(spark, d):
-    return prices(spark, d).select("o_orderkey", F.round(clocks.to_source(MAP, F.col("t")), 6).alias("source"), F.round(clocks.to_local(MAP, F.col("t")), 6).alias("local"))
+    return prices(spark, d).select("o_orderkey", F.round(clocks.to_source(knots(), F.col("t")), 6).alias("source"), F.round(clocks.to_local(knots(), F.col("t")), 6).alias("local"))
 
 
 @query(f"WITH {PRICES}, c AS (SELECT o_orderkey, t AS a, t + 180 AS b FROM o WHERE t >= 0 AND t <= 320), k AS (SELECT o_orderkey, 0.0 AS local, {TO_SOURCE.format('a')} AS source FROM c UNION ALL SELECT o_orderkey, 180.0, {TO_SOURCE.format('b')} FROM c UNION ALL SELECT o_orderkey, x.l - a, x.s FROM c, (VALUES (0.0, 10.0), (100.0, 130.0), (250.0, 255.0), (500.0, 505.5)) x(l, s) WHERE x.l > a + 1e-9 AND x.l < b - 1e-9) SELECT o_orderkey, round(local, 6) AS local, round(source, 6) AS source FROM k")
 def p3_crop_mapping(spark, d):
-    c = prices(spark, d).where("t >= 0 and t <= 320").select("o_orderkey", F.explode(clocks.crop_mapping(MAP, F.col("t"), F.col("t") + 180)).alias("k"))
+    c = prices(spark, d).where("t >= 0 and t <= 320").select("o_orderkey", F.explode(clocks.crop_mapping(knots(), F.col("t"), F.col("t") + 180)).alias("k"))
     return c.select("o_orderkey", F.round("k.local", 6).alias("local"), F.round("k.source", 6).alias("source"))
 
 
