@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from timelake.functions import clocks, text
-from timelake.operators import edits, frames, intervals, sequences, tags
+from timelake.operators import edits, frames, intervals, rhythm, sequences, tags
 from timelake.sources import subtitles
 from timelake.streaming import streams
 
@@ -175,3 +175,19 @@ def test_incremental_refresh_equals_full(spark, tmp_path):
     got = {(r.sample_id, r.v) for r in streams.current(spark.read.parquet(out)).collect()}
     want = {(i, i * 2.0) for i in range(30) if (i % 3 == 0 and i < 8) or (i % 3 == 1 and i < 21 and i + 5 > 20)}
     assert got == want
+
+
+def test_quantisation_against_all_paths():
+    import itertools
+
+    r = random.Random(1)
+    for _ in range(6):
+        d = [round(r.uniform(0.08, 0.5), 3) for _ in range(3)]
+        resets = [True, False, r.random() < 0.5]
+        for t in rhythm.tick_seeds(d, 1.0)[:4]:
+            cost, cells = rhythm.best_cells(t, d, resets, 1.0)
+            options = [sorted({1} | {n for n in range(round(x / t) - 2, round(x / t) + 3) if n >= 1}) for x in d]
+            best = min((rhythm.path_cost(c, t, d, resets, 1.0), c) for c in itertools.product(*options))
+            assert abs(cost - best[0]) < 1e-9 and len(cells) == 3
+    even = rhythm.quantize_one([0.2, 0.2, 0.4, 0.2], [True, False, False, False])
+    assert even[0][2] == (1, 1, 2, 1) and abs(even[0][1] - 0.2) < 1e-6

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timelake.functions import text
-from timelake.operators import catalog, edits, frames, measures, vectors
+from timelake.operators import catalog, edits, frames, measures, rhythm, vectors
 from timelake.plans.timeline import BL, SP, blocks, spans, table
 from timelake.sources import subtitles
 from timelake.streaming import streams
@@ -442,3 +442,21 @@ def t3_sessions(spark, d):
 def o2_page(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.lower("o_orderpriority").alias("p")).orderBy("p", "o_orderkey").limit(300)
     return o.withColumn("place", F.row_number().over(Window.orderBy("p", "o_orderkey"))).where("place > 200").select("o_orderkey", "place")
+
+
+@query()
+def w8_quantize(spark, d):
+    b = blocks(spark, d).select("sample_id", "k", (0.05 + F.col("strength") / 1000).alias("dur"), "pseg", F.lit(0.0).alias("rest"))
+    return rhythm.quantize(b).withColumn("cells", F.concat_ws(",", F.col("cells").cast("array<string>")))
+
+
+@query(f"WITH {PCM}, lv AS (SELECT asset_id, i // 4 AS b, max(abs(x)) AS a, sum(x * x) AS e, count(*) AS n FROM pcm GROUP BY 1, 2), tp AS (SELECT asset_id, max(a) AS peak, sqrt(sum(e) / sum(n)) AS rms FROM lv GROUP BY 1), pk AS (SELECT lv.asset_id, min(b) AS t0 FROM lv JOIN tp USING (asset_id) WHERE a = peak GROUP BY 1) SELECT asset_id, round(max(rms), 6) AS rms, round(max(peak) / max(rms), 6) AS crest, round((min(CASE WHEN b <= t0 AND a >= 0.9 * peak THEN b END) - min(CASE WHEN b <= t0 AND a >= 0.1 * peak THEN b END)) * 0.005, 6) AS attack, round((max(CASE WHEN b >= t0 AND a >= 0.1 * peak THEN b END) - max(CASE WHEN b >= t0 AND a >= 0.9 * peak THEN b END)) * 0.005, 6) AS decay FROM lv JOIN tp USING (asset_id) JOIN pk USING (asset_id) GROUP BY 1")
+def a19_envelope_metrics(spark, d):
+    return rhythm.envelope_metrics(pcm(spark, d), 800).select("asset_id", *(F.round(c, 6).alias(c) for c in ("rms", "crest", "attack", "decay")))
+
+
+@query("WITH h AS (SELECT s_suppkey AS asset_id, 100.0::DOUBLE + s_suppkey % 60 AS f0, unnest(range(1, 9)) AS k FROM supplier), n AS (SELECT l.l_suppkey, h.k, l_quantity AS power FROM lineitem l JOIN h ON h.asset_id = l.l_suppkey AND abs(l_partkey * 1.0 - h.k * h.f0) <= greatest(20.0, 0.03::DOUBLE * h.k * h.f0)) SELECT l_suppkey AS asset_id, round(sum(CASE WHEN k < 5 THEN power ELSE 0 END) / sum(power), 6) AS low, round(sum(CASE WHEN k >= 5 THEN power ELSE 0 END) / sum(power), 6) AS high FROM n GROUP BY 1")
+def a21_harmonic_shares(spark, d):
+    s = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("asset_id"), F.col("l_partkey").cast("double").alias("freq"), F.col("l_quantity").alias("power"))
+    p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("asset_id"), (100.0 + F.col("s_suppkey") % 60).alias("f0"))
+    return rhythm.harmonic_shares(s, p, 10.0).select("asset_id", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
