@@ -109,18 +109,15 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = 4, d
     cuts = [i / ranges for i in range(1, ranges)] or [0.5]
     bounds = keyed.agg(*(F.percentile_approx(F.col("keys")[c], cuts, 10000).alias(f"c{c}") for c in range(curves))).first()
     edges = [np.unique(bounds[c]) if ranges > 1 else np.empty(0, np.int64) for c in range(curves)]
-    # a cut that many equal keys share leaves one large cell: it is spread over sub-cells
-    place = F.posexplode("keys").alias("curve", "hkey")
-
-    def cell_of(ids, v, keys):
-        return [np.searchsorted(edges[c], keys[:, c], side="right") for c in range(curves)]
 
     def cells(batches):
         for b in batches:
-            own = np.stack(cell_of(None, None, matrix(b.column(2))), 1)
+            keys = matrix(b.column(2))
+            own = np.stack([np.searchsorted(edges[c], keys[:, c], side="right") for c in range(curves)], 1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * curves), pa.array(own.astype(np.int64).ravel()))], ["id", "v", "keys"])
 
-    placed = keyed.mapInArrow(cells, "id long, v array<double>, keys array<long>").select("id", "v", place)
+    placed = keyed.mapInArrow(cells, "id long, v array<double>, keys array<long>").select("id", "v", F.posexplode("keys").alias("curve", "hkey"))
+    # a cut that many equal keys share leaves one large cell: it is spread over sub-cells
     counts = {(r.curve, r.hkey): r["count"] for r in placed.groupBy("curve", "hkey").count().collect()}  # curves * ranges rows
     parts = {c: -(-m // (2 * CELL)) for c, m in counts.items()}
     wide = max(1, round(share * ranges / 2 + 0.5)) if share < 1 else ranges
