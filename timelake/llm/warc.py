@@ -138,9 +138,16 @@ def _write(root: str, roll: int):
             done.append((name, state["records"], len(data), hashlib.sha256(data).hexdigest()))
             state.update(part=[], size=0, records=0, roll=state["roll"] + 1)
 
-        before = None
+        before = page = None
+        told: dict[str, tuple] = {}
         for b in batches:
-            for page_id, url, payload, refers_to, shared in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page_id, kind, url, payload, sha, last, shared in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if page_id != page:
+                    page, told = page_id, {}
+                if kind == 0:
+                    told[sha] = (last, shared)
+                    continue
+                refers_to, shared = told[hashlib.sha1(payload).hexdigest()]
                 here = (page_id, payload)
                 if shared and refers_to is None and here == before:  # a repeated row: it refers to the row before
                     refers_to = page_id
@@ -164,9 +171,12 @@ def write_warc(pages: DataFrame, root: str, min_revisit: int = 0, roll: int = RO
     spark = pages.sparkSession
     bounded_batches(spark)
     rows = pages.where(pages[key].isNotNull()).select(pages[key].cast("long").alias("page_id"), pages[url].cast("string").alias("url"), F.coalesce(pages[html].cast("binary"), F.lit("").cast("binary")).alias("payload"))
-    told = saved(decisions(rows, min_revisit), "warc-decisions").select(F.col("page_id").alias("p"), "sha", "refers_to", "shared")
-    joined = rows.join(told, (rows["page_id"] == told["p"]) & (F.sha1("payload") == told["sha"])).select("page_id", "url", "payload", "refers_to", "shared")
-    ordered = joined.repartitionByRange(partitions(spark), "page_id").sortWithinPartitions("page_id", "payload", "url")
+    told = saved(decisions(rows, min_revisit), "warc-decisions")
+    # decisions travel with the records, before those of their page, so that payloads are shuffled once
+    none = lambda kind: F.lit(None).cast(kind)
+    records = rows.select("page_id", F.lit(1).alias("kind"), "url", "payload", none("string").alias("sha"), none("long").alias("refers_to"), none("boolean").alias("shared"))
+    both = records.union(told.select("page_id", F.lit(0), none("string"), none("binary"), "sha", "refers_to", "shared"))
+    ordered = both.repartitionByRange(partitions(spark), "page_id").sortWithinPartitions("page_id", "kind", "payload", "url")
     ordered.mapInArrow(_write(root, roll), MANIFEST).write.mode("overwrite").json(f"{root}/_manifest")
     return spark.read.schema(MANIFEST).json(f"{root}/_manifest")
 
