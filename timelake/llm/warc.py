@@ -78,13 +78,19 @@ def member(page_id: int, url: str | None, payload: bytes, refers_to: int | None)
     return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """The records of a file, one gzip member after the other."""
-    view = memoryview(data)
-    while len(view):
-        z = zlib.decompressobj(31)
-        yield z.decompress(view)
-        view = view[len(view) - len(z.unused_data) :]
+def members(data: bytes, step: int = 8192) -> Iterator[bytes]:
+    """The records of a file, one gzip member after the other; fed in small steps, as each member's rest is copied."""
+    view, pos = memoryview(data), 0
+    while pos < len(view):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            piece = view[pos : pos + step]
+            if not piece:
+                raise ValueError("a truncated archive")
+            parts.append(z.decompress(piece))
+            pos += len(piece)
+        pos -= len(z.unused_data)
+        yield b"".join(parts)
 
 
 def parse(raw: bytes) -> dict:
