@@ -6,7 +6,7 @@ For each hash, documents above the smallest doc_id lose that window. Overlapping
 maximal removal intervals when the texts are read again.
 
 Memory: a map task holds at most FLUSH windows; a reduce task holds one hash range at a time, of which there are eight
-for each shuffle partition. Two different windows share a hash with probability 2**-64.
+for each shuffle partition, and the repeats that it has found, which it sends on every FLUSH / 2. Two different windows share a hash with probability 2**-64.
 
 Edge cases: null texts have no words; texts shorter than the window lose nothing; rows of equal doc_id are one
 document and never remove each other's words; rows with a null doc_id neither cause nor suffer removals. Extra columns
@@ -27,7 +27,8 @@ from .common import bounded_batches, partitions
 from .hashing import pieces, window_hashes, word_hashes, words_of
 
 #: Windows that a map task holds before it sends them on.
-FLUSH = 6_000_000
+FLUSH = 2_500_000
+_FOUND = "_bucket long, _docs binary, _counts binary, _hashes binary"
 _PACKED = "range int, settled boolean, docs binary, counts binary, hashes binary"
 
 
@@ -43,10 +44,25 @@ def _split(hashes: np.ndarray, docs: np.ndarray, settled: bool, ranges: int) ->
     rows, runs = [], np.flatnonzero(np.r_[True, run_part[1:] != run_part[:-1]])
     for a, b in zip(runs, [*runs[1:], len(new)], strict=True):
         x, y = new[a], new[b] if b < len(new) else len(part)
-        rows.append((int(run_part[a]), settled, run_doc[a:b].tobytes(), lengths[a:b].tobytes(), hashes[x:y].tobytes()))
+        rows.append((int(run_part[a]), settled, run_doc[a:b].tobytes(), lengths[a:b].tobytes(), low_bytes(hashes[x:y])))
     return rows
 
 
+def low_bytes(hashes: np.ndarray) -> bytes:
+    """The low 56 bits of each hash; its range, of which there are at least 256, tells the rest."""
+    return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def whole(packed: bytes, part: int, ranges: int) -> np.ndarray:
+    """The hashes of one range from their low 56 bits."""
+    raw = np.zeros((len(packed) // 7, 8), np.uint8)
+    raw[:, :7] = np.frombuffer(packed, np.uint8).reshape(-1, 7)
+    least = (-(-(part << 32) // ranges)) << 32
+    low = raw.reshape(-1).view(np.uint64)
+    high = np.uint64(least >> 56 << 56)
+    return np.where(low < np.uint64(least & (1 << 56) - 1), low + high + np.uint64(1 << 56), low + high)
+
+
 def repeated(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which entries have a smaller document with the same hash; which are the one entry to keep for their hash."""
     if not len(hashes):
@@ -91,82 +107,137 @@ def _windows(n: int, ranges: int):
     return run
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per hash range: each document's hashes that a smaller document has, from rows sorted by range."""
+def buckets_for(n: int) -> int:
+    """The first prime from n on."""
+    return next(x for x in range(max(n, 2), 2 * n + 3) if all(x % y for y in range(2, int(x**0.5) + 1)))
+
 
-    def out(rows):
+def _settle(ranges: int, buckets: int):
+    """Per hash range: each document's hashes that a smaller document has, packed by bucket of documents, from rows sorted by range."""
+
+    def of_range(rows):
         docs = np.concatenate([np.repeat(np.frombuffer(r[2], np.int64), np.frombuffer(r[3], np.int32)) for r in rows])
-        hashes = np.concatenate([np.frombuffer(r[4], np.uint64) for r in rows])
-        settled = np.repeat([r[1] for r in rows], [len(r[4]) // 8 for r in rows])
+        hashes = np.concatenate([whole(r[4], r[0], ranges) for r in rows])
+        settled = np.repeat([r[1] for r in rows], [len(r[4]) // 7 for r in rows])
         open_h, open_d = hashes[~settled], docs[~settled]
         later, _ = repeated(open_h, open_d)
-        h, d = np.concatenate([open_h[later], hashes[settled]]), np.concatenate([open_d[later], docs[settled]])
-        order = np.argsort(d, kind="stable")
-        h, d = h[order], d[order]
-        first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else np.empty(0, int)
-        packed = h.tobytes()
-        ends = [*first[1:], len(d)]
-        return pa.RecordBatch.from_arrays([pa.array(d[first], pa.int64()), pa.array([packed[a * 8 : b * 8] for a, b in zip(first, ends, strict=False)], pa.binary())], ["_doc", "_hashes"])
-
-    rows: list[tuple] = []
-    for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if rows and rows[0][0] != row[0]:
-                yield out(rows)
-                rows = []
-            rows.append(row)
-    if rows:
-        yield out(rows)
-
-
-def repeated_windows(docs: DataFrame, n: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_doc, _hashes): for each document the hashes of its windows that also start in a document with a smaller key."""
+        return np.concatenate([open_h[later], hashes[settled]]), np.concatenate([open_d[later], docs[settled]])
+
+    def out(found):
+        h, d = (np.concatenate(x) for x in zip(*found, strict=True))
+        bucket = np.mod(d, buckets).astype(np.int64)
+        order = np.lexsort((d, bucket))
+        h, d, bucket = h[order], d[order], bucket[order]
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(d) else []
+        rows = []
+        for x, y in zip(cuts, [*cuts[1:], len(d)], strict=False):
+            docs, counts = np.unique(d[x:y], return_counts=True)
+            rows.append((int(bucket[x]), docs.tobytes(), counts.astype(np.int32).tobytes(), h[x:y].tobytes()))
+        for a in range(0, len(rows), 64):
+            cols = list(zip(*rows[a : a + 64], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["_bucket", "_docs", "_counts", "_hashes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        found: list[tuple] = []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if rows and rows[0][0] != row[0]:
+                    found.append(of_range(rows))
+                    rows = []
+                    if sum(len(h) for h, _ in found) > FLUSH // 2:
+                        yield from out(found)
+                        found = []
+                rows.append(row)
+        if rows:
+            found.append(of_range(rows))
+        if found:
+            yield from out(found)
+
+    return run
+
+
+def repeated_windows(docs: DataFrame, n: int = 13, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
+    """For each bucket of documents (key modulo the returned number) the hashes of their windows that also start in a smaller document."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    ranges = min(8 * partitions(spark), 60_000)
+    ranges, buckets = min(max(256, 8 * partitions(spark)), 60_000), buckets_for(4 * partitions(spark))
     source = docs.where(docs[key].isNotNull() & docs[text].isNotNull()).select(docs[key].cast("long").alias("k"), docs[text].cast("binary").alias("t"))
     packed = source.mapInArrow(_windows(n, ranges), _PACKED)
     by_range = packed.repartition(partitions(spark), "range").sortWithinPartitions("range")
-    found = by_range.mapInArrow(_settle, "_doc long, _hashes binary")
-    return found.groupBy("_doc").agg(F.collect_list("_hashes").alias("_hashes"))
+    return by_range.mapInArrow(_settle(ranges, buckets), _FOUND), buckets
+
+
+class _Found:
+    """The repeated hashes of one bucket's documents."""
+
+    def __init__(self):
+        self.rows, self.docs = [], None
+
+    def add(self, docs: bytes, counts: bytes, hashes: bytes):
+        self.rows.append((np.repeat(np.frombuffer(docs, np.int64), np.frombuffer(counts, np.int32)), np.frombuffer(hashes, np.uint64)))
+
+    def of(self, doc: int | None) -> np.ndarray:
+        if doc is None or not self.rows:
+            return np.empty(0, np.uint64)
+        if self.docs is None:
+            d, h = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+            order = np.argsort(d, kind="stable")
+            self.docs, self.hashes = d[order], h[order]
+        a, b = np.searchsorted(self.docs, [doc, doc + 1])
+        return self.hashes[a:b]
 
 
-def _cover(n: int, schema: pa.Schema, at: int):
-    """Drop the covered words; the last input column holds the repeated hashes, column `at` the text."""
+def _cover(n: int, names: list[str], key: int, text: int):
+    """Drop the covered words. Rows come by bucket, those with the bucket's repeated hashes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, found = None, _Found()
         for b in batches:
-            texts = [(x or "").encode() for x in b.column(at).to_pylist()]
-            flagged = b.column(b.num_columns - 1).to_pylist()
+            own = [b.column(i) for i in range(len(names))]
+            where, docs, counts, hashes = (b.column(len(names) + i).to_pylist() for i in range(4))
+            keys, rows = own[key].to_pylist(), [i for i, x in enumerate(docs) if x is None]
+            texts = dict(zip(rows, own[text].take(pa.array(rows, pa.int64())).to_pylist(), strict=True))
             kept, n_words, n_removed, spans = [], [], [], []
-            for t, hashes in zip(texts, flagged, strict=True):
-                words = words_of(t)
-                removed, found = 0, []
-                if hashes and len(words) >= n:
+            for i in range(b.num_rows):
+                if where[i] != bucket:
+                    bucket, found = where[i], _Found()
+                if i not in texts:
+                    found.add(docs[i], counts[i], hashes[i])
+                    continue
+                t = (texts[i] or "").encode()
+                words, repeated = words_of(t), found.of(keys[i])
+                removed, ranges = 0, []
+                if len(repeated) and len(words) >= n:
                     h, _ = window_hashes(*word_hashes([t]), n)
-                    hit = np.flatnonzero(np.isin(h, np.frombuffer(b"".join(hashes), np.uint64)))
+                    hit = np.flatnonzero(np.isin(h, repeated))
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, hit, 1)
                     np.add.at(edge, hit + n, -1)
                     gone = np.cumsum(edge[:-1]) > 0
                     removed = int(gone.sum())
                     turn = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
-                    found = [{"start": int(x), "end": int(y)} for x, y in turn.reshape(-1, 2)]
+                    ranges = [{"start": int(x), "end": int(y)} for x, y in turn.reshape(-1, 2)]
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 kept.append(b" ".join(words).decode())
                 n_words.append(len(words) + removed)
                 n_removed.append(removed)
-                spans.append(found)
-            own = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *own], [*schema, "n_words", "n_removed", "kept_text", "removed_spans"])
+                spans.append(ranges)
+            made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(take) for c in own), *made], [*names, "n_words", "n_removed", "kept_text", "removed_spans"])
 
     return run
 
 
 def dedup_substrings(docs: DataFrame, n: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with n_words, n_removed, kept_text (kept words joined by one space) and removed_spans (word offsets, end exclusive)."""
-    flagged = repeated_windows(docs, n, key, text)
-    joined = docs.join(flagged, docs[key].cast("long") == flagged["_doc"], "left").drop("_doc")
+    found, buckets = repeated_windows(docs, n, key, text)
     names = docs.columns
-    fields = [*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("removed_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
-    return joined.mapInArrow(_cover(n, names, names.index(text)), T.StructType(fields))
+    place = F.coalesce(F.pmod(docs[key].cast("long"), F.lit(buckets)), F.lit(-1))
+    rows = docs.select("*", place.cast("long").alias("_bucket"), *(F.lit(None).cast("binary").alias(c) for c in ("_docs", "_counts", "_hashes")))
+    both = rows.unionByName(found, allowMissingColumns=True)
+    placed = both.repartition(partitions(docs.sparkSession), "_bucket").sortWithinPartitions("_bucket", F.col("_docs").isNull())
+    fields = [T.StructField(f.name, f.dataType) for f in docs.schema.fields]
+    fields += [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("removed_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
+    return placed.mapInArrow(_cover(n, names, names.index(key), names.index(text)), T.StructType(fields))
