@@ -55,6 +55,23 @@ def test_classes_against_brute_force(spark, monkeypatch, block):
     assert sum(r.doc_id is None for r in kept) == 1
 
 
+@pytest.mark.parametrize(("block", "most"), [(2, 1 << 20), (128, 1 << 20), (128, 500)])
+def test_every_link_of_large_groups_is_counted(spark, monkeypatch, block, most):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "GRAMS", most)
+    r = random.Random(block)
+    base = ["b%d" % i for i in range(120)]
+    rows = corpus(seed=7)
+    for k in range(60):  # near copies of growing length, some equal
+        w = base[: 90 + k // 2]
+        if k % 3:
+            w[r.randrange(len(w))] = "x%d" % k
+        rows.append((1000 + k, " ".join(w)))
+    _, edges = brute(rows)
+    got = {r.doc_id: r.n_links for r in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {k: sum(k in e for e in edges) for k, _ in rows}
+
+
 def test_empty(spark):
     assert jaccard.jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -6,7 +6,9 @@ Band and row counts are chosen for the wanted recall at the threshold. A bucket
 pairs. Larger buckets are compared by blocks of BLOCK texts inside tasks (set intersections as a matrix product), a few
 bands at a time: pairs that links connect already are left out, and a group gives back only the verified links that
 connect its parts. So every pair that shares a bucket is verified, or is connected by verified links, or has set sizes
-too far apart; no cap drops a pair, and a group of near copies emits a few rows a text.
+too far apart; no cap drops a pair, and a group of near copies emits a few rows a text. Two similar texts are then in
+one component, so the number of links is counted there: blocks of a component meet in tasks once a pair, and only counts
+leave the tasks.
 
 Edge cases: null, empty and blank texts have no n-grams, no links and a class of their own. Rows with a null key get
 no row. Rows of equal key are one document: it takes the smallest class of its texts. Extra columns are ignored.
@@ -30,6 +32,8 @@ from .hashing import mix, pieces, window_hashes, word_hashes
 SMALL = 8
 #: Larger buckets are compared by blocks of this many texts.
 BLOCK = 128
+#: n-grams in a block of texts whose links are counted: bounds what a task holds when texts are long.
+GRAMS = 1 << 20
 
 
 def bands_for(threshold: float, recall: float, hashes: int = 110) -> tuple[int, int]:
@@ -166,11 +170,9 @@ def _blocks(rows: DataFrame, threshold: float) -> DataFrame:
     return placed.select(F.xxhash64("bucket", "g.kind", "g.i", "g.j").alias("gid"), "id", "comp")
 
 
-def _forest(ids: list[int], comps: list[int], grams: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
-    """Verified links that connect all similar texts of one group, at most one fewer than its parts."""
-    m = len(ids)
-    if m < 2:
-        return []
+def _alike(grams: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which of the sets are similar, as a square table."""
+    m = len(grams)
     owner = np.repeat(np.arange(m), [len(g) for g in grams])
     _, col, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
     shared = times > 1
@@ -186,7 +188,15 @@ def _forest(ids: list[int], comps: list[int], grams: list[np.ndarray], threshold
         part[owner[a:b], col[a:b] - low] = 1
         common += part @ part.T
     size = np.array([len(g) for g in grams], np.float64)
-    alike = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-6
+    return common >= threshold * (size[:, None] + size[None, :] - common) - 1e-6
+
+
+def _forest(ids: list[int], comps: list[int], grams: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Verified links that connect all similar texts of one group, at most one fewer than its parts."""
+    m = len(ids)
+    if m < 2:
+        return []
+    alike = _alike(grams, threshold)
     label, out = np.unique(comps, return_inverse=True)[1], []
     for i in range(m):
         near = np.flatnonzero(alike[i, i + 1 :]) + i + 1
@@ -198,40 +208,86 @@ def _forest(ids: list[int], comps: list[int], grams: list[np.ndarray], threshold
     return out
 
 
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[np.ndarray]]]:
+    """Rows (without gid and grams) and sets of one gid after another; the batches are sorted by gid."""
+    gid, rows, grams = None, [], []
+    for b in batches:
+        lists = b.column(b.num_columns - 1)
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        for i, (g, *row) in enumerate(zip(*(b.column(j).to_pylist() for j in range(b.num_columns - 1)), strict=True)):
+            if g != gid and rows:
+                yield rows, grams
+                rows, grams = [], []
+            gid = g
+            rows.append(tuple(row))
+            grams.append(flat[ends[i] : ends[i + 1]].copy())
+    if rows:
+        yield rows, grams
+
+
+def _with_sets(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """`groups` and their texts' sets, one group after another; a task holds one group's sets at a time."""
+    filled = groups.join(sets, "id").select(*groups.columns, "grams")
+    return filled.repartition(partitions(groups.sparkSession), "gid").sortWithinPartitions("gid")
+
+
 def _block_links(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links (a < b) of all groups; a task holds one group's sets at a time."""
-    spark = groups.sparkSession
-    filled = groups.join(sets, "id").select("gid", "id", "comp", "grams")
-    placed = filled.repartition(partitions(spark), "gid").sortWithinPartitions("gid")
+    """Links (a < b) of all groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gid, ids, comps, grams = None, [], [], []
-
-        def out():
+        for rows, grams in _by_group(batches):
+            ids, comps = zip(*rows, strict=True)
             found = [(min(p), max(p)) for p in _forest(ids, comps, grams, threshold)]
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-        for b in batches:
-            lists = b.column(3)
-            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            for i, (g, k, c) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)), strict=True)):
-                if g != gid and ids:
-                    yield out()
-                    ids, comps, grams = [], [], []
-                gid = g
-                ids.append(k)
-                comps.append(c)
-                grams.append(flat[ends[i] : ends[i + 1]].copy())
-        if ids:
-            yield out()
-
-    return placed.mapInArrow(run, "a long, b long").distinct()
+    return _with_sets(groups, sets).mapInArrow(run, "a long, b long").distinct()
+
+
+def _meetings(texts: DataFrame, threshold: float) -> DataFrame:
+    """(gid, id, copies, side): groups in which any two texts of a component (comp, id, n, copies) meet exactly once.
+
+    A component of few texts is one group. Others are cut by set size into levels, so wide that similar texts are on one
+    level or on neighbouring ones, and each level into blocks by hash. Texts of different sides meet, and those of side 2.
+    """
+    most = 2 * BLOCK
+    whole = texts.groupBy("comp").agg(((F.count("*") <= most) & (F.sum("n") <= GRAMS)).alias("one"))
+    level = F.when(F.col("one"), F.lit(0)).otherwise(F.floor(F.log("n") / (math.log(1 / threshold) + 1e-9))).cast("long")
+    leveled = texts.join(whole, "comp").select("comp", "id", "n", "copies", level.alias("level"))
+    blocks = leveled.groupBy("comp", "level").agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / GRAMS)).cast("long").alias("k"))
+    by_level = blocks.groupBy("comp").agg(F.map_from_entries(F.collect_list(F.struct("level", "k"))).alias("blocks"))
+    here, zero = F.col("level"), F.lit(0).cast("long")
+    blocks_of = lambda at: F.coalesce(F.try_element_at("blocks", at), zero)
+    upto = lambda n: F.filter(F.sequence(zero, n), lambda i: i < n)
+    group = lambda low, i, high, j, side: F.struct(low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"), side.cast("int").alias("side"))
+    own = F.col("own")
+    among = F.transform(upto(blocks_of(here)), lambda j: group(here, F.least(own, j), here, F.greatest(own, j), F.when(own == j, 2).when(own < j, 0).otherwise(1)))
+    above = F.transform(upto(blocks_of(here + 1)), lambda j: group(here, own, here + 1, j, F.lit(0)))
+    below = F.transform(upto(blocks_of(here - 1)), lambda i: group(here - 1, i, here, own, F.lit(1)))
+    placed = leveled.join(by_level, "comp").withColumn("own", F.pmod(F.xxhash64("id", "comp"), blocks_of(here)))
+    met = placed.select("comp", "id", "copies", F.explode(F.concat(among, above, below)).alias("g"))
+    return met.select(F.xxhash64("comp", "g.low", "g.i", "g.high", "g.j").alias("gid"), "id", "copies", F.col("g.side").alias("side"))
+
+
+def _partners(texts: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, partners): the documents of all different texts that a text (comp, id, n, copies) is similar to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, grams in _by_group(batches):
+            ids, copies, sides = (np.array(c) for c in zip(*rows, strict=True))
+            pairs = _alike(grams, threshold) & ((sides[:, None] != sides[None, :]) | (sides == 2))
+            np.fill_diagonal(pairs, False)
+            count = (pairs * copies[None, :]).sum(axis=1)
+            some = count > 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(count[some])], ["id", "part"])
+
+    counted = _with_sets(_meetings(texts, threshold), sets).mapInArrow(run, "id long, part long")
+    return counted.groupBy("id").agg(F.sum("part").alias("partners"))
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per key: class_id (its class's smallest key), n_copies (documents of an equal n-gram set) and n_links.
 
-    n_links counts the other copies and, with their copies, the different texts that a verified link joins it with.
+    n_links counts the other copies and, with their copies, all different texts of its class that are similar to it.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -249,12 +305,12 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     sets = saved(source.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(_sets(n), "id long, grams array<long>").dropDuplicates(["id"]), "sets")
     links = _links(members, sets, threshold, bands)
     labels = components(links)
-    copies = reps.select(F.col("rep").alias("node"), "copies")
-    linked = links.select("a", "b").union(links.select("b", "a")).join(copies, F.col("b") == copies["node"]).groupBy("a").agg(F.sum("copies").alias("partners"))
+    texts = labels.join(reps, labels["node"] == reps["rep"]).select(F.col("label").alias("comp"), F.col("rep").alias("id"), "n", "copies").dropDuplicates(["id"])
+    linked = _partners(saved(texts, "linked"), sets, threshold)
     by_rep = (
         reps.drop("bands")
         .join(labels, reps["rep"] == labels["node"], "left")
-        .join(linked, reps["rep"] == linked["a"], "left")
+        .join(linked, reps["rep"] == linked["id"], "left")
         .select(*same, F.coalesce("label", "rep").alias("class_id"), "copies", F.coalesce("partners", F.lit(0)).alias("partners"))
     )
     found = some.select("id", *same).join(by_rep, same).select("id", "class_id", "copies", (F.col("copies") - 1 + F.col("partners")).alias("links"))
