@@ -191,3 +191,10 @@ def test_quantisation_against_all_paths():
             assert abs(cost - best[0]) < 1e-9 and len(cells) == 3
     even = rhythm.quantize_one([0.2, 0.2, 0.4, 0.2], [True, False, False, False])
     assert even[0][2] == (1, 1, 2, 1) and abs(even[0][1] - 0.2) < 1e-6
+
+
+def test_overlong_sentences_are_reported(spark):
+    rows = [(s, k, 0.2, 0, 0.0) for s, n in ((1, 4), (2, 128), (3, 129)) for k in range(n)]
+    got = rhythm.quantize(spark.createDataFrame(rows, "sample_id long, k long, dur double, pseg long, rest double")).collect()
+    assert {r.sample_id for r in got if r.error is None and r.cells} == {1, 2}
+    assert [(r.sample_id, r.choice, r.cells, r.error, r.n_blocks) for r in got if r.error] == [(3, None, None, "rhythm-too-many-blocks", 129)]

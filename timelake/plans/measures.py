@@ -447,7 +447,7 @@ def o2_page(spark, d):
 @query()
 def w8_quantize(spark, d):
     b = blocks(spark, d).select("sample_id", "k", (0.05 + F.col("strength") / 1000).alias("dur"), "pseg", F.lit(0.0).alias("rest"))
-    return rhythm.quantize(b).withColumn("cells", F.concat_ws(",", F.col("cells").cast("array<string>")))
+    return rhythm.quantize(b).withColumn("cells", F.array_join(F.col("cells").cast("array<string>"), ","))
 
 
 @query(f"WITH {PCM}, lv AS (SELECT asset_id, i // 4 AS b, max(abs(x)) AS a, sum(x * x) AS e, count(*) AS n FROM pcm GROUP BY 1, 2), tp AS (SELECT asset_id, max(a) AS peak, sqrt(sum(e) / sum(n)) AS rms FROM lv GROUP BY 1), pk AS (SELECT lv.asset_id, min(b) AS t0 FROM lv JOIN tp USING (asset_id) WHERE a = peak GROUP BY 1) SELECT asset_id, round(max(rms), 6) AS rms, round(max(peak) / max(rms), 6) AS crest, round((min(CASE WHEN b <= t0 AND a >= 0.9 * peak THEN b END) - min(CASE WHEN b <= t0 AND a >= 0.1 * peak THEN b END)) * 0.005, 6) AS attack, round((max(CASE WHEN b >= t0 AND a >= 0.1 * peak THEN b END) - max(CASE WHEN b >= t0 AND a >= 0.9 * peak THEN b END)) * 0.005, 6) AS decay FROM lv JOIN tp USING (asset_id) JOIN pk USING (asset_id) GROUP BY 1")
