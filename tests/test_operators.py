@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from timelake.functions import clocks, text
-from timelake.operators import edits, frames, intervals, rhythm, sequences, tags
+from timelake.operators import edits, frames, intervals, rhythm, sequences, tags, vectors
 from timelake.sources import subtitles
 from timelake.streaming import streams
 
@@ -198,3 +198,16 @@ def test_overlong_sentences_are_reported(spark):
     got = rhythm.quantize(spark.createDataFrame(rows, "sample_id long, k long, dur double, pseg long, rest double")).collect()
     assert {r.sample_id for r in got if r.error is None and r.cells} == {1, 2}
     assert [(r.sample_id, r.choice, r.cells, r.error, r.n_blocks) for r in got if r.error] == [(3, None, None, "rhythm-too-many-blocks", 129)]
+
+
+def test_references_beyond_the_broadcast_bound(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(i, i % 3, [r.gauss(i % 3, 1) for _ in range(4)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, label int, v array<double>").withColumn("v", vectors.normalized(F.col("v")))
+    run = lambda: sorted(map(tuple, vectors.assign_by_neighbours(df.where("id % 4 <> 0"), df.where("id % 4 = 0"), 5, 0.02).collect()))
+    small = run()
+    monkeypatch.setattr(vectors, "MAX_BROADCAST", 20)
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    large = run()
+    assert len(large) == 90 and [x[:2] for x in large] == [x[:2] for x in small]
+    assert all(abs(a - b) < 1e-12 for x, y in zip(large, small) for a, b in zip(x[2:], y[2:]))

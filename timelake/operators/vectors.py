@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: References that are broadcast; more are joined by shuffling.
 MAX_BROADCAST = 20_000
+#: References and vectors in one block where they are joined by shuffling.
+BLOCK = 4_096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -22,13 +24,21 @@ def normalized(v: Column) -> Column:
 def assign_by_neighbours(vectors: DataFrame, refs: DataFrame, k: int = 5, margin: float = 0.0) -> DataFrame:
     """(id, label, top, lead): the class with the largest mean of its k best cosines, if it leads by the margin, else null.
 
-    vectors: id, v; refs: label, v, both normalised; a bounded set of references is compared with every vector.
+    vectors: id (one row each), v; refs: label, v, both normalised. At most MAX_BROADCAST references are broadcast; more are
+    cut into blocks, each block of vectors meets each block of references, and the k best of each block are merged.
     """
-    small = refs.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    sets = refs.groupBy("label").agg(F.collect_list("v").alias("refs"))
-    if not small:
-        raise ValueError(f"more than {MAX_BROADCAST} references: use class means")
-    scored = vectors.select("id", "v").join(F.broadcast(sets), F.lit(True)).select("id", "label", F.slice(F.sort_array(F.transform("refs", lambda r: dot(F.col("v"), r)), asc=False), 1, k).alias("best"))
+    best = F.slice(F.sort_array(F.transform("refs", lambda r: dot(F.col("v"), r)), asc=False), 1, k).alias("best")
+    if refs.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        sets = refs.groupBy("label").agg(F.collect_list("v").alias("refs"))
+        scored = vectors.select("id", "v").join(F.broadcast(sets), F.lit(True)).select("id", "label", best)
+    else:
+        n_refs, n_vectors = (max(1, -(-d.count() // BLOCK)) for d in (refs, vectors))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        own = refs.select("label", "v", F.pmod(F.xxhash64(*refs.columns), F.lit(n_refs)).cast("int").alias("j"))
+        sets = own.groupBy("j", "label").agg(F.collect_list("v").alias("refs")).withColumn("i", each(n_vectors))
+        placed = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n_vectors)).cast("int").alias("i")).withColumn("j", each(n_refs))
+        parts = placed.join(sets.hint("merge"), ["i", "j"]).select("id", "label", best)
+        scored = parts.groupBy("id", "label").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, k).alias("best"))
     mean = scored.select("id", "label", (F.aggregate("best", F.lit(0.0), lambda a, x: a + x) / F.size("best")).alias("score"))
     return _winner(mean, margin)
 
