@@ -37,3 +37,15 @@ def test_viterbi_is_the_best_of_all_paths():
 def test_long_pages_take_linear_time():
     page = "<div>" * 3000 + "<p class='a>" * 2000 + "<a href=x>y" * 20000
     assert isinstance(htmltext.main_text(page, htmltext.model()), str)
+
+
+def test_unclosed_and_deep_elements_keep_their_ancestors():
+    nav, article = htmltext._AT["t:nav"], htmltext._AT["t:article"]
+    for tag in ("a", "span", "b"):
+        blocks = htmltext.leaf_blocks("<nav>" + f"<{tag}>x" * 300 + "</nav><article><p>The text.</p></article>")
+        assert blocks[-1][0] == "The text." and nav not in blocks[-1][1] and article in blocks[-1][1]
+        assert blocks[-1][2] == 0
+    blocks = htmltext.leaf_blocks("<nav>" + "<div>" * 5000 + "<article><p>In.</p></article>" + "</div>" * 4000 + "<p>Mid.</p>" + "</div>" * 1000 + "</nav><p>Out.</p>")
+    assert [(t, article in f, nav in f) for t, f, _ in blocks] == [("In.", True, True), ("Mid.", False, True), ("Out.", False, False)]
+    blocks = htmltext.leaf_blocks("<ul><li>one" + "<b>" * 300 + "<li><p>two</ul><p>three")
+    assert [(t, htmltext._AT["t:li"] in f) for t, f, _ in blocks] == [("one", True), ("two", True), ("three", False)]

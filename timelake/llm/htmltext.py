@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -85,6 +86,7 @@ def leaf_blocks(page: str) -> list[tuple[str, frozenset[int], float]]:
     out: list[tuple[str, frozenset[int], float]] = []
     none: frozenset[int] = frozenset()
     stack: list[tuple[str, frozenset[int]]] = []
+    places: dict[str, list[int]] = {}  # positions of each tag name in the stack
     text: list[str] = []
     linked = pos = in_link = 0
     end = len(page)
@@ -98,6 +100,12 @@ def leaf_blocks(page: str) -> list[tuple[str, frozenset[int], float]]:
             text.clear()
         linked = 0
 
+    def cut(i: int):
+        nonlocal in_link
+        while len(stack) > i:
+            places[stack.pop()[0]].pop()
+        in_link = in_link and bool(places.get("a"))
+
     match = _TOKEN.match
     while pos < end:
         m = match(page, pos)
@@ -126,27 +134,24 @@ def leaf_blocks(page: str) -> list[tuple[str, frozenset[int], float]]:
         if block:
             flush()
         if closing:
-            for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    in_link = any(x[0] == "a" for x in stack) if in_link else 0
-                    break
+            if places.get(name):
+                cut(places[name][-1])
             continue
         if name in _VOID:
             continue
         if block:
             shut = _CLOSES.get(name, none) | ({"p"} if name not in ("label", "button", "option") else none)
-            for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                if stack[i][0] in shut:
-                    del stack[i:]
-                    in_link = any(x[0] == "a" for x in stack) if in_link else 0
-                elif stack[i][0] in _HOLDERS:
-                    break
+            open_shut = [places[s] for s in shut if places.get(s)]
+            if open_shut:
+                holder = max((places[h][-1] for h in _HOLDERS if places.get(h)), default=-1)
+                within = [p[bisect_right(p, holder)] for p in open_shut if p[-1] > holder]
+                if within:
+                    cut(min(within))
         if name == "a":
             in_link = 1
-        if len(stack) < 2000:
-            own = _own(name, attrs if block or name in ("a", "span") else "")
-            stack.append((name, _joined(stack[-1][1], own) if stack and own else own if own else stack[-1][1] if stack else none))
+        own = _own(name, attrs if block or name in ("a", "span") else "")
+        places.setdefault(name, []).append(len(stack))
+        stack.append((name, _joined(stack[-1][1], own) if stack and own else own if own else stack[-1][1] if stack else none))
     flush()
     return out
 
