@@ -83,9 +83,10 @@ def frame_of(t: Column) -> Column:
 
 
 def clock_label(t: Column) -> Column:
-    """M:SS.mmm, with milliseconds rounded half to even."""
-    ms = F.bround(t * 1000).cast("long")
-    return F.format_string("%d:%02d.%03d", F.floor(ms / 60000).cast("long"), F.floor(ms / 1000).cast("long") % 60, ms % 1000)
+    """M:SS.mmm, from an hour on H:MM:SS.mmm, with milliseconds rounded half to even; negative times count as zero."""
+    ms = F.bround(F.greatest(t, F.lit(0.0)) * 1000).cast("long")
+    hours, minutes, seconds = F.floor(ms / 3600000).cast("long"), F.floor(ms / 60000).cast("long") % 60, F.floor(ms / 1000).cast("long") % 60
+    return F.when(hours > 0, F.format_string("%d:%02d:%02d.%03d", hours, minutes, seconds, ms % 1000)).otherwise(F.format_string("%d:%02d.%03d", minutes, seconds, ms % 1000))
 
 
 def file_clock_label(t: Column) -> Column:

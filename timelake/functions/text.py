@@ -31,6 +31,17 @@ def norm_text(text: Column) -> Column:
     return stripped(nfkc(text))
 
 
+def norm_needle(text: str) -> str:
+    """The same form of a search term, made on the driver: terms are literals."""
+    folded = unicodedata.normalize("NFKC", text).lower()
+    return "".join(c for c in folded if unicodedata.category(c)[0] not in "PZC" and not c.isspace())
+
+
+def hiragana_needle(text: str) -> str:
+    """Katakana U+30A1 to U+30F6 of a search term as hiragana."""
+    return "".join(chr(ord(c) - 0x60) if "\u30a1" <= c <= "\u30f6" else c for c in text)
+
+
 def to_hiragana(text: Column) -> Column:
     """Katakana U+30A1 to U+30F6 as hiragana."""
     kata = "".join(chr(c) for c in range(0x30A1, 0x30F7))

@@ -84,18 +84,6 @@ def queue_ahead(jobs: DataFrame) -> DataFrame:
     return jobs.select("job_id", (F.row_number().over(w) - 1).alias("ahead"))
 
 
-def asset_chain(assets: DataFrame, steps: int = 32) -> DataFrame:
-    """(id, ancestor, depth) along parents (id, parent_id), at most `steps` up; cycles end there."""
-    spark = assets.sparkSession
-    assets.select("id", "parent_id").createOrReplaceTempView("_chain_assets")
-    return spark.sql(f"""
-        WITH RECURSIVE up (id, ancestor, depth) AS (
-            SELECT id, id, 0 FROM _chain_assets
-            UNION ALL SELECT up.id, a.parent_id, up.depth + 1 FROM up JOIN _chain_assets a ON a.id = up.ancestor
-            WHERE a.parent_id IS NOT NULL AND up.depth < {steps} AND a.parent_id <> up.id)
-        SELECT id, ancestor, depth FROM up""")
-
-
 def usable_runs(segments: DataFrame, runs: DataFrame, heads: DataFrame) -> DataFrame:
     """(segment_id, run_id): the run to use: status ok and the segment unchanged; the head, then manual ones, then the newest."""
     same = (F.abs(F.col("seg_start") - F.col("start")) <= 1e-6) & (F.abs(F.col("seg_end") - F.col("end")) <= 1e-6) & (F.col("seg_text") == F.col("text"))

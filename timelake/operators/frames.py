@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timelake.functions.clocks import to_source
+
 MAX_FRAMES, MIN_BLOCK = 1000, 10
 
 
@@ -119,7 +122,7 @@ def search_pitch(frames: DataFrame, query: PitchQuery) -> DataFrame:
 
     frames: sound, frame, ok, midi, without holes inside a sound.
     """
-    octaves = range(-5, 6) if query.octave_free else (0,)
+    octaves = octave_range(frames, query) if query.octave_free else (0,)
     found = []
     for _, sizes in elastic_lengths(query):
         if any(b.to is not None for b in query.blocks):
@@ -130,9 +133,48 @@ def search_pitch(frames: DataFrame, query: PitchQuery) -> DataFrame:
     ratio = F.round(F.abs(F.log(F.col("frames") / length)), 12)
     order = [F.col("score"), ratio, F.abs("octave"), F.col("octave"), F.col("frames")]
     best = Window.partitionBy("sound", "start").orderBy(*order)
+    if not found:
+        none = F.lit(None)
+        return frames.where(F.lit(False)).select("sound", F.col("frame").alias("start"), none.cast("int").alias("frames"), none.cast("int").alias("octave"), none.cast("double").alias("score"))
     return reduce(DataFrame.union, found).withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
 
 
+def octave_range(frames: DataFrame, query: PitchQuery) -> range:
+    """The octaves by which a query may be moved and still meet the frames' own range of pitches, one more on both sides."""
+    m = frames.agg(F.min("midi").alias("low"), F.max("midi").alias("high")).first()
+    if m.low is None:
+        return range(0)
+    slack, targets = query.tolerance / 100, [x for b in query.blocks for x in (b.midi, b.to if b.to is not None else b.midi)]
+    return range(math.floor((m.low - max(targets) - slack) / 12) - 1, math.ceil((m.high - min(targets) + slack) / 12) + 2)
+
+
+def steady_hits(hits: DataFrame, frames: DataFrame, query: PitchQuery, spread: float | None = None, energy: tuple[float | None, float | None] = (None, None)) -> DataFrame:
+    """Hits whose every block is steady: the 90th less the 10th percentile of its reliable pitches is at most `spread` cents,
+    and its mean energy within bounds, where all its frames are measured.
+
+    frames: sound, frame, midi, energy (null: unmeasured). Only the frames of hits are read again: an equi-join on sound and
+    frame. Lengths of blocks follow from the hit's length.
+    """
+    lengths = F.create_map(*(x for _, sizes in elastic_lengths(query) for x in (F.lit(sum(sizes)), F.array(*map(F.lit, sizes)))))
+    sized = hits.select("sound", "start", "frames", "octave", lengths[F.col("frames")].alias("sizes"))
+    blocks = sized.select("sound", "start", "frames", "octave", F.posexplode("sizes").alias("block", "size"), F.col("sizes").alias("all"))
+    first = F.col("start") + F.aggregate(F.slice("all", F.lit(1), F.col("block")), F.lit(0), lambda a, x: a + x)
+    asked = blocks.withColumn("frame", F.explode(F.sequence(first, first + F.col("size") - 1))).drop("all")
+    met = asked.join(frames.select("sound", "frame", "midi", "energy"), ["sound", "frame"], "left")
+    keys = ["sound", "start", "frames", "octave"]
+    per = met.groupBy(*keys, "block").agg((F.percentile("midi", 0.9) - F.percentile("midi", 0.1)).alias("wide"), F.avg("energy").alias("mean"), F.max(F.col("energy").isNull()).alias("gap"))
+    tests = [F.coalesce(F.col("wide") * 100 <= spread + 1e-9, F.lit(False))] if spread is not None else []
+    low, high = energy
+    if low is not None or high is not None:
+        tests.append(~F.col("gap"))
+    tests += [F.col("mean") >= low - 1e-15] if low is not None else []
+    tests += [F.col("mean") <= high + 1e-15] if high is not None else []
+    if not tests:
+        return hits
+    good = per.groupBy(*keys).agg(F.min(reduce(lambda a, b: a & b, tests)).alias("_good")).where("_good").drop("_good")
+    return hits.join(good, keys, "left_semi")
+
+
 def group_hits(hits: DataFrame) -> DataFrame:
     """The best hit of each island of consecutive starts of a sound."""
     w = Window.partitionBy("sound").orderBy("start")
@@ -141,15 +183,98 @@ def group_hits(hits: DataFrame) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r", "island")
 
 
-def allowed_starts(hits: DataFrame, spans: DataFrame) -> DataFrame:
-    """Hits whose whole window lies inside one span (sound, f_start, f_end) of its sound."""
+def allowed_starts(hits: DataFrame, spans: DataFrame, lines: DataFrame | None = None, head: float | None = None, tail: float | None = None) -> DataFrame:
+    """Hits whose whole window lies inside one span (sound, f_start, f_end) of their sound.
+
+    With `head` (`tail`) a hit also begins (ends) within so many seconds of the start (end) of a line (sound, start, end).
+    """
     inside = (hits["start"] >= spans["f_start"]) & (hits["start"] + hits["frames"] <= spans["f_end"])
-    return hits.join(spans, (hits["sound"] == spans["sound"]) & inside, "left_semi")
+    found = hits.join(spans, (hits["sound"] == spans["sound"]) & inside, "left_semi")
+    for limit, edge, at in ((head, "start", F.col("start") * 0.01), (tail, "end", (F.col("start") + F.col("frames")) * 0.01)):
+        if limit is not None:
+            # equi-join on the second that a hit's edge lies in; a line offers those within its reach
+            e = lines.select("sound", F.col(edge).alias("_e")).withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_e") - limit - 1e-9), F.floor(F.col("_e") + limit + 1e-9))))
+            own = found.withColumn("_at", at).withColumn("_cell", F.floor("_at"))
+            found = own.join(e, (own["sound"] == e["sound"]) & (own["_cell"] == e["_cell"]) & (F.abs(own["_at"] - e["_e"]) <= limit + 1e-9), "left_semi").drop("_at", "_cell")
+    return found
+
+
+#: Fixed values of the coarse search: frames of a cell, its slack, its budgets and its largest answer.
+CELL, SHARE_SLACK, PITCH_SLACK, BUDGET, RADIUS, MOST_HITS = 5, 0.15, 1.0, 2000, 5, 100
+
+
+def coarse(frames: DataFrame, step: int = CELL) -> DataFrame:
+    """A summary of the frames, whole cells of 50 ms alone: the mean reliable pitch and the reliable share."""
+    g = frames.groupBy("sound", F.floor(F.col("frame") / step).alias("cell")).agg(F.avg("midi").alias("midi"), F.avg(F.col("ok").cast("double")).alias("share"), F.count("*").alias("n"))
+    return g.where(F.col("n") == step).drop("n")
+
+
+def search_coarse(frames: DataFrame, spans: DataFrame, query: PitchQuery) -> DataFrame:
+    """At most MOST_HITS hits (sound, start, frames, octave, score), found coarse to fine.
+
+    Starts on whole cells whose blocks lie near their pitch in the summary form basins; the basins' best starts are
+    taken in turns up to a budget, and the exact search runs on the frames around those alone. Not for octave-free,
+    elastic or gliding queries.
+    """
+    if query.octave_free or query.elastic or any(b.to is not None for b in query.blocks):
+        raise ValueError("the coarse search takes plain queries")
+    length, at, cells = sum(b.frames for b in query.blocks), 0, coarse(frames)
+    w = Window.partitionBy("sound").orderBy("cell")
+    names = []
+    for j, b in enumerate(query.blocks):
+        slack = query.tolerance / 100 + PITCH_SLACK
+        near = F.when(F.col("midi").between(b.midi - slack, b.midi + slack), F.col("share")).otherwise(0.0)
+        first, last = at // CELL, -(-(at + b.frames) // CELL)
+        cells = cells.withColumn(f"_n{j}", near)
+        whole = F.lead("cell", last - 1).over(w) == F.col("cell") + last - 1
+        share = F.sum(f"_n{j}").over(w.rowsBetween(first, last - 1)) / (last - first)
+        cells = cells.withColumn(f"_c{j}", F.when(whole & (share >= max(0.0, query.coverage - SHARE_SLACK) - 1e-12), 1 - share))
+        names.append(f"_c{j}")
+        at += b.frames
+    rough = reduce(lambda a, b: a + b, [F.col(n) for n in names])
+    starts = cells.withColumn("rough", rough).where("rough is not null").select("sound", (F.col("cell") * CELL).alias("start"), "rough", F.lit(length).alias("frames"))
+    starts = allowed_starts(starts, spans)
+    order = Window.partitionBy("sound").orderBy("start")
+    new = (F.coalesce(F.col("start") - F.lag("start").over(order) > 2 * CELL, F.lit(True))).cast("int")
+    basins = starts.withColumn("_new", new).withColumn("basin", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = Window.partitionBy("sound", "basin")
+    turns = basins.withColumn("depth", F.row_number().over(inside.orderBy("rough", "start"))).withColumn("best", F.min("rough").over(inside)).withColumn("head", F.min("start").over(inside))
+    leaders = turns.where("depth = 1").orderBy("best", "sound", "head").limit(BUDGET).select("sound", "basin")
+    taken = turns.join(leaders, ["sound", "basin"], "left_semi").orderBy("depth", "best", "sound", "head").limit(BUDGET).select("sound", "basin", F.col("start").alias("seed"))
+    around = taken.withColumn("frame", F.explode(F.sequence(F.col("seed") - RADIUS, F.col("seed") + RADIUS + length - 1)))
+    local = around.join(frames, ["sound", "frame"]).select("basin", "seed", "sound", "frame", "ok", "midi")
+    exact = _variant(local, query, [b.frames for b in query.blocks], 0, ["basin", "seed"])
+    exact = exact.where(F.col("start").between(F.col("seed") - RADIUS, F.col("seed") + RADIUS))
+    fit = allowed_starts(exact, spans)
+    best = fit.withColumn("_r", F.row_number().over(Window.partitionBy("sound", "basin").orderBy("score", "start"))).where("_r = 1")
+    return best.select("sound", "start", "frames", "octave", "score").distinct().orderBy("score", "sound", "start").limit(MOST_HITS)
+
+
+def search_tracks(frames: DataFrame, tracks: DataFrame, chunks: DataFrame, query: PitchQuery, tags_of=None, predicate: Column | None = None) -> DataFrame:
+    """Hits on whole tracks that are measured in full, with their times on the source's clock (source_start, source_end).
+
+    tracks: sound, id, f_start, f_end, mapping; chunks: sound, chunk. `tags_of` makes (id, tag, ...) of windows (id, asset_id, start,
+    end, judge_start, judge_end), and `predicate` is a condition on their array `tags`: hits without it go.
+    """
+    ready = frame_coverage(tracks, chunks).where("ready").select("id")
+    whole = tracks.join(ready, "id", "left_semi")
+    hits = group_hits(search_pitch(frames.join(whole.select("sound"), "sound", "left_semi"), query))
+    timed = hits.join(whole.select("sound", "mapping"), "sound").withColumns({"start_s": F.col("start") * 0.01, "end_s": (F.col("start") + F.col("frames")) * 0.01})
+    if predicate is not None:
+        timed = timed.withColumn("_id", F.concat_ws("/", "sound", "start", "frames"))
+        none = F.lit(None).cast("double")
+        found = tags_of(timed.select(F.col("_id").alias("id"), F.col("sound").alias("asset_id"), F.col("start_s").alias("start"), F.col("end_s").alias("end"), none.alias("judge_start"), none.alias("judge_end")))
+        sets = found.groupBy(F.col("id").alias("_id")).agg(F.collect_set("tag").alias("tags"))
+        timed = timed.join(sets, "_id", "left").where(predicate).drop("_id", "tags")
+    return timed.select("sound", "start", "frames", "octave", "score", to_source(F.col("mapping"), F.col("start_s")).alias("source_start"), to_source(F.col("mapping"), F.col("end_s")).alias("source_end"))
 
 
-def coarse(frames: DataFrame, step: int = 5) -> DataFrame:
-    """A summary of the frames: the median pitch and the reliable share of each 50 ms."""
-    return frames.groupBy("sound", F.floor(F.col("frame") / step).alias("cell")).agg(F.median("midi").alias("midi"), F.avg(F.col("ok").cast("double")).alias("share"))
+def hits_of_samples(hits: DataFrame, samples: DataFrame) -> DataFrame:
+    """(sample_id, sound, start, frames, score): hits given to every sample (id, sound, f_start, f_end) that contains them."""
+    size = 12_000  # frames of a bin: the join is on sound and bin
+    s = samples.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("f_start") / size), F.floor(F.col("f_end") / size))))
+    h = hits.withColumn("_bin", F.floor(F.col("start") / size))
+    return h.join(s, ["sound", "_bin"]).where((F.col("start") >= F.col("f_start")) & (F.col("start") + F.col("frames") <= F.col("f_end"))).select(F.col("id").alias("sample_id"), "sound", "start", "frames", "octave", "score")
 
 
 def frame_coverage(spans: DataFrame, chunks: DataFrame, size: int = 6000) -> DataFrame:

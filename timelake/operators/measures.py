@@ -153,10 +153,23 @@ def onset_strength(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("strength", F.when(top > 0, F.col("rms") / top))
 
 
-def target_pitch(frames: DataFrame, least: int = 3) -> DataFrame:
-    """(key, value): the confidence-weighted lower median pitch of frames (key, midi, conf), from at least three reliable ones."""
-    enough = frames.where("midi is not null").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("key")
-    return weighted_median(frames.join(enough, "key", "left_semi"), "key", "midi", "conf")
+def target_pitch(frames: DataFrame, ranges: DataFrame, side: str | None = None, edge: float = 0.1) -> DataFrame:
+    """(key, original, midi, error): the note that a sound is to be flattened to: its confidence-weighted lower median, snapped.
+
+    frames: key, t, midi (null: not reliable), conf; ranges: key, start, end, the parts to process. With a side (left or right)
+    only the `edge` seconds inside the first (last) part count. Fewer than three reliable frames are an error.
+    """
+    if side == "left":
+        ranges = ranges.groupBy("key").agg(F.min("start").alias("start")).withColumn("end", F.col("start") + edge)
+    elif side == "right":
+        ranges = ranges.groupBy("key").agg(F.max("end").alias("end")).withColumn("start", F.col("end") - edge)
+    r = ranges.select("key", "start", "end")
+    inside = frames.where("midi is not null").join(r, "key").where((F.col("t") >= F.col("start") - 1e-9) & (F.col("t") < F.col("end") - 1e-9))
+    once = inside.select("key", "t", "midi", "conf").distinct()
+    enough = once.groupBy("key").agg(F.count("*").alias("n")).where("n >= 3").select("key")
+    median = weighted_median(once.join(enough, "key", "left_semi"), "key", "midi", "conf")
+    out = ranges.select("key").distinct().join(median, "key", "left")
+    return out.select("key", F.col("value").alias("original"), F.floor(F.col("value") + 0.5).cast("double").alias("midi"), F.when(F.col("value").isNull(), "flatten-edge-insufficient" if side else "flatten-f0-insufficient").alias("error"))
 
 
 def target_beats(plan: DataFrame, density: float) -> DataFrame:
@@ -165,14 +178,30 @@ def target_beats(plan: DataFrame, density: float) -> DataFrame:
     return plan.withColumn("beat", F.coalesce(F.sum((F.col("cells") + F.col("rest_cells")) / density).over(w), F.lit(0.0)))
 
 
-def spectral_shape(spectrum: DataFrame) -> DataFrame:
-    """(asset_id, low, mid, high, centroid, flatness) from a power spectrum (asset_id, freq, power)."""
+#: Edges of the low, middle and high band in hertz; power below the first counts nowhere (fixed values).
+BANDS = (20.0, 200.0, 4000.0)
+
+
+def spectral_shape(spectrum: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """(asset_id, region, low, mid, high, centroid, flatness) from power spectra (asset_id, t, freq, power), summed over time.
+
+    The region `whole` is all of it. regions: asset_id, peak, tail: seconds at which the attack and the body end.
+    """
+    heard = spectrum.where(F.col("freq") >= BANDS[0])
+    rows = heard.select("asset_id", F.lit("whole").alias("region"), "freq", "power")
+    if regions is not None:
+        part = F.when(F.col("t") < F.col("peak"), "attack").when(F.col("t") < F.col("tail"), "body").otherwise("tail")
+        rows = rows.unionByName(heard.join(regions, "asset_id").select("asset_id", part.alias("region"), "freq", "power"))
+    bins = rows.groupBy("asset_id", "region", "freq").agg(F.sum("power").alias("power"))
     total = F.sum("power")
     share = lambda test: F.sum(F.when(test, F.col("power")).otherwise(0.0)) / total
-    return spectrum.groupBy("asset_id").agg(
-        share(F.col("freq") < 300).alias("low"),
-        share((F.col("freq") >= 300) & (F.col("freq") < 3000)).alias("mid"),
-        share(F.col("freq") >= 3000).alias("high"),
-        (F.sum(F.col("freq") * F.col("power")) / total).alias("centroid"),
-        (F.exp(F.avg(F.log(F.greatest("power", F.lit(1e-30))))) / F.avg("power")).alias("flatness"),
-    )
+    low, mid = F.col("freq") < BANDS[1], F.col("freq") < BANDS[2]
+    flat = F.exp(F.avg(F.log(F.greatest("power", F.lit(1e-30))))) / F.avg(F.greatest("power", F.lit(1e-30)))
+    return bins.groupBy("asset_id", "region").agg(share(low).alias("low"), share(~low & mid).alias("mid"), share(~mid).alias("high"), (F.sum(F.col("freq") * F.col("power")) / total).alias("centroid"), flat.alias("flatness"))
+
+
+def pitch_metrics(frames: DataFrame) -> DataFrame:
+    """(asset_id, pitch, wobble, voiced): median pitch and the 90th less the 10th percentile of reliable frames, in semitones, from
+    three frames on; seconds of reliable frames. frames: asset_id, midi (null: not reliable)."""
+    enough = F.count("midi") >= 3
+    return frames.groupBy("asset_id").agg(F.when(enough, F.median("midi")).alias("pitch"), F.when(enough, F.percentile("midi", 0.9) - F.percentile("midi", 0.1)).alias("wobble"), (F.count("midi") * 0.01).alias("voiced"))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timelake.functions.clocks import to_local
 from timelake.operators.intervals import overlap_join
 
+#: Labels of phones that are silent, and of those that can sound by themselves (fixed values).
+SILENT = ("pau", "sil", "sp", "SP", "AP", "cl", "q", "Q", "っ")
+SOUNDING = ("a", "i", "u", "e", "o", "I", "U", "N")
+
 
 def locate_storage(ranges: DataFrame, storage: DataFrame) -> DataFrame:
     """(id, storage_id, file_start): the storage window that covers each range (id, asset_id, start, end): primary before others.
@@ -35,9 +38,9 @@ def list_tracks(assets: DataFrame, roles: DataFrame, wanted: list[str]) -> DataF
 
 
 def nature_for_roles(roles: Column) -> Column:
-    """The nature of a sample from its track's roles."""
-    r = F.array_sort(F.array_distinct(roles))
-    return F.when(F.size(r) == 0, "mixed").when(r == F.array(F.lit("vocal")), "voice").when(F.array_contains(r, "vocal"), "mixed").otherwise("sound")
+    """The nature of a sample from its track's roles: voice alone is speech, effects alone are unpitched, else it is open."""
+    r = F.array_distinct(roles)
+    return F.when(r == F.array(F.lit("vocal")), "speech").when(r == F.array(F.lit("sfx")), "unpitched").otherwise("unclassified")
 
 
 def prefill_roles(stems: DataFrame, aliases: DataFrame, roles: DataFrame) -> DataFrame:
@@ -121,17 +124,42 @@ def import_summary(plan: DataFrame) -> DataFrame:
     return plan.groupBy("kind").agg(*(F.sum((F.col("status") == s).cast("long")).alias(f"n_{s}") for s in statuses))
 
 
-def phrase_cuts(blocks: DataFrame, pauses: DataFrame, least: float = 0.28, slack: float = 0.05) -> DataFrame:
-    """(sample_id, k, at): cuts before block k: a long enough pause with a block that ends by its start and one that begins after its end."""
-    b = blocks.withColumn("_before", F.lag("end").over(Window.partitionBy("sample_id").orderBy("k")))
+def phrase_cuts(blocks: DataFrame, pauses: DataFrame, phones: DataFrame | None = None, manual: DataFrame | None = None, merges: DataFrame | None = None, least: float = 0.28, slack: float = 0.05) -> DataFrame:
+    """(sample_id, k, kind, left_end, right_start, merged, error): where a sentence is cut before block k.
+
+    A pause of `least` seconds cuts before the first block that begins after its end, if the block before ends by its start
+    (both within `slack`) and no voiced phone (sample_id, label, start, end) holds its middle; of several pauses before one
+    block the last counts. merges (sample_id, k) mark such cuts as merged. Cuts by hand (sample_id, k) replace them: they run
+    from the end of the block before to the leading consonants of block k; k outside the sentence is an error.
+    """
+    w = Window.partitionBy("sample_id").orderBy("k")
+    b = blocks.select("sample_id", "k", "onset", "end", "lead").withColumns({"_before": F.lag("end").over(w), "_n": F.count("*").over(Window.partitionBy("sample_id"))})
     p = pauses.where(F.col("end") - F.col("start") >= least - 1e-9).select("sample_id", F.col("start").alias("p0"), F.col("end").alias("p1"))
-    hit = b.join(p, "sample_id").where((F.col("_before") <= F.col("p0") + slack) & (F.col("onset") >= F.col("p1") - slack))
-    return hit.groupBy("sample_id", "p0", "p1").agg(F.min("k").alias("k")).select("sample_id", "k", ((F.col("p0") + F.col("p1")) / 2).alias("at")).groupBy("sample_id", "k").agg(F.min("at").alias("at"))
+    p = p.withColumn("middle", (F.col("p0") + F.col("p1")) / 2)
+    if phones is not None:
+        v = phones.where(~F.col("label").isin(*SILENT)).select(F.col("sample_id").alias("_s"), F.col("start").alias("_a"), F.col("end").alias("_b"))
+        p = p.join(v, (p["sample_id"] == v["_s"]) & (v["_a"] < p["middle"] - 1e-9) & (p["middle"] < v["_b"] - 1e-9), "left_anti")
+    hit = b.join(p, "sample_id").where((F.col("_before") <= F.col("p0") + slack + 1e-9) & (F.col("onset") >= F.col("p1") - slack - 1e-9))
+    first = hit.groupBy("sample_id", "p0", "p1").agg(F.min("k").alias("k"), F.first("middle").alias("middle"))
+    at = F.round(F.max_by("middle", F.struct("p0", "p1")), 6)
+    auto = first.groupBy("sample_id", "k").agg(at.alias("left_end")).withColumns({"kind": F.lit("auto"), "right_start": F.col("left_end")})
+    marks = merges.select("sample_id", "k", F.lit(True).alias("merged")).distinct() if merges is not None else None
+    auto = auto.join(marks, ["sample_id", "k"], "left") if marks is not None else auto.withColumn("merged", F.lit(False))
+    names = ["sample_id", "k", "kind", "left_end", "right_start", F.coalesce("merged", F.lit(False)).alias("merged")]
+    auto = auto.select(*names, F.lit(None).cast("string").alias("error"))
+    if manual is None:
+        return auto
+    asked = manual.select("sample_id", "k").distinct()
+    own = asked.join(b, ["sample_id", "k"], "left")
+    bad = F.col("_before").isNull()
+    hand = own.select("sample_id", "k", F.lit("manual").alias("kind"), F.col("_before").alias("left_end"), F.when(~bad, F.coalesce("lead", "onset")).alias("right_start"), F.lit(False).alias("merged"), F.when(bad, "rhythm-cut-invalid").alias("error"))
+    return auto.join(asked, ["sample_id", "k"], "left_anti").unionByName(hand)
 
 
 def phrases(blocks: DataFrame, cuts: DataFrame) -> DataFrame:
     """Blocks with phrase: the number of cuts up to them; samples without a cut have none."""
-    c = blocks.select("sample_id", "k").join(cuts.select("sample_id", "k", F.lit(1).alias("_c")), ["sample_id", "k"], "left")
+    live = cuts.where("not merged and error is null").select("sample_id", "k", F.lit(1).alias("_c"))
+    c = blocks.select("sample_id", "k").join(live, ["sample_id", "k"], "left")
     return c.withColumn("phrase", F.sum(F.coalesce("_c", F.lit(0))).over(Window.partitionBy("sample_id").orderBy("k"))).drop("_c")
 
 
@@ -171,14 +199,6 @@ def plan_samples(segments: DataFrame, tracks: DataFrame, ranges: DataFrame, befo
     return j.select("id", status.alias("status"), F.when(ok, a).alias("start"), F.when(ok, b).alias("end"), F.when(ok, F.greatest("start", a)).alias("judge_start"), F.when(ok, F.least("end", b)).alias("judge_end"))
 
 
-def phones_to_reader(phones: DataFrame, mapping: Column, first: Column, last: Column) -> DataFrame:
-    """Phones (start, end in source time) on a reader's clock: those outside [first, last] go, edges are clipped and flagged; pauses are never flagged."""
-    inside = phones.where((F.col("start") < last) & (F.col("end") > first))
-    a, b = F.greatest("start", first), F.least("end", last)
-    cut = ((F.col("start") < first) | (F.col("end") > last)) & ~F.col("label").isin("pau", "sil", "sp")
-    return inside.withColumn("clipped", cut).withColumn("start", to_local(mapping, a)).withColumn("end", to_local(mapping, b))
-
-
 def clear_plan(segments: DataFrame, force: bool = False) -> DataFrame:
     """(id, action): imported segments go; protected ones stay unless forced."""
     return segments.where("imported").select("id", F.when(F.col("protected") & F.lit(not force), "keep").otherwise("delete").alias("action"))
@@ -199,11 +219,22 @@ def match_pictures(media: DataFrame, files: DataFrame) -> DataFrame:
     return g.select("id", F.col("f")[0]["path"].alias("path"), (F.size("f") - 1).alias("others"))
 
 
-def effective_range(frames: DataFrame, ratio: float = 0.0064) -> DataFrame:
-    """(phone_id, first, last): the active frames of each vowel (phone_id, k, energy): at least P85 * ratio; needs 4 frames and 3 active ones."""
-    limit = frames.groupBy("phone_id").agg((F.percentile("energy", 0.85) * ratio).alias("_l"), F.count("*").alias("_n"))
-    a = frames.join(limit, "phone_id").where((F.col("_n") >= 4) & (F.col("energy") >= F.col("_l")))
-    return a.groupBy("phone_id").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count("*").alias("_a")).where("_a >= 3").drop("_a")
+def effective_range(phones: DataFrame, frames: DataFrame) -> DataFrame:
+    """(phone_id, eff_start, eff_end): where a vowel or syllabic nasal sounds; null for other phones.
+
+    phones: phone_id, label, start, end; frames: phone_id, k, energy of its whole 10 ms frames. Active frames lie above 0.0064
+    of the 85th percentile and above 1e-10. The whole span stays with fewer than 4 frames or 3 active ones, or if less than
+    30 ms would be left. An edge moves in only past 30 ms of quiet, and then keeps 10 ms of it.
+    """
+    limit = frames.groupBy("phone_id").agg(F.greatest(F.percentile("energy", 0.85) * 0.0064, F.lit(1e-10)).alias("_limit"), F.count("*").alias("_n"))
+    active = frames.join(limit, "phone_id").where(F.col("energy") > F.col("_limit")).groupBy("phone_id").agg(F.min("k").alias("_i"), F.max("k").alias("_j"), F.count("*").alias("_a"))
+    j = phones.join(limit.select("phone_id", "_n"), "phone_id", "left").join(active, "phone_id", "left")
+    first, last = F.col("start") + F.col("_i") * 0.01, F.col("start") + (F.col("_j") + 1) * 0.01
+    a = F.greatest("start", F.when(first - F.col("start") >= 0.03 - 1e-9, first - 0.01).otherwise(F.col("start")))
+    b = F.least("end", F.when(F.col("end") - last >= 0.03 - 1e-9, last + 0.01).otherwise(F.col("end")))
+    fit = F.coalesce((F.col("_n") >= 4) & (F.col("_a") >= 3) & (b - a >= 0.03 - 1e-9), F.lit(False))
+    sounding = F.col("label").isin(*SOUNDING)
+    return j.select("phone_id", F.when(sounding, F.when(fit, F.round(a, 6)).otherwise(F.col("start"))).alias("eff_start"), F.when(sounding, F.when(fit, F.round(b, 6)).otherwise(F.col("end"))).alias("eff_end"))
 
 
 def sustain_end(blocks: DataFrame, pauses: DataFrame, frames: DataFrame) -> DataFrame:
@@ -213,15 +244,47 @@ def sustain_end(blocks: DataFrame, pauses: DataFrame, frames: DataFrame) -> Data
     return blocks.select("id").join(p, "id", "left").join(f, "id", "left").select("id", F.least("p", "f").alias("sustain"))
 
 
-def shift_fit(gaps: DataFrame, tolerance: float) -> DataFrame:
-    """(id, shift, err): the shift of least (mean, largest) deviation among the gaps and their midpoints that keeps all within the tolerance.
+def segment_state(segments: DataFrame, runs: DataFrame) -> DataFrame:
+    """(id, state) of segments (id, start, end, text, voiced) by their runs on a track: ok, stale, failed or none; null without voice.
+
+    runs: segment_id, status, seg_start, seg_end, seg_text. A run that went well is usable while the segment is unchanged.
+    """
+    same = (F.col("seg_text") == F.col("text")) & (F.abs(F.col("seg_start") - F.col("start")) < 1e-6) & (F.abs(F.col("seg_end") - F.col("end")) < 1e-6)
+    ok = F.col("status") == "ok"
+    met = segments.join(runs.withColumnRenamed("segment_id", "id"), "id", "left")
+    flag = lambda c: F.max(F.coalesce(c, F.lit(False)))
+    g = met.groupBy("id").agg(F.first("voiced").alias("voiced"), flag(ok & same).alias("usable"), flag(ok).alias("ok"), F.count("status").alias("runs"))
+    return g.select("id", F.when(~F.col("voiced"), None).when(F.col("usable"), "ok").when(F.col("ok"), "stale").when(F.col("runs") > 0, "failed").otherwise("none").alias("state"))
+
+
+def analyzed_counts(samples: DataFrame, states: DataFrame) -> DataFrame:
+    """(source_id, speech, analyzed): samples of speech, and those whose segments all have a usable run. samples: id, source_id, nature."""
+    done = F.col("state").isin("ok", "manual", "partial")
+    met = samples.where("nature = 'speech'").join(states, "id", "left")
+    return met.groupBy("source_id").agg(F.count("*").alias("speech"), F.sum(F.coalesce(done, F.lit(False)).cast("long")).alias("analyzed"))
+
+
+def unit_counts(segments: DataFrame, usable: DataFrame, runs: DataFrame, unreadable: tuple[str, ...]) -> DataFrame:
+    """(source_id, speech, analyzed, unreadable) of segments (id, source_id, start, end, text).
+
+    usable: segment_id; runs: segment_id, status, seg_start, seg_end, seg_text, reason, created_at. A segment is unreadable if its
+    last run failed on its present text for one of the reasons.
+    """
+    last = runs.groupBy("segment_id").agg(F.max_by(F.struct("status", "seg_start", "seg_end", "seg_text", "reason"), "created_at").alias("r"))
+    met = segments.join(usable.select(F.col("segment_id").alias("id"), F.lit(True).alias("usable")).distinct(), "id", "left").join(last.withColumnRenamed("segment_id", "id"), "id", "left")
+    same = (F.col("r.seg_text") == F.col("text")) & (F.abs(F.col("r.seg_start") - F.col("start")) < 1e-6) & (F.abs(F.col("r.seg_end") - F.col("end")) < 1e-6)
+    stuck = F.col("usable").isNull() & (F.col("r.status") == "failed") & same & F.col("r.reason").isin(*unreadable)
+    return met.groupBy("source_id").agg(F.count("*").alias("speech"), F.count("usable").alias("analyzed"), F.sum(F.coalesce(stuck, F.lit(False)).cast("long")).alias("unreadable"))
+
+
+def plan_analysis(requests: DataFrame, usable: DataFrame, rerun_fresh: bool = False) -> DataFrame:
+    """(unit_id, action, reason, was_fresh): each unit once: run, fresh (its usable run has the same inputs) or blocked.
 
-    gaps: id, gaps (array). A window without such a shift has no row.
+    requests: unit_id, segment_deleted, track, covered, fingerprint; usable: unit_id, fingerprint. The first reason counts.
     """
-    g = F.col("gaps")
-    mids = F.flatten(F.transform(g, lambda a: F.transform(g, lambda b: (a + b) / 2)))
-    fit = gaps.select("id", "gaps").withColumn("shift", F.explode(F.array_distinct(F.concat(mids, F.array(F.array_max(g) - tolerance, F.array_min(g) + tolerance)))))
-    dev = F.transform("gaps", lambda x: F.abs(x - F.col("shift")))
-    s = fit.withColumn("worst", F.array_max(dev)).withColumn("err", F.aggregate(dev, F.lit(0.0), lambda a, x: a + x) / F.size("gaps")).where(F.col("worst") <= tolerance + 1e-9)
-    best = F.min_by(F.struct("shift", "err"), F.struct(F.round("err", 12), F.round("worst", 12), F.abs("shift"), "shift"))
-    return s.groupBy("id").agg(best.alias("b")).select("id", "b.shift", "b.err")
+    once = requests.groupBy("unit_id").agg(*(F.min_by(c, F.struct(*(F.col(x).isNull() for x in ("track", "fingerprint")), "track", "fingerprint")).alias(c) for c in ("segment_deleted", "track", "covered", "fingerprint")))
+    met = once.join(usable.select("unit_id", F.col("fingerprint").alias("_f")), "unit_id", "left")
+    reason = F.when(F.col("segment_deleted"), "segment-deleted").when(F.col("track").isNull(), "no-track").when(~F.col("covered"), "not-covered")
+    fresh = F.col("fingerprint").eqNullSafe(F.col("_f")) & F.col("_f").isNotNull()
+    action = F.when(reason.isNotNull(), "blocked").when(fresh & F.lit(not rerun_fresh), "fresh").otherwise("run")
+    return met.select("unit_id", action.alias("action"), reason.alias("reason"), (reason.isNull() & fresh).alias("was_fresh"))

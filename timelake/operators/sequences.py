@@ -108,33 +108,30 @@ def search_blocks(blocks: DataFrame, query: WindowQuery) -> DataFrame:
     return out.where("_hit").drop("_hit")
 
 
-def order_hits(hits: DataFrame) -> DataFrame:
-    """Hits with `rank`: samples by their best score and id, hits of one by score, start and first; scores to 1e-10."""
-    s = F.round("score", 10)
-    best = F.min(s).over(Window.partitionBy("sample_id"))
-    marked = hits.withColumn("_best", best)
-    # the total order is global by definition: a page of it is taken with a limit, a file is range-partitioned by it
-    groups = marked.groupBy("sample_id").agg(F.first("_best").alias("_best"), F.count("*").alias("_n"))
-    inside = F.row_number().over(Window.partitionBy("sample_id").orderBy(s, "start", "first"))
-    placed = groups.withColumn("_before", F.sum("_n").over(Window.orderBy("_best", "sample_id").rowsBetween(Window.unboundedPreceding, -1))).select("sample_id", "_before")
-    return marked.withColumn("_in", inside).join(placed, "sample_id").withColumn("rank", F.coalesce("_before", F.lit(0)) + F.col("_in") - 1).drop("_best", "_in", "_before")
+#: Ranges that samples are ordered by, and samples drawn to find their bounds.
+RANGES, DRAWN = 256, 8192
 
 
-def shape_evidence(windows: DataFrame, onsets: DataFrame, notes: list[float], tolerance: float) -> DataFrame:
-    """Windows with err and strict: how far the blocks' onsets, scaled to [0, 1], lie from the notes after the best shift.
+def order_hits(hits: DataFrame) -> DataFrame:
+    """Hits with `rank`: samples by their best score and id, hits of one by score, start and first; scores to 1e-10.
 
-    windows: sample_id, first, t0, t1; onsets: sample_id, k, onset. The shift is the median of note minus onset.
+    The order is over all samples, so they are counted by ranges of (best score, id) whose bounds come from a bounded
+    draw; a range's samples are numbered together, and each range begins where those before it end.
     """
-    low, high = min(notes), max(notes)
-    span = (high - low) or 1.0
-    q = F.array(*(F.lit((x - low) / span) for x in notes))
-    j = F.col("k") - F.col("first")
-    rows = windows.join(onsets, "sample_id").where((j >= 0) & (j < len(notes)))
-    x = (F.col("onset") - F.col("t0")) / (F.col("t1") - F.col("t0"))
-    rows = rows.withColumn("gap", F.element_at(q, (j + 1).cast("int")) - x)
-    shifted = rows.groupBy("sample_id", "first").agg(F.median("gap").alias("shift"), F.collect_list("gap").alias("gaps"))
-    worst = F.transform("gaps", lambda g: F.abs(g - F.col("shift")))
-    return shifted.select("sample_id", "first", "shift", (F.aggregate(worst, F.lit(0.0), lambda a, v: a + v) / F.size("gaps")).alias("err"), (F.array_max(worst) <= tolerance / span + 1e-9).alias("strict"))
+    s = F.round("score", 10)
+    groups = hits.groupBy("sample_id").agg(F.min(s).alias("best"), F.count("*").alias("n"))
+    drawn = groups.orderBy(F.xxhash64("sample_id"), "sample_id").limit(DRAWN).select("best", "sample_id").toPandas().sort_values(["best", "sample_id"])
+    cuts = drawn.iloc[[i * len(drawn) // RANGES for i in range(1, RANGES)]].drop_duplicates() if len(drawn) >= RANGES else drawn.iloc[:0]
+    place = F.struct("best", "sample_id")
+    bounds = F.array(*(F.struct(F.lit(float(b)).alias("best"), F.lit(k.item() if hasattr(k, "item") else k).alias("sample_id")) for b, k in cuts.itertuples(index=False)))
+    number = F.size(F.filter(bounds, lambda c: c <= place)) if len(cuts) else F.lit(0)
+    ranged = groups.withColumn("range", number)
+    totals = ranged.groupBy("range").agg(F.sum("n").alias("total"))  # at most RANGES rows
+    starts = totals.select("range", F.coalesce(F.sum("total").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    own = Window.partitionBy("range").orderBy("best", "sample_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("own", F.coalesce(F.sum("n").over(own), F.lit(0))).join(F.broadcast(starts), "range").select("sample_id", (F.col("base") + F.col("own")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("sample_id").orderBy(s, "start", "first"))
+    return hits.withColumn("_in", inside).join(placed, "sample_id").withColumn("rank", F.col("_before") + F.col("_in") - 1).drop("_in", "_before")
 
 
 def event_islands(events: DataFrame, key: str, order: list[str], time: str, gap: float, same: str | None = None) -> DataFrame:

@@ -9,8 +9,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timelake.functions.clocks import to_local, to_source
 from timelake.operators.intervals import overlap_join
 
+#: The mark of lines that several speakers share (a fixed value).
+SEVERAL = "speaker-status:多人未分段"
 MAX_CHARS, MAX_TERMS = 8192, 256
 PROVENANCE = ("local", "source", "segment", "auto")
 _TOKEN = re.compile(r'\s+|(?P<open>\()|(?P<close>\))|(?P<quoted>"(?:[^"\\]|\\.)*"?)|(?P<word>[^\s()"]+)')
@@ -37,7 +40,7 @@ def _tokens(text: str) -> list[tuple[str, str, int]]:
                 value = json.loads(raw)
             except ValueError as e:
                 raise TagExprError("bad-escape", at + 1) from e
-            if not value.strip():
+            if not value:
                 raise TagExprError("empty-tag", at + 1)
             out.append(("term", value, at + 1))
         elif kind == "word":
@@ -120,7 +123,7 @@ def value_of(tag: Column) -> Column:
 
 def speaker_tags(names: Column) -> Column:
     """One speaker gives character:n; several give participants:n each and one mark that they are several."""
-    many = F.concat(F.transform(names, lambda n: F.concat(F.lit("participants:"), n)), F.array(F.lit("status:several-speakers")))
+    many = F.concat(F.transform(names, lambda n: F.concat(F.lit("participants:"), n)), F.array(F.lit(SEVERAL)))
     return F.when(F.size(names) == 1, F.transform(names, lambda n: F.concat(F.lit("character:"), n))).when(F.size(names) > 1, many).otherwise(F.array().cast("array<string>"))
 
 
@@ -162,11 +165,58 @@ def effective_tags(samples: DataFrame, sources: DataFrame, local: DataFrame, ran
     return best.select("sample_id", "tag", facet_of(F.col("tag")).alias("facet"), F.element_at(F.array(*map(F.lit, PROVENANCE)), F.col("prio") + 1).alias("provenance"))
 
 
+def window_tags(windows: DataFrame, assets: DataFrame, roles: DataFrame, sources: DataFrame, ranges: DataFrame, segments: DataFrame, local: DataFrame | None = None) -> DataFrame:
+    """(id, tag, facet, provenance, ref): each tag of a window of an asset once, by its best provenance and the first to give it.
+
+    windows: id, asset_id, start, end (the asset's clock), judge_start, judge_end (the source's clock; null: the window
+    through the asset's mapping). assets: asset_id, source_id, mapping, origin, target (the note a flattened sound was
+    made for). roles: asset_id, role, those that are on. sources: source_id, work, source_type. ranges: id, source_id,
+    scope (source, role or asset), scope_role, scope_asset_id, start, end, tags. segments: id, source_id, start, end,
+    speakers. local: id, tag. Ranges of a source hold for all its assets, those of a role for assets with the role, those
+    of an asset for it alone, on its own clock. Speakers count for assets with the vocal role.
+    """
+    w = windows.join(assets, "asset_id")
+    judged = F.col("judge_start").isNotNull() & F.col("judge_end").isNotNull()
+    mapping = F.col("mapping")
+    w = w.withColumns({"s0": F.when(judged, F.col("judge_start")).otherwise(to_source(mapping, F.col("start"))), "s1": F.when(judged, F.col("judge_end")).otherwise(to_source(mapping, F.col("end")))})
+    first, last = mapping[0]["source"], F.element_at(mapping, -1)["source"]
+    w = w.withColumns({"l0": F.coalesce(to_local(mapping, F.greatest("s0", first)), "start"), "l1": F.coalesce(to_local(mapping, F.least("s1", last)), "end")})
+    give = lambda df, tag, ref, prio, order: df.select("id", tag.alias("tag"), F.struct(F.lit(prio).alias("prio"), *order, ref.cast("string").alias("ref")).alias("by"))
+    zero = [F.lit(0).alias("after"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b")]
+    named = w.join(sources, "source_id")
+    found = [give(named.where(F.col(c) != ""), F.concat(F.lit(p), F.col(c)), F.col("source_id"), 1, zero) for c, p in (("work", "work:"), ("source_type", "type:"))]
+    found.append(give(w.where((F.col("origin") == "flatten") & (F.col("target") != "")), F.concat(F.lit("pitch:"), F.col("target")), F.col("asset_id"), 3, zero))
+    if local is not None:
+        found.append(give(local.join(windows.select("id"), "id", "left_semi"), F.col("tag"), F.lit(None), 0, zero))
+    on_source = w.select("id", "asset_id", "source_id", F.col("s0").alias("start"), F.col("s1").alias("end")).where("start is not null and end is not null")
+    span = ranges.where(F.size("tags") > 0).select("id", "source_id", "scope", "scope_role", "scope_asset_id", "start", "end", "tags")
+    hit = overlap_join(on_source, span.where("scope <> 'asset'").drop("scope_asset_id"))
+    has = roles.select("asset_id", F.col("role").alias("r_scope_role"))
+    inherited = hit.where("r_scope = 'source'").select("id", "r_id", "r_tags").union(hit.where("r_scope = 'role'").join(has, ["asset_id", "r_scope_role"], "left_semi").select("id", "r_id", "r_tags"))
+    on_asset = w.select("id", "asset_id", F.col("l0").alias("start"), F.col("l1").alias("end"))
+    own = span.where("scope = 'asset'").select("id", F.col("scope_asset_id").alias("asset_id"), "start", "end", "tags")
+    inherited = inherited.union(overlap_join(on_asset, own, "asset_id").select("id", "r_id", "r_tags"))
+    found.append(give(inherited.select("id", "r_id", F.explode("r_tags").alias("t")), F.col("t"), F.col("r_id"), 2, zero))
+    voices = on_source.join(roles.where("role = 'vocal'").select("asset_id"), "asset_id", "left_semi")
+    said = overlap_join(voices, segments.select("id", "source_id", "start", "end", "speakers").where(F.size("speakers") > 0), eps=0.0)
+    said = said.select("id", "r_id", "r_start", "r_end", F.explode(speaker_tags(F.col("r_speakers"))).alias("t"))
+    found.append(give(said, F.col("t"), F.col("r_id"), 2, [F.lit(1).alias("after"), F.col("r_start").cast("double").alias("a"), F.col("r_end").cast("double").alias("b")]))
+    every = reduce(DataFrame.union, found)
+    best = every.groupBy("id", "tag").agg(F.min("by").alias("by"))
+    return best.select("id", "tag", facet_of(F.col("tag")).alias("facet"), F.element_at(F.array(*map(F.lit, PROVENANCE)), F.col("by.prio") + 1).alias("provenance"), F.col("by.ref").alias("ref"))
+
+
 def facet_counts(etags: DataFrame) -> DataFrame:
-    """(facet, value, n, n_single): samples by facet value; persons are merged over both namespaces, n_single counts character: alone."""
+    """(facet, value, n, n_single): samples by facet value; persons are merged over both namespaces, n_single counts character: alone.
+
+    etags hold a sample's tag once, so only a person in both namespaces is to be counted once: it is counted as a
+    character, and again as a participant only where it is no character. One sum, without a distinct.
+    """
     person = F.col("facet").isin("character", "participants")
     rows = etags.select("sample_id", F.when(person, "person").otherwise(F.col("facet")).alias("facet"), value_of(F.col("tag")).alias("value"), (F.col("facet") != "participants").alias("single"))
-    return rows.groupBy("facet", "value").agg(F.count_distinct("sample_id").alias("n"), F.count_distinct(F.when(F.col("single"), F.col("sample_id"))).alias("n_single"))
+    people = rows.where("facet = 'person'").groupBy("sample_id", "facet", "value").agg(F.max("single").alias("single"))
+    every = rows.where("facet <> 'person'").unionByName(people)
+    return every.groupBy("facet", "value").agg(F.count("*").alias("n"), F.sum(F.col("single").cast("long")).alias("n_single"))
 
 
 def tag_usage(holders: dict[str, DataFrame]) -> DataFrame:
@@ -200,10 +250,19 @@ def promote(samples: DataFrame, local: DataFrame, tag: str) -> DataFrame:
     return samples.join(local.where(F.col("tag") == tag).select(F.col("sample_id").alias("id")), "id", "left_semi").select("id", "source_id", "start", "end", F.array(F.lit(tag)).alias("tags"))
 
 
-def solo_character(blocks: DataFrame, spans: DataFrame) -> DataFrame:
-    """(id, character): the one character whose spans (source_id, start, end, character) overlap a block, else null."""
-    hit = overlap_join(blocks.select("id", "source_id", "start", "end"), spans).groupBy("id").agg(F.collect_set("r_character").alias("c"))
-    return blocks.select("id").join(hit, "id", "left").select("id", F.when(F.size("c") == 1, F.col("c")[0]).alias("character"))
+def solo_character(blocks: DataFrame, spans: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    """(id, character): the character of a block, if its tags name exactly one and nobody else; else null.
+
+    spans: source_id, start, end, tag (range tags on the block's clock); given: id, tag (the sample's own tags, and those
+    of the speakers of the segment that produced the block). Only character: tags of ranges and samples count, but
+    participants: among the given ones leave it open who speaks.
+    """
+    hit = overlap_join(blocks.select("id", "source_id", "start", "end"), spans.where(F.col("tag").startswith("character:"))).select("id", F.col("r_tag").alias("tag"))
+    if given is not None:
+        hit = hit.union(given.where(F.col("tag").startswith("character:") | F.col("tag").startswith("participants:")).select("id", "tag"))
+    named = hit.groupBy("id").agg(F.collect_set("tag").alias("t"))
+    only = F.when((F.size("t") == 1) & F.col("t")[0].startswith("character:"), F.substring(F.col("t")[0], 11, 1 << 20))
+    return blocks.select("id").join(named, "id", "left").select("id", only.alias("character"))
 
 
 def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
