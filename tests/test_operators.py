@@ -177,22 +177,6 @@ def test_incremental_refresh_equals_full(spark, tmp_path):
     assert got == want
 
 
-def test_quantisation_against_all_paths():
-    import itertools
-
-    r = random.Random(1)
-    for _ in range(6):
-        d = [round(r.uniform(0.08, 0.5), 3) for _ in range(3)]
-        resets = [True, False, r.random() < 0.5]
-        for t in rhythm.tick_seeds(d, 1.0)[:4]:
-            cost, cells = rhythm.best_cells(t, d, resets, 1.0)
-            options = [sorted({1} | {n for n in range(round(x / t) - 2, round(x / t) + 3) if n >= 1}) for x in d]
-            best = min((rhythm.path_cost(c, t, d, resets, 1.0), c) for c in itertools.product(*options))
-            assert abs(cost - best[0]) < 1e-9 and len(cells) == 3
-    even = rhythm.quantize_one([0.2, 0.2, 0.4, 0.2], [True, False, False, False])
-    assert even[0][2] == (1, 1, 2, 1) and abs(even[0][1] - 0.2) < 1e-6
-
-
 def test_overlong_sentences_are_reported(spark):
     rows = [(s, k, 0.2, 0, 0.0) for s, n in ((1, 4), (2, 128), (3, 129)) for k in range(n)]
     got = rhythm.quantize(spark.createDataFrame(rows, "sample_id long, k long, dur double, pseg long, rest double")).collect()

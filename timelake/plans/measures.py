@@ -29,12 +29,13 @@ def query(sql: str | None = None):
 
 
 def pcm(spark, d) -> DataFrame:
-    """Line items of an order key range as samples of a sound in [-1, 1]."""
+    """Line items of a supplier as samples of a sound in [-1, 1], eighths, so that sums are exact."""
     i = F.row_number().over(Window.partitionBy("asset_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")) - 1
-    return table(spark, d, "lineitem").select((F.col("l_suppkey") % 40).alias("asset_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", (F.col("l_discount") * 20 - 1).alias("x")).withColumn("i", i).select("asset_id", "i", "x")
+    x = (F.round(F.col("l_discount") * 100).cast("int") - 5) / 8.0
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("asset_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", x.alias("x")).withColumn("i", i).select("asset_id", "i", "x")
 
 
-PCM = "pcm AS (SELECT l_suppkey % 40 AS asset_id, row_number() OVER (PARTITION BY l_suppkey % 40 ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS i, l_discount * 20 - 1 AS x FROM lineitem)"
+PCM = "pcm AS (SELECT l_suppkey AS asset_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS i, (CAST(round(l_discount * 100) AS INTEGER) - 5) / 8.0::DOUBLE AS x FROM lineitem)"
 
 
 @query(f"WITH {PCM}, g AS (SELECT asset_id, i // 256 AS bucket, min(x) AS a, max(x) AS b FROM pcm GROUP BY 1, 2) SELECT asset_id, bucket, CAST(greatest(-128, least(127, floor(a * 127))) AS INTEGER) AS low, CAST(greatest(-128, least(127, ceil(b * 127))) AS INTEGER) AS high FROM g")
@@ -153,10 +154,15 @@ def w9_target_beats(spark, d):
     return measures.target_beats(plan, 4.0).select("sample_id", "k", F.round("beat", 6).alias("beat"))
 
 
-@query("SELECT l_suppkey AS asset_id, round(sum(CASE WHEN l_partkey * 4 < 300 THEN l_quantity ELSE 0 END) / sum(l_quantity), 6) AS low, round(sum(CASE WHEN l_partkey * 4 >= 300 AND l_partkey * 4 < 3000 THEN l_quantity ELSE 0 END) / sum(l_quantity), 6) AS mid, round(sum(CASE WHEN l_partkey * 4 >= 3000 THEN l_quantity ELSE 0 END) / sum(l_quantity), 6) AS high, round(sum(l_partkey * 4 * l_quantity) / sum(l_quantity), 4) AS centroid, round(exp(avg(ln(greatest(l_quantity, 1e-30)))) / avg(l_quantity), 6) AS flatness FROM lineitem GROUP BY 1")
+A20 = "SELECT l_suppkey AS asset_id, {0} AS region, l_partkey AS freq, l_quantity AS power FROM lineitem WHERE l_partkey >= 20"
+
+
+@query(f"WITH r AS ({A20.format(chr(39) + 'whole' + chr(39))} UNION ALL {A20.format('CASE WHEN l_tax < 0.02 THEN ' + chr(39) + 'attack' + chr(39) + ' WHEN l_tax < 0.05 THEN ' + chr(39) + 'body' + chr(39) + ' ELSE ' + chr(39) + 'tail' + chr(39) + ' END')}), b AS (SELECT asset_id, region, freq, sum(power) AS power FROM r GROUP BY 1, 2, 3) SELECT asset_id, region, round(sum(CASE WHEN freq < 200 THEN power ELSE 0 END) / sum(power), 6) AS low, round(sum(CASE WHEN freq >= 200 AND freq < 4000 THEN power ELSE 0 END) / sum(power), 6) AS mid, round(sum(CASE WHEN freq >= 4000 THEN power ELSE 0 END) / sum(power), 6) AS high, round(sum(freq * power) / sum(power), 4) AS centroid, round(exp(avg(ln(power))) / avg(power), 6) AS flatness FROM b GROUP BY 1, 2")
 def a20_spectral_shape(spark, d):
-    s = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("asset_id"), (F.col("l_partkey") * 4).alias("freq"), F.col("l_quantity").alias("power"))
-    return measures.spectral_shape(s).select("asset_id", *(F.round(c, 4 if c == "centroid" else 6).alias(c) for c in ("low", "mid", "high", "centroid", "flatness")))
+    l = table(spark, d, "lineitem")  # noqa: E741
+    s = l.select(F.col("l_suppkey").alias("asset_id"), F.col("l_tax").alias("t"), F.col("l_partkey").alias("freq"), F.col("l_quantity").alias("power"))
+    regions = l.select(F.col("l_suppkey").alias("asset_id")).distinct().withColumns({"peak": F.lit(0.02), "tail": F.lit(0.05)})
+    return measures.spectral_shape(s, regions).select("asset_id", "region", *(F.round(c, 4 if c == "centroid" else 6).alias(c) for c in ("low", "mid", "high", "centroid", "flatness")))
 
 
 def sound_frames(spark, d):
@@ -278,12 +284,6 @@ def a13_queue_ahead(spark, d):
     return catalog.queue_ahead(j)
 
 
-@query("WITH RECURSIVE a AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 50 <> 0 THEN c_custkey - c_custkey % 7 - 1 END AS parent FROM customer), up AS (SELECT id, id AS ancestor, 0 AS depth FROM a UNION ALL SELECT up.id, a.parent, up.depth + 1 FROM up JOIN a ON a.id = up.ancestor WHERE a.parent IS NOT NULL AND up.depth < 32) SELECT * FROM up")
-def j9_asset_chain(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 50 != 0, F.col("c_custkey") - F.col("c_custkey") % 7 - 1).alias("parent_id"))
-    return catalog.asset_chain(c)
-
-
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber = 2 DESC, l_tax > 0.05 DESC, l_shipdate DESC, l_linenumber DESC) AS n FROM lineitem WHERE l_returnflag <> 'R' AND l_quantity < 40) SELECT l_orderkey AS segment_id, CAST(l_linenumber AS INTEGER) AS run_id FROM r WHERE n = 1")
 def j6_usable_runs(spark, d):
     l = table(spark, d, "lineitem")  # noqa: E741
@@ -450,9 +450,9 @@ def w8_quantize(spark, d):
     return rhythm.quantize(b).withColumn("cells", F.array_join(F.col("cells").cast("array<string>"), ","))
 
 
-@query(f"WITH {PCM}, lv AS (SELECT asset_id, i // 4 AS b, max(abs(x)) AS a, sum(x * x) AS e, count(*) AS n FROM pcm GROUP BY 1, 2), tp AS (SELECT asset_id, max(a) AS peak, sqrt(sum(e) / sum(n)) AS rms FROM lv GROUP BY 1), pk AS (SELECT lv.asset_id, min(b) AS t0 FROM lv JOIN tp USING (asset_id) WHERE a = peak GROUP BY 1) SELECT asset_id, round(max(rms), 6) AS rms, round(max(peak) / max(rms), 6) AS crest, round((min(CASE WHEN b <= t0 AND a >= 0.9 * peak THEN b END) - min(CASE WHEN b <= t0 AND a >= 0.1 * peak THEN b END)) * 0.005, 6) AS attack, round((max(CASE WHEN b >= t0 AND a >= 0.1 * peak THEN b END) - max(CASE WHEN b >= t0 AND a >= 0.9 * peak THEN b END)) * 0.005, 6) AS decay FROM lv JOIN tp USING (asset_id) JOIN pk USING (asset_id) GROUP BY 1")
+@query(f"WITH {PCM}, cl AS (SELECT asset_id, i // 4 AS b, sqrt(avg(x * x)) AS lv, sum(x * x) AS e, max(abs(x)) AS top FROM pcm GROUP BY 1, 2 HAVING count(*) = 4), pk AS (SELECT asset_id, max(lv) AS p FROM cl GROUP BY 1), c AS (SELECT cl.*, lv / p AS sh, p FROM cl JOIN pk USING (asset_id) WHERE p > 0), ed AS (SELECT asset_id, min(CASE WHEN lv = p THEN b END) AS t, min(CASE WHEN sh >= 0.01 THEN b END) AS f, max(CASE WHEN sh >= 0.01 THEN b END) + 1 AS g FROM c GROUP BY 1), q AS (SELECT c.*, t, f, g FROM c JOIN ed USING (asset_id) WHERE b >= f AND b < g), r AS (SELECT asset_id, max(t) AS t, max(f) AS f, max(g) AS g, sqrt(sum(e) / (4 * count(*))) AS rms, max(top) AS top, min(CASE WHEN b <= t AND sh >= 0.1 THEN b END) AS u1, min(CASE WHEN b <= t AND sh >= 0.9 THEN b END) AS u9, min(CASE WHEN b >= t AND sh < 0.9 THEN b END) AS d9, min(CASE WHEN b >= t AND sh < 0.1 THEN b END) AS d1 FROM q GROUP BY 1) SELECT asset_id, round((g - f) * 0.005::DOUBLE, 6) AS effective, round(greatest(coalesce(u9, t) - coalesce(u1, t), 0) * 5.0::DOUBLE, 6) AS attack, round(greatest(coalesce(d1, g) - coalesce(d9, g), 0) * 5.0::DOUBLE, 6) AS decay, round(20 * log10(top / rms), 6) AS crest_db, round(20 * log10(rms), 6) AS rms_db FROM r")
 def a19_envelope_metrics(spark, d):
-    return rhythm.envelope_metrics(pcm(spark, d), 800).select("asset_id", *(F.round(c, 6).alias(c) for c in ("rms", "crest", "attack", "decay")))
+    return rhythm.envelope_metrics(pcm(spark, d), 800).select("asset_id", *(F.round(c, 6).alias(c) for c in ("effective", "attack", "decay", "crest_db", "rms_db")))
 
 
 @query("WITH h AS (SELECT s_suppkey AS asset_id, 100.0::DOUBLE + s_suppkey % 60 AS f0, unnest(range(1, 9)) AS k FROM supplier), n AS (SELECT l.l_suppkey, h.k, l_quantity AS power FROM lineitem l JOIN h ON h.asset_id = l.l_suppkey AND abs(l_partkey * 1.0 - h.k * h.f0) <= greatest(20.0, 0.03::DOUBLE * h.k * h.f0)) SELECT l_suppkey AS asset_id, round(sum(CASE WHEN k < 5 THEN power ELSE 0 END) / sum(power), 6) AS low, round(sum(CASE WHEN k >= 5 THEN power ELSE 0 END) / sum(power), 6) AS high FROM n GROUP BY 1")

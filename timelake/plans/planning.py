@@ -98,10 +98,19 @@ def a11_import_summary(spark, d):
     return planning.import_summary(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("kind"), status.alias("status")))
 
 
-@query(f"WITH {SP}, b AS (SELECT source_id AS sample_id, CAST(row_number() OVER w - 1 AS INTEGER) AS k, s, lag(s + 0.01) OVER w AS pe FROM sp WINDOW w AS (PARTITION BY source_id ORDER BY s, id)), p AS (SELECT source_id, s + 1 AS p0, s + 21 AS p1 FROM sp WHERE kind = 'error'), c AS (SELECT b.sample_id, p0, p1, min(k) AS k FROM b JOIN p ON p.source_id = b.sample_id WHERE pe <= p0 + 0.05 AND b.s >= p1 - 0.05 GROUP BY 1, 2, 3) SELECT sample_id, k, round(min((p0 + p1) / 2), 6) AS at FROM c GROUP BY 1, 2")
+@query(f"""WITH {SP}, b AS (SELECT source_id AS sample_id, CAST(row_number() OVER w - 1 AS INTEGER) AS k, s, lag(s + 0.01) OVER w AS pe, count(*) OVER (PARTITION BY source_id) AS n FROM sp WINDOW w AS (PARTITION BY source_id ORDER BY s, id)),
+p AS (SELECT source_id, s + 1 AS p0, s + 21 AS p1, (s + 1 + (s + 21)) / 2 AS mid FROM sp a WHERE kind = 'error' AND NOT EXISTS (SELECT 1 FROM sp v WHERE v.kind = 'view' AND v.id % 5 <> 0 AND v.source_id = a.source_id AND v.s < (a.s + 1 + (a.s + 21)) / 2 - 1e-9 AND (a.s + 1 + (a.s + 21)) / 2 < v.e - 1e-9)),
+c AS (SELECT b.sample_id, p0, p1, min(k) AS k, max(mid) AS mid FROM b JOIN p ON p.source_id = b.sample_id WHERE pe <= p0 + 0.05 + 1e-9 AND b.s >= p1 - 0.05 - 1e-9 GROUP BY 1, 2, 3), au AS (SELECT sample_id, k, max_by(mid, p0) AS mid FROM c GROUP BY 1, 2), hm AS (SELECT DISTINCT sample_id, unnest([7, 400]) AS k FROM b WHERE sample_id % 3 = 0)
+SELECT sample_id, k, 'auto' AS kind, round(mid, 4) AS left_end, round(mid, 4) AS right_start, k % 4 = 0 AS merged, NULL AS error FROM au WHERE NOT (sample_id % 3 = 0 AND k IN (7, 400))
+UNION ALL SELECT hm.sample_id, hm.k, 'manual', round(b.pe, 4), round(CASE WHEN b.pe IS NOT NULL THEN b.s END, 4), false, CASE WHEN b.pe IS NULL THEN 'rhythm-cut-invalid' END FROM hm LEFT JOIN b ON b.sample_id = hm.sample_id AND b.k = hm.k""")
 def w5_phrase_cuts(spark, d):
-    p = spans(spark, d, "error").select(F.col("source_id").alias("sample_id"), (F.col("start") + 1).alias("start"), (F.col("start") + 21).alias("end"))
-    return planning.phrase_cuts(blocks(spark, d), p).withColumn("at", F.round("at", 6))
+    user = F.col("source_id").alias("sample_id")
+    p = spans(spark, d, "error").select(user, (F.col("start") + 1).alias("start"), (F.col("start") + 21).alias("end"))
+    phones = spans(spark, d, "view").select(user, F.when(F.col("id") % 5 == 0, "pau").otherwise("a").alias("label"), "start", "end")
+    b = blocks(spark, d)
+    hand = b.where("sample_id % 3 = 0").select("sample_id").distinct().select("sample_id", F.explode(F.array(F.lit(7), F.lit(400))).alias("k"))
+    cuts = planning.phrase_cuts(b, p, phones, hand, b.where("k % 4 = 0").select("sample_id", "k"))
+    return cuts.withColumns({"left_end": F.round("left_end", 4), "right_start": F.round("right_start", 4)})
 
 
 @query("SELECT l_orderkey AS id, l_linenumber AS line, round(CASE WHEN l_tax <= 0 THEN l_quantity ELSE least(l_extendedprice / 1000 * l_discount * 10, l_quantity - least(l_tax * 20, l_quantity * 0.02)) END, 6) AS speech_to, round(l_quantity - CASE WHEN l_tax <= 0 THEN l_quantity ELSE least(l_extendedprice / 1000 * l_discount * 10, l_quantity - least(l_tax * 20, l_quantity * 0.02)) END, 6) AS pause_to FROM lineitem")
@@ -141,11 +150,14 @@ def s9_match_pictures(spark, d):
     return planning.match_pictures(f.select("dir", "stem").distinct().withColumn("id", F.col("stem")), f)
 
 
-@query("WITH f AS (SELECT l_suppkey AS p, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS k, CASE WHEN l_orderkey % 5 = 0 THEN l_quantity ELSE l_quantity / 1000 END AS e FROM lineitem), l AS (SELECT p, quantile_cont(e, 0.85) * 0.0064 AS lim, count(*) AS n FROM f GROUP BY 1) SELECT p AS phone_id, CAST(min(k) AS INTEGER) AS first, CAST(max(k) AS INTEGER) AS last FROM f JOIN l USING (p) WHERE n >= 4 AND e >= lim GROUP BY 1 HAVING count(*) >= 3")
+@query("WITH f AS (SELECT l_orderkey AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) - 1 AS k, CASE WHEN l_partkey % 5 < 3 THEN l_quantity / 1e6 ELSE l_quantity END AS e FROM lineitem), l AS (SELECT p, greatest(quantile_cont(e, 0.85) * 0.0064, 1e-10) AS lim, count(*) AS n FROM f GROUP BY 1), a AS (SELECT p, min(k) AS i, max(k) AS j, count(*) AS c FROM f JOIN l USING (p) WHERE e > lim GROUP BY 1), o AS (SELECT o_orderkey AS p, CASE WHEN o_orderkey % 6 = 0 THEN 'k' ELSE 'a' END AS lb, 2.0::DOUBLE AS s, 2.0::DOUBLE + coalesce(n, 0) * 0.01 AS e, n, i, j, c FROM orders LEFT JOIN l ON l.p = o_orderkey LEFT JOIN a ON a.p = o_orderkey), r AS (SELECT *, greatest(s, CASE WHEN i * 0.01 >= 0.03 - 1e-9 THEN s + i * 0.01 - 0.01 ELSE s END) AS x, least(e, CASE WHEN e - (s + (j + 1) * 0.01) >= 0.03 - 1e-9 THEN s + (j + 1) * 0.01 + 0.01 ELSE e END) AS y FROM o) SELECT p AS phone_id, round(CASE WHEN lb = 'a' THEN CASE WHEN n >= 4 AND c >= 3 AND y - x >= 0.03 - 1e-9 THEN x ELSE s END END, 5) AS eff_start, round(CASE WHEN lb = 'a' THEN CASE WHEN n >= 4 AND c >= 3 AND y - x >= 0.03 - 1e-9 THEN y ELSE e END END, 5) AS eff_end FROM r")
 def a22_effective_range(spark, d):
-    k = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")) - 1
-    f = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("phone_id"), k.alias("k"), F.when(F.col("l_orderkey") % 5 == 0, F.col("l_quantity")).otherwise(F.col("l_quantity") / 1000).alias("energy"))
-    return planning.effective_range(f)
+    k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")) - 1
+    f = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("phone_id"), k.alias("k"), F.when(F.col("l_partkey") % 5 < 3, F.col("l_quantity") / 1e6).otherwise(F.col("l_quantity")).alias("energy"))
+    sizes = f.groupBy("phone_id").agg(F.count("*").alias("n"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("phone_id")).join(sizes, "phone_id", "left")
+    phones = o.select("phone_id", F.when(F.col("phone_id") % 6 == 0, "k").otherwise("a").alias("label"), F.lit(2.0).alias("start"), (2.0 + F.coalesce("n", F.lit(0)) * 0.01).alias("end"))
+    return planning.effective_range(phones, f).select("phone_id", F.round("eff_start", 5).alias("eff_start"), F.round("eff_end", 5).alias("eff_end"))
 
 
 @query(f"WITH {SP}, p AS (SELECT a.id, min(b.s) AS p FROM sp a JOIN sp b ON {ON} WHERE a.kind = 'click' AND b.kind = 'error' AND b.s > a.s GROUP BY 1) SELECT sp.id, round(CASE WHEN p IS NULL AND sp.id % 3 = 0 THEN NULL ELSE least(p, CASE WHEN sp.id % 3 <> 0 THEN s + sp.id % 20 + 0.005 END) END, 6) AS sustain FROM sp LEFT JOIN p ON p.id = sp.id WHERE kind = 'click'")
@@ -153,9 +165,3 @@ def a24_sustain_end(spark, d):
     b = spans(spark, d, "click")
     f = b.select("id", (F.col("start") + F.col("id") % 20).alias("t"), (F.col("id") % 3 != 0).alias("active"))
     return planning.sustain_end(b, spans(spark, d, "error"), f).withColumn("sustain", F.round("sustain", 6))
-
-
-@query("WITH g AS (SELECT l_orderkey AS id, l_discount - l_tax AS g FROM lineitem), a AS (SELECT id, count(*) AS n, min(g) AS lo, max(g) AS hi FROM g GROUP BY 1), c AS (SELECT x.id, (x.g + y.g) / 2 AS s FROM g x JOIN g y ON x.id = y.id UNION SELECT id, hi - 0.05 FROM a UNION SELECT id, lo + 0.05 FROM a), d AS (SELECT c.id, c.s, max(abs(g.g - c.s)) AS worst, avg(abs(g.g - c.s)) AS err FROM (SELECT DISTINCT * FROM c) c JOIN g ON g.id = c.id GROUP BY 1, 2), r AS (SELECT id, err, row_number() OVER (PARTITION BY id ORDER BY round(err, 12), round(worst, 12), abs(s), s) AS n FROM d WHERE worst <= 0.05 + 1e-9) SELECT id, round(err, 6) AS err FROM r WHERE n = 1")
-def q6_shift_fit(spark, d):
-    g = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.col("l_discount") - F.col("l_tax")).alias("gaps"))
-    return planning.shift_fit(g, 0.05).select("id", F.round("err", 6).alias("err"))

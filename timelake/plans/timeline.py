@@ -124,9 +124,9 @@ def p7_check_range(spark, d):
     return r.select("o_orderkey", F.round("r.start", 3).alias("start"), F.round("r.end", 3).alias("end"), "r.error")
 
 
-@query("WITH m AS (SELECT o_orderkey, CAST(o_orderkey % 7000000 AS BIGINT) * 37 AS ms FROM orders) SELECT o_orderkey, printf('%d:%02d.%03d', ms // 60000, (ms // 1000) % 60, ms % 1000) AS label, printf('%02d-%02d-%02d.%03d', ms // 3600000, (ms // 60000) % 60, (ms // 1000) % 60, ms % 1000) AS file_label FROM m")
+@query("WITH m AS (SELECT o_orderkey, CAST(o_orderkey % 7000000 AS BIGINT) * 937 AS ms FROM orders) SELECT o_orderkey, CASE WHEN ms >= 3600000 THEN printf('%d:%02d:%02d.%03d', ms // 3600000, (ms // 60000) % 60, (ms // 1000) % 60, ms % 1000) ELSE printf('%d:%02d.%03d', ms // 60000, (ms // 1000) % 60, ms % 1000) END AS label, printf('%02d-%02d-%02d.%03d', ms // 3600000, (ms // 60000) % 60, (ms // 1000) % 60, ms % 1000) AS file_label FROM m")
 def x9_clock_labels(spark, d):
-    t = (F.col("o_orderkey") % 7000000 * 37) / 1000.0
+    t = (F.col("o_orderkey") % 7000000 * 937) / 1000.0
     return table(spark, d, "orders").select("o_orderkey", clocks.clock_label(t).alias("label"), clocks.file_clock_label(t).alias("file_label"))
 
 
@@ -168,7 +168,7 @@ ETAGS = f"""WITH {SP}, c AS (SELECT * FROM sp WHERE kind = 'click'),
 t AS (SELECT id, 'mood:m' || (id % 6) AS tag, 0 AS p FROM c WHERE id % 4 = 0
 UNION ALL SELECT id, 'work:w' || (source_id % 5), 1 FROM c UNION ALL SELECT id, 'type:film', 1 FROM c WHERE source_id % 4 <> 0
 UNION ALL SELECT a.id, unnest(['mood:m' || (b.id % 7), 'kind:range']), 2 FROM c a JOIN sp b ON {ON} WHERE b.kind = 'error'
-UNION ALL SELECT a.id, unnest(CASE WHEN b.id % 3 = 0 THEN ['character:ann'] WHEN b.id % 3 = 1 THEN ['participants:ann', 'participants:bob', 'status:several-speakers'] ELSE [] END), 2 FROM c a JOIN sp b ON {ON} WHERE b.kind = 'view' AND a.id % 3 <> 0),
+UNION ALL SELECT a.id, unnest(CASE WHEN b.id % 3 = 0 THEN ['character:ann'] WHEN b.id % 3 = 1 THEN ['participants:ann', 'participants:bob', '{tags.SEVERAL}'] ELSE [] END), 2 FROM c a JOIN sp b ON {ON} WHERE b.kind = 'view' AND a.id % 3 <> 0),
 et AS (SELECT id AS sample_id, tag, split_part(tag, ':', 1) AS facet, ['local', 'source', 'segment', 'auto'][min(p) + 1] AS provenance FROM t GROUP BY id, tag)"""
 
 
@@ -211,9 +211,11 @@ def e10_rename_tag(spark, d):
     return tags.rename_tag(part_tags(spark, d), "size:5", "size:five").select("id", F.array_join("new_tags", "|").alias("new_tags"))
 
 
-@query(f"WITH {SP}, c AS (SELECT a.id, count(DISTINCT b.kind) AS n, min(b.kind) AS k FROM sp a JOIN sp b ON {ON} WHERE a.kind = 'click' AND b.kind IN ('error', 'view') GROUP BY a.id) SELECT sp.id, CASE WHEN c.n = 1 THEN c.k END AS character FROM sp LEFT JOIN c ON c.id = sp.id WHERE sp.kind = 'click'")
+@query(f"WITH {SP}, t AS (SELECT a.id, 'character:c' || (b.id % 3) AS tag FROM sp a JOIN sp b ON {ON} WHERE a.kind = 'click' AND b.kind = 'error' UNION SELECT a.id, CASE WHEN a.id % 7 = 0 THEN 'participants:x' ELSE 'character:c1' END FROM sp a WHERE a.kind = 'click' AND a.id % 5 < 3), c AS (SELECT id, count(*) AS n, min(tag) AS k FROM t GROUP BY 1) SELECT sp.id, CASE WHEN c.n = 1 AND k LIKE 'character:%' THEN substr(k, 11) END AS character FROM sp LEFT JOIN c ON c.id = sp.id WHERE sp.kind = 'click'")
 def j8_solo_character(spark, d):
-    return tags.solo_character(spans(spark, d, "click"), spans(spark, d, "error", "view").select("source_id", "start", "end", F.col("kind").alias("character")))
+    c = spans(spark, d, "click")
+    ranges = spans(spark, d, "error").select("source_id", "start", "end", F.concat(F.lit("character:c"), (F.col("id") % 3).cast("string")).alias("tag"))
+    return tags.solo_character(c, ranges, c.where("id % 5 < 3").select("id", F.when(F.col("id") % 7 == 0, "participants:x").otherwise("character:c1").alias("tag")))
 
 
 def blocks(spark, d):
