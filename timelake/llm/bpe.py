@@ -6,7 +6,7 @@ they recur) and their ids are concatenated.
 
 Edge cases: null and empty texts have no ids and decode to the empty text. The literal strings of special tokens in a
 text become their ids, as in the tokenizers library. Very long pre-tokens take a heap, so time stays n log n. Repeated
-rows give equal results; other columns pass through, and the output names must not clash with them.
+rows give equal results; other columns pass through, and a column that has an output's name is replaced.
 """
 
 from __future__ import annotations
@@ -21,13 +21,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_batches
 
 #: Pre-tokens kept per worker; the cache is emptied when full, which bounds memory and changes no result.
-CACHE = 600_000
+CACHE = 150_000
 #: Fragments of more bytes than this are merged one by one with a heap.
 LONG = 512
 _NONE = np.int32(2**31 - 1)
@@ -207,32 +206,44 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(df: DataFrame, vocab_path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """`df` with a column `out` (array<int>) of the token ids of column `text`."""
+def _replacing(df: DataFrame, outs: list[tuple[str, T.DataType]]) -> tuple[list[int], T.StructType]:
+    """The places of the columns that pass through, and the schema with the outputs behind them."""
+    taken = {name.lower() for name, _ in outs}
+    keep = [i for i, f in enumerate(df.schema.fields) if f.name.lower() not in taken]
+    return keep, T.StructType([*(df.schema.fields[i] for i in keep), *(T.StructField(n, t) for n, t in outs)])
+
+
+def encode(df: DataFrame, vocab_path: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """`df` with a column `out` (array<int>) of the token ids of column `text`.
+
+    `decoded` names one more column (string), what the ids decode to: both in one pass over the texts.
+    """
     bounded_batches(df.sparkSession)
-    fields = [f for f in df.schema.fields if f.name != out]
-    schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    keep, schema = _replacing(df, [(out, T.ArrayType(T.IntegerType())), *([(decoded, T.StringType())] if decoded else [])])
+    at, names = df.columns.index(text), schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocab_path)
         for b in batches:
-            ids = c.encode_batch([x or "" for x in b.column(b.schema.get_field_index(text)).to_pylist()])
+            ids = c.encode_batch([x or "" for x in b.column(at).to_pylist()])
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             packed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns) if b.schema.names[i] != out), packed], [*(n for n in b.schema.names if n != out), out])
+            texts = [pa.array([c.decode(x.tolist()) for x in ids], pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), packed, *texts], names)
 
     return df.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, vocab_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """`df` with a column `out` (string): the ids' bytes joined and read as UTF-8, invalid bytes replaced."""
+    """`df` with a column `out` (string): the ids' bytes joined and read as UTF-8, invalid bytes replaced; null ids give the empty text."""
     bounded_batches(df.sparkSession)
+    keep, schema = _replacing(df, [(out, T.StringType())])
+    at, names = df.columns.index(ids), schema.names
 
-    @F.pandas_udf("string")
-    def run(column):
-        import pandas as pd
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocab_path)
-        return pd.Series(["" if x is None else c.decode(x.tolist()) for x in column])
+        for b in batches:
+            texts = pa.array([c.decode(x or ()) for x in b.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), texts], names)
 
-    return df.withColumn(out, run(F.col(ids)))
+    return df.mapInArrow(run, schema)

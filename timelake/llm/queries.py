@@ -30,9 +30,7 @@ def hex_sha256(col):
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    path = vocab_path()
-    ids = bpe.encode(docs, path).select("doc_id", "ids")
-    return bpe.decode(ids, path).select(
+    return bpe.encode(docs, vocab_path(), decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         hex_sha256(F.concat_ws(",", F.col("ids").cast("array<string>"))).alias("ids_sha256"),
