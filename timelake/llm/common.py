@@ -3,21 +3,30 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch: bounds what a Python worker holds when texts are very long.
-BATCH_ROWS = 256
+#: Rows and bytes in one Arrow batch: bounds what a Python worker holds when texts are very long. All operators use the
+#: same bounds, as plans are lazy and the session has one value.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where it is unset, a master on this machine gets a temporary folder; on a cluster that is an error, as each executor
+    would write to its own disk.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        import tempfile
+
         root = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -33,22 +42,26 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that `saved` returned and that no later plan reads, through Hadoop's file system."""
+    for df in tables:
+        spark = df.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.saved_path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, as one document may be very long, and let local workers import this package."""
     root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, environment.get("PYTHONPATH", "")]))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -58,3 +71,11 @@ def partitions(spark: SparkSession) -> int:
 def text_of(df: DataFrame, col: str = "text"):
     """The text column with null read as the empty text."""
     return F.coalesce(df[col].cast("string"), F.lit(""))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have yet, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import drop, saved
+
+#: Parts that the nodes of one label are dealt to.
+SALTS = 16
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,9 +22,14 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("n2")).agg(F.min("label").alias("near"))
         best = labels.join(near, labels["node"] == near["n2"]).select("node", "label", F.least("label", "near").alias("best"))
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
-        step = best.join(jump, best["best"] == jump["at"]).select("node", F.least("best", "far").alias("new"), "label")
-        step = saved(step, "labels")
+        # in a giant component all nodes ask for the same few labels: each is looked up once and given out by salts
+        far = best.select("best").distinct().join(labels.select(F.col("node").alias("best"), F.col("label").alias("far")), "best")
+        far = far.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = best.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        step = saved(salted.join(far, ["best", "salt"]).select("node", F.least("best", "far").alias("new"), "label"), "labels")
+        drop(labels)
         labels = step.select("node", F.col("new").alias("label"))
+        labels.saved_path = step.saved_path
         if step.where("new < label").limit(1).count() == 0:
+            drop(both)
             return labels

@@ -7,16 +7,20 @@ import numpy as np
 _SEED = np.random.default_rng(20240229)
 _TABLE = _SEED.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _X, _Y = (int(v) * 4 + 1 for v in _SEED.integers(2**60, 2**61, 2))
+#: Powers that a worker keeps; longer texts make their own and give them up.
+_KEPT = 1 << 19
 _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64; kept and extended as needed."""
+    """base**0 ... base**(n-1) modulo 2**64."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 18), base, dtype=np.uint64)
+        have = np.full(max(n, _KEPT), base, dtype=np.uint64)
         have[0] = 1
-        have = _POWERS[base] = np.cumprod(have, dtype=np.uint64)
+        have = np.cumprod(have, dtype=np.uint64)
+        if n <= _KEPT:
+            _POWERS[base] = have
     return have[:n]
 
 
@@ -59,7 +63,7 @@ def window_hashes(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.nda
     return mix(spans_hash(words, at, at + n, _Y)), windows
 
 
-def pieces(texts: list[bytes], size: int = 1 << 20):
+def pieces(texts: list[bytes], size: int = 1 << 18):
     """Slices of the list with about `size` bytes each, so that temporary arrays stay small."""
     at = held = 0
     for i, t in enumerate(texts):

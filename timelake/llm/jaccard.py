@@ -1,17 +1,19 @@
 """N-gram Jaccard join: MinHash bands propose pairs, full n-gram sets decide them.
 
 Texts are lower-cased and split at white space; their n-grams are runs of n words (a shorter, non-empty text is one
-n-gram). Documents with equal n-gram sets are copies: they form one class at once and only its smallest key goes on.
-Band and row counts are chosen for the wanted recall at the threshold. A bucket of at most SMALL texts proposes all its
-pairs. Larger buckets are compared by blocks of BLOCK texts inside tasks (set intersections as a matrix product), a few
-bands at a time: pairs that links connect already are left out, and a group gives back only the verified links that
-connect its parts. So every pair that shares a bucket is verified, or is connected by verified links, or has set sizes
-too far apart; no cap drops a pair, and a group of near copies emits a few rows a text. Two similar texts are then in
-one component, so the number of links is counted there: blocks of a component meet in tasks once a pair, and only counts
-leave the tasks.
+n-gram). Documents with equal n-gram sets are copies: each distinct set is one node, whatever its documents' keys are.
+Band and row counts are chosen for the wanted recall at the threshold. A bucket of at most SMALL nodes proposes all its
+pairs. Larger buckets are compared inside tasks (set intersections as a matrix product) by blocks of bounded texts and
+n-grams. First each bucket of one band is cut into blocks that share a few centers, which connects a group of near copies
+at a cost in proportion to its size; then, in all bands, only texts that no link connects yet meet the others.
+A task gives back the verified links that connect its parts. So every pair that shares a bucket is verified, or is
+connected by verified links, or has set sizes too far apart; no cap drops a pair. Two similar texts are then in one
+component, so the number of links is counted there: blocks of a component meet in tasks once a pair, and only counts
+leave the tasks. SMALL and the block sizes decide how the work is dealt, never the result.
 
 Edge cases: null, empty and blank texts have no n-grams, no links and a class of their own. Rows with a null key get
-no row. Rows of equal key are one document: it takes the smallest class of its texts. Extra columns are ignored.
+no row. Rows of equal key are one document in the result: it takes the smallest class and the most links of its texts;
+the texts themselves are compared one by one, so none hides another. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,16 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, partitions, saved
+from .common import bounded_batches, drop, free_name, partitions, saved
 from .components import components
 from .hashing import mix, pieces, window_hashes, word_hashes
 
 #: Buckets of at most this many texts propose all their pairs.
 SMALL = 8
-#: Larger buckets are compared by blocks of this many texts.
-BLOCK = 128
-#: n-grams in a block of texts whose links are counted: bounds what a task holds when texts are long.
-GRAMS = 1 << 20
+#: Larger buckets are compared by blocks of this many texts and n-grams: bounds what a task holds, however long texts are.
+BLOCK, GRAMS = 128, 1 << 18
+#: Texts of a bucket that all its first blocks share.
+CENTERS = 8
 
 
 def bands_for(threshold: float, recall: float, hashes: int = 110) -> tuple[int, int]:
@@ -71,7 +73,7 @@ def _sketch(n: int, bands: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
+            ids, hashes, texts = b.column(0), b.column(1), b.column(2).to_pylist()
             for x, y in pieces(texts):
                 h, sizes = shingles(texts[x:y], n)
                 some = np.flatnonzero(sizes)
@@ -94,7 +96,7 @@ def _sketch(n: int, bands: int, rows: int):
                 ends = np.zeros(y - x + 1, np.int32)
                 ends[some + 1] = bands
                 banded = pa.ListArray.from_arrays(pa.array(np.cumsum(ends).astype(np.int32)), pa.array(keys.T.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(x, y - x), pa.array(sizes), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), banded], ["id", "n", "s1", "s2", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(x, y - x), hashes.slice(x, y - x), pa.array(sizes), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), banded], ["id", "h", "n", "s1", "s2", "bands"])
 
     return run
 
@@ -126,46 +128,63 @@ def _verified_links(pairs: DataFrame, sets: DataFrame, threshold: float) -> Data
     return saved(verified(ordered, sets).where(F.col("sim") >= threshold).select("a", "b"), "links")
 
 
-def _links(members: DataFrame, sets: DataFrame, threshold: float, bands: int) -> DataFrame:
-    """Verified links (a < b) that connect all similar texts of each bucket. members: (bucket, band, id, n)."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
-    sized = saved(members.join(sizes.where("size > 1"), "bucket"), "members")
-    few = sized.where(F.col("size") <= SMALL).select("bucket", F.col("id").alias("a"), F.col("n").alias("na"))
+def _links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Verified links (a < b) that connect all similar texts of each bucket. members: (bucket, band, id, n, size)."""
+    few = members.where(F.col("size") <= SMALL).select("bucket", F.col("id").alias("a"), F.col("n").alias("na"))
     other = few.select("bucket", F.col("a").alias("b"), F.col("na").alias("nb"))
     links = _verified_links(few.join(other, "bucket").where("a < b"), sets, threshold)
-    large = sized.where(F.col("size") > SMALL).select("bucket", "band", "id", "n")
+    large = saved(members.where(F.col("size") > SMALL).select("bucket", "band", "id", "n"), "large")
+    links = saved(links.union(_block_links(_first_blocks(large.where("band = 0")), sets, threshold)), "links")
+    labels = components(links)
+    rows = saved(large.join(labels, large["id"] == labels["node"], "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("comp")), "labelled")
+    more = saved(links.union(_block_links(_blocks(rows, threshold), sets, threshold)), "links")
+    drop(large, labels, rows, links)
+    return more
+
+
+def _parts_of(texts, grams, by: int = 1):
+    """How many blocks so many texts and n-grams need."""
+    return F.ceil(F.greatest(texts / (by * BLOCK), grams / (by * GRAMS))).cast("long")
+
+
+def _upto(n):
+    """The numbers below n."""
+    zero = F.lit(0).cast("long")
+    return F.filter(F.sequence(zero, n), lambda i: i < n)
 
-    def labelled(rows):
-        labels = components(links)
-        return saved(rows.join(labels, rows["id"] == labels["node"], "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("comp")), "labelled")
 
-    for first, last in ((0, 1), (1, 4), (4, bands)):
-        rows = labelled(large.where((F.col("band") >= first) & (F.col("band") < last)))
-        links = saved(links.union(_block_links(_blocks(rows, threshold), sets, threshold)).distinct(), "links")
-    return links
+def _first_blocks(rows: DataFrame) -> DataFrame:
+    """(gid, id, comp): each bucket's texts by blocks, each block with the bucket's centers (the smallest texts by hash)."""
+    info = saved(rows.groupBy("bucket").agg(_parts_of(F.count("*"), F.sum("n"), 2).alias("k")), "first-blocks")
+    centers = rows.groupBy("bucket", F.pmod(F.xxhash64("id", F.lit("center")), F.lit(CENTERS)).alias("c")).agg(F.min_by("id", F.xxhash64("id", "bucket")).alias("id"))
+    shared = centers.join(info, "bucket").select("bucket", "id", F.explode(_upto(F.col("k"))).alias("j"))
+    own = rows.join(info, "bucket").select("bucket", "id", F.pmod(F.xxhash64("id", "bucket"), F.col("k")).alias("j"))
+    return own.union(shared).select(F.xxhash64("bucket", "j", F.lit("first")).alias("gid"), "id", F.col("id").alias("comp"))
 
 
 def _blocks(rows: DataFrame, threshold: float) -> DataFrame:
-    """(gid, id, comp): groups of at most 2 * BLOCK texts that together hold every pair of a bucket that no link connects yet.
+    """(gid, id, comp): groups of at most two blocks that together hold every pair of a bucket that no link connects yet.
 
     The bucket's largest connected part (main) and the rest are cut into blocks by hash. Each block of the rest meets
     each other one and each block of the main part; blocks of the main part need not meet. Main texts whose set sizes
     are out of reach for all of the rest are left out.
     """
-    parts = rows.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
-    main = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("k"), F.sum("k").alias("all")).where("all > k")
-    mixed = rows.join(main, "bucket").withColumn("is_main", F.col("comp") == F.col("main"))
-    reach = mixed.where(~F.col("is_main")).groupBy("bucket").agg((F.min("n") * threshold).alias("low"), (F.max("n") / threshold).alias("high"))
-    mixed = mixed.join(reach, "bucket").where(~F.col("is_main") | F.col("n").between(F.col("low"), F.col("high")))
-    n_main, n_rest = F.ceil(F.col("k") / BLOCK), F.ceil((F.col("all") - F.col("k")) / BLOCK)
-    one = F.col("all") <= 2 * BLOCK
-    own = F.pmod(F.xxhash64("id", "bucket"), F.when(F.col("is_main"), n_main).otherwise(n_rest))
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
+    parts = saved(rows.groupBy("bucket", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("g"), F.min("n").alias("least"), F.max("n").alias("most")), "parts")
+    by = F.struct("k", "comp")
+    main = parts.groupBy("bucket").agg(F.max_by("comp", by).alias("main"), F.max("k").alias("k"), F.max_by("g", by).alias("g"), F.sum("k").alias("all"), F.sum("g").alias("all_g")).where("all > k")
+    rest = parts.join(main.select("bucket", "main"), "bucket").where("comp <> main")
+    reach = rest.groupBy("bucket").agg((F.min("least") * threshold).alias("low"), (F.max("most") / threshold).alias("high"))
+    info = main.join(reach, "bucket").select(
+        "bucket", "main", "low", "high", _parts_of(F.col("k"), F.col("g")).alias("n_main"), _parts_of(F.col("all") - F.col("k"), F.col("all_g") - F.col("g")).alias("n_rest"), ((F.col("all") <= 2 * BLOCK) & (F.col("all_g") <= 2 * GRAMS)).alias("one")
+    )
+    mixed = rows.join(saved(info, "mixed"), "bucket").withColumn("is_main", F.col("comp") == F.col("main"))
+    mixed = mixed.where(~F.col("is_main") | F.col("n").between(F.col("low"), F.col("high")))
+    own = F.pmod(F.xxhash64("id", "bucket"), F.when(F.col("is_main"), F.col("n_main")).otherwise(F.col("n_rest")))
     group = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("long").alias("i"), j.cast("long").alias("j"))
     zero = F.lit(0)
-    with_rest = F.transform(upto(n_rest), lambda j: group("m", F.col("own"), j))
-    of_rest = F.concat(F.transform(upto(n_main), lambda i: group("m", i, F.col("own"))), F.transform(upto(n_rest), lambda j: group("r", F.least(j, F.col("own")), F.greatest(j, F.col("own")))))
-    groups = F.when(one, F.array(group("a", zero, zero))).when(F.col("is_main"), with_rest).otherwise(of_rest)
+    with_rest = F.transform(_upto(F.col("n_rest")), lambda j: group("m", F.col("own"), j))
+    of_rest = F.concat(F.transform(_upto(F.col("n_main")), lambda i: group("m", i, F.col("own"))), F.transform(_upto(F.col("n_rest")), lambda j: group("r", F.least(j, F.col("own")), F.greatest(j, F.col("own")))))
+    groups = F.when(F.col("one"), F.array(group("a", zero, zero))).when(F.col("is_main"), with_rest).otherwise(of_rest)
     placed = mixed.withColumn("own", own).select("bucket", "id", "comp", F.explode(groups).alias("g"))
     return placed.select(F.xxhash64("bucket", "g.kind", "g.i", "g.j").alias("gid"), "id", "comp")
 
@@ -249,20 +268,18 @@ def _meetings(texts: DataFrame, threshold: float) -> DataFrame:
     A component of few texts is one group. Others are cut by set size into levels, so wide that similar texts are on one
     level or on neighbouring ones, and each level into blocks by hash. Texts of different sides meet, and those of side 2.
     """
-    most = 2 * BLOCK
-    whole = texts.groupBy("comp").agg(((F.count("*") <= most) & (F.sum("n") <= GRAMS)).alias("one"))
+    whole = texts.groupBy("comp").agg(((F.count("*") <= 2 * BLOCK) & (F.sum("n") <= 2 * GRAMS)).alias("one"))
     level = F.when(F.col("one"), F.lit(0)).otherwise(F.floor(F.log("n") / (math.log(1 / threshold) + 1e-9))).cast("long")
-    leveled = texts.join(whole, "comp").select("comp", "id", "n", "copies", level.alias("level"))
-    blocks = leveled.groupBy("comp", "level").agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / GRAMS)).cast("long").alias("k"))
-    by_level = blocks.groupBy("comp").agg(F.map_from_entries(F.collect_list(F.struct("level", "k"))).alias("blocks"))
+    leveled = saved(texts.join(saved(whole, "whole"), "comp").select("comp", "id", "n", "copies", level.alias("level")), "leveled")
+    blocks = leveled.groupBy("comp", "level").agg(_parts_of(F.count("*"), F.sum("n"), 2).alias("k"))
+    by_level = saved(blocks.groupBy("comp").agg(F.map_from_entries(F.collect_list(F.struct("level", "k"))).alias("blocks")), "levels")
     here, zero = F.col("level"), F.lit(0).cast("long")
     blocks_of = lambda at: F.coalesce(F.try_element_at("blocks", at), zero)
-    upto = lambda n: F.filter(F.sequence(zero, n), lambda i: i < n)
     group = lambda low, i, high, j, side: F.struct(low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"), side.cast("int").alias("side"))
     own = F.col("own")
-    among = F.transform(upto(blocks_of(here)), lambda j: group(here, F.least(own, j), here, F.greatest(own, j), F.when(own == j, 2).when(own < j, 0).otherwise(1)))
-    above = F.transform(upto(blocks_of(here + 1)), lambda j: group(here, own, here + 1, j, F.lit(0)))
-    below = F.transform(upto(blocks_of(here - 1)), lambda i: group(here - 1, i, here, own, F.lit(1)))
+    among = F.transform(_upto(blocks_of(here)), lambda j: group(here, F.least(own, j), here, F.greatest(own, j), F.when(own == j, 2).when(own < j, 0).otherwise(1)))
+    above = F.transform(_upto(blocks_of(here + 1)), lambda j: group(here, own, here + 1, j, F.lit(0)))
+    below = F.transform(_upto(blocks_of(here - 1)), lambda i: group(here - 1, i, here, own, F.lit(1)))
     placed = leveled.join(by_level, "comp").withColumn("own", F.pmod(F.xxhash64("id", "comp"), blocks_of(here)))
     met = placed.select("comp", "id", "copies", F.explode(F.concat(among, above, below)).alias("g"))
     return met.select(F.xxhash64("comp", "g.low", "g.i", "g.high", "g.j").alias("gid"), "id", "copies", F.col("g.side").alias("side"))
@@ -284,36 +301,46 @@ def _partners(texts: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return counted.groupBy("id").agg(F.sum("part").alias("partners"))
 
 
-def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per key: class_id (its class's smallest key), n_copies (documents of an equal n-gram set) and n_links.
+_SAME = ["n", "s1", "s2"]
 
-    n_links counts the other copies and, with their copies, all different texts of its class that are similar to it.
-    """
+
+def _classes(docs: DataFrame, n: int, threshold: float, recall: float, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The sketches (id, h, n, s1, s2) of all rows, and one row a distinct n-gram set: its class's smallest document (first), copies, partners."""
     spark = docs.sparkSession
     bounded_batches(spark)
     bands, rows = bands_for(threshold, recall)
-    source = docs.where(docs[key].isNotNull()).select(docs[key].cast("long").alias("id"), F.coalesce(docs[text], F.lit("")).alias("t"))
-    sketch = saved(source.mapInArrow(_sketch(n, bands, rows), "id long, n long, s1 long, s2 long, bands array<long>"), "sketch")
-    same = ["n", "s1", "s2"]
-    some = sketch.where("n > 0")
-    reps = saved(some.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "reps")
-    buckets = reps.select(F.col("rep").alias("id"), "n", F.posexplode("bands").alias("band", "bucket")).distinct()
-    crowded = buckets.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
-    members = saved(buckets.join(crowded, "bucket"), "buckets")
-    wanted = members.select("id").distinct()
-    # the list of candidates has no bound: it is merged at every size, never broadcast
-    sets = saved(source.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(_sets(n), "id long, grams array<long>").dropDuplicates(["id"]), "sets")
-    links = _links(members, sets, threshold, bands)
+    whole = F.coalesce(docs[text].cast("string"), F.lit(""))
+    source = docs.where(docs[key].isNotNull()).select(docs[key].cast("long").alias("id"), F.xxhash64(whole).alias("h"), whole.alias("t"))
+    sketch = saved(source.mapInArrow(_sketch(n, bands, rows), "id long, h long, n long, s1 long, s2 long, bands array<long>"), "sketch")
+    sets_of = sketch.where("n > 0").groupBy(*_SAME).agg(F.min(F.struct("id", "h")).alias("rep"), F.count_distinct("id").alias("copies"), F.first("bands").alias("bands"))
+    reps = saved(sets_of.withColumn("node", F.monotonically_increasing_id()), "reps")
+    buckets = reps.select(F.col("node").alias("id"), "n", F.posexplode("bands").alias("band", "bucket"))
+    sizes = saved(buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    members = saved(buckets.join(sizes, "bucket"), "buckets")
+    wanted = members.select("id").distinct().join(reps, F.col("id") == reps["node"]).select("rep.id", "rep.h", "node")
+    # the list of candidates has no bound: it is merged at every size, never broadcast; repeated rows count once
+    texts = source.join(wanted.hint("merge"), ["id", "h"]).groupBy("id", "h").agg(F.first("node").alias("node"), F.first("t").alias("t"))
+    sets = saved(texts.select("node", "t").mapInArrow(_sets(n), "id long, grams array<long>"), "sets")
+    links = _links(members, sets, threshold)
     labels = components(links)
-    texts = labels.join(reps, labels["node"] == reps["rep"]).select(F.col("label").alias("comp"), F.col("rep").alias("id"), "n", "copies").dropDuplicates(["id"])
-    linked = _partners(saved(texts, "linked"), sets, threshold)
-    by_rep = (
-        reps.drop("bands")
-        .join(labels, reps["rep"] == labels["node"], "left")
-        .join(linked, reps["rep"] == linked["id"], "left")
-        .select(*same, F.coalesce("label", "rep").alias("class_id"), "copies", F.coalesce("partners", F.lit(0)).alias("partners"))
-    )
-    found = some.select("id", *same).join(by_rep, same).select("id", "class_id", "copies", (F.col("copies") - 1 + F.col("partners")).alias("links"))
+    linked = saved(labels.join(reps, "node").select(F.col("label").alias("comp"), F.col("node").alias("id"), "n", "copies", "rep"), "linked")
+    partners = _partners(linked.select("comp", "id", "n", "copies"), sets, threshold)
+    first = saved(linked.groupBy("comp").agg(F.min("rep").alias("first")), "first")
+    named = linked.join(first, "comp").join(partners, "id", "left").select(F.col("id").alias("node"), "first", "partners")
+    by_set = reps.drop("bands").join(named, "node", "left").select(*_SAME, F.coalesce("first", "rep").alias("first"), "rep", "copies", F.coalesce("partners", F.lit(0)).alias("partners"))
+    by_set = saved(by_set, "classes")
+    drop(sizes, members, sets, links, labels, linked, first, reps)
+    return sketch.drop("bands"), by_set
+
+
+def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per key: class_id (its class's smallest key), n_copies (documents of an equal n-gram set) and n_links.
+
+    n_links counts the other copies and, with their copies, all different texts of its class that are similar to it.
+    """
+    sketch, by_set = _classes(docs, n, threshold, recall, key, text)
+    links = F.col("copies") - 1 + F.col("partners")
+    found = sketch.where("n > 0").join(by_set, _SAME).select("id", F.col("first.id").alias("class_id"), "copies", links.alias("links"))
     alone = sketch.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("links"))
     return (
         found.union(alone)
@@ -322,8 +349,16 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     )
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """`docs` with one document of each class: that with the smallest key. Rows with a null key stay."""
-    firsts = jaccard_classes(docs, key=key, **options).where(F.col("class_id") == F.col(key)).select(F.col(key).alias("_kept"))
-    kept = docs.join(firsts, docs[key].cast("long") == firsts["_kept"], "left_semi").dropDuplicates([key])
+def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with one row of each class: that with the smallest key (of its several texts the one of smallest hash).
+
+    Rows without n-grams stay, one of equal key and text. Rows with a null key stay. A key with several texts keeps those
+    that are no copies of others.
+    """
+    sketch, by_set = _classes(docs, n, threshold, recall, key, text)
+    k, h = free_name(docs, "_key"), free_name(docs, "_hash")
+    firsts = by_set.where("rep = first").select("rep.id", "rep.h").union(sketch.where("n = 0").select("id", "h"))
+    firsts = firsts.select(F.col("id").alias(k), F.col("h").alias(h))
+    rows = docs.where(docs[key].isNotNull()).withColumns({k: F.col(key).cast("long"), h: F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))})
+    kept = rows.join(firsts.hint("merge"), [k, h], "left_semi").dropDuplicates([k, h]).select(*docs.columns)
     return kept.union(docs.where(docs[key].isNull()))
