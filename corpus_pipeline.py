@@ -55,9 +55,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and the digest of what they decode to."""
-    path = vocab_path()
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text")
-    return bpe.decode(ids, path).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", hex_sha256(F.col("decoded")).alias("decoded_sha256"))
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocab_path(), decoded="decoded")
+    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", hex_sha256(F.col("decoded")).alias("decoded_sha256"))
 
 
 STAGES = [
