@@ -47,3 +47,21 @@ def test_rolls_names_and_repeats(spark):
     assert one == two and len(one) > 8 and all(r.bytes >= 600 or r.records for r in one)
     texts = {r.page_id: r.payload for r in warc.read_warc(spark, a).where(F.col("record_type") == "response").collect()}
     assert texts[53] == b"a\r\n\r\nb" and texts[52] == b"<x>" * 50000
+
+
+def test_shards_depend_on_the_records_alone(spark):
+    rows = spark.range(0, 60_000, 1, 7).selectExpr("id * 37 % 1000003 as page_id", "'u' as url", "repeat(cast(id % 5000 as string), 3) as html")
+    found = []
+    for partitions in ("4", "4", "11"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        found.append(warc.write_warc(rows.repartition(int(partitions) + len(found)), fresh_path(spark, "same"), roll=30_000).orderBy("file").collect())
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] == found[2]
+    parts = {r.file[:11] for r in found[0]}
+    assert len(parts) == warc.LEAST_RANGES and len(found[0]) > len(parts) and sum(r.records for r in found[0]) == 60_000
+
+
+def test_payloads_that_many_pages_share(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT", 5)
+    monkeypatch.setattr(warc, "HOT_SHARE", 10)
+    assert read(warc.round_trip(frame(spark, ROWS))) == expected(ROWS)
