@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from timelake.llm import hilbert, pivots
+from timelake.llm.vectors import scanned
 
 
 def frame(spark, rows):
@@ -28,6 +29,34 @@ def sample(n=600, d=8, seed=1):
     return rows + odd
 
 
+def clustered(n, d=16, clusters=20, seed=4):
+    r = np.random.default_rng(seed)
+    centers = r.normal(size=(clusters, d))
+    return [(i, centers[i % clusters] + 0.05 * r.normal(size=d)) for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [500, 20_000])
+def test_clustered_vectors_are_not_all_scanned(spark, n):
+    rows = clustered(n)
+    early, late, count = pivots.rounds(frame(spark, rows), 5, 50)
+    read = early.union(late).agg({"scanned": "sum"}).first()[0]
+    assert count == n and read <= 0.2 * n * len(range(0, n, 50))
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in pivots.top_k(frame(spark, rows), 5, 1000).collect())
+    assert got == brute(rows, 5, 1000, True)
+    data, visits = hilbert.index(frame(spark, rows), 10, 100)
+    assert scanned(data, visits) <= 0.35
+    found = {(r.query_id, r.vec_id) for r in hilbert.nearest(frame(spark, rows), 10, 100).collect()}
+    want = {(q, i) for q, _, i, _ in brute(rows, 10, 100, False, zero=False)}
+    assert len(found & want) >= 0.9 * len(want)
+
+
+def test_large_components(spark):
+    r = np.random.default_rng(9)
+    rows = [(i, np.floor(r.uniform(-1, 1, 6) * 2**22)) for i in range(300)]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in pivots.top_k(frame(spark, rows), 5, 50).collect())
+    assert got == brute(rows, 5, 50, True)
+
+
 @pytest.mark.parametrize("cell", [40, 4096])
 def test_exact_top_k(spark, monkeypatch, cell):
     monkeypatch.setattr(pivots, "CELL", cell)

@@ -50,7 +50,7 @@ def best_of(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
     return q[top], ids[x[top]], s[top]
 
 
-def search_cells(rows: DataFrame, queries: DataFrame, k: int, score_type: str = "double", exact_bits: bool = False) -> DataFrame:
+def search_cells(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, ids, scores): for each query in each of its cells the k best rows of the cell.
 
     rows: (cell, id, v); queries: (cell, id, v), one row for each cell that a query visits. A task holds one cell's rows
@@ -58,7 +58,6 @@ def search_cells(rows: DataFrame, queries: DataFrame, k: int, score_type: str =
     """
     both = rows.select("cell", F.lit(0).alias("kind"), "id", "v").union(queries.select("cell", F.lit(1).alias("kind"), "id", "v"))
     placed = both.repartition(partitions(rows.sparkSession), "cell").sortWithinPartitions("cell", "kind")
-    numbers = pa.int64() if score_type == "long" else pa.float64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, ids, parts = None, [], []
@@ -78,29 +77,20 @@ def search_cells(rows: DataFrame, queries: DataFrame, k: int, score_type: str =
                     continue
                 if merged is None:
                     merged = (np.concatenate(ids), np.concatenate(parts))
-                wide = exact_bits and max(np.abs(merged[1]).max(), 1) * max(np.abs(v[x:y]).max(), 1) * v.shape[1] >= 2**53
-                if wide:  # float64 would round: integer arithmetic
-                    q, found, s = _best_exact(*merged, own[x:y], v[x:y], k)
-                else:
-                    q, found, s = best_of(*merged, own[x:y], v[x:y], k)
-                ends = np.searchsorted(q, np.arange(y - x + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[x:y]), pa.ListArray.from_arrays(pa.array(ends), pa.array(found)), pa.ListArray.from_arrays(pa.array(ends), pa.array(s.astype(np.int64) if score_type == "long" else s, numbers))],
-                    ["query_id", "ids", "scores"],
-                )
-
-    return placed.mapInArrow(run, f"query_id long, ids array<long>, scores array<{score_type}>")
-
-
-def _best_exact(ids, vectors, query_ids, queries, k):
-    a, b = vectors.astype(np.int64), queries.astype(np.int64)
-    out = []
-    for i, q in enumerate(query_ids):
-        s = a @ b[i]
-        order = np.lexsort((ids, -s))
-        out += [(i, ids[j], s[j]) for j in order[: k + 1] if ids[j] != q][:k]
-    q, x, s = zip(*out, strict=True) if out else ((), (), ())
-    return np.array(q, np.int64), np.array(x, np.int64), np.array(s, np.int64)
+                for a in range(x, y, 128):
+                    z = min(a + 128, y)
+                    q, found, s = best_of(*merged, own[a:z], v[a:z], k)
+                    ends = pa.array(np.searchsorted(q, np.arange(z - a + 1)).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(own[a:z]), pa.ListArray.from_arrays(ends, pa.array(found)), pa.ListArray.from_arrays(ends, pa.array(s))], ["query_id", "ids", "scores"])
+
+    return placed.mapInArrow(run, "query_id long, ids array<long>, scores array<double>")
+
+
+def scanned(rows: DataFrame, queries: DataFrame) -> float:
+    """Rows that all visits read together, as a share of all rows times all queries (rows in several cells count once)."""
+    held = rows.groupBy("cell").agg(F.count("*").alias("n"))
+    read = queries.groupBy("cell").agg(F.count("*").alias("q")).join(held, "cell").agg(F.sum(F.col("n") * F.col("q"))).first()[0] or 0
+    return read / max(1, rows.select("id").distinct().count() * queries.select("id").distinct().count())
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
