@@ -49,17 +49,38 @@ def test_base_spans_and_redaction(spark):
         assert got[i].red == (None if t is None else want + t[pos:])
 
 
+GOOD = [
+    ("please call 555-123-4567 now", ["phone"]), ("phone (555) 123-4567", ["phone"]), ("mail joe (at) site (dot) com", ["email"]), ("tel +1 (961) 555-6946 x", ["phone"]), ("call +1 (961) 555-6946", ["phone"]), ("contact a@b.com", ["email"]), ("card 4111 1111 1111 1111", ["card"]), ("version 10 of 20", []),
+    ('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x', ["secret"]), ("my password: hunter2hunter2Zq8Rt55 yes", ["secret"]), ("IBAN DE89 3704 0044 0532 0130 00 ok", ["account"]), ("signed by Mary Shelley today", ["name"]), ("contact Dr. John Watson", ["name"]), ("lives at 221 Baker Street now", ["address"]), ("wohnt Lindenstraße 12 dort", ["address"]), ("adresse 12 rue de Rivoli", ["address"]),
+]
+
+
 def test_candidates_are_added(spark):
-    good = ["please call 555-123-4567 now", "phone (555) 123-4567", "mail joe (at) site (dot) com", "tel +1 (961) 555-6946 x", "call +1 (961) 555-6946", "contact a@b.com", "card 4111 1111 1111 1111", "version 10 of 20"]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(good * 20)], "doc_id long, text string")
-    got = [pii.KINDS[s.kind] for r in pii.find(docs, pii.fit(docs)).where("doc_id < 8").orderBy("doc_id").collect() for s in r.spans]
-    assert got == ["phone", "phone", "email", "phone", "phone", "email", "card"]
-    assert pii.find(docs.limit(0), pii.fit(docs.limit(0))).count() == 0
-    plan = pii.find(docs, pii.fit(docs))._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(GOOD * 20)], "doc_id long, text string")
+    found = pii.detect(docs)
+    got = {r.doc_id: [pii.KINDS[s.kind] for s in r.spans] for r in found.where(F.col("doc_id") < len(GOOD)).collect()}
+    assert [got[i] for i in range(len(GOOD))] == [k for _, k in GOOD]
+    assert pii.detect(docs.limit(0)).count() == 0
+    for df in (found, pii.find(docs, pii.fit(docs))):
+        assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
+
+
+def test_wrong_accounts_and_plain_words_stay(spark):
+    bad = ["IBAN DE88 3704 0044 0532 0130 00 ok", "Donaudampfschifffahrtsgesellschaftskapitän", "commit aaaaaaaaaaaaaaaaaaaaaaaa1", "in 2024 Main things"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([t for t, _ in GOOD] * 20 + bad * 20)], "doc_id long, text string")
+    got = [len(r.spans) for r in pii.detect(docs).where(F.col("doc_id") >= 20 * len(GOOD)).collect()]
+    assert sum(got) == 0
+
+
+def test_clashing_columns_pass_through(spark):
+    docs = spark.createDataFrame([(1, "a@b.de", "x", "y", "z", 5)], "doc_id long, text string, _pii_text string, _found string, _PII_found string, spans int")
+    r = pii.detect(docs).first()
+    assert (r["_pii_text"], r["_found"], r["_PII_found"]) == ("x", "y", "z") and [tuple(s) for s in r["spans"]] == [(0, 0, 6, True)]
 
 
 def test_em_prefers_reliable_labelers():
     patterns = [(0, (1, 1, 1, 1, 1), 100), (0, (0, -1, -1, 0, -1), 100), (0, (0, 1, 1, 0, 1), 10)]
-    _, _, post = pii.estimate(patterns)
+    _, chance, post = pii.estimate(patterns)
     assert post[0] > 0.9 and post[1] < 0.1 and post[2] > 0.5
+    odds = pii.vote_odds(chance)
+    assert all(o[2] > 0 > o[0] and o[1] == 0 for o in odds[1:3])
