@@ -31,7 +31,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by its kind; n_chars follows."""
-    found = pii.find(docs, pii.fit(docs), out="_spans")
+    found = pii.detect(docs, out="_spans")
     return found.withColumn("text", pii.redacted(F.col("text"), F.col("_spans"))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
