@@ -48,3 +48,13 @@ def test_empty_and_long(spark):
     assert got(spark, [], 13) == []
     long = " ".join(str(i) for i in range(60000))
     assert [x[:3] for x in got(spark, [(1, long), (2, "q " + long)], 13)] == [(1, 60000, 0), (2, 60001, 60000)]
+
+
+def test_clashing_columns_and_null_keys(spark):
+    rows = [(1, "a b c d", "x", 5, 6), (2, "q a b c d", "y", 7, 8), (None, "a b c d", None, None, None)] + [(None, "z%d" % i, "n", 0, 0) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _bucket string, N_WORDS int, row int")
+    out = substring.dedup_substrings(df, 3)
+    assert out.columns == ["doc_id", "text", "_bucket", "row", *substring.OUTPUTS]
+    got = {(r.doc_id, r.text): r for r in out.collect()}
+    assert got[2, "q a b c d"].n_removed == 4 and got[2, "q a b c d"]["_bucket"] == "y" and got[2, "q a b c d"].row == 8
+    assert got[None, "a b c d"].n_removed == 0 and len(got) == 53

@@ -6,7 +6,7 @@ import numpy as np
 
 _SEED = np.random.default_rng(20240229)
 _TABLE = _SEED.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_X, _Y = (int(v) * 4 + 1 for v in _SEED.integers(2**60, 2**61, 2))
+_X, _Y, _Z = (int(v) * 4 + 1 for v in _SEED.integers(2**60, 2**61, 3))
 #: Powers that a worker keeps; longer texts make their own and give them up.
 _KEPT = 1 << 19
 _POWERS: dict[int, np.ndarray] = {}
@@ -63,6 +63,14 @@ def window_hashes(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.nda
     return mix(spans_hash(words, at, at + n, _Y)), windows
 
 
+def second_hashes(words: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the same windows, in the same order, that tell more: from another base and other word values."""
+    windows = np.maximum(counts - n + 1, 0)
+    first = np.cumsum(counts) - counts
+    at = np.repeat(first - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
+    return mix(spans_hash(mix(words + np.uint64(0x9E3779B97F4A7C15)), at, at + n, _Z))
+
+
 def pieces(texts: list[bytes], size: int = 1 << 18):
     """Slices of the list with about `size` bytes each, so that temporary arrays stay small."""
     at = held = 0

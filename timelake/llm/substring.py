@@ -1,16 +1,21 @@
 """Exact substring deduplication by Rabin-Karp hashes of every fixed-length word window.
 
-Every window is hashed to 64 bits. A map task first settles repeats among its own documents (so a passage that a third
-of all documents share leaves each task once), then sends one entry for each distinct window, packed by hash range.
-For each hash, documents above the smallest doc_id lose that window. Overlapping and adjoining windows merge into
-maximal removal intervals when the texts are read again.
+Every window gets two independent hashes: 56 bits of the first, and a hash range from the second. A map task first
+settles repeats among its own documents (so a passage that a third of all documents share leaves each task once), then
+sends one entry for each distinct window, packed by hash range. For each hash, documents above the smallest doc_id lose
+that window. Overlapping and adjoining windows merge into maximal removal intervals when the texts are read again.
+
+Two different windows are taken for one if both their 56 bits and their ranges agree: with 256 ranges (the least)
+with probability 2**-64, with 60,000 (the most) 2**-71.9. Of 10**13 distinct windows some 10,000 pairs would so
+agree, and words removed wrongly for it are at most 13 each; windows of one map task agree on 64 bits.
 
 Memory: a map task holds at most FLUSH windows; a reduce task holds one hash range at a time, of which there are eight
-for each shuffle partition, and the repeats that it has found, which it sends on every FLUSH / 2. Two different windows share a hash with probability 2**-64.
+for each shuffle partition, and the repeats that it has found, which it sends on every FLUSH / 2. Ranges and buckets of
+documents are dealt to tasks evenly.
 
 Edge cases: null texts have no words; texts shorter than the window lose nothing; rows of equal doc_id are one
-document and never remove each other's words; rows with a null doc_id neither cause nor suffer removals. Extra columns
-pass through.
+document and never remove each other's words; rows with a null doc_id neither cause nor suffer removals, and are spread
+over all buckets by their text. Extra columns pass through; those that have an output's name are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_batches, partitions
-from .hashing import pieces, window_hashes, word_hashes, words_of
+from .hashing import pieces, second_hashes, window_hashes, word_hashes, words_of
 
 #: Windows that a map task holds before it sends them on.
 FLUSH = 2_500_000
@@ -32,11 +37,19 @@ _FOUND = "_bucket long, _docs binary, _counts binary, _hashes binary"
 _PACKED = "range int, settled boolean, docs binary, counts binary, hashes binary"
 
 
-def _split(hashes: np.ndarray, docs: np.ndarray, settled: bool, ranges: int) -> list[tuple]:
+def _ranges_of(second: np.ndarray, ranges: int) -> np.ndarray:
+    return ((second >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.uint16)
+
+
+def _codes(hashes: np.ndarray, part: np.ndarray | int) -> np.ndarray:
+    """What tells a window among those of one document: 56 bits of its hash and 8 of its range."""
+    return (hashes & np.uint64((1 << 56) - 1)) | (np.asarray(part, np.uint64) & np.uint64(255)) << np.uint64(56)
+
+
+def _split(hashes: np.ndarray, part: np.ndarray, docs: np.ndarray, settled: bool) -> list[tuple]:
     """Rows of _PACKED from entries that stand in document order."""
     if not len(hashes):
         return []
-    part = ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.uint16)
     order = np.argsort(part, kind="stable")
     part, hashes, docs = part[order], hashes[order], docs[order]
     new = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (docs[1:] != docs[:-1])])
@@ -49,18 +62,14 @@ def _split(hashes: np.ndarray, docs: np.ndarray, settled: bool, ranges: int) ->
 
 
 def low_bytes(hashes: np.ndarray) -> bytes:
-    """The low 56 bits of each hash; its range, of which there are at least 256, tells the rest."""
+    """The low 56 bits of each hash."""
     return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
 
 
-def whole(packed: bytes, part: int, ranges: int) -> np.ndarray:
-    """The hashes of one range from their low 56 bits."""
+def from_bytes(packed: bytes) -> np.ndarray:
     raw = np.zeros((len(packed) // 7, 8), np.uint8)
     raw[:, :7] = np.frombuffer(packed, np.uint8).reshape(-1, 7)
-    least = (-(-(part << 32) // ranges)) << 32
-    low = raw.reshape(-1).view(np.uint64)
-    high = np.uint64(least >> 56 << 56)
-    return np.where(low < np.uint64(least & (1 << 56) - 1), low + high + np.uint64(1 << 56), low + high)
+    return raw.reshape(-1).view(np.uint64)
 
 
 def repeated(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,28 +90,30 @@ def repeated(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _windows(n: int, ranges: int):
-    def flush(hashes, docs):
-        h, d = np.concatenate(hashes), np.concatenate(docs)
+    def flush(hashes, parts, docs):
+        h, p, d = np.concatenate(hashes), np.concatenate(parts), np.concatenate(docs)
         later, keep = repeated(h, d)
-        rows = _split(h[keep], d[keep], False, ranges) + _split(h[later], d[later], True, ranges)
+        rows = _split(h[keep], p[keep], d[keep], False) + _split(h[later], p[later], d[later], True)
         for a in range(0, len(rows), 64):
             cols = list(zip(*rows[a : a + 64], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1]), *(pa.array(c, pa.binary()) for c in cols[2:])], ["range", "settled", "docs", "counts", "hashes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, docs, held = [], [], 0
+        hashes, parts, docs, held = [], [], [], 0
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
             for x, y in pieces(texts):
-                h, windows = window_hashes(*word_hashes(texts[x:y]), n)
+                words, counts = word_hashes(texts[x:y])
+                h, windows = window_hashes(words, counts, n)
                 hashes.append(h)
+                parts.append(_ranges_of(second_hashes(words, counts, n), ranges))
                 docs.append(np.repeat(ids[x:y], windows))
                 held += len(h)
             if held >= FLUSH:
-                yield from flush(hashes, docs)
-                hashes, docs, held = [], [], 0
+                yield from flush(hashes, parts, docs)
+                hashes, parts, docs, held = [], [], [], 0
         if held:
-            yield from flush(hashes, docs)
+            yield from flush(hashes, parts, docs)
 
     return run
 
@@ -112,12 +123,12 @@ def buckets_for(n: int) -> int:
     return next(x for x in range(max(n, 2), 2 * n + 3) if all(x % y for y in range(2, int(x**0.5) + 1)))
 
 
-def _settle(ranges: int, buckets: int):
+def _settle(buckets: int):
     """Per hash range: each document's hashes that a smaller document has, packed by bucket of documents, from rows sorted by range."""
 
     def of_range(rows):
         docs = np.concatenate([np.repeat(np.frombuffer(r[2], np.int64), np.frombuffer(r[3], np.int32)) for r in rows])
-        hashes = np.concatenate([whole(r[4], r[0], ranges) for r in rows])
+        hashes = _codes(np.concatenate([from_bytes(r[4]) for r in rows]), rows[0][0])
         settled = np.repeat([r[1] for r in rows], [len(r[4]) // 7 for r in rows])
         open_h, open_d = hashes[~settled], docs[~settled]
         later, _ = repeated(open_h, open_d)
@@ -157,15 +168,16 @@ def _settle(ranges: int, buckets: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, n: int = 13, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
-    """For each bucket of documents (key modulo the returned number) the hashes of their windows that also start in a smaller document."""
+def repeated_windows(docs: DataFrame, n: int = 13, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int, int]:
+    """For each bucket of documents (key modulo the returned number) the codes of their windows that also start in a smaller document; and the number of ranges."""
     spark = docs.sparkSession
     bounded_batches(spark)
     ranges, buckets = min(max(256, 8 * partitions(spark)), 60_000), buckets_for(4 * partitions(spark))
     source = docs.where(docs[key].isNotNull() & docs[text].isNotNull()).select(docs[key].cast("long").alias("k"), docs[text].cast("binary").alias("t"))
     packed = source.mapInArrow(_windows(n, ranges), _PACKED)
-    by_range = packed.repartition(partitions(spark), "range").sortWithinPartitions("range")
-    return by_range.mapInArrow(_settle(ranges, buckets), _FOUND), buckets
+    parts = partitions(spark)
+    by_range = packed.repartitionById(parts, F.col("range") % parts).sortWithinPartitions("range")
+    return by_range.mapInArrow(_settle(buckets), _FOUND), buckets, ranges
 
 
 class _Found:
@@ -188,16 +200,21 @@ class _Found:
         return self.hashes[a:b]
 
 
-def _cover(n: int, names: list[str], key: int, text: int):
-    """Drop the covered words. Rows come by bucket, those with the bucket's repeated hashes first."""
+#: What the operator adds to its input.
+OUTPUTS = ("n_words", "n_removed", "kept_text", "removed_spans")
+
+
+def _cover(n: int, ranges: int, keep: list[int], names: list[str], key: int, text: int):
+    """Drop the covered words. Rows come by bucket, those with the bucket's repeated windows first; `row` holds the input's columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, found = None, _Found()
         for b in batches:
-            own = [b.column(i) for i in range(len(names))]
-            where, docs, counts, hashes = (b.column(len(names) + i).to_pylist() for i in range(4))
+            where, docs, counts, hashes = (b.column(i).to_pylist() for i in range(4))
+            own = b.column(4).flatten()
             keys, rows = own[key].to_pylist(), [i for i, x in enumerate(docs) if x is None]
-            texts = dict(zip(rows, own[text].take(pa.array(rows, pa.int64())).to_pylist(), strict=True))
+            take = pa.array(rows, pa.int64())
+            texts = dict(zip(rows, own[text].take(take).to_pylist(), strict=True))
             kept, n_words, n_removed, spans = [], [], [], []
             for i in range(b.num_rows):
                 if where[i] != bucket:
@@ -207,37 +224,40 @@ def _cover(n: int, names: list[str], key: int, text: int):
                     continue
                 t = (texts[i] or "").encode()
                 words, repeated = words_of(t), found.of(keys[i])
-                removed, ranges = 0, []
+                removed, gaps = 0, []
                 if len(repeated) and len(words) >= n:
-                    h, _ = window_hashes(*word_hashes([t]), n)
-                    hit = np.flatnonzero(np.isin(h, repeated))
+                    hashed, count = word_hashes([t])
+                    h, _ = window_hashes(hashed, count, n)
+                    hit = np.flatnonzero(np.isin(_codes(h, _ranges_of(second_hashes(hashed, count, n), ranges)), repeated))
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, hit, 1)
                     np.add.at(edge, hit + n, -1)
                     gone = np.cumsum(edge[:-1]) > 0
                     removed = int(gone.sum())
                     turn = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
-                    ranges = [{"start": int(x), "end": int(y)} for x, y in turn.reshape(-1, 2)]
+                    gaps = [{"start": int(x), "end": int(y)} for x, y in turn.reshape(-1, 2)]
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 kept.append(b" ".join(words).decode())
                 n_words.append(len(words) + removed)
                 n_removed.append(removed)
-                spans.append(ranges)
+                spans.append(gaps)
             made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(c.take(take) for c in own), *made], [*names, "n_words", "n_removed", "kept_text", "removed_spans"])
+            yield pa.RecordBatch.from_arrays([*(own[i].take(take) for i in keep), *made], names)
 
     return run
 
 
 def dedup_substrings(docs: DataFrame, n: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with n_words, n_removed, kept_text (kept words joined by one space) and removed_spans (word offsets, end exclusive)."""
-    found, buckets = repeated_windows(docs, n, key, text)
-    names = docs.columns
-    place = F.coalesce(F.pmod(docs[key].cast("long"), F.lit(buckets)), F.lit(-1))
-    rows = docs.select("*", place.cast("long").alias("_bucket"), *(F.lit(None).cast("binary").alias(c) for c in ("_docs", "_counts", "_hashes")))
-    both = rows.unionByName(found, allowMissingColumns=True)
-    placed = both.repartition(partitions(docs.sparkSession), "_bucket").sortWithinPartitions("_bucket", F.col("_docs").isNull())
-    fields = [T.StructField(f.name, f.dataType) for f in docs.schema.fields]
-    fields += [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("removed_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
-    return placed.mapInArrow(_cover(n, names, names.index(key), names.index(text)), T.StructType(fields))
+    found, buckets, ranges = repeated_windows(docs, n, key, text)
+    spread = F.coalesce(docs[key].cast("long"), F.xxhash64(docs[text]))
+    none = lambda c: F.lit(None).cast("binary").alias(c)
+    whole = docs.select(F.pmod(spread, F.lit(buckets)).cast("long").alias("_bucket"), none("_docs"), none("_counts"), none("_hashes"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    both = whole.unionByName(found, allowMissingColumns=True)
+    parts = partitions(docs.sparkSession)
+    placed = both.repartitionById(parts, (F.col("_bucket") % parts).cast("int")).sortWithinPartitions("_bucket", F.col("_docs").isNull())
+    keep = [i for i, c in enumerate(docs.columns) if c.lower() not in OUTPUTS]
+    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    made = [T.StructField(c, t) for c, t in zip(OUTPUTS, (T.LongType(), T.LongType(), T.StringType(), span), strict=True)]
+    schema = T.StructType([*(docs.schema.fields[i] for i in keep), *made])
+    return placed.mapInArrow(_cover(n, ranges, keep, schema.names, docs.columns.index(key), docs.columns.index(text)), schema)
