@@ -36,7 +36,22 @@ def test_posteriors_rates_and_totals(spark):
     total = sum(r.tokens for r in got.values())
     for i in range(3):
         assert abs(sum(r.rate * r.tokens * r.p[i] for r in got.values()) - total / 3) < 0.01 * total
-    assert all(0 <= r.rate <= 8 and abs(r.n_copies - r.rate) < 1 for r in got.values())
+    assert all(0 <= r.rate and abs(r.n_copies - r.rate) < 1 and r.unmet <= 1e-4 for r in got.values())
+
+
+def test_small_domains_reach_their_targets_and_bounds_are_told(spark):
+    # one domain has 200 times the tokens of another, and both are asked for half
+    rows = [(k, k % 50 + 1, [1.0, 0.0] if k % 20 else [0.0, 1.0]) for k in range(400)] + [(1000 + k, 5000, [0.9, 0.1]) for k in range(8)]
+    members = spark.createDataFrame(rows, "doc_id long, tokens long, p array<double>")
+    rates, fit = mixing.fit_rates(members, [0.5, 0.5])
+    assert fit.met and fit.rounds < 60 and fit.unmet <= 1e-4 and rates.count() == len(rows)
+    total = sum(r[1] for r in rows)
+    for i in range(2):
+        assert abs(sum(r.rate * r.tokens * r.p[i] for r in rates.collect()) - total / 2) < 0.001 * total
+    best, tight = mixing.fit_rates(members, [0.5, 0.5], high=2.0)
+    assert not tight.met and tight.unmet > 0.01 and max(r.rate for r in best.collect()) == 2.0
+    # brute force over the two rates that matter: no step improves the weighted distance
+    assert {tuple(r.p): r.rate for r in best.collect()}[0.0, 1.0] == 2.0
 
 
 def test_bounds_and_odd_rows(spark):
@@ -45,6 +60,7 @@ def test_bounds_and_odd_rows(spark):
     model = mixing.learn(docs, labelled)
     got = {r.doc_id: r for r in mixing.mix(docs, model, {"a": 0.5, "b": 0.5}, low=1.0, high=3.0).collect()}
     assert set(got) == {1, 2, 3, 4, 5} and got[3].tokens == got[4].tokens == 0 and all(1 <= r.rate <= 3 for r in got.values()) and got[2].rate == 3
+    assert got[5].tokens == 100_000 and got[1].unmet > 0.4
     assert mixing.mix(docs.limit(0), model, {"a": 1.0}).count() == 0
     with pytest.raises(ValueError, match="no labelled rows"):
         mixing.mix(docs, model, {"z": 1.0})

@@ -3,7 +3,7 @@
 A text's features are its words, whether a word equals the word before it, and the 3- and 4-byte windows of its words
 (with their edges), all hashed into buckets. Each bucket has a learned vector, a text is the mean of its vectors, and a
 softmax over the classes is trained with it by stochastic gradient descent in numpy, on the driver, over a bounded
-sample of labelled rows: at most SAMPLE rows a class, of at most SAMPLE_BYTES each. As the output is linear in the
+sample of labelled rows: the whole texts of at most SAMPLE rows a class. As the output is linear in the
 mean, scoring needs one learned number a bucket: a table of fixed size that every task gets.
 
 Edge cases: null and empty texts have no features and get the score of the bias alone; labels other than 0 and 1 and
@@ -26,7 +26,6 @@ from .hashing import pieces, word_hashes, words_of
 
 BITS = 18
 SAMPLE = 1500
-SAMPLE_BYTES = 200_000
 THRESHOLD = 0.3
 _SAME = 1
 
@@ -110,8 +109,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     for label in (0, 1):
         some = known.where(F.col("_label") == label).orderBy(F.xxhash64("_k"), "_k").limit(SAMPLE)
         drawn = some if drawn is None else drawn.union(some)
-    short = docs.where(F.octet_length(text) <= SAMPLE_BYTES).select(F.col(key).alias("_k"), F.col(text).cast("binary").alias("_t"))
-    rows = short.join(F.broadcast(drawn), "_k").select("_k", "_t", "_label").toPandas().sort_values(["_k", "_t"])  # at most 2 * SAMPLE keys
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(text).cast("binary").alias("_t"))
+    rows = texts.join(F.broadcast(drawn), "_k").select("_k", "_t", "_label").toPandas().sort_values(["_k", "_t"])  # at most 2 * SAMPLE keys
     return fit([bytes(t) for t in rows["_t"]], [int(x) for x in rows["_label"]])
 
 

@@ -86,8 +86,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = docs.select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id").select("doc_id", F.col("lang").alias("domain"))
     texts = docs.select("doc_id", "text")
     model = mixing.learn(texts, labelled)
-    mixed = mixing.mix(texts, model, {d: w for d, w in TARGETS.items() if d in model.domains})
-    return mixed.select("doc_id", F.col("tokens").alias("n_tokens"), "rate", "n_copies", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)))
+    mixed = mixing.mix(texts, model, TARGETS)
+    return mixed.select("doc_id", F.col("tokens").alias("n_tokens"), "rate", "n_copies", "unmet", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,9 +106,44 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+#: SHA-1 of the payload in base32: 160 bits, five at a time.
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages WHERE page_id IS NOT NULL),
+h AS (SELECT page_id, strlen(t) AS n, sha1(t) AS hex FROM p),
+b AS (SELECT *, list_aggregate(list_transform(range(1, 41), lambda i: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', hex[i])]), 'string_agg', '') AS bits FROM h),
+d AS (SELECT page_id, n, hex, list_aggregate(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * CAST(bits[5 * i + 1] AS INTEGER) + 8 * CAST(bits[5 * i + 2] AS INTEGER) + 4 * CAST(bits[5 * i + 3] AS INTEGER) + 2 * CAST(bits[5 * i + 4] AS INTEGER) + CAST(bits[5 * i + 5] AS INTEGER)]), 'string_agg', '') AS digest FROM b),
+l AS (SELECT hex, n, max(page_id) AS last FROM d GROUP BY 1, 2)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN last = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN last <> page_id THEN last END AS refers_to FROM d JOIN l USING (hex, n)
+"""
+WORDS_SQL = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+SUBSTRING_SQL = f"""
+WITH w AS (SELECT doc_id, {WORDS_SQL.format("coalesce(text, '')")} AS ws FROM documents),
+x AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+f AS (SELECT win, min(doc_id) AS m FROM x GROUP BY 1),
+g AS (SELECT DISTINCT doc_id, i + j AS pos FROM (SELECT x.doc_id, x.i, unnest(range(0, 13)) AS j FROM x JOIN f USING (win) WHERE m < x.doc_id)),
+r AS (SELECT doc_id, list(pos) AS gone FROM g GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_transform(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(gone, i)), lambda i: ws[i]) END, ' ')) AS kept_sha256 FROM w LEFT JOIN r USING (doc_id)
+"""
+#: Every pair that shares an n-gram is judged on its full sets; classes are what links reach.
+JACCARD_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL.format("lower(coalesce(text, ''))")} AS ws FROM documents),
+gr AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ') || ' *'] ELSE [] END) AS g FROM w),
+gs AS (SELECT doc_id, list(g ORDER BY g) AS s FROM gr GROUP BY 1),
+cl AS (SELECT s, min(doc_id) AS rep, count(*) AS copies FROM gs GROUP BY 1),
+rg AS (SELECT rep, copies, len(s) AS n, unnest(s) AS g FROM cl),
+cm AS (SELECT a.rep AS a, b.rep AS b, max(a.n) AS na, max(b.n) AS nb, count(*) AS c FROM rg a JOIN rg b ON a.g = b.g AND a.rep <> b.rep GROUP BY 1, 2),
+ln AS (SELECT a, b FROM cm WHERE c >= 0.8 * (na + nb - c)),
+re(a, b) AS (SELECT rep, rep FROM cl UNION SELECT re.a, ln.b FROM re JOIN ln ON ln.a = re.b),
+lb AS (SELECT a, min(b) AS class_id FROM re GROUP BY 1),
+pt AS (SELECT ln.a, sum(copies) AS p FROM ln JOIN cl ON cl.rep = ln.b GROUP BY 1)
+SELECT w.doc_id, coalesce(lb.class_id, w.doc_id) AS class_id, CAST(coalesce(cl.copies, 1) AS BIGINT) AS n_copies, CAST(coalesce(cl.copies - 1 + coalesce(p, 0), 0) AS BIGINT) AS n_links
+FROM w LEFT JOIN gs USING (doc_id) LEFT JOIN cl ON cl.s = gs.s LEFT JOIN lb ON lb.a = cl.rep LEFT JOIN pt ON pt.a = cl.rep
+"""
+
+
 def queries() -> dict:
     return {"op1_html": op1_html, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_substring": op5_substring, "op6_hilbert": op6_hilbert, "op7_jaccard": op7_jaccard, "op8_pivots": op8_pivots, "op9_mixing": op9_mixing, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_pivots": TOP_K_SQL}
+    return {"op3_warc": WARC_SQL, "op5_substring": SUBSTRING_SQL, "op7_jaccard": JACCARD_SQL, "op8_pivots": TOP_K_SQL}
