@@ -47,10 +47,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     mass = members.agg(F.sum("tokens").alias("t"), *(F.sum(F.col("tokens") * F.col("p")[i]).alias(f"t{i}") for i in range(len(model.domains)))).first()
     # the budget at which no domain needs a rate below 1
     budget = max([float(mass[f"t{i}"] or 0) / targets[d] for i, d in enumerate(model.domains) if targets[d] > 0], default=0.0)
-    rates = mixing.fit_rates(members, [targets[d] for d in model.domains], budget=budget or None, low=LOW, high=HIGH)
+    rates, _ = mixing.fit_rates(members, [targets[d] for d in model.domains], budget=budget or None, low=LOW, high=HIGH)
     times = rates.select(F.col("doc_id").alias("_id"), mixing.copies(F.col("rate"), F.col("doc_id")).alias("_times"))
     mixed = docs.join(times, docs["doc_id"] == times["_id"], "left")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce("_times", F.lit(1))))).select(*COLUMNS)
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("_times", F.lit(1).cast("long"))))).select(*COLUMNS)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
