@@ -192,7 +192,7 @@ def f9_group_hits(spark, d):
     return frames.group_hits(frames.search_pitch(sound_frames(spark, d), PITCH)).withColumn("score", F.round("score", 3))
 
 
-@query(f"{F3_SQL} SELECT sound, frame // 5 AS cell, round(median(CASE WHEN ok THEN midi END), 6) AS midi, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS share FROM fr GROUP BY 1, 2")
+@query(f"{F3_SQL} SELECT sound, frame // 5 AS cell, round(avg(CASE WHEN ok THEN midi END), 6) AS midi, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS share FROM fr GROUP BY 1, 2 HAVING count(*) = 5")
 def f11_coarse(spark, d):
     return frames.coarse(sound_frames(spark, d)).select("sound", "cell", F.round("midi", 6).alias("midi"), F.round("share", 6).alias("share"))
 

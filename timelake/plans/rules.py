@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from timelake.functions import naming
-from timelake.operators import evidence, filters, frames, lineage, measures, planning, tags
+from timelake.functions import clocks, naming, text
+from timelake.operators import evidence, filters, frames, lineage, measures, planning, sequences, tags, vectors
 from timelake.plans.measures import F3_SQL, PITCH, sound_frames
 from timelake.plans.timeline import BL, ETAGS, SP, blocks, effective, spans, table
 
@@ -346,3 +346,98 @@ def w18_partial_fragments(spark, d):
     morae = p.select("segment_id", "mora", F.concat(F.lit("k"), F.col("mora").cast("string")).alias("kana")).distinct()
     sel = l.select(F.col("segment_id").alias("id"), "segment_id").distinct().withColumns({"start": F.lit(0.0), "end": F.lit(5.0)})
     return naming.partial_fragments(sel, p, words, morae).select("id", "fragment", "whole")
+
+
+@query(f"{F3_SQL}, k AS (SELECT h.*, h.start - row_number() OVER (PARTITION BY h.sound ORDER BY h.start) AS i FROM h JOIN gap USING (sound, start) WHERE longest <= 4), r AS (SELECT *, row_number() OVER (PARTITION BY sound, i ORDER BY score, start) AS r FROM k) SELECT sound, start, round(start * 0.01::DOUBLE + 5, 6) AS source_start, round(start * 0.01::DOUBLE + 5.2, 6) AS source_end FROM r WHERE r = 1 AND sound % 2 = 0")
+def f12_search_tracks(spark, d):
+    f = sound_frames(spark, d)
+    k = lambda x, y: F.struct(F.lit(x).alias("local"), F.lit(y).alias("source"))
+    tracks = f.groupBy("sound").agg((F.max("frame") + 1).alias("f_end")).select("sound", F.col("sound").alias("id"), F.lit(0).cast("long").alias("f_start"), "f_end", F.array(k(0.0, 5.0), k(1e6, 1e6 + 5)).alias("mapping"))
+    chunks = tracks.where("sound % 2 = 0").select("sound", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("f_end") - 1) / 6000))).alias("chunk"))
+    hits = frames.search_tracks(f, tracks, chunks, PITCH)
+    return hits.select("sound", "start", F.round("source_start", 6).alias("source_start"), F.round("source_end", 6).alias("source_end"))
+
+
+# ---- clocks, texts and small rules
+
+
+def knots_to(end):
+    k = lambda x, y: F.struct(x.cast("double").alias("local"), y.cast("double").alias("source"))
+    return F.array(k(F.lit(0.0), F.lit(0.0)), k(F.lit(50.0), F.lit(50.01)), k(end, end))
+
+
+@query("SELECT o_orderkey AS id, abs(100.0 - (90 + o_orderkey % 20)) <= 0.02 AS whole FROM orders")
+def p6_full_track(spark, d):
+    o = table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), clocks.is_full_track(knots_to(F.lit(100.0)), (90 + F.col("o_orderkey") % 20).cast("double")).alias("whole"))
+
+
+@query("WITH o AS (SELECT o_orderkey AS id, CAST(80 + o_orderkey % 40 AS DOUBLE) AS dur FROM orders) SELECT id, CASE WHEN abs(100 - dur) <= 0.04 THEN 100.0::DOUBLE ELSE least(dur, 100) END AS local_end, round(CASE WHEN abs(100 - dur) <= 0.04 OR dur >= 100 THEN 100.0::DOUBLE ELSE 50.01 + (dur - 50) * (49.99 / 50) END, 6) AS source_end FROM o")
+def p5_reimport_mapping(spark, d):
+    dur = (80 + F.col("o_orderkey") % 40).cast("double")
+    m = F.element_at(clocks.reimport_mapping(knots_to(F.lit(100.0)), dur, F.lit(0.04)), -1)
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), m["local"].alias("local_end"), F.round(m["source"], 6).alias("source_end"))
+
+
+@query("SELECT o_orderkey AS id, CAST(floor((o_orderkey * 0.0037::DOUBLE - 0.005::DOUBLE) / 0.01::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS frame FROM orders")
+def j14_frame_of(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), clocks.frame_of(F.col("o_orderkey") * F.lit(0.0037)).alias("frame"))
+
+
+@query("SELECT p_partkey AS id, 'かヵ' || p_name AS hira, nfc_normalize('e' || chr(769) || p_name) AS composed FROM part".replace("かヵ", "か" + chr(0x3095)))
+def x2_x3_kana_and_nfc(spark, d):
+    p = table(spark, d, "part")
+    return p.select(F.col("p_partkey").alias("id"), text.to_hiragana(F.concat(F.lit("カヵ"), "p_name")).alias("hira"), text.nfc(F.concat(F.lit("e" + chr(769)), "p_name")).alias("composed"))
+
+
+@query("WITH n AS (SELECT p_partkey AS id, p_partkey % 128 AS n FROM part) SELECT id, ['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'][n % 12 + 1] || (n // 12 - 1) || '+20c' AS name, n AS back FROM n")
+def x6_note_names(spark, d):
+    n = (F.col("p_partkey") % 128).cast("double")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), naming.cents_name(n + 0.2).alias("name"), text.midi_of_note(text.note_name(n)).cast("long").alias("back"))
+
+
+@query("SELECT o_orderkey AS id, 'a_b_c ' || (o_orderkey % 9) || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'x' END AS part, CASE WHEN o_orderkey % 2 = 0 THEN 'éé' ELSE 'ééz' END AS cut FROM orders")
+def x10_file_parts(spark, d):
+    i = F.col("o_orderkey")
+    name = F.concat(F.lit("a/b:c   "), (i % 9).cast("string"), F.when(i % 2 == 0, ". .").otherwise("x"))
+    return table(spark, d, "orders").select(i.alias("id"), text.file_part(name).alias("part"), text.cut_bytes(F.when(i % 2 == 0, "ééé").otherwise("ééz"), 5).alias("cut"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'きゃ|ら|め|る' ELSE 'シュ|ー|ト' END AS morae FROM orders")
+def x16_morae(spark, d):
+    kana = F.when(F.col("o_orderkey") % 2 == 0, "きゃらめる").otherwise("シュート")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.array_join(text.morae(kana), "|").alias("morae"))
+
+
+@query(f"WITH {BL} SELECT sample_id, k, coalesce(s > lag(s) OVER w AND value > lag(value) OVER w, true) AS rising FROM bl WINDOW w AS (PARTITION BY sample_id ORDER BY k)")
+def w10_control_points(spark, d):
+    plan = blocks(spark, d).select("sample_id", "k", F.col("onset").alias("at"), F.col("strength").alias("target"))
+    return planning.control_points(plan).select("sample_id", "k", "rising")
+
+
+@query("WITH p AS (SELECT o_custkey AS source_id, CAST(o_orderkey % 1000 AS DOUBLE) AS s, o_orderkey % 9 = 0 AS bad, o_orderkey FROM orders WHERE o_orderkey % 7 < 4), c AS (SELECT * FROM p WHERE source_id NOT IN (SELECT source_id FROM p WHERE bad)), r AS (SELECT *, count(*) OVER (PARTITION BY source_id) AS n, row_number() OVER (PARTITION BY source_id ORDER BY s) AS i FROM c) SELECT source_id, s AS start, CASE WHEN n = 2 THEN CASE WHEN i = 1 THEN 'op' ELSE 'ed' END WHEN s + 45 < 500 THEN 'op' ELSE 'ed' END AS kind FROM r")
+def w15_name_pairs(spark, d):
+    o = table(spark, d, "orders").where("o_orderkey % 7 < 4")
+    s = (F.col("o_orderkey") % 1000).cast("double")
+    pairs = o.select(F.col("o_custkey").alias("source_id"), s.alias("start"), (s + 90).alias("end"), F.when(F.col("o_orderkey") % 9 == 0, "out-of-range").alias("error"))
+    return sequences.name_pairs(pairs, o.select(F.col("o_custkey").alias("source_id"), F.lit(1000.0).alias("duration")).distinct()).select("source_id", "start", "kind")
+
+
+@query("WITH v AS (SELECT vec_id AS id, label AS key, vec_id * 0.5::DOUBLE AS s, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), j AS (SELECT id, key, CASE WHEN s - (lag(s) OVER w + 0.3) <= 5 AND list_dot_product(v, lag(v) OVER w) >= 0 THEN 0 ELSE 1 END AS new FROM v WINDOW w AS (PARTITION BY key ORDER BY s, id)) SELECT id, CAST(sum(new) OVER (PARTITION BY key ORDER BY id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chain FROM j")
+def w19_chain_neighbours(spark, d):
+    at = F.col("vec_id") * 0.5
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("key"), at.alias("start"), (at + 0.3).alias("end"), F.col("embedding").alias("v"))
+    return vectors.chain_neighbours(rows, 5.0, 0.0).select("id", "chain")
+
+
+@query(f"WITH {SP} SELECT id, source_id, round(s, 6) AS start, 'mood:m2' AS tag FROM sp WHERE kind = 'click' AND id % 4 = 0 AND id % 6 = 2")
+def e11_promote(spark, d):
+    local = spans(spark, d, "click").where("id % 4 = 0").select(F.col("id").alias("sample_id"), F.concat(F.lit("mood:m"), (F.col("id") % 6).cast("string")).alias("tag"))
+    return tags.promote(spans(spark, d, "click"), local, "mood:m2").select("id", "source_id", F.round("start", 6).alias("start"), F.col("tags")[0].alias("tag"))
+
+
+@query("WITH f AS (SELECT DISTINCT l_orderkey AS key, l_linenumber * 0.01::DOUBLE AS t, l_quantity AS m, greatest(l_tax, 1e-6) AS w FROM lineitem WHERE l_linenumber < 6 AND l_discount > 0.01), n AS (SELECT key FROM f GROUP BY 1 HAVING count(*) >= 3), c AS (SELECT key, m, sum(w) OVER (PARTITION BY key ORDER BY m ROWS UNBOUNDED PRECEDING) AS cum, sum(w) OVER (PARTITION BY key) AS tot FROM (SELECT key, m, sum(w) AS w FROM f JOIN n USING (key) GROUP BY 1, 2)), v AS (SELECT key, min(m) AS m FROM c WHERE cum >= tot / 2 - 1e-12 * tot GROUP BY 1) SELECT o_orderkey AS key, floor(m + 0.5) AS midi, CASE WHEN m IS NULL THEN 'flatten-f0-insufficient' END AS error FROM orders LEFT JOIN v ON v.key = o_orderkey")
+def a25_target_pitch(spark, d):
+    f = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), (F.col("l_linenumber") * 0.01).alias("t"), F.when(F.col("l_discount") > 0.01, F.col("l_quantity")).alias("midi"), F.col("l_tax").alias("conf"))
+    parts = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.lit(0.0).alias("start"), F.lit(0.055).alias("end"))
+    return measures.target_pitch(f, parts).select("key", "midi", "error")
