@@ -55,7 +55,7 @@ LOOSE = {
     "phone": r"(?<![0-9+(-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])",
     "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9])(?=[0-9+/_=-]{0,200}[A-Za-z])[A-Za-z0-9+/_=-]{20,512}+(?![A-Za-z0-9])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "name": rf"(?<![\p{{L}}])(?:(?:{_TITLE})\.?\x20{_WORD}(?:\x20{_WORD})?|(?:{GIVEN})\x20{_WORD})",
+    "name": rf"(?<![\p{{L}}])(?=[A-Z]\p{{Ll}}{{1,9}}\.?\x20\p{{Lu}})(?:(?:{_TITLE})\.?\x20{_WORD}(?:\x20{_WORD})?|(?:{GIVEN})\x20{_WORD})",
     "address": rf"(?<![\p{{L}}0-9])(?:[0-9]{{1,5}}\x20(?:{_WORD}\x20){{1,3}}(?:{STREET})(?![\p{{L}}])|\p{{Lu}}\p{{L}}{{2,30}}(?:straße|strasse|weg|platz|allee)\x20[0-9]{{1,4}}[a-z]?(?![\p{{L}}0-9])|[0-9]{{1,4}},?\x20(?:rue|calle|avenida)\x20(?:(?:de|du|des|la|del)\x20){{0,2}}{_WORD})",
 }
 #: What a text must hold before a pattern is tried on it.
@@ -64,14 +64,14 @@ HINTS = {
     ("ip", True): r"t rlike '[0-9]\\.[0-9]'",
     ("card", True): r"t rlike '[0-9](?:[\\x20-]?[0-9]){15}'",
     ("phone", True): "instr(t, '+') > 0",
-    ("email", False): "(instr(t, '(') > 0 or instr(t, '[') > 0) and instr(lower(t), 'dot') > 0",
+    ("email", False): r"t rlike '[(\\[]\\x20?[dD][oO][tT]'",
     ("ip", False): r"instr(t, ':') > 0 and t rlike '[0-9A-Fa-f]:[0-9A-Fa-f]'",
     ("card", False): r"t rlike '3[0-9]{3}[\\x20-][0-9]{6}'",
     ("phone", False): r"t rlike '[0-9]{3}[.-][0-9]{4}'",
     ("secret", False): r"t rlike '[A-Za-z0-9+/_=-]{20}' and t rlike '[A-Za-z+/_=-][0-9][A-Za-z0-9+/_=-]|[0-9][A-Za-z+/_=-]'",
     ("account", False): r"t rlike '[A-Z]{2}[0-9]{2}'",
-    ("name", False): rf"t rlike '(?:{_TITLE})\\.?\\x20\\p{{Lu}}|(?:{GIVEN})\\x20\\p{{Lu}}'",
-    ("address", False): rf"t rlike '[0-9]' and t rlike '(?:{STREET})|stra(?:ß|ss)e|weg |platz |allee |rue |calle |avenida '",
+    ("name", False): rf"t rlike '(?=[A-Z]\\p{{Ll}}{{1,9}}\\.?\\x20\\p{{Lu}})(?:{_TITLE}|{GIVEN})\\.?\\x20'",
+    ("address", False): r"t rlike '[0-9]\\x20\\p{Lu}|(?:straße|strasse|weg|platz|allee)\\x20[0-9]|[0-9],?\\x20(?:rue|calle|avenida)\\x20'",
 }
 #: Words that speak for a kind when they stand before a span, and words that speak against every kind (fixed values).
 CONTEXT = {
@@ -90,7 +90,9 @@ GAZETTEER = {
     "name": rf"(?:^|\x20)(?:{GIVEN})(?:\x20|$)",
     "address": rf"(?:\x20(?:{STREET})|straße\x20[0-9]+[a-z]?|strasse\x20[0-9]+[a-z]?|\x20(?:rue|calle|avenida)\x20.*)$",
 }
-SPAN = "kind int, start int, end int, hit string, base boolean"
+#: Kinds whose spans hold a digit: most texts have none, and one look settles them all.
+DIGITS = ("ip", "card", "phone", "secret", "account", "address")
+EMPTY = "cast(array() as array<struct<kind:int,start:int,end:int,hit:string,base:boolean>>)"
 
 
 def _sql(pattern: str) -> str:
@@ -100,7 +102,7 @@ def _sql(pattern: str) -> str:
 def _matches(kind: str, base: bool) -> str:
     """SQL for the array of all matches of a kind in column t, with positions."""
     p, k = _sql((BASE if base else LOOSE)[kind]), KINDS.index(kind)
-    empty = "cast(array() as array<struct<kind:int,start:int,end:int,hit:string,base:boolean>>)"
+    empty = EMPTY
     found = f"arrays_zip(split(t, {p}, -1) as g, regexp_extract_all(t, {p}, 0) as h)".replace(" as g", "").replace(" as h", "")
     return f"""if({HINTS[kind, base]}, aggregate({found}, named_struct('pos', 0, 'out', {empty}),
         (a, x) -> named_struct('pos', a.pos + length(x.`0`) + coalesce(length(x.`1`), 0), 'out', if(x.`1` is null, a.out, concat(a.out, array(
@@ -146,7 +148,12 @@ def with_candidates(docs: DataFrame, text: str = "text", out: str = "_found") ->
     rest = docs.drop(out) if out != text else docs
     t, base, loose = (free_name(rest, f"_pii_{x}") for x in ("text", "base", "loose"))
     at = rest.withColumn(t, F.coalesce(docs[text].cast("string"), F.lit("")))
-    sql = lambda rule: "concat(" + ", ".join(_matches(k, rule) for k in (KINDS[:RULED] if rule else KINDS)) + ")"
+
+    def sql(rule):
+        kinds = KINDS[:RULED] if rule else KINDS
+        several = lambda own: f"concat({', '.join(_matches(k, rule) for k in own)})"
+        return f"concat({several([k for k in kinds if k not in DIGITS])}, if(t rlike '[0-9]', {several([k for k in kinds if k in DIGITS])}, {EMPTY}))"
+
     at = at.withColumn(base, F.expr(f"(transform(array(`{t}`), t -> {sql(True)}))[0]")).withColumn(base, F.filter(base, valid))
     at = at.withColumn(loose, F.expr(f"(transform(array(`{t}`), t -> {sql(False)}))[0]"))
     clear = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
