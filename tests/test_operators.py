@@ -137,7 +137,7 @@ def test_subtitles(spark):
     cues, problems = subtitles.parse_srt(spark.createDataFrame([("p", srt)], "path string, content string"))
     assert [(r.order, r.ref, r.start, r.end, r.text) for r in cues.orderBy("order").collect()] == [(0, "1", 1.5, 2.0, "hello\nthere"), (1, None, -1.0, 3.25, "x")]
     assert [(r.line, r.reason) for r in problems.collect()] == [(6, "no-timing")]
-    r = subtitles.parse_ass(spark.createDataFrame([("p", ass)], "path string, content string")).collect()
+    r = subtitles.parse_ass(spark.createDataFrame([("p", ass)], "path string, content string"))[0].collect()
     assert [(x.start, x.end, x.text) for x in r] == [(1.5, 2.0, "a, b\nc d")]
 
 

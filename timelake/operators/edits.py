@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from timelake.functions.text import classify_cue
 from timelake.operators.intervals import overlap_join
 
 
@@ -112,3 +113,17 @@ def plan_token(plan: DataFrame, *columns: str) -> DataFrame:
     """One row: a digest of a plan, the same for the same rows in any order."""
     per = plan.select(F.xxhash64(*columns).alias("h"))
     return per.agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.pmod("h", F.lit(1 << 31))).alias("s")).select(F.sha2(F.concat_ws(":", "n", "x", "s").cast("binary"), 256).alias("token"))
+
+
+def plan_speakers(segments: DataFrame) -> DataFrame:
+    """(id, version, speakers, withheld): segments whose speakers follow anew from their raw text and differ from what they have.
+
+    segments: id, version, origin, speaker_edited, protected, deleted, raw, speakers, withheld. Only subtitle lines that are neither
+    protected nor edited by hand, and whose raw text is known, are looked at; texts that are no speech have no speakers.
+    """
+    open_ = segments.where("origin = 'subtitle' and not speaker_edited and not protected and not deleted and raw is not null").withColumn("_c", classify_cue(F.col("raw")))
+    speech = F.col("_c.kind") == "line"
+    names = F.when(speech, F.col("_c.speakers")).otherwise(F.array().cast("array<string>"))
+    held = speech & F.col("_c.withheld")
+    changed = ~names.eqNullSafe(F.coalesce("speakers", F.array().cast("array<string>"))) | (held != F.coalesce("withheld", F.lit(False)))
+    return open_.where(changed).select("id", "version", names.alias("speakers"), held.alias("withheld"))

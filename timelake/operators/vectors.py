@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timelake.operators.intervals import overlap_join
+
 #: References that are broadcast; more are joined by shuffling.
 MAX_BROADCAST = 20_000
 #: References and vectors in one block where they are joined by shuffling.
@@ -55,19 +59,41 @@ def class_means(refs: DataFrame) -> DataFrame:
     return per.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
 
 
-def assign_by_means(vectors: DataFrame, refs: DataFrame, margin: float = 0.0) -> DataFrame:
-    """(id, label, top, lead) by the cosine with each class's mean."""
+def assign_by_means(vectors: DataFrame, refs: DataFrame, margin: float = 0.0, confirmed: DataFrame | None = None, relax: float = 0.05, near: float = 60.0) -> DataFrame:
+    """(id, label, top, lead) by the cosine with each class's mean.
+
+    confirmed: source_id, start, end, label, lines whose class is settled. With it, `vectors` also have source_id, start and end, and
+    a class that is settled for a line at most `near` seconds away needs a margin less by `relax`.
+    """
     means = class_means(refs).select("label", normalized(F.col("v")).alias("m"))
     scored = vectors.select("id", "v").join(F.broadcast(means), F.lit(True)).select("id", "label", dot(F.col("v"), F.col("m")).alias("score"))  # one row a class
-    return _winner(scored, margin)
+    if confirmed is None:
+        return _winner(scored, margin)
+    best = _winner(scored, float("-inf"))
+    wide = vectors.select("id", "source_id", (F.col("start") - near).alias("start"), (F.col("end") + near).alias("end"))
+    close = overlap_join(wide, confirmed.select("source_id", "start", "end", "label"), eps=0.0).select("id", F.col("r_label").alias("label")).distinct()
+    eased = best.join(close.withColumn("_near", F.lit(True)), ["id", "label"], "left")
+    enough = F.col("lead") >= margin - F.when(F.col("_near"), relax).otherwise(0.0) - 1e-12
+    return eased.select("id", F.when(enough, F.col("label")).alias("label"), "top", "lead")
+
+
+def predict_by_folds(rows: DataFrame, folds: int = 4, k: int = 5) -> DataFrame:
+    """(id, label, top, lead, truth): each labelled vector (id, label, v) judged by the references of all other folds.
+
+    Folds are drawn by the hash of the id. One pass a fold; `calibrate_margin` reads the union.
+    """
+    drawn = rows.withColumn("_fold", F.pmod(F.xxhash64("id"), F.lit(folds)))
+    parts = [assign_by_neighbours(drawn.where(F.col("_fold") == i), drawn.where(F.col("_fold") != i).select("label", "v"), k, float("-inf")) for i in range(folds)]
+    return reduce(DataFrame.union, parts).join(rows.select("id", F.col("label").alias("truth")), "id")
 
 
 def calibrate_margin(scored: DataFrame, target: float) -> DataFrame:
     """One row: the least lead at which the share of right labels among those at or above it reaches the target.
 
-    Rows of equal lead are added up first; the running sums are over distinct leads rounded to 1e-4.
+    Rows of equal lead, rounded to 1e-4, are added up first: the running sums are over at most 20,001 distinct leads.
     """
-    per = scored.groupBy(F.round("lead", 4).alias("lead")).agg(F.count("*").alias("n"), F.sum((F.col("label") == F.col("truth")).cast("long")).alias("right"))
+    lead = F.round(F.least("lead", F.lit(2.0)), 4)
+    per = scored.groupBy(lead.alias("lead")).agg(F.count("*").alias("n"), F.sum((F.col("label") == F.col("truth")).cast("long")).alias("right"))
     w = Window.orderBy(F.desc("lead"))
     run = per.withColumn("precision", F.sum("right").over(w) / F.sum("n").over(w))
     return run.where(F.col("precision") >= target).agg(F.min("lead").alias("margin"))

@@ -38,23 +38,36 @@ def parse_srt(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cues, g.where("at is null").select("path", (F.col("first") + 1).alias("line"), F.lit("no-timing").alias("reason"))
 
 
-def parse_ass(files: DataFrame) -> DataFrame:
-    """Dialogue lines of the [Events] section of ASS/SSA files, by the columns that its Format line names."""
+#: Columns of a section without a Format line.
+ASS_FORMAT = "Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"
+
+
+def parse_ass(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cues, problems) of ASS/SSA files: dialogue lines of the [Events] section, by the columns that its Format line names.
+
+    cues: path, order (from 1), ref (the dialogue's number), start, end, text, line; problems: path, line, reason (bad-dialogue
+    for too few columns, no-timing for times that cannot be read).
+    """
     lines = files.select("path", F.posexplode(F.split(F.regexp_replace(F.regexp_replace("content", "^﻿", ""), "\r\n?", "\n"), "\n")).alias("n", "l"))
     w = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     section = F.last(F.when(F.col("l").rlike(r"^\s*\["), F.lower(F.trim("l"))), ignorenulls=True).over(w)
-    fmt = F.last(F.when(F.col("l").rlike(r"(?i)^\s*Format\s*:"), F.col("l")), ignorenulls=True).over(w)
-    d = lines.withColumn("_s", section).withColumn("_f", fmt).where((F.col("_s") == "[events]") & F.col("l").rlike(r"(?i)^\s*Dialogue\s*:"))
+    # a Format line holds until the next section
+    named = F.last(F.when(F.col("l").rlike(r"(?i)^\s*Format\s*:"), F.col("l")).when(F.col("l").rlike(r"^\s*\["), ASS_FORMAT), ignorenulls=True).over(w)
+    d = lines.withColumn("_s", section).withColumn("_f", named).where((F.col("_s") == "[events]") & F.col("l").rlike(r"(?i)^\s*Dialogue\s*:"))
+    d = d.withColumn("ref", F.row_number().over(Window.partitionBy("path").orderBy("n")).cast("string"))
     names = F.transform(F.split(F.regexp_replace("_f", r"(?i)^\s*Format\s*:", ""), ","), lambda x: F.lower(F.trim(x)))
-    d = d.withColumn("_n", names).withColumn("_r", F.regexp_replace("l", r"(?i)^\s*Dialogue\s*:\s*", ""))
-    d = d.withColumn("_c", F.split("_r", ","))
+    d = d.withColumn("_n", names).withColumn("_c", F.split(F.regexp_replace("l", r"(?i)^\s*Dialogue\s*:\s*", ""), ","))
     value = lambda name: F.get(F.col("_c"), F.array_position("_n", name).cast("int") - 1)
     at = F.array_position("_n", "text").cast("int")
-    text = F.array_join(F.slice("_c", at, F.greatest(F.size("_c") - at + 1, F.lit(0))), ",")
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\{[^}]*\}|<[^>]*>", ""), r"\\N", "\n"), r"\\[nh]", " ")
+    whole = F.array_join(F.slice("_c", at, F.greatest(F.size("_c") - at + 1, F.lit(0))), ",")
+    whole = F.regexp_replace(F.regexp_replace(F.regexp_replace(whole, r"\{[^}]*\}|<[^>]*>", ""), r"\\N", "\n"), r"\\[nh]", " ")
     clock = r"^\s*(-?\d+):(\d{1,2}):(\d{1,2})[.,](\d{1,3})\s*$"
-    good = d.where(at > 0).select("path", (F.col("n") + 1).alias("line"), _seconds(value("start"), 1, clock).alias("start"), _seconds(value("end"), 1, clock).alias("end"), F.trim(text).alias("text"))
-    return good.withColumn("order", F.row_number().over(Window.partitionBy("path").orderBy("line")) - 1)
+    named_all = (at > 0) & F.array_contains("_n", "start") & F.array_contains("_n", "end") & (F.size("_c") >= F.size("_n"))
+    d = d.withColumns({"_ok": named_all, "start": _seconds(value("start"), 1, clock), "end": _seconds(value("end"), 1, clock), "line": F.col("n") + 1})
+    timed = F.col("start").isNotNull() & F.col("end").isNotNull()
+    good = d.where(F.col("_ok") & timed).select("path", "ref", "line", "start", "end", F.trim(F.when(at > 0, whole)).alias("text"))
+    problems = d.where(~F.col("_ok") | ~timed).select("path", "line", F.when(~F.col("_ok"), "bad-dialogue").otherwise("no-timing").alias("reason"))
+    return good.withColumn("order", F.row_number().over(Window.partitionBy("path").orderBy("line"))), problems
 
 
 def read_texts(spark: SparkSession, glob: str) -> DataFrame:

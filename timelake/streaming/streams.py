@@ -44,6 +44,27 @@ def sessions(events: DataFrame, key: str, time: str, gap: str, late: str) -> Dat
     return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def islands(events: DataFrame, key: str, time: str, gap: str, late: str) -> DataFrame:
+    """(key, start, end, n, members): islands of events on a stream: a space of `gap` ends one, late rows beyond `late` are dropped.
+
+    On a stream in append mode an island comes out once no event can join it any more.
+    """
+    w = F.session_window(F.col(time), gap)
+    members = F.array_sort(F.collect_list(F.struct(F.col(time).alias("at"), F.col("id").alias("id"))))
+    out = events.withWatermark(time, late).groupBy(key, w.alias("w")).agg(F.count("*").alias("n"), members.alias("members"))
+    return out.select(key, F.col("w.start").alias("start"), F.element_at("members", -1)["at"].alias("end"), "n", "members")
+
+
+def preparation(changes: DataFrame, gap: str, late: str) -> DataFrame:
+    """(entity, id, start, n): each object that a burst of changes (entity, id, ts) touched, once a burst: what is to be prepared anew.
+
+    Changes closer than `gap` are one burst; repeated ones are dropped by the watermark and not planned twice.
+    """
+    once = changes.withWatermark("ts", late).dropDuplicatesWithinWatermark(["entity", "id", "ts"])
+    w = F.session_window(F.col("ts"), gap)
+    return once.groupBy("entity", "id", w.alias("w")).agg(F.count("*").alias("n")).select("entity", "id", F.col("w.start").alias("start"), "n")
+
+
 def progress(items: DataFrame) -> DataFrame:
     """(job_id, total, ok, failed) so far; on a stream in update or complete mode."""
     count = lambda s: F.sum((F.col("status") == s).cast("long"))
