@@ -42,7 +42,7 @@ def best_of(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
         q, x = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
     else:
         q, x = np.nonzero(scores > -np.inf)
-    s = scores[q, x]
+    s = (queries[q] * vectors[x]).sum(1)  # the same for a pair in every cell
     order = np.lexsort((ids[x], -s, q))
     q, x, s = q[order], x[order], s[order]
     first = np.searchsorted(q, np.arange(len(query_ids)))
@@ -94,13 +94,13 @@ def scanned(rows: DataFrame, queries: DataFrame) -> float:
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of all cells; a row that several cells found counts once."""
-    from pyspark.sql import Window
+    """(query_id, rank, vec_id, score): the k best of all cells; a row that several cells found counts once.
 
-    pairs = found.select("query_id", F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("scores").alias("score"))).alias("hit")).select("query_id", F.col("hit.id").alias("vec_id"), F.col("hit.score").alias("score"))
-    once = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    A query's visits each bring at most k rows; they meet as arrays, and only the k best become rows.
+    """
+    entries = F.transform(F.arrays_zip(F.col("scores").alias("score"), F.col("ids").alias("id")), lambda z: F.struct((-z["score"]).alias("neg"), z["id"].alias("id")))
+    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(entries)))), 1, k).alias("best"))
+    return best.select("query_id", F.posexplode("best").alias("rank", "hit")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("hit.id").alias("vec_id"), (-F.col("hit.neg")).alias("score"))
 
 
 def mapped(df: DataFrame, out: str, f: Callable[[np.ndarray, np.ndarray], dict[str, pa.Array]]) -> DataFrame:
