@@ -59,8 +59,14 @@ def learn(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str =
     The priors are those of all labelled rows.
     """
     known = labelled.where(F.col(key).isNotNull() & F.col(domain).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(domain).alias("_d"))
+    counts = {r._d: r["count"] for r in known.groupBy("_d").count().collect()}  # one row a domain
+    if not counts:
+        raise ValueError("the labelled table has no domains")
+    # a hash leaves about four times as many rows as are wanted, so that a large domain does not meet in one task
+    share = F.create_map(*(x for d, n in counts.items() for x in (F.lit(d), F.lit(4.0 * SAMPLE / n))))
+    few = known.where(F.pmod(F.xxhash64("_k", F.lit("few")), F.lit(1 << 20)) / (1 << 20) < share[F.col("_d")])
     place = F.row_number().over(Window.partitionBy("_d").orderBy(F.xxhash64("_k"), "_k"))
-    drawn = known.withColumn("_r", place).where(F.col("_r") <= SAMPLE).drop("_r")  # SAMPLE rows a domain
+    drawn = few.withColumn("_r", place).where(F.col("_r") <= SAMPLE).drop("_r")  # SAMPLE rows a domain
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(drawn), "_k")
     seen = rows.select("_d", F.explode(words_of(F.col("_t"))).alias("word")).where("word <> ''").groupBy("_d", "word").agg(F.count("*").alias("n"))
     seen = saved(seen, "words")
@@ -68,7 +74,6 @@ def learn(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str =
     if not totals:
         raise ValueError("the labelled table has no words")
     domains = tuple(sorted(totals))
-    counts = {r._d: r["count"] for r in known.groupBy("_d").count().collect()}  # one row a domain
     wide = seen.groupBy("word").pivot("_d", list(domains)).agg(F.sum("n"))
     logs = [F.log((F.coalesce(F.col(f"`{d}`"), F.lit(0)) + 0.5) / (totals[d] + 1.0)) for d in domains]
     spread = sum((F.abs(x - y) for i, x in enumerate(logs) for y in logs[i + 1 :]), F.lit(0.0))
@@ -157,7 +162,8 @@ def fit_rates(members: DataFrame, targets: list[float], budget: float | None = N
     # few posteriors are shared by most documents: those rows are spread over salts
     spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = members.withColumn("salt", F.pmod(F.xxhash64(*members.columns), F.lit(SALTS)).cast("int"))
-    return salted.join(spread, ["p", "salt"]).select(*members.columns, "rate"), Fit(turn, tuple(totals), tuple(wanted), met)
+    # the distinct posteriors have no bound: merged, never broadcast
+    return salted.join(spread.hint("merge"), ["p", "salt"]).select(*members.columns, "rate"), Fit(turn, tuple(totals), tuple(wanted), met)
 
 
 def copies(rate: Column, key: Column) -> Column:
