@@ -20,13 +20,14 @@ def components(links: DataFrame) -> DataFrame:
     both = saved(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("n2")).agg(F.min("label").alias("near"))
-        best = labels.join(near, labels["node"] == near["n2"]).select("node", "label", F.least("label", "near").alias("best"))
+        # merged at every size: a broadcast would pass through the driver in each round
+        near = both.join(labels.hint("merge"), both["b"] == labels["node"]).groupBy(F.col("a").alias("n2")).agg(F.min("label").alias("near"))
+        best = labels.join(near.hint("merge"), labels["node"] == near["n2"]).select("node", "label", F.least("label", "near").alias("best"))
         # in a giant component all nodes ask for the same few labels: each is looked up once and given out by salts
-        far = best.select("best").distinct().join(labels.select(F.col("node").alias("best"), F.col("label").alias("far")), "best")
+        far = best.select("best").distinct().join(labels.select(F.col("node").alias("best"), F.col("label").alias("far")).hint("merge"), "best")
         far = far.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salted = best.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-        step = saved(salted.join(far, ["best", "salt"]).select("node", F.least("best", "far").alias("new"), "label"), "labels")
+        step = saved(salted.join(far.hint("merge"), ["best", "salt"]).select("node", F.least("best", "far").alias("new"), "label"), "labels")
         drop(labels)
         labels = step.select("node", F.col("new").alias("label"))
         labels.saved_path = step.saved_path

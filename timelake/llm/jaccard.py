@@ -9,7 +9,8 @@ at a cost in proportion to its size; then, in all bands, only texts that no link
 A task gives back the verified links that connect its parts. So every pair that shares a bucket is verified, or is
 connected by verified links, or has set sizes too far apart; no cap drops a pair. Two similar texts are then in one
 component, so the number of links is counted there: blocks of a component meet in tasks once a pair, and only counts
-leave the tasks. SMALL and the block sizes decide how the work is dealt, never the result.
+leave the tasks. SMALL and the block sizes decide how the work is dealt, never the result. No side of a join has a proven
+bound, so all are merged, and the driver gets counts alone.
 
 Edge cases: null, empty and blank texts have no n-grams, no links and a class of their own. Rows with a null key get
 no row. Rows of equal key are one document in the result: it takes the smallest class and the most links of its texts;
@@ -115,8 +116,8 @@ def _sets(n: int):
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """`pairs` (with a and b) and their exact Jaccard similarity `sim`."""
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")).hint("merge"), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")).hint("merge"), "b")
     common = F.size(F.array_intersect("ga", "gb"))
     return both.select(*pairs.columns, (common / (F.size("ga") + F.size("gb") - common)).alias("sim"))
 
@@ -132,11 +133,11 @@ def _links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Verified links (a < b) that connect all similar texts of each bucket. members: (bucket, band, id, n, size)."""
     few = members.where(F.col("size") <= SMALL).select("bucket", F.col("id").alias("a"), F.col("n").alias("na"))
     other = few.select("bucket", F.col("a").alias("b"), F.col("na").alias("nb"))
-    links = _verified_links(few.join(other, "bucket").where("a < b"), sets, threshold)
+    links = _verified_links(few.join(other.hint("merge"), "bucket").where("a < b"), sets, threshold)
     large = saved(members.where(F.col("size") > SMALL).select("bucket", "band", "id", "n"), "large")
     links = saved(links.union(_block_links(_first_blocks(large.where("band = 0")), sets, threshold)), "links")
     labels = components(links)
-    rows = saved(large.join(labels, large["id"] == labels["node"], "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("comp")), "labelled")
+    rows = saved(large.join(labels.hint("merge"), large["id"] == labels["node"], "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("comp")), "labelled")
     more = saved(links.union(_block_links(_blocks(rows, threshold), sets, threshold)), "links")
     drop(large, labels, rows, links)
     return more
@@ -157,8 +158,8 @@ def _first_blocks(rows: DataFrame) -> DataFrame:
     """(gid, id, comp): each bucket's texts by blocks, each block with the bucket's centers (the smallest texts by hash)."""
     info = saved(rows.groupBy("bucket").agg(_parts_of(F.count("*"), F.sum("n"), 2).alias("k")), "first-blocks")
     centers = rows.groupBy("bucket", F.pmod(F.xxhash64("id", F.lit("center")), F.lit(CENTERS)).alias("c")).agg(F.min_by("id", F.xxhash64("id", "bucket")).alias("id"))
-    shared = centers.join(info, "bucket").select("bucket", "id", F.explode(_upto(F.col("k"))).alias("j"))
-    own = rows.join(info, "bucket").select("bucket", "id", F.pmod(F.xxhash64("id", "bucket"), F.col("k")).alias("j"))
+    shared = centers.join(info.hint("merge"), "bucket").select("bucket", "id", F.explode(_upto(F.col("k"))).alias("j"))
+    own = rows.join(info.hint("merge"), "bucket").select("bucket", "id", F.pmod(F.xxhash64("id", "bucket"), F.col("k")).alias("j"))
     return own.union(shared).select(F.xxhash64("bucket", "j", F.lit("first")).alias("gid"), "id", F.col("id").alias("comp"))
 
 
@@ -172,12 +173,12 @@ def _blocks(rows: DataFrame, threshold: float) -> DataFrame:
     parts = saved(rows.groupBy("bucket", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("g"), F.min("n").alias("least"), F.max("n").alias("most")), "parts")
     by = F.struct("k", "comp")
     main = parts.groupBy("bucket").agg(F.max_by("comp", by).alias("main"), F.max("k").alias("k"), F.max_by("g", by).alias("g"), F.sum("k").alias("all"), F.sum("g").alias("all_g")).where("all > k")
-    rest = parts.join(main.select("bucket", "main"), "bucket").where("comp <> main")
+    rest = parts.join(main.select("bucket", "main").hint("merge"), "bucket").where("comp <> main")
     reach = rest.groupBy("bucket").agg((F.min("least") * threshold).alias("low"), (F.max("most") / threshold).alias("high"))
-    info = main.join(reach, "bucket").select(
+    info = main.join(reach.hint("merge"), "bucket").select(
         "bucket", "main", "low", "high", _parts_of(F.col("k"), F.col("g")).alias("n_main"), _parts_of(F.col("all") - F.col("k"), F.col("all_g") - F.col("g")).alias("n_rest"), ((F.col("all") <= 2 * BLOCK) & (F.col("all_g") <= 2 * GRAMS)).alias("one")
     )
-    mixed = rows.join(saved(info, "mixed"), "bucket").withColumn("is_main", F.col("comp") == F.col("main"))
+    mixed = rows.join(saved(info, "mixed").hint("merge"), "bucket").withColumn("is_main", F.col("comp") == F.col("main"))
     mixed = mixed.where(~F.col("is_main") | F.col("n").between(F.col("low"), F.col("high")))
     own = F.pmod(F.xxhash64("id", "bucket"), F.when(F.col("is_main"), F.col("n_main")).otherwise(F.col("n_rest")))
     group = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("long").alias("i"), j.cast("long").alias("j"))
@@ -246,7 +247,7 @@ def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple],
 
 def _with_sets(groups: DataFrame, sets: DataFrame) -> DataFrame:
     """`groups` and their texts' sets, one group after another; a task holds one group's sets at a time."""
-    filled = groups.join(sets, "id").select(*groups.columns, "grams")
+    filled = groups.join(sets.hint("merge"), "id").select(*groups.columns, "grams")
     return filled.repartition(partitions(groups.sparkSession), "gid").sortWithinPartitions("gid")
 
 
@@ -270,7 +271,7 @@ def _meetings(texts: DataFrame, threshold: float) -> DataFrame:
     """
     whole = texts.groupBy("comp").agg(((F.count("*") <= 2 * BLOCK) & (F.sum("n") <= 2 * GRAMS)).alias("one"))
     level = F.when(F.col("one"), F.lit(0)).otherwise(F.floor(F.log("n") / (math.log(1 / threshold) + 1e-9))).cast("long")
-    leveled = saved(texts.join(saved(whole, "whole"), "comp").select("comp", "id", "n", "copies", level.alias("level")), "leveled")
+    leveled = saved(texts.join(saved(whole, "whole").hint("merge"), "comp").select("comp", "id", "n", "copies", level.alias("level")), "leveled")
     blocks = leveled.groupBy("comp", "level").agg(_parts_of(F.count("*"), F.sum("n"), 2).alias("k"))
     by_level = saved(blocks.groupBy("comp").agg(F.map_from_entries(F.collect_list(F.struct("level", "k"))).alias("blocks")), "levels")
     here, zero = F.col("level"), F.lit(0).cast("long")
@@ -280,7 +281,7 @@ def _meetings(texts: DataFrame, threshold: float) -> DataFrame:
     among = F.transform(_upto(blocks_of(here)), lambda j: group(here, F.least(own, j), here, F.greatest(own, j), F.when(own == j, 2).when(own < j, 0).otherwise(1)))
     above = F.transform(_upto(blocks_of(here + 1)), lambda j: group(here, own, here + 1, j, F.lit(0)))
     below = F.transform(_upto(blocks_of(here - 1)), lambda i: group(here - 1, i, here, own, F.lit(1)))
-    placed = leveled.join(by_level, "comp").withColumn("own", F.pmod(F.xxhash64("id", "comp"), blocks_of(here)))
+    placed = leveled.join(by_level.hint("merge"), "comp").withColumn("own", F.pmod(F.xxhash64("id", "comp"), blocks_of(here)))
     met = placed.select("comp", "id", "copies", F.explode(F.concat(among, above, below)).alias("g"))
     return met.select(F.xxhash64("comp", "g.low", "g.i", "g.high", "g.j").alias("gid"), "id", "copies", F.col("g.side").alias("side"))
 
@@ -316,18 +317,18 @@ def _classes(docs: DataFrame, n: int, threshold: float, recall: float, key: str,
     reps = saved(sets_of.withColumn("node", F.monotonically_increasing_id()), "reps")
     buckets = reps.select(F.col("node").alias("id"), "n", F.posexplode("bands").alias("band", "bucket"))
     sizes = saved(buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    members = saved(buckets.join(sizes, "bucket"), "buckets")
-    wanted = members.select("id").distinct().join(reps, F.col("id") == reps["node"]).select("rep.id", "rep.h", "node")
+    members = saved(buckets.join(sizes.hint("merge"), "bucket"), "buckets")
+    wanted = members.select("id").distinct().join(reps.hint("merge"), F.col("id") == reps["node"]).select("rep.id", "rep.h", "node")
     # the list of candidates has no bound: it is merged at every size, never broadcast; repeated rows count once
     texts = source.join(wanted.hint("merge"), ["id", "h"]).groupBy("id", "h").agg(F.first("node").alias("node"), F.first("t").alias("t"))
     sets = saved(texts.select("node", "t").mapInArrow(_sets(n), "id long, grams array<long>"), "sets")
     links = _links(members, sets, threshold)
     labels = components(links)
-    linked = saved(labels.join(reps, "node").select(F.col("label").alias("comp"), F.col("node").alias("id"), "n", "copies", "rep"), "linked")
+    linked = saved(labels.join(reps.hint("merge"), "node").select(F.col("label").alias("comp"), F.col("node").alias("id"), "n", "copies", "rep"), "linked")
     partners = _partners(linked.select("comp", "id", "n", "copies"), sets, threshold)
     first = saved(linked.groupBy("comp").agg(F.min("rep").alias("first")), "first")
-    named = linked.join(first, "comp").join(partners, "id", "left").select(F.col("id").alias("node"), "first", "partners")
-    by_set = reps.drop("bands").join(named, "node", "left").select(*_SAME, F.coalesce("first", "rep").alias("first"), "rep", "copies", F.coalesce("partners", F.lit(0)).alias("partners"))
+    named = linked.join(first.hint("merge"), "comp").join(partners.hint("merge"), "id", "left").select(F.col("id").alias("node"), "first", "partners")
+    by_set = reps.drop("bands").join(named.hint("merge"), "node", "left").select(*_SAME, F.coalesce("first", "rep").alias("first"), "rep", "copies", F.coalesce("partners", F.lit(0)).alias("partners"))
     by_set = saved(by_set, "classes")
     drop(sizes, members, sets, links, labels, linked, first, reps)
     return sketch.drop("bands"), by_set
@@ -340,7 +341,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     """
     sketch, by_set = _classes(docs, n, threshold, recall, key, text)
     links = F.col("copies") - 1 + F.col("partners")
-    found = sketch.where("n > 0").join(by_set, _SAME).select("id", F.col("first.id").alias("class_id"), "copies", links.alias("links"))
+    found = sketch.where("n > 0").join(by_set.hint("merge"), _SAME).select("id", F.col("first.id").alias("class_id"), "copies", links.alias("links"))
     alone = sketch.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("links"))
     return (
         found.union(alone)

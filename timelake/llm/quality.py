@@ -81,7 +81,7 @@ def fit(texts: list[bytes], labels: list[int], dims: int = 8, epochs: int = 4, r
         bucket, ends = bucket[order], np.searchsorted(owner[order], np.arange(b - a + 1))
         for i in range(b - a):
             ids, n = np.unique(bucket[ends[i] : ends[i + 1]], return_counts=True)
-            rows.append((ids, n / max(n.sum(), 1), labels[a + i]))
+            rows.append((ids, (n / max(n.sum(), 1)).astype(np.float32), labels[a + i]))
     share = np.bincount(labels, minlength=2) / len(labels)
     total, step = epochs * len(rows), 0
     for _ in range(epochs):
