@@ -1,7 +1,8 @@
 """The corpus pipeline: quality filter, near-duplicate removal, redaction, mixing and tokenising.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs.
-All but the last return the columns of documents. Null texts count as empty; rows with a null doc_id stay.
+All but the last return the columns of documents, and none looks at further ones. Null texts count as empty; rows with
+a null doc_id stay. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,22 +22,24 @@ FLATTEN, LOW, HIGH = 0.7, 1.0, 3.0
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label")).where(~held_out())
+    docs = docs.select(*COLUMNS)
     return quality.score(docs, quality.train(docs, labels), out="_score").where(F.col("_score") >= quality.THRESHOLD).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies: that with the smallest doc_id."""
-    return jaccard.keep_one(docs).select(*COLUMNS)
+    return jaccard.keep_one(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by its kind; n_chars follows."""
-    found = pii.detect(docs, out="_spans")
+    found = pii.detect(docs.select(*COLUMNS), out="_spans")
     return found.withColumn("text", pii.redacted(F.col("text"), F.col("_spans"))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, and again as its rate asks, so that the languages' shares come nearer to each other."""
+    docs = docs.select(*COLUMNS)
     known = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id").distinct()
     labelled = docs.select("doc_id", F.col("lang").alias("domain")).join(known, "doc_id")
     if labelled.where("domain is not null").limit(1).count() == 0:
