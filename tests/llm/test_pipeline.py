@@ -35,3 +35,39 @@ def test_stages(spark, tmp_path):
 def test_run(spark):
     if os.path.isdir(SF):
         assert cp.run(spark, SF).count() > 0
+
+
+NAMES = "doc_id long, text string, lang string, source string, n_chars long, _score double, _spans string, _id long, _key long, _copy int"
+
+
+def odd(spark):
+    """Nulls in every column, empty, long and repeated texts, several texts of a key, and columns with the stages' own names."""
+    long = " ".join(f"word{i}" for i in range(30_000)) + " joe@site.com"
+    texts = [(1, "the quick brown fox jumps over the lazy dog"), (1, "the quick brown fox jumps over the lazy dog"), (1, "another text of the same key altogether here"), (2, None), (3, ""), (4, long), (5, long), (None, "no key, mail a@b.de"), (None, None), (6, "x")]
+    rows = [(k, t, None if k is None else "en", None if k == 3 else "src0", None if t is None else len(t), 1.0, "s", 7, 8, 9) for k, t in texts]
+    return spark.createDataFrame(rows, NAMES)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_stages_on_odd_rows(spark):
+    docs = odd(spark)
+    known = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    good = cp.quality_stage(spark, docs, SF)  # no labelled rows among them: every score is one half, and all stay
+    assert good.columns == cp.COLUMNS and good.count() == docs.count()
+    one = cp.near_duplicate_stage(spark, docs, SF)
+    kept = sorted(((r.doc_id, None if r.text is None else r.text[:11]) for r in one.collect()), key=str)
+    assert kept == sorted([(1, "the quick b"), (1, "another tex"), (2, None), (3, ""), (4, "word0 word1"), (None, "no key, mai"), (None, None), (6, "x")], key=str)
+    clean = {(r.doc_id, r.text if r.text is None else r.text[-7:]): r.n_chars for r in cp.pii_stage(spark, docs, SF).collect()}
+    assert clean[4, "[EMAIL]"] == len(docs.where("doc_id = 4").first().text) - len("joe@site.com") + 7 and clean[2, None] is None and (None, "[EMAIL]") in clean
+    both = docs.select(*cp.COLUMNS).union(known)
+    mixed = cp.mixing_stage(spark, both, SF)
+    assert mixed.columns == cp.COLUMNS and mixed.count() >= both.count() and mixed.where("doc_id is null").count() == 2
+    ids = {r.doc_id: r.n_tokens for r in cp.bpe_stage(spark, docs, SF).collect()}
+    assert ids[2] == ids[3] == 0 and ids[4] > 30_000
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_stages_on_an_empty_table(spark):
+    none = odd(spark).limit(0)
+    for _, stage in cp.STAGES:
+        assert stage(spark, none, SF).count() == 0
