@@ -41,15 +41,15 @@ def corpus(seed=5):
     return rows + [(900, None), (901, ""), (902, " \n"), (903, rows[0][1].upper()), (904, "x"), (905, "x"), (906, "y")]
 
 
-@pytest.mark.parametrize("block", [4, 128])
-def test_classes_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("small", "block"), [(1, 4), (8, 128), (1000, 16)])
+def test_classes_and_links_against_brute_force(spark, monkeypatch, small, block):
+    monkeypatch.setattr(jaccard, "SMALL", small)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = corpus(seed=block)
     got = {r.doc_id: r for r in jaccard.jaccard_classes(spark.createDataFrame([(a, b, 0) for a, b in rows], "doc_id long, text string, id int").repartition(3)).collect()}
     label, edges = brute(rows)
     assert {k: r.class_id for k, r in got.items()} == label
-    degree = {k: sum(k in e for e in edges) for k in label}
-    assert all(got[k].n_links <= degree[k] and (got[k].n_links > 0) == (degree[k] > 0) for k in label)
+    assert {k: r.n_links for k, r in got.items()} == {k: sum(k in e for e in edges) for k in label}
     kept = jaccard.keep_one(spark.createDataFrame(rows + [(None, "q"), (904, "x")], "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(k for k, c in label.items() if k == c)
     assert sum(r.doc_id is None for r in kept) == 1
@@ -72,6 +72,15 @@ def test_every_link_of_large_groups_is_counted(spark, monkeypatch, block, most):
     assert got == {k: sum(k in e for e in edges) for k, _ in rows}
 
 
+def test_a_key_with_several_texts(spark):
+    one, two = " ".join("a%d" % i for i in range(40)), " ".join("b%d" % i for i in range(40))
+    rows = [(7, one), (7, two), (3, two), (9, one), (9, one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_copies, r.n_links) for r in jaccard.jaccard_classes(df).collect()}
+    assert got == {7: (3, 2, 1), 3: (3, 2, 1), 9: (7, 2, 1)}
+    assert sorted((r.doc_id, r.text[:2]) for r in jaccard.keep_one(df.withColumn("_key", df["doc_id"])).collect()) == [(3, "b0"), (7, "a0")]
+
+
 def test_empty(spark):
     assert jaccard.jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
