@@ -7,9 +7,9 @@ nonnegative rate (how often it is to be read). Projected gradient descent minimi
 expected token totals of the domains, sum of rate * tokens * posterior, and their targets, each weighted by the
 domain's own mass, so that a small domain's target counts as much as a large one's. Documents of equal posterior get
 equal rates, so an iteration is one aggregation over the distinct posteriors, to a few numbers a domain; rates are
-written to the shared folder every few iterations. It ends when the targets are met, or when no rate moves any more
-(targets that the bounds do not allow); otherwise it is an error that names the distance. `unmet` tells how far off
-the targets the fit is.
+written to the shared folder every few iterations. It ends when the targets are met, when no rate moves any more or a
+step brings less than a ten-thousandth of the distance (targets that the bounds do not allow), or after 100 rounds.
+`unmet` tells how far off its target the worst domain is then.
 
 Edge cases: null and empty texts have no tokens, the prior as posterior, and the rate of that posterior; targets of domains
 that the labelled table does not know are an error; domains without any expected tokens cannot be reached and keep what
@@ -117,7 +117,7 @@ class Fit:
         return max((abs(t - w) for t, w in zip(self.totals, self.wanted, strict=True)), default=0.0) / max(sum(self.wanted), 1e-300)
 
 
-def fit_rates(members: DataFrame, targets: list[float], budget: float | None = None, low: float = 0.0, high: float | None = None, rounds: int = 400, every: int = 8, tolerance: float = 1e-4) -> tuple[DataFrame, Fit]:
+def fit_rates(members: DataFrame, targets: list[float], budget: float | None = None, low: float = 0.0, high: float | None = None, rounds: int = 100, every: int = 8, tolerance: float = 1e-4) -> tuple[DataFrame, Fit]:
     """(members with rate, how the fit ended): rates from `low` on (and up to `high`) whose expected domain totals come to the targets.
 
     targets: shares of the token budget by domain; budget: wanted tokens (the corpus's own number by default). With the
@@ -142,9 +142,9 @@ def fit_rates(members: DataFrame, targets: list[float], budget: float | None = N
         met = float(np.abs(away).max(initial=0.0)) <= tolerance * sum(wanted)
         if met or now.m is None or now.m <= 1e-5 or not mass.t:
             break
-        if turn == rounds:
-            raise RuntimeError(f"rates still move after {rounds} rounds; the totals are {totals}, wanted are {wanted}")
         distance = float((away**2 / np.maximum(rows, 1e-300)).sum())
+        if turn == rounds or not solving and before - distance <= 1e-4 * distance:
+            break
         solving, before = solving and distance < before, distance
         step = np.where(rows > 0, away / np.maximum(rows, 1e-300), 0.0)
         if solving:
