@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hilbert, htmltext, jaccard, mixing, pii, pivots, quality, substring, warc
+from . import bpe, hilbert, htmltext, jaccard, mixing, pii, pivots, quality, substring, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +98,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, hex_sha256(pii.notation(base)).alias("base_sha256"), pii.notation(F.col("spans")).alias("spans"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = whitening.whiten(table(spark, sf_dir, "embeddings"), 32)
+    return done.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 TOP_K_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
@@ -142,7 +147,7 @@ FROM w LEFT JOIN gs USING (doc_id) LEFT JOIN cl ON cl.s = gs.s LEFT JOIN lb ON l
 
 
 def queries() -> dict:
-    return {"op1_html": op1_html, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_substring": op5_substring, "op6_hilbert": op6_hilbert, "op7_jaccard": op7_jaccard, "op8_pivots": op8_pivots, "op9_mixing": op9_mixing, "op10_pii": op10_pii}
+    return {"op1_html": op1_html, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_substring": op5_substring, "op6_hilbert": op6_hilbert, "op7_jaccard": op7_jaccard, "op8_pivots": op8_pivots, "op9_mixing": op9_mixing, "op10_pii": op10_pii, "op13_whitening": op13_whitening}
 
 
 def oracle_sql() -> dict[str, str]:

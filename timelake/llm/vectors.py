@@ -12,19 +12,27 @@ from pyspark.sql import functions as F
 from .common import partitions
 
 
-def valid_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", zero: bool = True) -> DataFrame:
-    """(id, v): one row a key. Null keys, null vectors, null or non-finite components and odd lengths take no part.
+def finite_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", *more: str, zero: bool = True) -> DataFrame:
+    """(id, v, columns of `more`): the rows whose vector has finite components only and the usual length.
 
-    Rows of equal key count once (the smallest vector stays). The usual length is the most frequent one, the larger on a tie.
+    The usual length is the most frequent one, the larger on a tie. Keys may be null, and rows may repeat.
     """
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = df.where(df[key].isNotNull() & df[vector].isNotNull()).select(df[key].cast("long").alias("id"), df[vector].cast("array<double>").alias("v"))
+    rows = df.where(df[vector].isNotNull()).select(df[key].cast("long").alias("id"), df[vector].cast("array<double>").alias("v"), *(df[c] for c in more))
     rows = rows.where((F.size(v) > 0) & finite)
     if not zero:
         rows = rows.where(F.exists(v, lambda x: x != 0))
     usual = rows.groupBy(F.size(v).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    return rows.where(F.size(v) == (usual[0].d if usual else 0)).groupBy("id").agg(F.min("v").alias("v"))
+    return rows.where(F.size(v) == (usual[0].d if usual else 0))
+
+
+def valid_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", zero: bool = True) -> DataFrame:
+    """(id, v): one row a key. Null keys, null vectors, null or non-finite components and odd lengths take no part.
+
+    Rows of equal key count once (the smallest vector stays); for the usual length see `finite_vectors`.
+    """
+    return finite_vectors(df.where(df[key].isNotNull()), key, vector, zero=zero).groupBy("id").agg(F.min("v").alias("v"))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
