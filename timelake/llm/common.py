@@ -55,6 +55,24 @@ def drop(*tables: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """Saved tables of one run, which go once its result is written."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(saved(df, name))
+        return self.tables[-1]
+
+    def end(self, result: DataFrame, name: str) -> DataFrame:
+        """The result as a saved table; all others are deleted."""
+        out = saved(result, name)
+        drop(*self.tables)
+        self.tables = []
+        return out
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, as one document may be very long, and let local workers import this package."""
     root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hilbert, htmltext, jaccard, mixing, pii, pivots, quality, substring, warc, whitening
+from . import bpe, hilbert, htmltext, jaccard, licenses, mixing, multiindex, pii, pivots, quality, substring, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +98,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, hex_sha256(pii.notation(base)).alias("base_sha256"), pii.notation(F.col("spans")).alias("spans"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return multiindex.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), 5, 5, 80, 100, 100)
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    starts = F.transform(base, lambda s: s["start"])
+    listed = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), listed(base).alias("base_labels"), listed(F.col("spans")).alias("labels"), "score")
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = whitening.whiten(table(spark, sf_dir, "embeddings"), 32)
     return done.withColumn("deviation", F.col("deviation").cast("long"))
@@ -111,6 +124,16 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+s AS (SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
 #: SHA-1 of the payload in base32: 160 bits, five at a time.
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages WHERE page_id IS NOT NULL),
@@ -147,8 +170,8 @@ FROM w LEFT JOIN gs USING (doc_id) LEFT JOIN cl ON cl.s = gs.s LEFT JOIN lb ON l
 
 
 def queries() -> dict:
-    return {"op1_html": op1_html, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_substring": op5_substring, "op6_hilbert": op6_hilbert, "op7_jaccard": op7_jaccard, "op8_pivots": op8_pivots, "op9_mixing": op9_mixing, "op10_pii": op10_pii, "op13_whitening": op13_whitening}
+    return {"op1_html": op1_html, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_substring": op5_substring, "op6_hilbert": op6_hilbert, "op7_jaccard": op7_jaccard, "op8_pivots": op8_pivots, "op9_mixing": op9_mixing, "op10_pii": op10_pii, "op11_negatives": op11_negatives, "op12_licenses": op12_licenses, "op13_whitening": op13_whitening}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": WARC_SQL, "op5_substring": SUBSTRING_SQL, "op7_jaccard": JACCARD_SQL, "op8_pivots": TOP_K_SQL}
+    return {"op3_warc": WARC_SQL, "op5_substring": SUBSTRING_SQL, "op7_jaccard": JACCARD_SQL, "op8_pivots": TOP_K_SQL, "op11_negatives": NEGATIVES_SQL}
