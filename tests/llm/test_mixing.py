@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from timelake.llm import mixing
+from timelake.llm import mixing, queries
 
 WORDS = {"a": ["the", "and", "of"], "b": ["der", "und", "die"], "c": ["le", "et", "des"]}
 
@@ -66,3 +66,21 @@ def test_bounds_and_odd_rows(spark):
         mixing.mix(docs, model, {"z": 1.0})
     plan = mixing.posteriors(docs, model)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_empty_tables_and_labels_without_words(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "the of", "en", 0.5), (2, "der und", "de", 0.5), (3, " .", "fr", 0.5)], "doc_id long, text string, lang string, rate double")
+    none = mixing.learn(docs, spark.createDataFrame([], "doc_id long, domain string"))
+    assert none.domains == ()
+    got = mixing.mix(docs, none, {"en": 1.0}).collect()
+    assert {(r.doc_id, r.tokens, tuple(r.p), r.rate, r.unmet) for r in got} == {(1, 2, (), 1.0, 1.0), (2, 2, (), 1.0, 1.0), (3, 0, (), 1.0, 1.0)}
+    # labelled texts without words: the prior alone
+    prior = mixing.learn(docs, spark.createDataFrame([(3, "fr"), (3, "fr"), (4, "en")], "doc_id long, domain string"))
+    assert {tuple(r.p) for r in mixing.posteriors(docs, prior).collect()} == {(0.5, 0.5)}
+    # a wanted domain without labels is told, the others are fitted
+    model = mixing.learn(docs, spark.createDataFrame([(1, "en"), (2, "de")], "doc_id long, domain string"))
+    assert {r.unmet for r in mixing.mix(docs, model, {"en": 0.3, "de": 0.3, "es": 0.4}, strict=False).collect()} == {0.4}
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    empty = queries.op9_mixing(spark, str(tmp_path))
+    assert empty.count() == 0 and {"doc_id", "rate", "p_de", "p_en", "p_es", "p_fr"} <= set(empty.columns)

@@ -84,3 +84,14 @@ def test_em_prefers_reliable_labelers():
     assert post[0] > 0.9 and post[1] < 0.1 and post[2] > 0.5
     odds = pii.vote_odds(chance)
     assert all(o[2] > 0 > o[0] and o[1] == 0 for o in odds[1:3])
+
+
+def test_added_spans_have_no_length_limit(spark):
+    r = random.Random(8)
+    token = lambda n: "4f" + "".join(r.choice("0123456789abcdef") for _ in range(n - 2))
+    name = "Mary " + "S" + "h" * 60 + "y"
+    mail = "j" * 90 + " (at) site (dot) com"
+    docs = [f"token = {token(500)} x", f"token = {token(600)} x", f"token = {token(60_000)} x", "token = " + "a" * 300 + token(100) + " x", "key " + "a" * 400 + " x", f"signed by {name} today", f"mail {mail} now", "." * 50_000 + " (at) "]
+    df = spark.createDataFrame(list(enumerate(docs + [t for t, _ in GOOD] * 20)), "doc_id long, text string")
+    found = {r.doc_id: r.s for r in pii.detect(df).select("doc_id", pii.notation(F.col("spans")).alias("s")).collect()}
+    assert [found[i] for i in range(8)] == ["secret:8:508", "secret:8:608", "secret:8:60008", "secret:8:408", "", f"name:10:{10 + len(name)}", f"email:5:{5 + len(mail)}", ""]

@@ -38,3 +38,14 @@ def test_odd_texts(spark):
     assert quality.score(docs.limit(0), model).count() == 0
     one = quality.train(docs, spark.createDataFrame([(1, 1)], "doc_id long, label int"))
     assert [r.score for r in quality.score(docs, one).collect()] == [0.5] * 5
+
+
+def test_held_out_rows_of_the_tables(spark):
+    from timelake.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(r.predicted, r.score, truth[r.doc_id]) for r in queries.op4_quality(spark, sf).collect() if r.held_out and truth.get(r.doc_id) is not None]
+    assert len(held) > 50 and sum(p == y for p, _, y in held) >= 0.95 * len(held)
+    good, bad = [s for _, s, y in held if y == 1], [s for _, s, y in held if y == 0]
+    assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) >= 0.97 * len(good) * len(bad)

@@ -32,7 +32,9 @@ from pyspark.sql import types as T
 from .common import bounded_batches
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>?|([^<]++|<)""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|aria-label|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Attributes one after the other: whole names, so that data-id is no id and a quoted value holds no names.
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|["'/=<]""")
+_SPEAKING = {"class", "id", "role", "itemprop", "aria-label"}
 #: Elements whose content is not text (fixed values of HTML).
 _RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "object", "svg", "math", "canvas", "select", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -58,7 +60,7 @@ _HINTS = {
 }
 _HINT = {k: re.compile(rf"(?:^|[\s_-])(?:{v})(?=$|[\s_-])", re.I) for k, v in _HINTS.items()}
 _TEXT = ("bias", "words<4", "words<10", "words<25", "words>=25", "links>0.6", "links>0.2", "links=0", "stop", "copyright", "first", "last", "short link")
-FEATURES = [*(f"t:{t}" for t in _TAGS), *(f"c:{h}" for h in _HINTS), "hidden", "bare", *_TEXT]
+FEATURES = [*(f"t:{t}" for t in _TAGS), "inner header", *(f"c:{h}" for h in _HINTS), "hidden", "bare", *_TEXT]
 _AT = {f: i for i, f in enumerate(FEATURES)}
 
 
@@ -69,13 +71,20 @@ def _own(name: str, attrs: str) -> frozenset[int]:
     if attrs:
         for key, value in _ATTR.findall(attrs):
             key, value = key.lower(), value.strip("\"'")
-            if key in ("class", "id", "role", "itemprop", "aria-label"):
+            if key in _SPEAKING:
                 found |= {_AT[f"c:{h}"] for h, p in _HINT.items() if p.search(value)}
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 found.add(_AT["hidden"])
     return frozenset(found)
 
 
+def _inner(own: frozenset[int], above: frozenset[int]) -> frozenset[int]:
+    """A header inside an article or the main part is its headline, not the site's."""
+    if _AT["t:header"] in own and (_AT["t:article"] in above or _AT["t:main"] in above):
+        return own - {_AT["t:header"]} | {_AT["inner header"]}
+    return own
+
+
 @lru_cache(maxsize=100_000)
 def _joined(a: frozenset[int], b: frozenset[int]) -> frozenset[int]:
     return a | b
@@ -150,6 +159,8 @@ def leaf_blocks(page: str) -> list[tuple[str, frozenset[int], float]]:
         if name == "a":
             in_link = 1
         own = _own(name, attrs if block or name in ("a", "span") else "")
+        if name == "header" and stack:
+            own = _inner(own, stack[-1][1])
         places.setdefault(name, []).append(len(stack))
         stack.append((name, _joined(stack[-1][1], own) if stack and own else own if own else stack[-1][1] if stack else none))
     flush()
@@ -242,7 +253,7 @@ class Chain:
 _MARK = ""
 
 
-def labelled_pages(n: int = 260, seed: int = 7) -> list[tuple[str, list[int]]]:
+def labelled_pages(n: int = 320, seed: int = 7) -> list[tuple[str, list[int]]]:
     """Made-up pages of varied layout with a label for each leaf block: 1 for main text."""
     r = random.Random(seed)
     letters = ["ta", "re", "on", "li", "mo", "en", "sku", "ver", "da", "pim", "os", "ué"]
@@ -253,14 +264,19 @@ def labelled_pages(n: int = 260, seed: int = 7) -> list[tuple[str, list[int]]]:
     menu = lambda k=6: "<ul>" + "".join(f'<li><a href="/{word()}">{words(1, 2)}</a></li>' for _ in range(r.randint(2, k))) + "</ul>"
     cls = lambda *names: r.choice(['class="{}"', 'id="{}"', 'class="x-{}"', 'class="{} wide"']).format(r.choice(names))
 
+    role = lambda x: f'<div role="{x}">'
+
     def body():
         parts = []
         if r.random() < 0.85:
-            parts.append(f"<h1>{_MARK}{words(2, 9)}{r.choice(['', '.'])}</h1>")
+            head = f"<h1>{_MARK}{words(2, 9)}{r.choice(['', '.'])}</h1>"
+            if r.random() < 0.3:
+                head = f"<header{r.choice(['', ' class=x', ' data-id=ad'])}>{head}" + (f"<p>{prose()}</p>" if r.random() < 0.3 else "") + "</header>"
+            parts.append(head)
         for _ in range(r.randint(1, 8)):
             x = r.random()
             if x < 0.62:
-                parts.append(f"<p>{prose()}</p>")
+                parts.append(f"<p{r.choice(['', '', '', ' data-id=ad', ' data-class=menu'])}>{prose()}</p>")
             elif x < 0.68:
                 parts.append(f"<p><b>{prose()}<br><p>{prose()}</p>")
             elif x < 0.74:
@@ -296,8 +312,13 @@ def labelled_pages(n: int = 260, seed: int = 7) -> list[tuple[str, list[int]]]:
         lambda: f"<div {cls('cookie', 'notice', 'consent', 'popup', 'newsletter', 'alert')}><p>{sentence()} {sentence()}</p><button>{words(1, 2)}</button></div>",
         lambda: f"<form><label>{words(1, 3)}</label><input name=q><button>{word()}</button><p>{sentence()}</p></form>",
         lambda: f"<div {cls('share', 'social')}>{menu(4)}</div>",
+        lambda: f"{role('navigation')}{menu()}</div>",
+        lambda: f"{role('banner')}<p>{sentence(2, 8)}</p></div>",
+        lambda: f"{role('complementary')}<h3>{words(1, 3)}</h3><p>{sentence()} {sentence()}</p></div>",
+        lambda: f"{role('search')}<label>{words(1, 3)}</label><p>{sentence(2, 6)}</p></div>",
+        lambda: f"{role(r.choice(['alert', 'dialog']))}<p>{sentence()}</p><button>{words(1, 2)}</button></div>",
     ]
-    foot = [lambda: f"<footer>&copy; {word()}.example &middot; {sentence()}</footer>", lambda: f"<footer><p>{sentence()}</p>{menu(4)}</footer>", lambda: f"<div {cls('footer', 'copyright')}>&copy; {words(1, 4)}</div>"]
+    foot = [lambda: f"<footer>&copy; {word()}.example &middot; {sentence()}</footer>", lambda: f"<footer><p>{sentence()}</p>{menu(4)}</footer>", lambda: f"<div {cls('footer', 'copyright')}>&copy; {words(1, 4)}</div>", lambda: f"{role('contentinfo')}<p>{sentence()} {sentence()}</p></div>", lambda: f"<div {cls('footer', 'legal', 'colophon')}><p>{sentence()} {sentence()}</p><p>{sentence()}</p></div>"]
     pages = []
     for _ in range(n):
         kind = r.random()
@@ -305,6 +326,11 @@ def labelled_pages(n: int = 260, seed: int = 7) -> list[tuple[str, list[int]]]:
         inner = body() + (comments() if r.random() < 0.2 else "")
         top = "".join(r.choice(aside)() for _ in range(r.randint(0, 4)))
         low = "".join(r.choice(aside)() for _ in range(r.randint(0, 2))) + (comments() if r.random() < 0.2 else "") + (r.choice(foot)() if r.random() < 0.85 else "")
+        if r.random() < 0.12:  # unmarked: text alone, or paragraphs right in the body
+            lines = [prose() for _ in range(r.randint(1, 6))]
+            plain = r.choice([" ".join, "\n\n".join, "<br><br>".join, "<p>".join, lambda x: "".join(f"<p>{y}</p>" for y in x)])(lines)
+            pages.append(plain if r.random() < 0.5 else f"<html><head><title>{words(2, 9)}</title></head><body>{plain}{r.choice(foot)() if r.random() < 0.3 else ''}</body></html>")
+            continue
         pages.append(f"<!DOCTYPE html><html><head><title>{words(2, 9)}</title><style>p{{}}</style></head><body>{top}{wrap[0]}{inner}{wrap[1]}{low}</body></html>")
     return [(p, [int(_MARK in t) for t, *_ in leaf_blocks(p)]) for p in pages]
 

@@ -35,8 +35,6 @@ WORDS = 400
 TEMPER = 0.5
 #: Parts that the documents of one posterior are dealt to.
 SALTS = 16
-#: Posteriors are given in this many steps, so that equal rows stay equal everywhere.
-STEPS = 1000
 
 
 def words_of(text: Column) -> Column:
@@ -61,7 +59,7 @@ def learn(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str =
     known = labelled.where(F.col(key).isNotNull() & F.col(domain).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(domain).alias("_d"))
     counts = {r._d: r["count"] for r in known.groupBy("_d").count().collect()}  # one row a domain
     if not counts:
-        raise ValueError("the labelled table has no domains")
+        return DomainModel((), (), ())
     # a hash leaves about four times as many rows as are wanted, so that a large domain does not meet in one task
     share = F.create_map(*(x for d, n in counts.items() for x in (F.lit(d), F.lit(4.0 * SAMPLE / n))))
     few = known.where(F.pmod(F.xxhash64("_k", F.lit("few")), F.lit(1 << 20)) / (1 << 20) < share[F.col("_d")])
@@ -71,13 +69,13 @@ def learn(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str =
     seen = rows.select("_d", F.explode(words_of(F.col("_t"))).alias("word")).where("word <> ''").groupBy("_d", "word").agg(F.count("*").alias("n"))
     seen = saved(seen, "words")
     totals = {r._d: r.n for r in seen.groupBy("_d").agg(F.sum("n").alias("n")).collect()}  # one row a domain
-    if not totals:
-        raise ValueError("the labelled table has no words")
-    domains = tuple(sorted(totals))
+    domains = tuple(sorted(counts))
     wide = seen.groupBy("word").pivot("_d", list(domains)).agg(F.sum("n"))
-    logs = [F.log((F.coalesce(F.col(f"`{d}`"), F.lit(0)) + 0.5) / (totals[d] + 1.0)) for d in domains]
-    spread = sum((F.abs(x - y) for i, x in enumerate(logs) for y in logs[i + 1 :]), F.lit(0.0))
-    weight = sum((F.coalesce(F.col(f"`{d}`"), F.lit(0)) / totals[d] for d in domains), F.lit(0.0))
+    logs = [F.log((F.coalesce(F.col(f"`{d}`"), F.lit(0)) + 0.5) / (totals.get(d, 0) + 1.0)) for d in domains]
+    # the sum of all pairs' distances, from the sorted values: the i-th of k counts 2 i + 1 - k times
+    ordered = F.array_sort(F.array(*logs))
+    spread = F.aggregate(F.transform(ordered, lambda x, i: x * (2 * i + 1 - len(domains))), F.lit(0.0), lambda a, x: a + x)
+    weight = F.aggregate(F.array(*(F.coalesce(F.col(f"`{d}`"), F.lit(0)) / max(totals.get(d, 0), 1) for d in domains)), F.lit(0.0), lambda a, x: a + x)
     telling = wide.select("word", *(x.alias(f"l{i}") for i, x in enumerate(logs)), (spread * weight).alias("worth")).orderBy(F.desc("worth"), "word").limit(WORDS).collect()
     whole = sum(counts[d] for d in domains)
     prior = tuple(math.log(counts[d] / whole) for d in domains)
@@ -85,9 +83,16 @@ def learn(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str =
 
 
 def posteriors(docs: DataFrame, model: DomainModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, tokens, p): words and domain posteriors of each key; texts of equal key add up."""
+    """(key, tokens, p): words and domain posteriors of each key; texts of equal key add up.
+
+    A model without domains gives empty posteriors.
+    """
     spark = docs.sparkSession
     k = len(model.domains)
+    if not k:
+        words = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.explode(words_of(F.col(text))).alias("word"))
+        none = F.array().cast("array<double>").alias("p")
+        return words.groupBy(F.col("_k").alias(key)).agg(F.sum(F.when(F.col("word") != "", 1).otherwise(0)).alias("tokens")).select(key, "tokens", none)
     table = spark.createDataFrame([tuple(r) for r in model.table], "word string, " + ", ".join(f"l{i} double" for i in range(k)))  # WORDS rows
     words = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.explode(words_of(F.col(text))).alias("word"))
     hits = words.join(F.broadcast(table), "word", "left")
@@ -171,15 +176,25 @@ def copies(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + (F.pmod(F.xxhash64(key, F.lit("mix")), F.lit(1_000_000)) / 1_000_000 < rate - F.floor(rate)).cast("int")).cast("long")
 
 
-def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """(key, tokens, p, rate, n_copies, unmet) of each key; unmet is the same on all rows: how far off its target the worst domain is."""
+def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], key: str = "doc_id", text: str = "text", strict: bool = True, **options) -> DataFrame:
+    """(key, tokens, p, rate, n_copies, unmet) of each key; unmet is the same on all rows: how far off its target the worst domain is.
+
+    A target whose domain has no labelled rows cannot be met. That is an error if `strict`; else the others are fitted to
+    their own shares, and `unmet` is at least that target's share. Without any domain all rates are 1.
+    """
     unknown = set(targets) - set(model.domains)
-    if unknown:
+    if strict and unknown and model.domains:
         raise ValueError(f"no labelled rows for {sorted(unknown)}")
     whole = sum(targets.values())
+    missing = max((t / whole for d, t in targets.items() if d not in model.domains and whole), default=0.0)
     members = saved(posteriors(docs, model, key, text), "members")
-    fitted, fit = fit_rates(members, [targets.get(d, 0.0) / whole for d in model.domains], **options)
-    return fitted.withColumn("n_copies", copies(F.col("rate"), F.col(key))).withColumn("unmet", F.lit(round(fit.unmet, 6)))
+    known = sum(targets.get(d, 0.0) for d in model.domains)
+    if not known:
+        fitted, off = members.withColumn("rate", F.lit(1.0)), 1.0 if whole else 0.0
+    else:
+        fitted, fit = fit_rates(members, [targets.get(d, 0.0) / known for d in model.domains], **options)
+        off = max(fit.unmet, missing)
+    return fitted.withColumn("n_copies", copies(F.col("rate"), F.col(key))).withColumn("unmet", F.lit(round(off, 6)))
 
 
 def tempered(members: DataFrame, model: DomainModel, power: float) -> dict[str, float]:

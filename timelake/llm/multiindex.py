@@ -37,8 +37,8 @@ from .vectors import finite_vectors, matrix
 
 #: Rows that the codebooks are learnt from, codewords of a half at most, rows that a cell is meant to hold, k-means passes.
 SAMPLE, CODEWORDS, CELL, PASSES = 8192, 256, 64, 8
-#: Rows in a shard at most, visits that one lane of a shard takes, rows scored at once.
-SHARD, LANE, STEP = 8192, 20_000, 256
+#: Rows in a shard at most (and what a small table's shards hold at least), visits that one lane of a shard takes, rows scored at once.
+SHARD, LEAST, LANE, STEP = 8192, 512, 20_000, 256
 
 _ROW = "shard int, lane int, kind int, c1 int, c2 int, id long, label long, v array<double>, tops array<long>, least array<long>"
 _OUT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
@@ -240,11 +240,12 @@ class Index:
         placed = scratch.saved(rows.select("id", "label", "v").mapInArrow(assign, "id long, label long, v array<double>, c1 int, c2 int, r1 double, r2 double"), "placed")
         cells = placed.groupBy("c1", "c2").agg(F.count("*").alias("rows"), F.max("r1").alias("r1"), F.max("r2").alias("r2")).toPandas()
         cells = cells.sort_values(["c1", "c2"]).reset_index(drop=True)  # at most CODEWORDS squared
+        size = max(min(LEAST, SHARD), min(SHARD, n // (4 * partitions(spark))))  # a small table is spread over tasks all the same
         shards, parts, at, room = [], [], -1, 0
         for m in cells["rows"].tolist():
-            own = -(-m // SHARD)
+            own = -(-m // size)
             if own > 1 or m > room:
-                at, room = at + 1, SHARD
+                at, room = at + 1, size
             shards.append(at)
             parts.append(own)
             at, room = (at + own - 1, 0) if own > 1 else (at, room - m)

@@ -43,17 +43,17 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _TITLE = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora"
-_WORD = r"\p{Lu}[\p{L}'-]{1,30}+"
+_WORD = r"\p{Lu}[\p{L}'-]++"
 #: Common given names (a fixed list).
 GIVEN = "James|John|Robert|Michael|William|David|Richard|Joseph|Thomas|Charles|Mary|Patricia|Jennifer|Linda|Elizabeth|Barbara|Susan|Jessica|Sarah|Karen|Hans|Peter|Klaus|Jürgen|Stefan|Anna|Ursula|Monika|Sabine|Petra|Jean|Pierre|Michel|Philippe|Marie|Nathalie|Isabelle|Catherine|José|Antonio|Manuel|Francisco|Carmen|Ana|Dolores|Pilar"
 #: Words for streets (a fixed list).
 STREET = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Square|Court"
 LOOSE = {
-    "email": rf"(?i){_LOCAL}{{1,64}}+\x20?[(\[]\x20?at\x20?[)\]]\x20?{_HOST}++(?:\x20?[(\[]\x20?dot\x20?[)\]]\x20?{_HOST}++)++",
+    "email": rf"(?i)(?:(?<!{_LOCAL})|\G){_LOCAL}++\x20?[(\[]\x20?at\x20?[)\]]\x20?{_HOST}++(?:\x20?[(\[]\x20?dot\x20?[)\]]\x20?{_HOST}++)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])3[0-9]{3}[\x20-][0-9]{6}[\x20-][0-9]{5}(?![0-9])",
     "phone": r"(?<![0-9+(-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])",
-    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9])(?=[0-9+/_=-]{0,200}[A-Za-z])[A-Za-z0-9+/_=-]{20,512}+(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}+",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "name": rf"(?<![\p{{L}}])(?=[A-Z]\p{{Ll}}{{1,9}}\.?\x20\p{{Lu}})(?:(?:{_TITLE})\.?\x20{_WORD}(?:\x20{_WORD})?|(?:{GIVEN})\x20{_WORD})",
     "address": rf"(?<![\p{{L}}0-9])(?:[0-9]{{1,5}}\x20(?:{_WORD}\x20){{1,3}}(?:{STREET})(?![\p{{L}}])|\p{{Lu}}\p{{L}}{{2,30}}(?:straße|strasse|weg|platz|allee)\x20[0-9]{{1,4}}[a-z]?(?![\p{{L}}0-9])|[0-9]{{1,4}},?\x20(?:rue|calle|avenida)\x20(?:(?:de|du|des|la|del)\x20){{0,2}}{_WORD})",

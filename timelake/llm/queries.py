@@ -86,8 +86,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = docs.select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id").select("doc_id", F.col("lang").alias("domain"))
     texts = docs.select("doc_id", "text")
     model = mixing.learn(texts, labelled)
-    mixed = mixing.mix(texts, model, TARGETS)
-    return mixed.select("doc_id", F.col("tokens").alias("n_tokens"), "rate", "n_copies", "unmet", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)))
+    mixed = mixing.mix(texts, model, TARGETS, strict=False)
+    at = {d: i for i, d in enumerate(model.domains)}
+    share = [(F.get("p", F.lit(at[d])) if d in at else F.lit(0.0)).alias(f"p_{d}") for d in sorted(at.keys() | TARGETS.keys())]
+    return mixed.select("doc_id", F.col("tokens").alias("n_tokens"), "rate", "n_copies", "unmet", *share)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
