@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from timelake.functions import text
 from timelake.operators import catalog, edits, frames, measures, rhythm, vectors
 from timelake.plans.timeline import BL, SP, blocks, spans, table
 from timelake.sources import subtitles
+from timelake.sources.shared import fresh_path
 from timelake.streaming import streams
 
 QUERIES: dict = {}
@@ -414,7 +412,7 @@ def t1_affected_samples(spark, d):
 
 
 def _folder(spark) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-shared-')}/stream-{uuid.uuid4().hex}"
+    return fresh_path(spark, "stream")
 
 
 @query("SELECT event_type AS job_id, count(*) AS total, CAST(sum(CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS ok, CAST(sum(CASE WHEN user_id % 3 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM events GROUP BY 1")
