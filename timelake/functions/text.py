@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,9 +22,15 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
+#: What searched texts lose: punctuation, separators, control characters and white space.
+_IGNORED = r"[\p{P}\p{Z}\p{C}\s]"
+#: Katakana U+30A1 to U+30F6 and the hiragana that stand 0x60 before them.
+_KATAKANA = {c: c - 0x60 for c in range(0x30A1, 0x30F7)}
+
+
 def stripped(text: Column) -> Column:
     """Lower case without punctuation, separators and control characters."""
-    return F.regexp_replace(F.lower(text), r"[\p{P}\p{Z}\p{C}\s]", "")
+    return F.regexp_replace(F.lower(text), _IGNORED, "")
 
 
 def norm_text(text: Column) -> Column:
@@ -33,19 +40,17 @@ def norm_text(text: Column) -> Column:
 
 def norm_needle(text: str) -> str:
     """The same form of a search term, made on the driver: terms are literals."""
-    folded = unicodedata.normalize("NFKC", text).lower()
-    return "".join(c for c in folded if unicodedata.category(c)[0] not in "PZC" and not c.isspace())
+    return regex.sub(_IGNORED, "", unicodedata.normalize("NFKC", text).lower())
 
 
 def hiragana_needle(text: str) -> str:
-    """Katakana U+30A1 to U+30F6 of a search term as hiragana."""
-    return "".join(chr(ord(c) - 0x60) if "\u30a1" <= c <= "\u30f6" else c for c in text)
+    """Katakana of a search term as hiragana."""
+    return text.translate(_KATAKANA)
 
 
 def to_hiragana(text: Column) -> Column:
     """Katakana U+30A1 to U+30F6 as hiragana."""
-    kata = "".join(chr(c) for c in range(0x30A1, 0x30F7))
-    return F.translate(text, kata, "".join(chr(ord(c) - 0x60) for c in kata))
+    return F.translate(text, "".join(map(chr, _KATAKANA)), "".join(map(chr, _KATAKANA.values())))
 
 
 def file_part(name: Column) -> Column:
@@ -74,7 +79,7 @@ def first_rule(text: Column, rules: list[str], group: int) -> Column:
 
 def split_names(names: Column, separator: str = r"[、，,・/／&＆]") -> Column:
     """Names split, trimmed, distinct, in order."""
-    return F.array_distinct(F.filter(F.transform(F.split(names, separator), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(names, separator), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 #: Notes in brackets (two levels deep), whole sound lines, and a speaker label at a line's head (default rules, as data).
@@ -83,10 +88,24 @@ SOUND_LINE = rf"^\s*(?:{NOTE}|[♪～〜]+[^()（）]*)\s*$"
 LABEL = r"^\s*[(（]([^()（）]+)[)）]\s*(?=\S)"
 
 
+def _depth_after(line: Column, depth: Column) -> Column:
+    """How many brackets are open after a line that began with `depth` of them; closing ones too many count for nothing."""
+    signs = F.regexp_extract_all(line, F.lit("[()（）]"), F.lit(0))
+    return F.aggregate(signs, depth, lambda d, c: F.when(c.isin("(", "（"), d + 1).otherwise(F.greatest(d - 1, F.lit(0))))
+
+
 def cue_lines(text: Column) -> Column:
-    """Logical lines: line breaks inside brackets do not split."""
-    joined = F.regexp_replace(text, r"(?<=[(（][^()（）]{0,200})\n(?=[^()（）]{0,200}[)）])", " ")
-    return F.filter(F.transform(F.split(joined, "\n"), F.trim), lambda x: x != "")
+    """Logical lines: a line break inside brackets, however deep or long they are, is a space and does not split."""
+    none = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"), F.lit(0).alias("depth"))
+
+    def step(a, line):
+        whole = F.when(a["depth"] > 0, F.concat(a["cur"], F.lit(" "), line)).otherwise(line)
+        depth = _depth_after(line, a["depth"])
+        ends = depth == 0
+        return F.struct(F.when(ends, F.concat(a["out"], F.array(whole))).otherwise(a["out"]).alias("out"), F.when(ends, "").otherwise(whole).alias("cur"), depth.alias("depth"))
+
+    lines = F.aggregate(F.split(text, "\n"), none, step, lambda a: F.concat(a["out"], F.array(a["cur"])))
+    return F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def classify_cue(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timelake.functions.digests import multiset_digest
+
 
 def inventory_diff(files: DataFrame, known: DataFrame) -> DataFrame:
     """(path, state): each current file (path, size, sig) against the known ones: known, moved or new; known files that are gone: missing.
@@ -54,6 +56,14 @@ def signature_keys(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     return rows.groupBy(key).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(text)), "\n").cast("binary"), 256).alias("signature"))
 
 
+def content_signature(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """(key, signature): a digest of a group's rows that changes exactly when the given columns of some row do, nulls included.
+
+    Unlike `signature_keys` no value can be taken for another one, and no group meets in one array.
+    """
+    return multiset_digest(rows, *columns, by=(key,)).withColumnRenamed("digest", "signature")
+
+
 def index_status(keys: DataFrame, index: DataFrame, key: str) -> DataFrame:
     """(key, state): ready when the index has the current signature, stale when another, missing when none."""
     i = index.select(key, F.col("signature").alias("have"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from timelake.functions.digests import multiset_digest
 from timelake.functions.text import classify_cue
 from timelake.operators.intervals import overlap_join
 
@@ -110,9 +111,8 @@ def merge_segments(segments: DataFrame, by: str) -> DataFrame:
 
 
 def plan_token(plan: DataFrame, *columns: str) -> DataFrame:
-    """One row: a digest of a plan, the same for the same rows in any order."""
-    per = plan.select(F.xxhash64(*columns).alias("h"))
-    return per.agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.pmod("h", F.lit(1 << 31))).alias("s")).select(F.sha2(F.concat_ws(":", "n", "x", "s").cast("binary"), 256).alias("token"))
+    """One row: a digest of a plan, the same for the same rows in any order and another one for any other rows."""
+    return multiset_digest(plan, *columns).withColumnRenamed("digest", "token")
 
 
 def plan_speakers(segments: DataFrame) -> DataFrame:

@@ -91,6 +91,54 @@ def conflicts_with_cut(new: DataFrame, segments: DataFrame) -> DataFrame:
     return new.select("id").join(per, "id", "left").select("id", F.coalesce("conflicts", F.lit(0)).alias("conflicts"), F.coalesce("can_cut", F.lit(False)).alias("can_cut"))
 
 
+def difference(df: DataFrame, ranges: DataFrame, least: float = EPS) -> DataFrame:
+    """(id, source_id, piece, start, end, cut): what the ranges leave of each interval, in order.
+
+    cut: which sides of the piece a range has cut: none, left, right or both. Pieces of at most `least` seconds are no pieces;
+    an interval that is covered whole has none.
+    """
+    merged = islands(ranges.select("source_id", "start", "end")).drop("members")
+    own = df.select("id", "source_id", "start", "end")
+    hits = overlap_join(own, merged)
+    order = Window.partitionBy("id").orderBy("r_start")
+    before = hits.select("id", "source_id", F.greatest("start", F.coalesce(F.lag("r_end").over(order), F.col("start"))).alias("a"), F.col("r_start").alias("b"), F.lag("r_end").over(order).isNotNull().alias("left"), F.lit(True).alias("right"))
+    last = hits.groupBy("id", "source_id", F.col("end").alias("b")).agg(F.max("r_end").alias("a"))
+    after = last.select("id", "source_id", "a", "b", F.lit(True).alias("left"), F.lit(False).alias("right"))
+    whole = own.join(hits.select("id"), "id", "left_anti").select("id", "source_id", F.col("start").alias("a"), F.col("end").alias("b"), F.lit(False).alias("left"), F.lit(False).alias("right"))
+    pieces = before.unionByName(after).unionByName(whole).where(F.col("b") - F.col("a") > least)
+    cut = F.when(F.col("left") & F.col("right"), "both").when(F.col("left"), "left").when(F.col("right"), "right").otherwise("none")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("a")) - 1
+    return pieces.select("id", "source_id", place.alias("piece"), F.col("a").alias("start"), F.col("b").alias("end"), cut.alias("cut"))
+
+
+def plan_add(new: DataFrame, segments: DataFrame, resolve: str | None = None) -> DataFrame:
+    """(new_id, error, op, id, version, start, end, deleted): what adding each new segment (id, source_id, start, end) takes.
+
+    segments: id, source_id, start, end, version. resolve: replace deletes the segments that the new one overlaps; cut
+    moves their end or start to it, which each must allow from one side; none is an error (segment-overlap) where any overlap.
+    A new segment that can be added has its own row last, with op create. New segments are planned one by one.
+    """
+    if resolve not in (None, "replace", "cut"):
+        raise ValueError("overlaps are resolved by replace or cut")
+    hit = overlap_join(new.select("id", "source_id", "start", "end"), segments.select("id", "source_id", "start", "end", "version"), eps=0.0)
+    left = (F.col("r_start") < F.col("start")) & (F.col("start") < F.col("r_end")) & (F.col("r_end") <= F.col("end") + EPS)
+    right = (F.col("start") - EPS <= F.col("r_start")) & (F.col("r_start") < F.col("end")) & (F.col("end") < F.col("r_end"))
+    judged = hit.withColumns({"_left": F.col("r_start") < F.col("start"), "_cut": left | right})
+    per = judged.groupBy("id").agg(F.count("*").alias("n"), F.min("_cut").alias("can"))
+    state = new.select("id", "source_id", "start", "end").join(per, "id", "left")
+    open_ = F.lit(resolve is None) | (F.lit(resolve == "cut") & ~F.coalesce("can", F.lit(True)))
+    state = state.withColumn("error", F.when(F.col("n").isNotNull() & open_, "segment-overlap"))
+    none = lambda kind: F.lit(None).cast(kind)
+    ok = judged.join(state.where("error is null").select("id"), "id", "left_semi")
+    moved = resolve == "cut"
+    ops = ok.select(
+        F.col("id").alias("new_id"), none("string").alias("error"), F.lit("update").alias("op"), F.col("r_id").alias("id"), F.col("r_version").alias("version"),
+        (F.when(~F.col("_left"), F.col("end")) if moved else none("double")).alias("start"), (F.when(F.col("_left"), F.col("start")) if moved else none("double")).alias("end"), F.lit(not moved).alias("deleted"),
+    )
+    made = state.select(F.col("id").alias("new_id"), "error", F.when(F.col("error").isNull(), "create").alias("op"), none("long").alias("id"), none("long").alias("version"), F.when(F.col("error").isNull(), F.col("start")).alias("start"), F.when(F.col("error").isNull(), F.col("end")).alias("end"), F.lit(False).alias("deleted"))
+    return ops.withColumn("id", F.col("id").cast("long")).withColumn("version", F.col("version").cast("long")).unionByName(made)
+
+
 def with_ordinal(segments: DataFrame) -> DataFrame:
     """The place of each segment in its source, by start, end and id."""
     return segments.withColumn("ordinal", F.row_number().over(Window.partitionBy("source_id").orderBy("start", "end", "id")))

@@ -113,16 +113,30 @@ def leading_consonants(phones: DataFrame, blocks: DataFrame) -> DataFrame:
     return blocks.select("sample_id", "k").join(per, ["sample_id", "k"], "left").select("sample_id", "k", F.coalesce("consonants", F.array().cast("array<string>")).alias("consonants"), "lead")
 
 
-def detect_pauses(frames: DataFrame, sensitivity: float = 1.0, hop: float = 0.01, inset: float = 0.02) -> DataFrame:
+#: Labels of geminate closures, which are silent and no pauses (fixed values).
+CLOSURES = ("cl", "q", "Q", "っ")
+
+
+def detect_pauses(frames: DataFrame, sensitivity: float = 1.0, hop: float = 0.01, inset: float = 0.02, phones: DataFrame | None = None) -> DataFrame:
     """(sample_id, start, end): runs of quiet frames (sample_id, k, rms), inset at both sides.
 
-    Quiet: at most max(P85 * 0.25 * sensitivity, 1e-5). Runs last at least 0.12 s / sensitivity.
+    Quiet: at most max(P85 * 0.25 * sensitivity, 1e-5). Runs last at least 0.12 s / sensitivity. With phones (sample_id, label,
+    start, end) runs that a geminate's closure overlaps are none, the others are clipped to the speech from the first phone to the
+    last, must still be long enough, and samples without phones have none.
     """
     limit = frames.groupBy("sample_id").agg(F.greatest(F.percentile("rms", 0.85) * 0.25 * sensitivity, F.lit(1e-5)).alias("_limit"))
     w = Window.partitionBy("sample_id").orderBy("k")
     quiet = frames.join(limit, "sample_id").where(F.col("rms") <= F.col("_limit")).withColumn("_run", F.col("k") - F.row_number().over(w))
     runs = quiet.groupBy("sample_id", "_run").agg((F.min("k") * hop).alias("a"), ((F.max("k") + 1) * hop).alias("b"))
-    kept = runs.where(F.col("b") - F.col("a") >= 0.12 / sensitivity - 1e-9)
+    long_enough = F.col("b") - F.col("a") >= 0.12 / sensitivity - 1e-9
+    kept = runs.where(long_enough)
+    if phones is not None:
+        spans = kept.select(F.col("sample_id").alias("source_id"), "_run", F.col("a").alias("start"), F.col("b").alias("end"))
+        closed = phones.where(F.col("label").isin(*CLOSURES)).select(F.col("sample_id").alias("source_id"), "start", "end")
+        met = overlap_join(spans, closed, eps=0.0).select(F.col("source_id").alias("sample_id"), "_run").distinct()
+        speech = phones.groupBy("sample_id").agg(F.min("start").alias("_first"), F.max("end").alias("_last"))
+        kept = kept.join(met, ["sample_id", "_run"], "left_anti").join(speech, "sample_id")
+        kept = kept.withColumns({"a": F.greatest("a", "_first"), "b": F.least("b", "_last")}).where(long_enough)
     return kept.select("sample_id", F.round(F.col("a") + inset, 6).alias("start"), F.round(F.col("b") - inset, 6).alias("end"))
 
 

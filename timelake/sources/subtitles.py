@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from timelake.sources.shared import hadoop_path
+
 _TIME = r"(-?\d+):(\d{1,2}):(\d{1,2})[,.](\d{1,3})"
 _ARROW = rf"^\s*{_TIME}\s*-->\s*{_TIME}"
 
@@ -75,10 +79,45 @@ def read_texts(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.option("wholetext", True).text(glob).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
 
 
+#: Hits of a member in one row at most, and the file that tells how many rows a result has.
+HITS, _MANIFEST = 1000, "_manifest"
+
+
 def write_result(hits: DataFrame, result_id: str, path: str) -> None:
-    """A fixed result: members by rank with their hits, partitioned by result."""
-    members = hits.groupBy("sample_id").agg(F.min("rank").alias("rank"), F.array_sort(F.collect_list(F.struct("rank", "start", "end", "score"))).alias("hits"))
-    members.withColumn("result_id", F.lit(result_id)).write.mode("append").partitionBy("result_id").parquet(path)
+    """Write a fixed result below `path`, partitioned by result: members by rank with their hits, at most HITS ranks in a row (part).
+
+    The rows go to a staging folder, get a manifest with their number, and only then take the place of the result's own partition.
+    So a job that fails leaves what was there, and one that runs again leaves one whole result; others are not touched.
+    """
+    spark = hits.sparkSession
+    part = F.floor(F.col("rank") / HITS).cast("long").alias("part")
+    found = F.array_sort(F.collect_list(F.struct("rank", "start", "end", "score")))
+    members = hits.groupBy("sample_id", part).agg(F.min("rank").alias("rank"), found.alias("hits"))
+    staging = f"{path}/_staging/{result_id}-{uuid.uuid4().hex}"
+    members.write.parquet(staging)
+    fs, staged = hadoop_path(spark, staging)
+    out = fs.create(hadoop_path(spark, f"{staging}/{_MANIFEST}")[1], True)
+    out.write(bytearray(str(spark.read.parquet(staging).count()), "utf-8"))
+    out.close()
+    _, final = hadoop_path(spark, f"{path}/result_id={result_id}")
+    fs.delete(final, True)
+    if not fs.rename(staged, final):
+        raise OSError(f"result {result_id} could not be moved into place")
+
+
+def read_result(spark: SparkSession, result_id: str, path: str) -> DataFrame:
+    """(sample_id, part, rank, hits) of a fixed result; an error if it is not there or not whole."""
+    folder = f"{path}/result_id={result_id}"
+    fs, manifest = hadoop_path(spark, f"{folder}/{_MANIFEST}")
+    if not fs.exists(manifest):
+        raise FileNotFoundError(f"no result {result_id}")
+    source = fs.open(manifest)
+    wanted = int(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+    source.close()
+    rows = spark.read.parquet(folder)
+    if rows.count() != wanted:
+        raise OSError(f"result {result_id} is not whole")
+    return rows
 
 
 def synth_blocks(spark: SparkSession, samples: int, seed: int = 7, per_asset: int = 300) -> DataFrame:

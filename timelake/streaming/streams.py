@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
+from timelake.operators.catalog import index_status
+from timelake.operators.frames import frame_coverage
 from timelake.operators.intervals import overlap_join
+from timelake.operators.planning import plan_analysis
+from timelake.sources.shared import hadoop_path
 
 
 def affected_samples(changes: DataFrame, samples: DataFrame) -> DataFrame:
@@ -16,25 +23,82 @@ def affected_samples(changes: DataFrame, samples: DataFrame) -> DataFrame:
     return overlap_join(ranges, samples.select("id", "source_id", "start", "end")).select(F.col("r_id").alias("id"))
 
 
-def refresh_stream(changes: DataFrame, samples: DataFrame, rebuild: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """Start a query that rebuilds the rows of the affected samples for each batch of changes.
+def affected_ids(changes: DataFrame, samples: DataFrame) -> DataFrame:
+    """(id), each once: samples that the new or the old extent of a changed range reaches, and samples that changed themselves.
 
-    Each batch is written below `path` by its number, so that a repeated batch overwrites itself; `current` reads the
-    newest rows of each sample.
+    changes: source_id, start, end, and where it has them old_source_id, old_start, old_end (where a range was before) and
+    sample_id (a sample that was made, moved or deleted, which need not be in `samples` any more).
+    """
+    found = [affected_samples(changes.where("start is not null"), samples)]
+    if "old_start" in changes.columns:
+        old = changes.where("old_start is not null").select(F.col("old_source_id").alias("source_id"), F.col("old_start").alias("start"), F.col("old_end").alias("end"))
+        found.append(affected_samples(old, samples))
+    if "sample_id" in changes.columns:
+        found.append(changes.where("sample_id is not null").select(F.col("sample_id").alias("id")))
+    return reduce(DataFrame.unionAll, found).distinct()
+
+
+def refresh_stream(changes: DataFrame, samples: DataFrame | Callable[[], DataFrame], rebuild: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str = "sample_id", compact_every: int = 0):
+    """Start a query that rebuilds the rows of the affected samples (see `affected_ids`) for each batch of changes.
+
+    Each batch is written below `path` by its number, so that a repeated batch overwrites itself: the new rows, and a marker
+    (gone) for every affected sample, so that one which is left without rows loses those it had. `current` reads the newest
+    state of each sample. `samples` may be a function that gives the table as it is now. Every `compact_every` batches the
+    history is written as one table (see `compact`).
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        ids = affected_samples(df, samples).distinct()
-        hit = samples.join(ids, "id", "left_semi")
-        rebuild(hit).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        now = samples() if callable(samples) else samples
+        df.persist()
+        ids = affected_ids(df, now)
+        rows = rebuild(now.join(ids, "id", "left_semi")).withColumn("gone", F.lit(False))
+        marks = ids.select(F.col("id").cast(rows.schema[key].dataType).alias(key), F.lit(True).alias("gone"))
+        rows.unionByName(marks, allowMissingColumns=True).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        df.unpersist()
+        if compact_every and number % compact_every == compact_every - 1:
+            compact(df.sparkSession, path, number, key)
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(rows: DataFrame, key: str = "sample_id") -> DataFrame:
-    """The rows of each sample's newest batch."""
+    """The rows of each sample's newest batch; samples that this batch left without rows have none."""
     last = rows.groupBy(key).agg(F.max("batch").alias("_last"))
-    return rows.join(last, key).where(F.col("batch") == F.col("_last")).drop("_last")
+    newest = rows.join(last, key).where(F.col("batch") == F.col("_last")).drop("_last")
+    return newest.where(~F.coalesce("gone", F.lit(False))).drop("gone") if "gone" in rows.columns else newest
+
+
+def _bases(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished compactions, smallest first."""
+    fs, p = hadoop_path(spark, f"{path}/_base")
+    if not fs.exists(p):
+        return []
+    done = [s.getPath().getName() for s in fs.listStatus(p) if fs.exists(hadoop_path(spark, f"{path}/_base/{s.getPath().getName()}/_SUCCESS")[1])]
+    return sorted(int(x.removeprefix("to=")) for x in done)
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    fs, p = hadoop_path(spark, path)
+    if not fs.exists(p):
+        return []
+    return sorted(int(s.getPath().getName().removeprefix("batch=")) for s in fs.listStatus(p) if s.getPath().getName().startswith("batch="))
+
+
+def refreshed(spark: SparkSession, path: str, key: str = "sample_id", upto: int | None = None) -> DataFrame:
+    """The present rows of a refreshed table: its last compaction and the batches after it."""
+    bases = [b for b in _bases(spark, path) if upto is None or b < upto]
+    after = [n for n in _batches(spark, path) if (not bases or n > bases[-1]) and (upto is None or n <= upto)]
+    parts = [spark.read.parquet(f"{path}/_base/to={bases[-1]}").withColumn("batch", F.lit(bases[-1]))] if bases else []
+    parts += [spark.read.option("basePath", path).parquet(*(f"{path}/batch={n}" for n in after))] if after else []
+    return current(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), key)
+
+
+def compact(spark: SparkSession, path: str, upto: int, key: str = "sample_id") -> None:
+    """Write the state after batch `upto` as one table, then delete what it replaces; a run that breaks off changes nothing."""
+    refreshed(spark, path, key, upto).drop("batch").write.mode("overwrite").parquet(f"{path}/_base/to={upto}")
+    for name in [f"batch={n}" for n in _batches(spark, path) if n < upto] + [f"_base/to={b}" for b in _bases(spark, path) if b < upto]:
+        fs, p = hadoop_path(spark, f"{path}/{name}")
+        fs.delete(p, True)
 
 
 def sessions(events: DataFrame, key: str, time: str, gap: str, late: str) -> DataFrame:
@@ -65,6 +129,115 @@ def preparation(changes: DataFrame, gap: str, late: str) -> DataFrame:
     return once.groupBy("entity", "id", w.alias("w")).agg(F.count("*").alias("n")).select("entity", "id", F.col("w.start").alias("start"), "n")
 
 
+class Debounce(StatefulProcessor):
+    """Pending bursts of changes of one object, each with a timer; a burst comes out once nothing can join it any more.
+
+    State: the bursts (first, last, n) in microseconds, in order. A change closer than the delay to a burst joins it, and bursts
+    that meet become one. A burst is due a delay after its last change, on the clock of events; then it leaves the state. The
+    same change twice is one change as long as its burst is pending.
+    """
+
+    BURSTS = "bursts array<struct<first:bigint,last:bigint,seen:array<bigint>>>"
+
+    def __init__(self, delay: int, keys: tuple[str, ...]):
+        self.delay, self.keys = delay, keys
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.pending = handle.getValueState("pending", self.BURSTS)
+
+    def _bursts(self) -> list[tuple[int, int, list[int]]]:
+        return [(b["first"], b["last"], list(b["seen"])) for b in self.pending.get()[0]] if self.pending.exists() else []
+
+    def handleInputRows(self, key, rows, timerValues):
+        before = self._bursts()
+        times = {t for _, _, seen in before for t in seen}
+        for part in rows:
+            times |= set(part["at"].astype("int64").tolist())
+        bursts: list[tuple[int, int, list[int]]] = []
+        for t in sorted(times):
+            if bursts and t - bursts[-1][1] < self.delay:
+                bursts[-1] = (bursts[-1][0], t, [*bursts[-1][2], t])
+            else:
+                bursts.append((t, t, [t]))
+        self.pending.update(([{"first": a, "last": b, "seen": seen} for a, b, seen in bursts],))
+        due = lambda b: -(-(b[1] + self.delay) // 1000)
+        old, new = set(map(due, before)), set(map(due, bursts))
+        for t in old - new:
+            self.handle.deleteTimer(t)
+        for t in new - old:
+            self.handle.registerTimer(t)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        at = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        bursts = self._bursts()
+        done = [b for b in bursts if b[1] + self.delay <= at]
+        left = [b for b in bursts if b[1] + self.delay > at]
+        if left:
+            self.pending.update(([{"first": a, "last": b, "seen": seen} for a, b, seen in left],))
+        else:
+            self.pending.clear()
+        if done:
+            yield pd.DataFrame({**{k: [v] * len(done) for k, v in zip(self.keys, key, strict=True)}, "first": [b[0] for b in done], "last": [b[1] for b in done], "n": [len(b[2]) for b in done]})
+
+    def close(self) -> None:
+        pass
+
+
+def due_objects(changes: DataFrame, delay_seconds: float, late: str) -> DataFrame:
+    """(entity, id, first, last, n) on a stream of changes (entity, id, ts): the bursts whose preparation is due (see `Debounce`).
+
+    A change that comes later than `late` behind the newest one is dropped. Times are microseconds since 1970.
+    """
+    spark = changes.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    keys = ("entity", "id")
+    kinds = ", ".join(f"{k} {changes.schema[k].dataType.simpleString()}" for k in keys)
+    marked = changes.select(*keys, "ts").withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
+    processor = Debounce(round(delay_seconds * 1_000_000), keys)
+    return marked.groupBy(*keys).transformWithStateInPandas(processor, f"{kinds}, first long, last long, n long", "append", "eventTime")
+
+
+def claim_stream(due: DataFrame, plan: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
+    """Start a query that plans what is missing for due objects and claims each piece once.
+
+    `plan` gives the pieces (kind, id, piece) that a batch's objects (entity, id) lack now. Those that an earlier batch has claimed
+    are left out; the rest is written below `path` by the batch's number, so that a repeated batch claims the same again.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        pieces = plan(df.select("entity", "id").distinct()).select("kind", F.col("id").cast("string").alias("id"), "piece").distinct()
+        earlier = [n for n in _batches(spark, path) if n < number]
+        if earlier:
+            taken = spark.read.parquet(*(f"{path}/batch={n}" for n in earlier))
+            pieces = pieces.join(taken.select("kind", "id", "piece"), ["kind", "id", "piece"], "left_anti")
+        pieces.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return due.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def missing_pieces(due: DataFrame, keys: DataFrame, index: DataFrame, spans: DataFrame, chunks: DataFrame, requests: DataFrame, usable: DataFrame) -> DataFrame:
+    """(kind, id, piece) that due objects (entity, id) lack: index rows, frame chunks and analyses.
+
+    A sample's index row is missing or stale (`index_status` of keys (id, signature) and index); its span (id, sound, f_start,
+    f_end) needs 60 s chunks that are not there (`frame_coverage`); a segment's unit (`plan_analysis` of requests with id) is
+    to be run. A piece names what would be made, so that a later change of the same object is a new piece.
+    """
+    sample = due.where("entity = 'sample'").select("id").distinct()
+    own = keys.join(sample, "id", "left_semi")
+    stale = index_status(own, index, "id").where("state <> 'ready'").join(own, "id")
+    rows = stale.select(F.lit("index").alias("kind"), F.col("id").cast("string").alias("id"), F.col("signature").cast("string").alias("piece"))
+    gaps = frame_coverage(spans.join(sample, "id", "left_semi"), chunks).where("not ready").select("id", F.explode("missing").alias("chunk")).join(spans.select("id", "sound"), "id")
+    frames = gaps.select(F.lit("frames").alias("kind"), F.col("sound").cast("string").alias("id"), F.col("chunk").cast("string").alias("piece"))
+    segment = due.where("entity = 'segment'").select("id").distinct()
+    asked = requests.join(segment, "id", "left_semi")
+    units = plan_analysis(asked, usable).where("action = 'run'").select("unit_id").join(asked.groupBy("unit_id").agg(F.min("fingerprint").alias("fingerprint")), "unit_id")
+    runs = units.select(F.lit("analysis").alias("kind"), F.col("unit_id").cast("string").alias("id"), F.col("fingerprint").cast("string").alias("piece"))
+    return rows.unionByName(frames).unionByName(runs).distinct()
+
+
 def progress(items: DataFrame) -> DataFrame:
     """(job_id, total, ok, failed) so far; on a stream in update or complete mode."""
     count = lambda s: F.sum((F.col("status") == s).cast("long"))
