@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,17 +54,18 @@ def with_pitch(frames: DataFrame) -> DataFrame:
 
 
 def elastic_lengths(query: PitchQuery) -> list[tuple[float, list[int]]]:
-    """(ratio, block lengths) of each length variant: ratios in steps of 0.01, block edges rounded."""
+    """(ratio, block lengths) of each length variant: whole lengths at ratios in steps of 0.01, block edges in proportion, rounded."""
     if query.elastic is None:
         return [(1.0, [b.frames for b in query.blocks])]
-    edges, out, seen = [sum(b.frames for b in query.blocks[:i]) for i in range(len(query.blocks) + 1)], [], set()
-    low, high = query.elastic
-    for step in range(round(low * 100), round(high * 100) + 1):
-        at = [int(e * step / 100 + 0.5) for e in edges]
-        sizes = tuple(b - a for a, b in zip(at[:-1], at[1:], strict=True))
-        if min(sizes) > 0 and sizes not in seen:
-            seen.add(sizes)
-            out.append((step / 100, list(sizes)))
+    edges = [sum(b.frames for b in query.blocks[:i]) for i in range(len(query.blocks) + 1)]
+    whole, (low, high) = edges[-1], query.elastic
+    half_up = lambda x: math.floor(x + 0.5 + 1e-9)
+    out = []
+    for total in sorted({half_up(whole * (low + 0.01 * k)) for k in range(round((high - low) * 100) + 1)}):
+        at = [half_up(e * total / whole) for e in edges]
+        sizes = [b - a for a, b in zip(at[:-1], at[1:], strict=True)]
+        if min(sizes) > 0:
+            out.append((total / whole, sizes))
     return out
 
 
@@ -101,51 +105,138 @@ def _variant(frames: DataFrame, query: PitchQuery, sizes: list[int], octave: int
     return found.where("_hit").select(*salt, "sound", "start", F.lit(total).alias("frames"), F.lit(octave).alias("octave"), (F.floor(F.col("score") * 10000 + 0.5) / 10000).alias("score"))
 
 
-def _glides(frames: DataFrame, query: PitchQuery, sizes: list[int]) -> DataFrame:
-    """Hits of a query with glides: every start meets its frames, and each block's band moves linearly."""
-    at, rows = 0, []
-    for j, (b, size) in enumerate(zip(query.blocks, sizes, strict=True)):
-        for i in range(size):
-            rows.append((at + i, j, size, b.midi + ((b.to if b.to is not None else b.midi) - b.midi) * (i + 0.5) / size))
-        at += size
-    plan = F.from_json(F.lit(json.dumps([dict(zip(("off", "block", "size", "target"), r, strict=True)) for r in rows])), "array<struct<off:int,block:int,size:int,target:double>>")
-    hits = frames.select("*", F.inline(plan)).withColumn("start", F.col("frame") - F.col("off"))
-    d = F.abs(F.col("midi") - F.col("target")) * 100
-    per = hits.groupBy("sound", "start", "block", "size").agg(F.count("*").alias("seen"), F.sum(F.col("ok").cast("int")).alias("n"), F.sum((d <= query.tolerance + 1e-6).cast("int")).alias("hit"), F.avg(d).alias("dist"))
-    good = per.where((F.col("seen") == F.col("size")) & (F.col("n") >= 1) & (F.col("hit") >= query.coverage * F.col("size") - 1e-9))
-    whole = good.groupBy("sound", "start").agg(F.count("*").alias("k"), F.avg("dist").alias("score")).where(F.col("k") == len(sizes))
-    return whole.select("sound", "start", F.lit(sum(sizes)).alias("frames"), F.lit(0).alias("octave"), (F.floor(F.col("score") * 10000 + 0.5) / 10000).alias("score"))
+#: Frames of a sound that one piece answers for; it also holds those that windows beginning in it reach.
+PIECE = 12_000
+_HITS = "start int, frames int, octave int, score double"
+
+
+def _cumulated(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, x.dtype if x.dtype.kind == "f" else np.int64), np.cumsum(x)])
+
+
+class Piece:
+    """Runs of consecutive frames (of one or many pieces of sounds) and the prefix sums that all variants share."""
+
+    def __init__(self, query: PitchQuery, ok: np.ndarray, midi: np.ndarray, end: np.ndarray):
+        # end: for each frame the place after the last one of its run
+        self.q, self.ok, self.midi, self.end = query, ok, np.where(ok, midi, np.nan), end
+        self.voiced = _cumulated(ok)
+        self.sums: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        gap, self.gaps = int(query.max_gap / 0.01 + 0.5 + 1e-9), None
+        if len(ok) > gap:
+            silent = _cumulated(~ok)
+            self.gaps = _cumulated(silent[gap + 1 :] - silent[: len(ok) - gap] == gap + 1)  # silence of gap + 1 frames from here
+        self.gap = gap
+
+    def block_sums(self, j: int, octave: int) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix sums of frames near a block's pitch, and of all frames' distances from it."""
+        if (j, octave) not in self.sums:
+            d = np.abs(self.midi - (self.q.blocks[j].midi + 12 * octave)) * 100
+            self.sums[j, octave] = _cumulated(d <= self.q.tolerance + 1e-6), _cumulated(np.nan_to_num(d))
+        return self.sums[j, octave]
+
+    def score(self, sizes: list[int], octave: int) -> np.ndarray:
+        """The score of the window at each frame; infinite where it does not fit."""
+        total = sum(sizes)
+        at = np.flatnonzero(np.arange(len(self.end)) + total <= self.end)
+        out = np.full(len(self.end), np.inf)
+        if total > self.gap and self.gaps is not None:
+            at = at[self.gaps[at + total - self.gap] == self.gaps[at]]
+        score, first = np.zeros(len(at)), 0
+        for j, (block, size) in enumerate(zip(self.q.blocks, sizes, strict=True)):
+            a = at + first
+            n = self.voiced[a + size] - self.voiced[a]
+            if block.to is None:
+                near, far = self.block_sums(j, octave)
+                hit, dist = near[a + size] - near[a], far[a + size] - far[a]
+            else:  # a band that moves: frame by frame
+                hit, dist = np.zeros(len(at), np.int64), np.zeros(len(at))
+                for i in range(size):
+                    d = np.abs(self.midi[a + i] - (block.midi + (block.to - block.midi) * (i + 0.5) / size)) * 100
+                    hit += d <= self.q.tolerance + 1e-6
+                    dist += np.nan_to_num(d)
+            keep = (n >= 1) & (hit >= self.q.coverage * size - 1e-9)
+            at, score = at[keep], score[keep] + dist[keep] / n[keep]
+            first += size
+        out[at] = np.floor(score / len(sizes) * 10000 + 0.5) / 10000
+        return out
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(frames, octave, score) of the best variant at each frame: least score, then nearest length, then nearest octave."""
+        n, whole = len(self.end), sum(b.frames for b in self.q.blocks)
+        frames, octave, score = np.zeros(n, np.int32), np.zeros(n, np.int32), np.full(n, np.inf)
+        octaves = [0]
+        if self.q.octave_free:
+            heard = self.midi[self.ok]
+            octaves = [] if not len(heard) else list(_octaves(float(heard.min()), float(heard.max()), self.q))
+        lengths = [sizes for _, sizes in elastic_lengths(self.q)]
+        order = sorted(((round(abs(math.log(sum(sizes) / whole)), 12), abs(o), o, sum(sizes), i) for i, sizes in enumerate(lengths) for o in octaves))
+        for *_, o, total, i in order:
+            own = self.score(lengths[i], o)
+            better = own < score
+            frames[better], octave[better], score[better] = total, o, own[better]
+        return frames, octave, score
 
 
 def search_pitch(frames: DataFrame, query: PitchQuery) -> DataFrame:
     """(sound, start, frames, octave, score): the best variant of every start frame whose window fits the query.
 
-    frames: sound, frame, ok, midi, without holes inside a sound.
+    frames: sound, frame, ok, midi. A window has no hole and lies in one sound. Sounds are cut into pieces of PIECE frames, each
+    with the frames after it that a window may reach; a start is judged in its own piece. So one shuffle serves all variants of
+    length and octave, and a long track is spread over tasks.
     """
-    octaves = octave_range(frames, query) if query.octave_free else (0,)
-    found = []
-    for _, sizes in elastic_lengths(query):
-        if any(b.to is not None for b in query.blocks):
-            found.append(_glides(frames, query, sizes))
-        else:
-            found += [_variant(frames, query, sizes, o, []) for o in octaves]
-    length = sum(b.frames for b in query.blocks)
-    ratio = F.round(F.abs(F.log(F.col("frames") / length)), 12)
-    order = [F.col("score"), ratio, F.abs("octave"), F.col("octave"), F.col("frames")]
-    best = Window.partitionBy("sound", "start").orderBy(*order)
-    if not found:
-        none = F.lit(None)
-        return frames.where(F.lit(False)).select("sound", F.col("frame").alias("start"), none.cast("int").alias("frames"), none.cast("int").alias("octave"), none.cast("double").alias("score"))
-    return reduce(DataFrame.union, found).withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
+    longest = max((sum(sizes) for _, sizes in elastic_lengths(query)), default=1)
+    pieces = F.sequence(F.floor((F.col("frame") - longest + 1) / PIECE), F.floor(F.col("frame") / PIECE))
+    cut = frames.select("sound", "frame", F.coalesce("ok", F.lit(False)).alias("ok"), F.col("midi").cast("double").alias("midi"), F.explode(pieces).alias("piece"))
+    placed = cut.repartition("sound", "piece").sortWithinPartitions("sound", "piece", "frame")
+
+    def judge(t: pa.Table) -> pa.RecordBatch | None:
+        if not t.num_rows:
+            return None
+        t = t.combine_chunks()
+        sound = t["sound"].combine_chunks().dictionary_encode()
+        piece, frame = t["piece"].to_numpy(), t["frame"].to_numpy().astype(np.int64)
+        name = sound.indices.to_numpy() if not isinstance(sound, pa.ChunkedArray) else sound.combine_chunks().indices.to_numpy()
+        new = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (piece[1:] != piece[:-1]) | (frame[1:] != frame[:-1] + 1)])
+        end = np.repeat(np.r_[new[1:], len(frame)], np.diff(np.r_[new, len(frame)]))
+        midi = t["midi"].to_numpy()
+        length, octave, score = Piece(query, t["ok"].to_numpy() & np.isfinite(midi), midi, end).best()
+        at = np.flatnonzero(np.isfinite(score) & (frame // PIECE == piece))
+        columns = [t["sound"].combine_chunks().take(pa.array(at)), pa.array(frame[at].astype(np.int32)), pa.array(length[at]), pa.array(octave[at]), pa.array(score[at])]
+        return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], ["sound", "start", "frames", "octave", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in batches:
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if held.num_rows < PIECE:
+                continue
+            # whole pieces are judged, the last one may go on in the next batch
+            sound, piece = held["sound"].combine_chunks(), held["piece"].to_numpy()
+            last = held.num_rows - 1
+            same = np.r_[piece == piece[last]] & np.asarray(pc.equal(sound, sound[last]).to_numpy(zero_copy_only=False), bool)
+            first = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            out = judge(held.slice(0, first))
+            if out is not None:
+                yield out
+            held = held.slice(first)
+        if held is not None:
+            out = judge(held)
+            if out is not None:
+                yield out
+
+    return placed.mapInArrow(run, f"sound {frames.schema['sound'].dataType.simpleString()}, {_HITS}")
+
+
+def _octaves(low: float, high: float, query: PitchQuery) -> range:
+    slack, targets = query.tolerance / 100, [x for b in query.blocks for x in (b.midi, b.to if b.to is not None else b.midi)]
+    return range(math.floor((low - max(targets) - slack) / 12) - 1, math.ceil((high - min(targets) + slack) / 12) + 2)
 
 
 def octave_range(frames: DataFrame, query: PitchQuery) -> range:
     """The octaves by which a query may be moved and still meet the frames' own range of pitches, one more on both sides."""
     m = frames.agg(F.min("midi").alias("low"), F.max("midi").alias("high")).first()
-    if m.low is None:
-        return range(0)
-    slack, targets = query.tolerance / 100, [x for b in query.blocks for x in (b.midi, b.to if b.to is not None else b.midi)]
-    return range(math.floor((m.low - max(targets) - slack) / 12) - 1, math.ceil((m.high - min(targets) + slack) / 12) + 2)
+    return range(0) if m.low is None else _octaves(m.low, m.high, query)
 
 
 def steady_hits(hits: DataFrame, frames: DataFrame, query: PitchQuery, spread: float | None = None, energy: tuple[float | None, float | None] = (None, None)) -> DataFrame:
@@ -188,8 +279,11 @@ def allowed_starts(hits: DataFrame, spans: DataFrame, lines: DataFrame | None =
 
     With `head` (`tail`) a hit also begins (ends) within so many seconds of the start (end) of a line (sound, start, end).
     """
-    inside = (hits["start"] >= spans["f_start"]) & (hits["start"] + hits["frames"] <= spans["f_end"])
-    found = hits.join(spans, (hits["sound"] == spans["sound"]) & inside, "left_semi")
+    # equi-join on sound and the piece that a hit begins in; a span stands in each piece that it reaches
+    within = spans.select(F.col("sound").alias("_sound"), "f_start", "f_end", F.explode(F.sequence(F.floor(F.col("f_start") / PIECE), F.floor(F.greatest("f_start", "f_end") / PIECE))).alias("_piece"))
+    own = hits.withColumn("_at", F.floor(F.col("start") / PIECE))
+    inside = (own["start"] >= within["f_start"]) & (own["start"] + own["frames"] <= within["f_end"])
+    found = own.join(within, (own["sound"] == within["_sound"]) & (own["_at"] == within["_piece"]) & inside, "left_semi").drop("_at")
     for limit, edge, at in ((head, "start", F.col("start") * 0.01), (tail, "end", (F.col("start") + F.col("frames")) * 0.01)):
         if limit is not None:
             # equi-join on the second that a hit's edge lies in; a line offers those within its reach

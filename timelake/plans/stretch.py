@@ -1,13 +1,15 @@
-"""Queries over time maps: sentences from orders, their control points, maps, speeds and densities, with their SQL."""
+"""Queries over time maps (sentences from orders, control points, maps, speeds, densities) and over pitch variants, with their SQL."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from timelake.functions import timemap
-from timelake.operators import evidence, stretch
-from timelake.plans.timeline import table
+from timelake.operators import frames, stretch
+from timelake.plans.timeline import SP, spans, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -114,9 +116,61 @@ def w13_original_tempo(spark, d):
     return found.select("sample_id", "error", "scheme.density", F.round("scheme.bpm", 4).alias("bpm"), F.round("scheme.speed", 3).alias("speed"))
 
 
-@query(f"{ONE}, x AS (SELECT id, x, size, (SELECT max(s) FROM k1 WHERE k1.id = f0.id) AS last FROM f0 WHERE i = 0), q AS (SELECT id, unnest([0.13, 0.37, 0.81]) * size AS f FROM x) SELECT q.id AS sample_id, round(f, 3) AS frame, round(t0 + (f - s0) * (t1 - t0) / (s1 - s0)::DOUBLE, 2) AS target, round(f, 3) AS back FROM q JOIN sgm ON sgm.id = q.id AND f > s0 AND f <= s1")
+@query(f"{ONE}, x AS (SELECT id, x, size, (SELECT max(s) FROM k1 WHERE k1.id = f0.id) AS last FROM f0 WHERE i = 0), q AS (SELECT id, unnest([0.13, 0.37, 0.81]) * size AS f FROM x) SELECT q.id AS sample_id, round(f, 3) AS frame, round(t0 + (f - s0) * (t1 - t0) / (s1 - s0)::DOUBLE + 1e-7, 2) AS target, round(f, 3) AS back FROM q JOIN sgm ON sgm.id = q.id AND f > s0 AND f <= s1")
 def w11_there_and_back(spark, d):
     """Frames through the map and back again."""
     m = one_map(spark, d).select("sample_id", "scheme.knots", F.explode(F.array(*map(F.lit, (0.13, 0.37, 0.81)))).alias("share"))
     m = m.withColumn("frame", F.col("share") * F.element_at("knots", -1)["s"]).withColumn("target", timemap.to_target(F.col("knots"), F.col("frame")))
-    return m.select("sample_id", F.round("frame", 3).alias("frame"), F.round("target", 2).alias("target"), F.round(timemap.to_source(F.col("knots"), F.col("target")), 3).alias("back"))
+    return m.select("sample_id", F.round("frame", 3).alias("frame"), F.round(F.col("target") + 1e-7, 2).alias("target"), F.round(timemap.to_source(F.col("knots"), F.col("target")), 3).alias("back"))
+
+
+# ---- pitch search with variants of octave, length and glide
+
+#: The frames of a user's events: the type as voicing, the hour as pitch.
+FRAMES = """fr AS (SELECT source_id AS sound, row_number() OVER (PARTITION BY source_id ORDER BY s, id) - 1 AS frame, kind <> 'signup' AS ok, 57 + CAST(floor(s / 50) AS BIGINT) % 4 + id % 7 * 0.1::DOUBLE AS midi FROM sp)"""
+VARIANT_SQL = """WITH {sp}, {frames}, vr(v, total, octave, far, low) AS (VALUES {variants}), bk(v, j, a, b, x, y) AS (VALUES {blocks}), st AS (SELECT f.sound, f.frame AS start, v, total, octave, far, low FROM fr f JOIN vr ON true JOIN (SELECT sound, max(frame) AS top FROM fr GROUP BY 1) t ON t.sound = f.sound AND f.frame + total - 1 <= top),
+w AS (SELECT st.sound, st.start, st.v, octave, total, far, low, j, b - a AS size, f.frame, f.ok, abs(f.midi - (x + (y - x) * (f.frame - st.start - a + 0.5::DOUBLE) / (b - a) + 12 * octave)) * 100 AS d FROM st JOIN bk ON bk.v = st.v JOIN fr f ON f.sound = st.sound AND f.frame >= st.start + a AND f.frame < st.start + b),
+g AS (SELECT sound, start, v, octave, total, far, low, j, size, sum(CASE WHEN ok THEN 1 ELSE 0 END) AS n, sum(CASE WHEN ok AND d <= {tol} + 1e-6 THEN 1 ELSE 0 END) AS hit, sum(CASE WHEN ok THEN d ELSE 0 END) AS dist FROM w GROUP BY ALL),
+h AS (SELECT sound, start, v, octave, total, far, low, floor(sum(dist / n) / count(*) * 10000 + 0.5) / 10000 AS score FROM g WHERE n >= 1 AND hit >= {cover} * size - 1e-9 GROUP BY ALL HAVING count(*) = {k}),
+r AS (SELECT *, row_number() OVER (PARTITION BY sound, start ORDER BY score, far, abs(octave), octave, total) AS r FROM h) SELECT sound, CAST(start AS INTEGER) AS start, CAST(total AS INTEGER) AS frames, CAST(octave AS INTEGER) AS octave, round(score, 2) AS score FROM r WHERE r = 1"""
+
+
+def variant_sql(query: frames.PitchQuery, octaves: range) -> str:
+    """All variants in SQL: lengths by proportion of the whole, octaves as given."""
+    whole, variants, blocks = sum(b.frames for b in query.blocks), [], []
+    edges = [sum(b.frames for b in query.blocks[:i]) for i in range(len(query.blocks) + 1)]
+    low, high = query.elastic or (1.0, 1.0)
+    for total in sorted({int(whole * (low * 100 + k) / 100 + 0.5 + 1e-9) for k in range(round((high - low) * 100) + 1)}):
+        for o in octaves:
+            v = len(variants)
+            variants.append(f"({v}, {total}, {o}, {round(abs(math.log(total / whole)), 12)}::DOUBLE, 0)")
+            at = [int(e * total / whole + 0.5 + 1e-9) for e in edges]
+            blocks += [f"({v}, {j}, {a}, {b}, {x.midi}::DOUBLE, {x.midi if x.to is None else x.to}::DOUBLE)" for j, (a, b, x) in enumerate(zip(at, at[1:], query.blocks))]
+    return VARIANT_SQL.format(sp=SP, frames=FRAMES, variants=", ".join(variants), blocks=", ".join(blocks), tol=query.tolerance, cover=query.coverage, k=len(query.blocks))
+
+
+def user_frames(spark, d):
+    w = Window.partitionBy("source_id").orderBy("start", "id")
+    f = spans(spark, d).select(F.col("source_id").alias("sound"), (F.row_number().over(w) - 1).alias("frame"), (F.col("kind") != "signup").alias("ok"), (57 + F.floor(F.col("start") / 50) % 4 + F.pmod(F.col("id"), F.lit(7)) * 0.1).alias("midi"))
+    return f.select("sound", "frame", "ok", F.when(F.col("ok"), F.col("midi")).alias("midi"))
+
+
+_found = lambda spark, d, q: frames.search_pitch(user_frames(spark, d), q).withColumn("score", F.round("score", 2))
+OCTAVES = frames.PitchQuery((frames.PitchBlock(10, 69.0), frames.PitchBlock(10, 71.0)), tolerance=160, coverage=0.4, max_gap=9.0, octave_free=True)
+ELASTIC = frames.PitchQuery((frames.PitchBlock(10, 57.0), frames.PitchBlock(13, 59.0)), tolerance=120, coverage=0.4, max_gap=9.0, elastic=(0.8, 1.25))
+GLIDE = frames.PitchQuery((frames.PitchBlock(16, 57.0, 60.0), frames.PitchBlock(10, 59.0)), tolerance=150, coverage=0.4, max_gap=9.0)
+
+
+@query(variant_sql(OCTAVES, range(-3, 3)))
+def f5_octave_free(spark, d):
+    return _found(spark, d, OCTAVES)
+
+
+@query(variant_sql(ELASTIC, range(0, 1)))
+def f6_elastic(spark, d):
+    return _found(spark, d, ELASTIC)
+
+
+@query(variant_sql(GLIDE, range(0, 1)))
+def f7_glide(spark, d):
+    return _found(spark, d, GLIDE)
