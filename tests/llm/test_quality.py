@@ -49,3 +49,15 @@ def test_held_out_rows_of_the_tables(spark):
     assert len(held) > 50 and sum(p == y for p, _, y in held) >= 0.95 * len(held)
     good, bad = [s for _, s, y in held if y == 1], [s for _, s, y in held if y == 0]
     assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) >= 0.97 * len(good) * len(bad)
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    rows = corpus(120)
+    docs = spark.createDataFrame([(k, t if k != 7 else t + " word" * 20_000) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, label int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda texts, labels: seen.append(sum(map(len, texts))) or quality.Model(quality.np.zeros(1 << quality.BITS), 0.0))
+    quality.train(docs, labels)
+    monkeypatch.setattr(quality, "BYTES", 20_000)
+    quality.train(docs, labels)
+    assert seen[0] > 100_000 and 10_000 < seen[1] <= 20_000

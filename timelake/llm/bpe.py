@@ -25,8 +25,9 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches
 
-#: Pre-tokens kept per worker; the cache is emptied when full, which bounds memory and changes no result.
-CACHE = 150_000
+#: Pre-tokens kept per worker, and the characters of the longest that is kept; the cache is emptied when full, which bounds memory
+#: and changes no result.
+CACHE, KEPT = 150_000, 64
 #: Fragments of more bytes than this are merged one by one with a heap.
 LONG = 512
 _NONE = np.int32(2**31 - 1)
@@ -191,10 +192,10 @@ class Codec:
         got = [list(map(cache.get, own)) for own in words]
         short = [k for k, g in enumerate(got) if None in g]
         missing = list({w for k in short for w, g in zip(words[k], got[k], strict=True) if g is None})
-        if missing:
-            cache.update(zip(missing, self.merge_all([w.encode() for w in missing]), strict=True))
+        fresh = dict(zip(missing, self.merge_all([w.encode() for w in missing]), strict=True)) if missing else {}
         for k in short:
-            got[k] = list(map(cache.__getitem__, words[k]))
+            got[k] = [fresh[w] if g is None else g for w, g in zip(words[k], got[k], strict=True)]
+        cache.update((w, ids) for w, ids in fresh.items() if len(w) <= KEPT)
         return [np.frombuffer(b"".join(g), dtype=np.int32) for g in got]
 
     def decode(self, ids) -> str:

@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, drop, saved
 from .hashing import pieces, word_hashes, words_of
 
 BITS = 18
 SAMPLE = 1500
+#: Bytes of text that it may hold in all.
+BYTES = 32 << 20
 THRESHOLD = 0.3
 _SAME = 1
 
@@ -103,14 +105,27 @@ def fit(texts: list[bytes], labels: list[int], dims: int = 8, epochs: int = 4, r
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
-    """Fit on a bounded sample of `labels` (key, label 0 or 1), drawn by the hash of the key, and their whole texts."""
+    """Fit on a bounded sample of `labels` (key, label 0 or 1), drawn by the hash of the key, and their whole texts.
+
+    The sample has at most SAMPLE keys a label and, in the order of the draw, as many as hold BYTES of text together; a key whose
+    texts no longer fit is passed over.
+    """
     known = labels.where(F.col("label").isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min("label").alias("_label"))
     drawn = None
     for label in (0, 1):
         some = known.where(F.col("_label") == label).orderBy(F.xxhash64("_k"), "_k").limit(SAMPLE)
         drawn = some if drawn is None else drawn.union(some)
     texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(text).cast("binary").alias("_t"))
-    rows = texts.join(F.broadcast(drawn), "_k").select("_k", "_t", "_label").toPandas().sort_values(["_k", "_t"])  # at most 2 * SAMPLE keys
+    met = saved(texts.join(F.broadcast(drawn), "_k").select("_k", "_t", "_label"), "labelled")  # at most 2 * SAMPLE keys
+    sizes = met.groupBy("_k").agg(F.sum(F.octet_length("_t")).cast("long").alias("n")).orderBy(F.xxhash64("_k"), "_k").collect()
+    held, chosen = 0, []
+    for r in sizes:
+        if held + r.n <= BYTES:
+            held += r.n
+            chosen.append(r._k)
+    kept = met if len(chosen) == len(sizes) else met.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in chosen], docs.select(F.col(key).alias("_k")).schema)), "_k", "left_semi")
+    rows = kept.toPandas().sort_values(["_k", "_t"])
+    drop(met)
     return fit([bytes(t) for t in rows["_t"]], [int(x) for x in rows["_label"]])
 
 
