@@ -93,3 +93,10 @@ def file_clock_label(t: Column) -> Column:
     """HH-MM-SS.mmm."""
     ms = F.bround(t * 1000).cast("long")
     return F.format_string("%02d-%02d-%02d.%03d", F.floor(ms / 3600000).cast("long"), F.floor(ms / 60000).cast("long") % 60, F.floor(ms / 1000).cast("long") % 60, ms % 1000)
+
+
+def picture_time(mode: Column, source_t: Column, local_t: Column, offset: Column, duration: Column) -> Column:
+    """The time inside a picture's file: sync follows the source with an offset (null where the source's time is unknown), an image
+    stands at 0, a loop takes the local time modulo its duration."""
+    around = F.when(F.coalesce(duration, F.lit(0.0)) > 0, F.pmod(local_t, duration)).otherwise(0.0)
+    return F.when(mode == "image", 0.0).when(mode == "loop", around).otherwise(source_t + F.coalesce(offset, F.lit(0.0)))

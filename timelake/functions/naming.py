@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timelake.functions.clocks import clock_label
-from timelake.functions.text import midi_of_hz, midi_of_note, note_name
+from timelake.functions.clocks import clock_label, file_clock_label
+from timelake.functions.text import cut_bytes, midi_of_hz, midi_of_note, nfc, note_name
 
 NAME_MAX = 500
 _PAUSE, _GEMINATE, _NASAL = "pau", "cl", "N"
@@ -104,3 +104,41 @@ def partial_names(selections: DataFrame, segments: DataFrame, phones: DataFrame,
     fragment = F.trim(F.array_join(F.transform("s", lambda x: x["piece"]), ""))
     text = F.array_join(F.array_distinct(F.transform("s", lambda x: x["text"])), " / ")
     return g.where(~F.col("whole") & (fragment != "")).select("id", partial_name(fragment, text).alias("name"))
+
+
+#: Fixed values of exported file names: what parts them, and the most UTF-8 bytes of the whole and of its parts.
+BETWEEN, NAME_BYTES = "__", 255
+CONTENT_BYTES, PROCESSING_BYTES, SOURCE_BYTES, KEY_CHARS, ID_CHARS = 72, 45, 35, 12, 8
+_RESERVED = r"(?i)^(?:CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])(?:\..*)?$"
+
+
+def _edges(text: Column) -> Column:
+    return F.regexp_replace(text, r"^[ .]+|[ .]+$", "")
+
+
+def portable(text: Column) -> Column:
+    """A text as part of a file name anywhere: signs that some system forbids become _, names that one reserves get a _ before them."""
+    clean = _edges(F.regexp_replace(nfc(text), r'[\\/:*?"<>|\x00-\x1f\x7f]', "_"))
+    return F.when(clean.rlike(_RESERVED), F.concat(F.lit("_"), clean)).otherwise(clean)
+
+
+def with_export_name(df: DataFrame, out: str = "export") -> DataFrame:
+    """`df` with (name, error): the file name of an export, of at most 255 bytes.
+
+    Columns: content, processing (may be empty), track, source, source_id, start, end, local (a word for times that are not the
+    source's, or null), key (hexadecimal), ext. If the whole is too long, the content gives way first, then the track. Errors:
+    export-key-invalid, time-out-of-range, filename-too-long.
+    """
+    fit = lambda c, most: _edges(cut_bytes(portable(F.coalesce(F.col(c), F.lit(""))), most))
+    parts = df.withColumns({"_c": fit("content", CONTENT_BYTES), "_p": fit("processing", PROCESSING_BYTES), "_s": fit("source", SOURCE_BYTES), "_i": portable(F.substring("source_id", 1, ID_CHARS)), "_t": portable(F.col("track")), "_l": portable(F.coalesce("local", F.lit(""))), "_e": portable(F.col("ext")), "_k": F.substring("key", 1, KEY_CHARS)})
+    times = F.concat("_l", file_clock_label(F.col("start")), F.lit("-"), file_clock_label(F.col("end")))
+    tail = F.concat(F.lit(BETWEEN), "_s", F.lit(BETWEEN), "_i", F.lit("_"), times, F.lit(BETWEEN), "_k", F.lit("."), "_e")
+    parts = parts.withColumn("_tail", tail)
+    middle = F.when(F.col("_p") != "", F.concat(F.lit(BETWEEN), F.col("_p"))).otherwise("")
+    whole = lambda c, t: F.concat(c, middle, F.lit(BETWEEN), t, F.col("_tail"))
+    shorter = lambda c, name: F.when(F.octet_length(name) > NAME_BYTES, _edges(cut_bytes(c, F.greatest(F.lit(0), F.octet_length(c) - (F.octet_length(name) - NAME_BYTES))))).otherwise(c)
+    parts = parts.withColumn("_c", shorter(F.col("_c"), whole(F.col("_c"), F.col("_t"))))
+    parts = parts.withColumn("_t", shorter(F.col("_t"), whole(F.col("_c"), F.col("_t"))))
+    name = whole(F.col("_c"), F.col("_t"))
+    error = F.when(~F.col("_k").rlike(f"^[0-9a-zA-Z]{{{KEY_CHARS}}}$"), "export-key-invalid").when((F.col("start") < 0) | (F.col("end") < 0), "time-out-of-range").when(F.octet_length(name) > NAME_BYTES, "filename-too-long")
+    return parts.withColumn(out, F.struct(F.when(error.isNull(), name).alias("name"), error.alias("error"))).select(*df.columns, out)

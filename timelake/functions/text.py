@@ -59,7 +59,7 @@ def file_part(name: Column) -> Column:
     return F.regexp_replace(F.trim(clean), r"[. ]+$", "")
 
 
-def cut_bytes(text: Column, most: int) -> Column:
+def cut_bytes(text: Column, most: int | Column) -> Column:
     """The longest start of a text of at most so many UTF-8 bytes; a character keeps its combining marks."""
     units = F.regexp_extract_all(text, F.lit(r"(?s)\P{M}\p{M}*|\p{M}+"), F.lit(0))
     start = F.struct(F.lit("").alias("t"), F.lit(True).alias("go"))

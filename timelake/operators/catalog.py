@@ -50,6 +50,16 @@ def fingerprint(content: Column) -> Column:
     return F.sha2(F.regexp_replace(F.regexp_replace(content, "^﻿", ""), "\r\n?", "\n").cast("binary"), 256)
 
 
+def checked_texts(files: DataFrame) -> DataFrame:
+    """(path, text, fingerprint, error) of files (path, content as bytes): UTF-8 without a byte-order mark, line breaks as \\n.
+
+    A file that is no valid UTF-8 has the error subtitle-encoding and no text.
+    """
+    ok = F.is_valid_utf8(F.col("content"))
+    plain = F.regexp_replace(F.regexp_replace(F.when(ok, F.col("content").cast("string")), "^\ufeff", ""), "\r\n?", "\n")
+    return files.select("path", plain.alias("text"), F.sha2(plain.cast("binary"), 256).alias("fingerprint"), F.when(~ok, "subtitle-encoding").alias("error"))
+
+
 def signature_keys(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     """(key, signature): a digest of a group's ordered rows, which changes only with the given columns."""
     text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns))
@@ -70,6 +80,18 @@ def index_status(keys: DataFrame, index: DataFrame, key: str) -> DataFrame:
     return keys.join(i, key, "left").select(key, F.when(F.col("have").isNull(), "missing").when(F.col("have") == F.col("signature"), "ready").otherwise("stale").alias("state"))
 
 
+def metric_status(ids: DataFrame, metrics: DataFrame, names: list[str], key: str = "id") -> DataFrame:
+    """(metric, total, ready, stale, missing) of a scope of ids: how many have a valid row of metrics, and how many lack each one.
+
+    metrics: key, valid, values (map). A row that is not valid counts for nothing; an unknown value is missing.
+    """
+    own = ids.select(key).distinct().join(metrics.where("valid").select(key, F.col("values").alias("_v")), key, "left")
+    lacks = lambda n: F.sum(F.try_element_at(F.coalesce("_v", F.create_map().cast("map<string,double>")), F.lit(n)).isNull().cast("long"))
+    counted = own.agg(F.count("*").alias("total"), F.count("_v").alias("ready"), *(F.coalesce(lacks(n), F.lit(0)).alias(f"m{i}") for i, n in enumerate(names)))
+    each = F.array(*(F.struct(F.lit(n).alias("metric"), F.col(f"m{i}").alias("missing")) for i, n in enumerate(names)))
+    return counted.select("total", "ready", F.inline(each)).select("metric", "total", "ready", (F.col("total") - F.col("ready")).alias("stale"), "missing")
+
+
 def adopt(rows: DataFrame, keys: DataFrame, index: DataFrame, key: str) -> DataFrame:
     """The index after taking the computed rows whose signature is still current; other entries stay."""
     current = rows.join(keys, [key, "signature"], "left_semi")

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timelake.operators.sequences import WindowQuery, search_blocks
+
 #: Cells of a block, labels of pauses, the least tick and rate of long vowels, and the weights of a cost.
 MOST_CELLS = 64
 PAUSES = ("pau", "sil", "sp", "SP", "AP")
@@ -109,6 +111,8 @@ def shift_fit(x: Column, others: Column, notes: Column, tolerance: float, lower:
     least = least if lower is None else F.greatest(least, F.coalesce(lower, F.lit(float("-inf"))))
     most = F.array_min(gaps) + tolerance
     banned = F.flatten(F.transform(others, lambda y: F.transform(notes, lambda n: F.struct((n["a"] - y).alias("a"), (n["b"] - y).alias("b")))))
+    # only what is banned between the bounds matters
+    banned = F.filter(banned, lambda e: (e["a"] <= most + 1e-9) & (e["b"] >= least - 1e-9))
     middles = F.flatten(F.transform(gaps, lambda g: F.transform(gaps, lambda h: (g + h) / 2)))
     tried = F.concat(F.array(least, most, F.lit(0.0)), middles, F.transform(banned, lambda s: s["b"]), F.transform(banned, lambda s: s["a"] - 1e-9))
     allowed = F.filter(F.array_distinct(tried), lambda s: (s >= least - 1e-12) & (s <= most + 1e-12) & ~F.exists(banned, lambda e: (s >= e["a"] - 1e-12) & (s < e["b"])))
@@ -135,6 +139,16 @@ def window_rows(hits: DataFrame, blocks: DataFrame, n: int) -> DataFrame:
     return g.select("sample_id", "first", *map(part, ("onset", "end", "sustain", "seg")))
 
 
+#: What windows bring along from the search itself (`search_blocks`): one sort finds the hits and their arrays.
+WINDOW = {"onset": "onset", "ends": "end", "sustain": "sustain", "seg": "seg"}
+
+
+def search_windows(blocks: DataFrame, query: WindowQuery) -> DataFrame:
+    """The windows of a block search, as `window_rows` gives them, without meeting the blocks again. blocks also have seg."""
+    found = search_blocks(blocks, query, WINDOW)
+    return found.select("sample_id", "first", "onset", F.col("ends").alias("end"), "sustain", "seg")
+
+
 def _within(windows: DataFrame, plans: DataFrame, q: RhythmQuery) -> DataFrame:
     """Windows with each plan (start, stop, scope) of their sample that holds them and is of the query's scope."""
     n = len(q.notes)
@@ -246,7 +260,8 @@ def choose_evidence(windows: DataFrame, evidence: DataFrame, q: RhythmQuery) ->
     The best has the least cost to 1e-10, plans that are not slower than speech first.
     """
     fit = evidence.where("strict") if q.strict else evidence
-    order = [F.round("cost", 10), F.coalesce(F.col("speed") < 1, F.lit(False)), F.col("scope"), F.col("plan")]
-    best = fit.withColumn("_r", F.row_number().over(Window.partitionBy("sample_id", "first").orderBy(*order))).where("_r = 1").drop("_r")
+    order = F.struct(F.round("cost", 10), F.coalesce(F.col("speed") < 1, F.lit(False)), F.col("scope"), F.col("plan"))
+    rest = [c for c in fit.columns if c not in ("sample_id", "first")]
+    best = fit.groupBy("sample_id", "first").agg(F.min_by(F.struct(*rest), order).alias("_b")).select("sample_id", "first", *(F.col(f"_b.{c}").alias(c) for c in rest)).select(*fit.columns)
     without = windows.select("sample_id", "first").join(best.select("sample_id", "first"), ["sample_id", "first"], "left_anti").groupBy("sample_id").agg(F.count("*").alias("without"))
     return best, without

@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timelake.operators.intervals import overlap_join
+from timelake.sources.shared import saved
+
 MAX_BLOCKS = 64
 
 
@@ -78,9 +81,11 @@ def match(c: BlockCondition) -> tuple[Column, Column]:
     return F.coalesce(whole, F.lit(False)), score
 
 
-def search_blocks(blocks: DataFrame, query: WindowQuery) -> DataFrame:
+def search_blocks(blocks: DataFrame, query: WindowQuery, carry: dict[str, str] | None = None) -> DataFrame:
     """(sample_id, first, start, end, score): runs of adjacent blocks of a sample (ordered by k) that match block by block.
 
+    carry: columns of the blocks that a hit brings along, as an array over its blocks, by the name it gets.
+
     One sort by (sample_id, k) serves all places of the window: place j looks j rows ahead. Blocks of different pause
     segments (pseg) join only if `cross_pauses`; the space between neighbours is at most `max_space`; `head` and `tail`
     ask for the sample's first and last block.
@@ -104,7 +109,8 @@ def search_blocks(blocks: DataFrame, query: WindowQuery) -> DataFrame:
         tests.append(F.lead("k", n).over(w).isNull())
     score = reduce(lambda a, b: a + b, [ahead(F.col(f"_s{j}"), j) for j in range(n)])
     hit = reduce(lambda a, b: a & b, tests)
-    out = cols.select("sample_id", F.col("k").alias("first"), F.coalesce("lead", "onset").alias("start"), ahead(F.col("end"), n - 1).alias("end"), score.alias("score"), hit.alias("_hit"))
+    brought = [F.array(*(ahead(F.col(c), j) for j in range(n))).alias(name) for name, c in (carry or {}).items()]
+    out = cols.select("sample_id", F.col("k").alias("first"), F.coalesce("lead", "onset").alias("start"), ahead(F.col("end"), n - 1).alias("end"), score.alias("score"), hit.alias("_hit"), *brought)
     return out.where("_hit").drop("_hit")
 
 
@@ -116,9 +122,11 @@ def order_hits(hits: DataFrame) -> DataFrame:
     """Hits with `rank`: samples by their best score and id, hits of one by score, start and first; scores to 1e-10.
 
     The order is over all samples, so they are counted by ranges of (best score, id) whose bounds come from a bounded
-    draw; a range's samples are numbered together, and each range begins where those before it end.
+    draw; a range's samples are numbered together, and each range begins where those before it end. The hits are written to
+    the shared folder first, as they are read three times.
     """
     s = F.round("score", 10)
+    hits = saved(hits, "hits")
     groups = hits.groupBy("sample_id").agg(F.min(s).alias("best"), F.count("*").alias("n"))
     drawn = groups.orderBy(F.xxhash64("sample_id"), "sample_id").limit(DRAWN).select("best", "sample_id").toPandas().sort_values(["best", "sample_id"])
     cuts = drawn.iloc[[i * len(drawn) // RANGES for i in range(1, RANGES)]].drop_duplicates() if len(drawn) >= RANGES else drawn.iloc[:0]
@@ -168,3 +176,17 @@ def name_pairs(pairs: DataFrame, durations: DataFrame, key: str = "source_id") -
     middle = (F.col("start") + F.col("end")) / 2
     kind = F.when(n == 2, F.when(i == 1, "op").otherwise("ed")).otherwise(F.when(middle < F.col("duration") / 2, "op").otherwise("ed"))
     return clean.join(durations, key).withColumn("kind", kind).select(key, "start", "end", "kind")
+
+
+def register_pairs(pairs: DataFrame, durations: DataFrame, existing: DataFrame, key: str = "source_id") -> DataFrame:
+    """(key, start, end, kind, state) of marked pairs: register, overlap (an existing range of the source is in the way) or error.
+
+    A source with any faulty marker registers nothing: its sound pairs have the state error too. existing: key, start, end.
+    """
+    faulty = pairs.where("error is not null").select(key).distinct()
+    named = name_pairs(pairs, durations, key).select(key, "start", "end", "kind")
+    found = named.join(faulty, key, "left_anti").withColumn("_id", F.xxhash64(key, "start", "end"))
+    met = overlap_join(found.select(F.col(key).alias("source_id"), "_id", "start", "end"), existing.select(F.col(key).alias("source_id"), "start", "end")).select("_id").distinct().withColumn("_met", F.lit(True))
+    sound = found.join(met, "_id", "left").select(key, "start", "end", "kind", F.when(F.col("_met"), "overlap").otherwise("register").alias("state"))
+    held = pairs.where("error is null").join(faulty, key, "left_semi").select(key, "start", "end", F.lit(None).cast("string").alias("kind"), F.lit("error").alias("state"))
+    return sound.unionByName(held)

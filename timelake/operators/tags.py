@@ -52,28 +52,18 @@ def _tokens(text: str) -> list[tuple[str, str, int]]:
     return [*out, ("end", "", len(text) + 1)]
 
 
-def tag_expr(text: str, tags: Column) -> Column:
-    """A predicate over an array of tags: NOT binds tighter than AND, AND than OR; `ns:*` is a prefix; nothing is implied.
-
-    The empty expression holds for every row. A null array counts as no tags.
-    """
+def parse_tag_expr(text: str) -> tuple | None:
+    """The expression as nested tuples: ("term", tag), ("not", x), ("and", x, y), ("or", x, y); None for the empty one."""
     if len(text) > MAX_CHARS:
         raise TagExprError("expr-too-long", MAX_CHARS + 1)
     tokens, at, terms = _tokens(text), 0, 0
-    tags = F.coalesce(tags, F.array().cast("array<string>"))
-
-    def term(value: str) -> Column:
-        if value.endswith(":*") and len(value) > 2:
-            prefix = value[:-1]
-            return F.exists(tags, lambda t: t.startswith(prefix))
-        return F.array_contains(tags, value)
 
-    def unit() -> Column:
+    def unit() -> tuple:
         nonlocal at, terms
         kind, value, place = tokens[at]
         if kind == "NOT":
             at += 1
-            return ~unit()
+            return ("not", unit())
         if kind == "open":
             at += 1
             if tokens[at][0] == "close":
@@ -88,30 +78,66 @@ def tag_expr(text: str, tags: Column) -> Column:
         at, terms = at + 1, terms + 1
         if terms > MAX_TERMS:
             raise TagExprError("too-many-terms", place)
-        return term(value)
+        return ("term", value)
 
-    def chain(word: str, part) -> Column:
+    def chain(word: str, part) -> tuple:
         nonlocal at
         found = part()
         while tokens[at][0] == word:
             at += 1
-            found = found & part() if word == "AND" else found | part()
+            found = (word.lower(), found, part())
         return found
 
-    def both() -> Column:
+    def both() -> tuple:
         return chain("AND", unit)
 
-    def either() -> Column:
+    def either() -> tuple:
         return chain("OR", both)
 
     if tokens[0][0] == "end":
-        return F.lit(True)
+        return None
     out = either()
     if tokens[at][0] != "end":
         raise TagExprError("unexpected-close" if tokens[at][0] == "close" else "expect-operator", tokens[at][2])
     return out
 
 
+def _prefix(value: str) -> str | None:
+    """The prefix that a term such as `ns:*` stands for."""
+    return value[:-1] if value.endswith(":*") and len(value) > 2 else None
+
+
+def tag_expr(text: str, tags: Column) -> Column:
+    """A predicate over an array of tags: NOT binds tighter than AND, AND than OR; `ns:*` is a prefix; nothing is implied.
+
+    The empty expression holds for every row. A null array counts as no tags.
+    """
+    tags = F.coalesce(tags, F.array().cast("array<string>"))
+
+    def column(node: tuple) -> Column:
+        if node[0] == "term":
+            prefix = _prefix(node[1])
+            return F.array_contains(tags, node[1]) if prefix is None else F.exists(tags, lambda t: t.startswith(prefix))
+        parts = [column(n) for n in node[1:]]
+        return ~parts[0] if node[0] == "not" else parts[0] & parts[1] if node[0] == "and" else parts[0] | parts[1]
+
+    parsed = parse_tag_expr(text)
+    return F.lit(True) if parsed is None else column(parsed)
+
+
+def tags_match(parsed: tuple | None, tags) -> bool:
+    """The same predicate on a collection of tags, for code outside of column expressions."""
+    if parsed is None:
+        return True
+    kind, *rest = parsed
+    if kind == "term":
+        prefix = _prefix(rest[0])
+        return rest[0] in tags if prefix is None else any(t.startswith(prefix) for t in tags)
+    if kind == "not":
+        return not tags_match(rest[0], tags)
+    return all(tags_match(x, tags) for x in rest) if kind == "and" else any(tags_match(x, tags) for x in rest)
+
+
 def facet_of(tag: Column) -> Column:
     """The namespace before the first colon; tags without one belong to the facet `tag`."""
     return F.when(F.instr(tag, ":") > 1, F.split_part(tag, F.lit(":"), F.lit(1))).otherwise("tag")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from timelake.functions import text
+from timelake.functions import rules, text
 from timelake.functions.digests import BRANCH
 from timelake.operators import catalog, edits, history, intervals, measures
 from timelake.plans.timeline import ON, SP, spans, table
@@ -217,3 +217,35 @@ def t3_prepare_stream(spark, d):
     out = fresh_path(spark, "claims")
     streams.claim_stream(streams.due_objects(e, 6 * 3600.0, "1 hour"), plan, out, f"{out}-log").awaitTermination()
     return spark.read.parquet(out).select("kind", "id", "piece")
+
+
+# ---- rules
+
+
+NAME_RULES = (r"^\[[^\]]+\]\s*(?P<work>[^\[\]]+?)\s+-\s+(?P<episode>[0-9]{1,4})", r"^(?P<work>[^\[\]]+?)\s+(?P<episode>S[0-9]{2}E[0-9]{2})")
+NAMES = """n AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '[' || coalesce(source, '?') || '] ' || w || ' - ' || doc_id % 97 || ' [1080p]' WHEN 1 THEN w || ' S0' || doc_id % 9 || 'E1' || doc_id % 7 || '-x' ELSE w END AS s FROM (SELECT doc_id, source, regexp_extract(coalesce(text, ''), '[A-Za-z]+ [a-z]+') AS w FROM documents) z)"""
+
+
+@query(f"""WITH {NAMES}, m AS (SELECT *, regexp_extract(s, '^\\[[^\\]]+\\]\\s*([^\\[\\]]+?)\\s+-\\s+([0-9]{{1,4}})', 1) AS a1, regexp_extract(s, '^\\[[^\\]]+\\]\\s*([^\\[\\]]+?)\\s+-\\s+([0-9]{{1,4}})', 2) AS a2, regexp_extract(s, '^([^\\[\\]]+?)\\s+(S[0-9]{{2}}E[0-9]{{2}})', 1) AS b1, regexp_extract(s, '^([^\\[\\]]+?)\\s+(S[0-9]{{2}}E[0-9]{{2}})', 2) AS b2 FROM n)
+SELECT doc_id, nullif(trim(CASE WHEN a2 <> '' THEN a1 WHEN b2 <> '' THEN b1 END), '') AS work, CASE WHEN a2 <> '' THEN a2 WHEN b2 <> '' THEN b2 ELSE s END AS episode, CAST(CASE WHEN a2 <> '' THEN 0 WHEN b2 <> '' THEN 1 END AS INTEGER) AS rule FROM m""")
+def x11_work_episode(spark, d):
+    """Names made of documents' words, by a checked list of rules."""
+    w = F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]+ [a-z]+", 0)
+    i = F.col("doc_id")
+    name = F.when(i % 3 == 0, F.concat(F.lit("["), F.coalesce("source", F.lit("?")), F.lit("] "), w, F.lit(" - "), (i % 97).cast("string"), F.lit(" [1080p]"))).when(i % 3 == 1, F.concat(w, F.lit(" S0"), (i % 9).cast("string"), F.lit("E1"), (i % 7).cast("string"), F.lit("-x"))).otherwise(w)
+    kept = rules.checked(list(NAME_RULES), ("work", "episode"), samples=("[a] b - 03",), spark=spark)
+    return table(spark, d, "documents").select("doc_id", rules.work_and_episode(name, kept).alias("r")).select("doc_id", "r.work", "r.episode", "r.rule")
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(string_split(translate(coalesce(text, ''), ',.', '()'), chr(10))) AS t, generate_subscripts(string_split(translate(coalesce(text, ''), ',.', '()'), chr(10)), 1) AS line FROM documents), c AS (SELECT doc_id, line, i, t[i] AS c FROM (SELECT doc_id, line, t, unnest(range(1, length(t) + 1)) AS i FROM t) z),
+s AS (SELECT *, sum(CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER w AS s FROM c WINDOW w AS (PARTITION BY doc_id, line ORDER BY i)), g AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY doc_id, line ORDER BY i)) AS depth FROM s),
+e AS (SELECT *, coalesce(lag(depth) OVER (PARTITION BY doc_id, line ORDER BY i), 0) AS before, coalesce(max(CASE WHEN depth = 0 THEN i END) OVER (PARTITION BY doc_id, line), 0) AS q FROM g),
+b AS (SELECT *, i > q OR (depth = 0 AND before = 0) AS text FROM e), k AS (SELECT *, sum(CASE WHEN text AND c <> ' ' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line ORDER BY i) AS said FROM b),
+r AS (SELECT doc_id, line, coalesce(string_agg(CASE WHEN text THEN c END, '' ORDER BY i), '') AS body, sum(CASE WHEN NOT text AND c = ')' AND depth = 0 THEN 1 ELSE 0 END) AS notes, sum(CASE WHEN NOT text AND c = ')' AND depth = 0 AND said = 0 THEN 1 ELSE 0 END) AS labels FROM k GROUP BY 1, 2)
+SELECT doc_id, md5(string_agg(body, '|' ORDER BY line)) AS body, CAST(sum(notes) AS BIGINT) AS notes, CAST(sum(labels) AS BIGINT) AS labels FROM r WHERE body <> '' OR notes > 0 GROUP BY 1""")
+def x14_notes(spark, d):
+    """Notes and labels of documents' lines, whose commas open and whose full stops close brackets."""
+    t = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.translate(F.coalesce("text", F.lit("")), ",.", "()"), "\n")).alias("line", "t")).where("t <> ''")
+    r = t.select("doc_id", "line", rules.bracketed(F.col("t")).alias("b")).select("doc_id", "line", "b.body", F.size("b.notes").alias("n"), F.size("b.labels").alias("k"))
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "body"))), lambda s: s["body"]), "|")
+    return r.groupBy("doc_id").agg(F.md5(ordered.cast("binary")).alias("body"), F.sum("n").alias("notes"), F.sum("k").alias("labels"))
