@@ -45,7 +45,7 @@ def nature_for_roles(roles: Column) -> Column:
 
 def prefill_roles(stems: DataFrame, aliases: DataFrame, roles: DataFrame) -> DataFrame:
     """(asset_id, role) to add: the alias's role of a stem, whatever the case, unless the role exists or was taken off."""
-    named = stems.join(F.broadcast(aliases.select(F.lower("alias").alias("_a"), "role")), F.lower("stem") == F.col("_a")).select("asset_id", "role")  # aliases: a short list of names
+    named = stems.join(aliases.select(F.lower("alias").alias("_a"), "role"), F.lower("stem") == F.col("_a")).select("asset_id", "role")
     return named.distinct().join(roles, ["asset_id", "role"], "left_anti")
 
 

@@ -16,17 +16,11 @@ from timelake.functions.digests import multiset_digest
 from timelake.functions.naming import NAME_MAX, suggest_name
 from timelake.functions.text import nfc
 from timelake.operators.intervals import overlap_join
-from timelake.operators.planning import plan_samples
+from timelake.operators.planning import nature_for_roles, plan_samples
 
 ITEM = ["key", "kind", "asset_id", "start", "end", "judge_start", "judge_end", "name", "nature", "via", "status", "error"]
 
 
-def nature(roles: Column) -> Column:
-    """Voice alone is speech, effects alone are unpitched, anything else is open."""
-    once = F.array_sort(F.array_distinct(F.coalesce(roles, F.array().cast("array<string>"))))
-    return F.when(once == F.array(F.lit("vocal")), "speech").when(once == F.array(F.lit("sfx")), "unpitched").otherwise("unclassified")
-
-
 def file_stem(path: Column) -> Column:
     """The file's name without its extension; a leading dot is no extension."""
     name = F.element_at(F.split(path, "/"), -1)
@@ -72,7 +66,7 @@ def plan_selections(asked: DataFrame, assets: DataFrame, sources: DataFrame, tex
     ok = F.col("_error").isNull()
     judge = _judge(F.col("a_mapping"), F.col("r.start"), F.col("r.end"))
     when = lambda c: F.when(ok, c)
-    return _item(j, "selection", key=F.col("key"), asset_id=F.col("asset_id"), start=when(F.col("r.start")), end=when(F.col("r.end")), judge_start=when(judge[0]), judge_end=when(judge[1]), name=when(F.substring(name, 1, NAME_MAX)), nature=when(nature(F.col("a_roles"))), via=F.col("via"), status=when(F.lit("pending")), error=F.col("_error"))
+    return _item(j, "selection", key=F.col("key"), asset_id=F.col("asset_id"), start=when(F.col("r.start")), end=when(F.col("r.end")), judge_start=when(judge[0]), judge_end=when(judge[1]), name=when(F.substring(name, 1, NAME_MAX)), nature=when(nature_for_roles(F.col("a_roles"))), via=F.col("via"), status=when(F.lit("pending")), error=F.col("_error"))
 
 
 def plan_stems(asked: DataFrame, assets: DataFrame, sources: DataFrame) -> DataFrame:
@@ -96,7 +90,7 @@ def _whole_items(j: DataFrame, kind: str, name: Column, error: Column) -> DataFr
     ok = error.isNull()
     when = lambda c: F.when(ok, c)
     judge = _judge(F.col("a_mapping"), F.lit(0.0), F.col("a_duration"))
-    return _item(j, kind, key=F.col("key"), asset_id=F.col("asset_id"), start=when(F.lit(0.0)), end=when(F.col("a_duration")), judge_start=when(judge[0]), judge_end=when(judge[1]), name=when(F.substring(name, 1, NAME_MAX)), nature=when(nature(F.col("a_roles"))), via=F.lit("manual"), status=when(F.lit("pending")), error=error)
+    return _item(j, kind, key=F.col("key"), asset_id=F.col("asset_id"), start=when(F.lit(0.0)), end=when(F.col("a_duration")), judge_start=when(judge[0]), judge_end=when(judge[1]), name=when(F.substring(name, 1, NAME_MAX)), nature=when(nature_for_roles(F.col("a_roles"))), via=F.lit("manual"), status=when(F.lit("pending")), error=error)
 
 
 def plan_segments(segments: DataFrame, assets: DataFrame, marked: DataFrame, before: float = 0.0, after: float = 0.0) -> DataFrame:

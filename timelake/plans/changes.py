@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from timelake.functions import rules, text
 from timelake.functions.digests import BRANCH
-from timelake.operators import catalog, edits, history, intervals, measures
+from timelake.operators import catalog, edits, history, intervals, measures, sample_plans
 from timelake.plans.timeline import ON, SP, spans, table
 from timelake.sources.shared import fresh_path
 from timelake.streaming import streams
@@ -249,3 +249,52 @@ def x14_notes(spark, d):
     r = t.select("doc_id", "line", rules.bracketed(F.col("t")).alias("b")).select("doc_id", "line", "b.body", F.size("b.notes").alias("n"), F.size("b.labels").alias("k"))
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "body"))), lambda s: s["body"]), "|")
     return r.groupBy("doc_id").agg(F.md5(ordered.cast("binary")).alias("body"), F.sum("n").alias("notes"), F.sum("k").alias("labels"))
+
+
+# ---- plans of samples
+
+
+def _assets(spark, d):
+    """Customers as sources with two audio streams of a hundred seconds, the second on a clock that begins at ten."""
+    c = table(spark, d, "customer")
+    knot = lambda a, b: F.struct(F.lit(float(a)).alias("local"), F.lit(float(b)).alias("source"))
+    i, n = F.col("c_custkey"), F.col("n")
+    shifted = F.when(n == 1, F.array(knot(0, 10), knot(100, 110))).otherwise(F.array(knot(0, 0), knot(100, 100)))
+    role = F.when(i % 3 == 0, F.array(F.lit("vocal"))).when(i % 3 == 1, F.array(F.lit("sfx"))).otherwise(F.array(F.lit("sfx"), F.lit("vocal")))
+    a = c.select("c_custkey", "c_mktsegment", F.explode(F.array(F.lit(0), F.lit(1))).alias("n"))
+    assets = a.select((i * 2 + n).cast("string").alias("id"), i.cast("string").alias("source_id"), F.lit(100.0).alias("duration"), F.lit(0.01).alias("frame"), shifted.alias("mapping"), role.alias("roles"), F.lit("stream").alias("origin"), n.alias("stream"), F.lower("c_mktsegment").alias("model"), F.when(n == 1, "drums").alias("stem"))
+    sources = c.select(i.cast("string").alias("id"), F.when(i % 4 < 2, F.concat(F.lit("Work "), (i % 7).cast("string"))).alias("work"), F.when(i % 2 == 0, F.lpad((i % 12).cast("string"), 2, "0")).alias("episode"), F.concat(F.lit("/m/"), F.col("c_name"), F.lit(".part.mkv")).alias("path"), (i % 3).cast("int").alias("default_stream"))
+    return assets, sources
+
+
+NATURE = "CASE {i} % 3 WHEN 0 THEN 'speech' WHEN 1 THEN 'unpitched' ELSE 'unclassified' END"
+SHOWN = "CASE WHEN {i} % 4 = 0 THEN 'Work ' || {i} % 7 || ' ' || lpad(CAST({i} % 12 AS VARCHAR), 2, '0') WHEN {i} % 4 = 1 THEN 'Work ' || {i} % 7 WHEN {i} % 2 = 0 THEN lpad(CAST({i} % 12 AS VARCHAR), 2, '0') ELSE {n} || '.part' END"
+
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS key, CASE WHEN c_custkey % 3 < 2 THEN CAST(c_custkey * 2 + c_custkey % 3 AS VARCHAR) END AS asset_id, CASE WHEN c_custkey % 3 < 2 THEN c_custkey % 3 * 10.0::DOUBLE END AS judge_start, CASE WHEN c_custkey % 3 < 2 THEN c_custkey % 3 * 10.0::DOUBLE + 100 END AS judge_end, CASE WHEN c_custkey % 3 < 2 THEN c_name || '.part' END AS name, CASE WHEN c_custkey % 3 < 2 THEN {NATURE.format(i='c_custkey')} END AS nature, CASE WHEN c_custkey % 3 = 2 THEN 'source-no-audio' END AS error FROM customer")
+def e3_plan_whole(spark, d):
+    assets, sources = _assets(spark, d)
+    asked = sources.select(F.col("id").alias("source_id"))
+    return sample_plans.plan_whole_tracks(asked.union(asked), assets, sources).select("key", "asset_id", "judge_start", "judge_end", "name", "nature", "error")
+
+
+@query(f"SELECT 's' || c_custkey || '-' || n AS key, {SHOWN.format(i='c_custkey', n='c_name')} || ' · ' || lower(c_mktsegment) || CASE WHEN n = 1 THEN ' · drums' ELSE '' END AS name, n * 10.0::DOUBLE AS judge_start, n * 10.0::DOUBLE + 100 AS judge_end, {NATURE.format(i='c_custkey')} AS nature FROM customer CROSS JOIN (VALUES (0), (1)) v(n)")
+def e3_plan_stems(spark, d):
+    assets, sources = _assets(spark, d)
+    asked = assets.select(F.concat(F.lit("s"), "source_id", F.lit("-"), F.col("stream").cast("string")).alias("key"), F.col("id").alias("asset_id"))
+    return sample_plans.plan_stems(asked, assets, sources).select("key", "name", "judge_start", "judge_end", "nature")
+
+
+@query(f"""WITH {SP}, q AS (SELECT id, source_id, s % 90 AS a, s % 90 + least(value, 20) AS b FROM sp WHERE kind = 'click'), t AS (SELECT source_id, s % 110 AS a, s % 110 + 6 AS b, 'line ' || id % 5 AS x FROM sp WHERE kind = 'view'),
+r AS (SELECT q.id, q.source_id, q.a, CASE WHEN b > 100 AND b <= 100.01::DOUBLE THEN 100 ELSE b END AS b, q.b > 100.01::DOUBLE AS far, q.b <= q.a AS none FROM q), h AS (SELECT r.id, t.a, t.b, x FROM r JOIN t ON t.source_id = r.source_id AND r.a + 10 < t.b - 1e-9 AND r.b + 10 > t.a + 1e-9 WHERE NOT far AND NOT none), f AS (SELECT id, x, min(row_number) AS n FROM (SELECT id, x, row_number() OVER (PARTITION BY id ORDER BY a, b, x) AS row_number FROM h) z GROUP BY 1, 2), g AS (SELECT id, string_agg(x, ' / ' ORDER BY n) AS name FROM f GROUP BY 1)
+SELECT CAST(r.id AS VARCHAR) AS key, round(CASE WHEN NOT far AND NOT none THEN r.a + 10 END, 5) AS judge_start, round(CASE WHEN NOT far AND NOT none THEN r.b + 10 END, 5) AS judge_end, g.name, CASE WHEN far THEN 'beyond-end' WHEN none THEN 'empty' END AS error FROM r JOIN customer ON c_custkey = r.source_id LEFT JOIN g ON g.id = r.id WHERE g.name IS NOT NULL OR far OR none""")
+def e3_plan_selections(spark, d):
+    """Clicks as selections of their user's second track, named by the views under them; those without a text are left out."""
+    assets, sources = _assets(spark, d)
+    at = F.col("start") % 90
+    asked = spans(spark, d, "click").select(F.col("id").cast("string").alias("key"), (F.col("source_id") * 2 + 1).cast("string").alias("asset_id"), at.alias("start"), (at + F.least("value", F.lit(20.0))).alias("end"), F.lit("manual").alias("via"))
+    view = spans(spark, d, "view")
+    texts = view.select(F.col("source_id").cast("string").alias("source_id"), (F.col("start") % 110).alias("start"), (F.col("start") % 110 + 6).alias("end"), F.concat(F.lit("line "), (F.col("id") % 5).cast("string")).alias("text"))
+    p = sample_plans.plan_selections(asked, assets, sources, texts).where("error is null or error <> 'asset-not-found'")
+    named = p.where(F.col("error").isNotNull() | F.col("name").startswith("line "))
+    return named.select("key", F.round("judge_start", 5).alias("judge_start"), F.round("judge_end", 5).alias("judge_end"), "name", "error")
