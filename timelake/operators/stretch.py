@@ -40,7 +40,9 @@ def _columns() -> dict[str, Column]:
 
 def mapped(rows: DataFrame, density: Column, bpm: Column) -> DataFrame:
     """Plans with `scheme`, their map at a density and a tempo; null where the plan has an error."""
-    return rows.withColumn("scheme", F.when(F.col("error").isNull(), timemap.scheme(_columns(), density, bpm)))
+    # through a generator, so that no later projection copies the whole map for each field that it takes of it
+    made = F.when(F.col("error").isNull(), timemap.scheme(_columns(), density, bpm))
+    return rows.select(*(c for c in rows.columns if c != "scheme"), F.explode(F.array(made)).alias("scheme"))
 
 
 def _power(k: Column) -> Column:
