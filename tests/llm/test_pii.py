@@ -1,9 +1,10 @@
+import hashlib
 import random
 import re
 
 from pyspark.sql import functions as F
 
-from timelake.llm import pii
+from timelake.llm import pii, queries
 
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -95,3 +96,14 @@ def test_added_spans_have_no_length_limit(spark):
     df = spark.createDataFrame(list(enumerate(docs + [t for t, _ in GOOD] * 20)), "doc_id long, text string")
     found = {r.doc_id: r.s for r in pii.detect(df).select("doc_id", pii.notation(F.col("spans")).alias("s")).collect()}
     assert [found[i] for i in range(8)] == ["secret:8:508", "secret:8:608", "secret:8:60008", "secret:8:408", "", f"name:10:{10 + len(name)}", f"email:5:{5 + len(mail)}", ""]
+
+
+def test_query_counts_each_kind_by_itself(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate([*texts(), "a@b.de", "+1 (961) 555-6946", "a@b.de c@d.fr 1.2.3.4 4111 1111 1111 1111 +1 (961) 555-6946"])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op10_pii(spark, str(tmp_path)).collect()}
+    for i, t in rows:
+        want = brute(t)
+        kinds = [s.split(":")[0] for s in want.split(",")]
+        assert [got[i][f"n_{k}"] for k in BASE] == [kinds.count(k) for k in BASE], t
+        assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest()

@@ -96,7 +96,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.detect(docs)
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["base"] & (s["kind"] == i))).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS[: pii.RULED])]
+    # a filter of two arguments would get the place in the array as its second
+    of_kind = lambda i: F.filter("spans", lambda s: s["base"] & (s["kind"] == i))
+    counts = [F.size(of_kind(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS[: pii.RULED])]
     return found.select("doc_id", *counts, hex_sha256(pii.notation(base)).alias("base_sha256"), pii.notation(F.col("spans")).alias("spans"))
 
 
