@@ -8,6 +8,8 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
+
 from timelake.functions import clocks, naming, text
 from timelake.operators import catalog, edits, evidence, filters, frames, lineage, measures, planning, rhythm, sequences, tags, vectors
 from timelake.sources import subtitles
@@ -425,3 +427,22 @@ def test_hits_are_ranked_over_many_samples(spark):
         best[s] = min(best.get(s, v), v)
     want = sorted(hits, key=lambda h: (best[h[0]], h[0], h[3], h[2]))
     assert [got[h[0], h[1]] for h in want] == list(range(len(hits)))
+
+
+def test_merged_units_are_joined_without_broadcasts(spark):
+    plan = __spark_entry__.queries()["j13_merge_units"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    assert "Broadcast" not in plan.sparkPlan().toString()
+
+
+def test_last_run_of_one_number_is_the_last_in_the_files(spark, tmp_path):
+    run = lambda key, supplier: (key, 3, 1, 10.0, "R", supplier)
+    schema = "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_returnflag string, l_suppkey long"
+    target = tmp_path / "lineitem.parquet"
+    target.mkdir()
+    # the later file is the larger one, which Spark reads first; an even supplier's failure counts
+    for name, rows in (("a", [run(k, 1) for k in range(20)]), ("b", [run(k, 2 if k < 12 else 1) for k in range(20)] + [(k, 3, 0, 90.0, "N", 1) for k in range(100, 30_000)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name))
+        (file,) = (tmp_path / name).glob("*.parquet")
+        (target / f"{name}.parquet").write_bytes(file.read_bytes())
+    spark.createDataFrame([(k, 7) for k in range(20)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    assert [r.unreadable for r in __spark_entry__.queries()["a6_unit_counts"](spark, str(tmp_path)).collect()] == [12]

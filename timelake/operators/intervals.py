@@ -24,7 +24,8 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str = "source_id", bin_
 
     r = binned(right)
     r = r.select(*(F.col(c).alias(c if c in ("_bin", key) else f"r_{c}") for c in r.columns))
-    pairs = binned(left).join(r, [key, "_bin"])
+    # both sides grow with the data: neither is sent whole to the driver, however small its estimate
+    pairs = binned(left).join(r.hint("merge"), [key, "_bin"])
     first = F.floor(F.greatest("start", "r_start") / bin_size)
     return pairs.where(overlaps(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"), eps) & (F.col("_bin") == first)).drop("_bin")
 

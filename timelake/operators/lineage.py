@@ -108,12 +108,13 @@ def merge_units(phones: DataFrame, units: DataFrame, samples: DataFrame) -> tupl
     """
     speech = phones.where(F.col("label") != PAUSE)
     span = speech.groupBy("sample_id", "unit").agg(F.min("idx").alias("i0"), F.max("idx").alias("i1"), F.min_by("start", "idx").alias("sp0"), F.max_by("end", "idx").alias("sp1"))
+    # all tables here grow with the phones: none is sent whole to the driver, however small its estimate
     w = Window.partitionBy("sample_id").orderBy("sp0", "sp1", "unit")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    placed = units.join(span, ["sample_id", "unit"]).withColumns(
+    placed = units.join(span.hint("merge"), ["sample_id", "unit"]).withColumns(
         {"place": F.row_number().over(w), "morae": F.coalesce(F.sum("n_morae").over(before), F.lit(0)), "words": F.coalesce(F.sum("n_words").over(before), F.lit(0)), "gap_from": F.lag("sp1").over(w), "last": F.lead("unit").over(w).isNull()}
     )
-    rows = phones.join(placed, ["sample_id", "unit"]).join(samples, "sample_id")
+    rows = phones.join(placed.hint("merge"), ["sample_id", "unit"]).join(samples.hint("merge"), "sample_id")
     own = _clipped(rows.where(F.col("label") != PAUSE)).select("sample_id", "unit", "ordinal", "place", "idx", "start", "end")
     pairs = overlap_join(own, own, "sample_id", 10.0, EPS).where(F.col("place") < F.col("r_place"))
     first = F.min(F.struct("place", "r_place", "idx", "r_idx", F.least("ordinal", "r_ordinal").alias("a"), F.greatest("ordinal", "r_ordinal").alias("b"), F.round(F.greatest("start", "r_start"), 6).alias("s"), F.round(F.least("end", "r_end"), 6).alias("e")))
@@ -122,7 +123,7 @@ def merge_units(phones: DataFrame, units: DataFrame, samples: DataFrame) -> tupl
     kept = kept.withColumns({"mora": F.col("mora") + F.col("morae"), "word": F.col("word") + F.col("words")})
     names = ["sample_id", "unit", "idx", "label", "start", "end", "mora", "word", "clipped", "w0", "w1"]
     none = lambda c: F.lit(None).cast(kept.schema[c].dataType).alias(c)
-    spaces = placed.where(F.col("sp0") > F.col("gap_from") + EPS).join(samples, "sample_id")
+    spaces = placed.where(F.col("sp0") > F.col("gap_from") + EPS).join(samples.hint("merge"), "sample_id")
     pauses = spaces.select("sample_id", "unit", none("idx"), F.lit(PAUSE).alias("label"), F.col("gap_from").alias("start"), F.col("sp0").alias("end"), none("mora"), none("word"), F.lit(False).alias("clipped"), "w0", "w1")
-    merged = _clipped(kept.select(*names).union(pauses)).drop("w0", "w1").join(conflicts.select("sample_id"), "sample_id", "left_anti")
+    merged = _clipped(kept.select(*names).union(pauses)).drop("w0", "w1").join(conflicts.select("sample_id").hint("merge"), "sample_id", "left_anti")
     return merged, conflicts
