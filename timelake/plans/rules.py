@@ -265,7 +265,9 @@ def j13_merge_units(spark, d):
 def run_rows(spark, d):
     l = F.col  # noqa: E741
     segments = table(spark, d, "orders").select(l("o_orderkey").alias("id"), (l("o_custkey") % 50).alias("source_id"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end"), F.lit("t").alias("text"), (l("o_orderkey") % 8 != 0).alias("voiced"))
-    runs_ = table(spark, d, "lineitem").where("l_quantity < 25").select(l("l_orderkey").alias("segment_id"), F.when(l("l_returnflag") == "R", "failed").otherwise("ok").alias("status"), F.lit(0.0).alias("seg_start"), F.when(l("l_partkey") % 3 == 0, 1.0).otherwise(2.0).alias("seg_end"), F.lit("t").alias("seg_text"), F.when(l("l_suppkey") % 2 == 0, "symbols").otherwise("crash").alias("reason"), l("l_linenumber").alias("created_at"))
+    # runs of one number were made in the order of their rows in the files
+    created = F.struct(l("l_linenumber"), l("_metadata.file_path"), l("_metadata.row_index"))
+    runs_ = table(spark, d, "lineitem").where("l_quantity < 25").select(l("l_orderkey").alias("segment_id"), F.when(l("l_returnflag") == "R", "failed").otherwise("ok").alias("status"), F.lit(0.0).alias("seg_start"), F.when(l("l_partkey") % 3 == 0, 1.0).otherwise(2.0).alias("seg_end"), F.lit("t").alias("seg_text"), F.when(l("l_suppkey") % 2 == 0, "symbols").otherwise("crash").alias("reason"), created.alias("created_at"))
     return segments, runs_
 
 
