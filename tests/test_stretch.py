@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from timelake.functions import timemap
 from timelake.operators import stretch
+from timelake.plans.stretch import hundredths
 
 RATE = 8000.0
 
@@ -108,3 +109,10 @@ def test_errors_and_schemes(spark):
     assert slow[6] == "rhythm-output-too-long" and slow[7] == "rhythm-map-not-monotonic" and slow[9] == "rhythm-too-many-blocks"
     schemes = stretch.evidence_schemes(stretch.candidates(rows, 120.0)).collect()
     assert schemes and all(s.stop == len(s.onsets) == len(s.cells) and abs(s.exact[0].src) < 1e-9 and s.points[0].beat == 0 for s in schemes)
+
+
+def test_scores_are_rounded_as_sql_rounds_doubles(spark):
+    duckdb = pytest.importorskip("duckdb")
+    scores = [76.445, 1.005, 0.125, 2.675, 1.015, 33.335, 0.0, 99.9949, 8.575]
+    got = [r.x for r in spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "i int, s double").orderBy("i").select(hundredths(F.col("s")).alias("x")).collect()]
+    assert got == [duckdb.connect().execute(f"SELECT round({s}::DOUBLE, 2)").fetchone()[0] for s in scores]
