@@ -116,3 +116,12 @@ def test_scores_are_rounded_as_sql_rounds_doubles(spark):
     scores = [76.445, 1.005, 0.125, 2.675, 1.015, 33.335, 0.0, 99.9949, 8.575]
     got = [r.x for r in spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "i int, s double").orderBy("i").select(hundredths(F.col("s")).alias("x")).collect()]
     assert got == [duckdb.connect().execute(f"SELECT round({s}::DOUBLE, 2)").fetchone()[0] for s in scores]
+
+
+def test_points_need_no_map(spark):
+    blocks, pauses, cuts, windows = tables(spark, 40, 5)
+    rows = stretch.plans(blocks, pauses, cuts, windows)
+    found = stretch.points(rows, F.lit(2.0), F.lit(150.0))
+    whole = stretch.mapped(rows, F.lit(2.0), F.lit(150.0)).select("sample_id", F.posexplode("scheme.points").alias("i", "point"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect()))
+    assert "pieces" not in found._jdf.queryExecution().optimizedPlan().toString()
