@@ -446,3 +446,25 @@ def test_last_run_of_one_number_is_the_last_in_the_files(spark, tmp_path):
         (target / f"{name}.parquet").write_bytes(file.read_bytes())
     spark.createDataFrame([(k, 7) for k in range(20)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
     assert [r.unreadable for r in __spark_entry__.queries()["a6_unit_counts"](spark, str(tmp_path)).collect()] == [12]
+
+
+def test_shifts_are_sought_once_a_window(spark):
+    # without `let` the notes' deviations stood in every lambda, and the text of an expression grew with them
+    x, notes = F.col("x"), F.transform(F.col("x"), lambda v: F.struct(v.alias("a"), (v + 1).alias("b")))
+    df = spark.createDataFrame([(1, [0.1, 1.2])], "id int, x array<double>")
+    plans = [df.select(e.alias("e"))._jdf.queryExecution().optimizedPlan().toString() for e in (evidence._ranked(x, x, x, notes, 0.25), evidence.shift_fit(x, x, notes, 0.25))]
+    assert [p.count("zip_with") for p in plans] == [4, 1]
+
+
+def test_steady_windows_have_the_brute_force_evidence(spark):
+    notes = [(0.0, 1.0), (1.0, 2.0), (2.0, 3.0)]
+    r = random.Random(4)
+    rows = [(i, [r.uniform(0, 3) for _ in range(3)], [r.uniform(-2, 5) for _ in range(r.randint(0, 40))]) for i in range(80)]
+    array = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in notes))
+    none = F.transform(F.col("x"), lambda v: F.lit(None).cast("double"))
+    df = spark.createDataFrame(rows, "id int, x array<double>, o array<double>").select("id", evidence._ranked(F.col("x"), F.col("o"), none, array, 0.25).alias("e"))
+    for q, (_, x, o) in zip(df.orderBy("id").collect(), rows, strict=True):
+        m = sorted(a - v for (a, _), v in zip(notes, x))[1]
+        off = [abs(v + m - a) for (a, _), v in zip(notes, x)]
+        hits = sum(a - 1e-9 <= y + m < b - 1e-9 for y in o for a, b in notes)
+        assert (q.e.conflicts, q.e.strict) == (hits, max(off) <= 0.25 + 1e-9 and not hits) and abs(q.e.err - sum(off) / 3) < 1e-12 and abs(q.e.shift - m) < 1e-12

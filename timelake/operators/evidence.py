@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timelake.functions.timemap import let
 from timelake.operators.sequences import WindowQuery, search_blocks
 
 #: Cells of a block, labels of pauses, the least tick and rate of long vowels, and the weights of a cost.
@@ -106,28 +107,42 @@ def shift_fit(x: Column, others: Column, notes: Column, tolerance: float, lower:
     at least `lower`. The best has the least mean error, then the least worst one, then the least size. Errors are linear
     between the candidates: the bounds, zero, the single deviations and their middles, and the edges of what is excluded.
     """
-    gaps = F.zip_with(notes, x, lambda n, v: n["a"] - v)
-    least = F.array_max(gaps) - tolerance
-    least = least if lower is None else F.greatest(least, F.coalesce(lower, F.lit(float("-inf"))))
-    most = F.array_min(gaps) + tolerance
-    banned = F.flatten(F.transform(others, lambda y: F.transform(notes, lambda n: F.struct((n["a"] - y).alias("a"), (n["b"] - y).alias("b")))))
-    # only what is banned between the bounds matters
-    banned = F.filter(banned, lambda e: (e["a"] <= most + 1e-9) & (e["b"] >= least - 1e-9))
-    middles = F.flatten(F.transform(gaps, lambda g: F.transform(gaps, lambda h: (g + h) / 2)))
-    tried = F.concat(F.array(least, most, F.lit(0.0)), middles, F.transform(banned, lambda s: s["b"]), F.transform(banned, lambda s: s["a"] - 1e-9))
-    allowed = F.filter(F.array_distinct(tried), lambda s: (s >= least - 1e-12) & (s <= most + 1e-12) & ~F.exists(banned, lambda e: (s >= e["a"] - 1e-12) & (s < e["b"])))
-    judged = F.transform(allowed, lambda s: F.struct(_mean(F.transform(gaps, lambda g: F.abs(s - g))).alias("mean"), F.array_max(F.transform(gaps, lambda g: F.abs(s - g))).alias("worst"), F.abs(s).alias("size"), s.alias("shift")))
-    return F.when(least <= most + 1e-12, F.array_min(judged))
+    def bounded(gaps):
+        least = F.array_max(gaps) - tolerance
+        least = least if lower is None else F.greatest(least, F.coalesce(lower, F.lit(float("-inf"))))
+        most = F.array_min(gaps) + tolerance
+        return let(F.struct(least.alias("least"), most.alias("most")), lambda b: F.when(b["least"] <= b["most"] + 1e-12, excluding(gaps, b["least"], b["most"])))
+
+    def excluding(gaps, least, most):
+        banned = F.flatten(F.transform(others, lambda y: F.transform(notes, lambda n: F.struct((n["a"] - y).alias("a"), (n["b"] - y).alias("b")))))
+        # only what is banned between the bounds matters
+        return let(F.filter(banned, lambda e: (e["a"] <= most + 1e-9) & (e["b"] >= least - 1e-9)), lambda e: best(gaps, least, most, e))
+
+    def best(gaps, least, most, banned):
+        middles = F.flatten(F.transform(gaps, lambda g: F.transform(gaps, lambda h: (g + h) / 2)))
+        tried = F.concat(F.array(least, most, F.lit(0.0)), middles, F.transform(banned, lambda s: s["b"]), F.transform(banned, lambda s: s["a"] - 1e-9))
+        allowed = F.filter(F.array_distinct(tried), lambda s: (s >= least - 1e-12) & (s <= most + 1e-12) & ~F.exists(banned, lambda e: (s >= e["a"] - 1e-12) & (s < e["b"])))
+        judged = lambda s: let(F.transform(gaps, lambda g: F.abs(s - g)), lambda off: F.struct(_mean(off).alias("mean"), F.array_max(off).alias("worst"), F.abs(s).alias("size"), s.alias("shift")))
+        return F.array_min(F.transform(allowed, judged))
+
+    # what the lambdas read is bound by `let`: an expression inside them would be computed for every element anew
+    return let(F.zip_with(notes, x, lambda n, v: n["a"] - v), bounded)
 
 
 def _ranked(x: Column, others: Column, sustains: Column, notes: Column, tolerance) -> Column:
     """(err, conflicts, deviation, deficit, shift, strict) at the median shift; sustains are null where nothing is asked."""
-    shift = _median(F.zip_with(notes, x, lambda n, v: n["a"] - v))
-    off = F.zip_with(notes, x, lambda n, v: F.abs(v + shift - n["a"]))
-    short = F.zip_with(notes, sustains, lambda n, s: F.coalesce(F.greatest(F.lit(0.0), n["b"] - (s + shift)), F.lit(0.0)))
-    worst = F.zip_with(off, short, lambda a, b: F.greatest(a, b))
-    inside = F.flatten(F.transform(others, lambda y: F.filter(notes, lambda n: (y + shift >= n["a"] - 1e-9) & (y + shift < n["b"] - 1e-9))))
-    return F.struct(_mean(worst).alias("err"), F.size(inside).alias("conflicts"), _mean(off).alias("deviation"), _mean(short).alias("deficit"), shift.alias("shift"), ((F.array_max(worst) <= tolerance + 1e-9) & (F.size(inside) == 0)).alias("strict"))
+    def at(shift):
+        off = F.zip_with(notes, x, lambda n, v: F.abs(v + shift - n["a"]))
+        short = F.zip_with(notes, sustains, lambda n, s: F.coalesce(F.greatest(F.lit(0.0), n["b"] - (s + shift)), F.lit(0.0)))
+        inside = F.aggregate(others, F.lit(0), lambda a, y: a + F.size(F.filter(notes, lambda n: (y + shift >= n["a"] - 1e-9) & (y + shift < n["b"] - 1e-9))))
+        return let(F.struct(off.alias("off"), short.alias("short"), inside.alias("inside")), lambda m: judged(shift, m))
+
+    def judged(shift, m):
+        worst = F.zip_with(m["off"], m["short"], lambda a, b: F.greatest(a, b))
+        return let(worst, lambda w: F.struct(_mean(w).alias("err"), m["inside"].alias("conflicts"), _mean(m["off"]).alias("deviation"), _mean(m["short"]).alias("deficit"), shift.alias("shift"), ((F.array_max(w) <= tolerance + 1e-9) & (m["inside"] == 0)).alias("strict")))
+
+    # the shift is bound by `let`: inside the lambdas it would be sought again for every onset and note
+    return let(F.zip_with(notes, x, lambda n, v: n["a"] - v), lambda gaps: let(_median(gaps), at))
 
 
 def window_rows(hits: DataFrame, blocks: DataFrame, n: int) -> DataFrame:
@@ -231,10 +246,11 @@ def beat_evidence(windows: DataFrame, schemes: DataFrame, q: RhythmQuery) -> Dat
     # how much the window's stretches differ from the plan's own ratio
     reached = F.size(F.filter("points", lambda p: p["src"] <= F.get("onset", F.lit(n - 1)) + 1e-9))
     skipped = F.size(F.filter("points", lambda p: p["src"] < F.col("onset")[0] - 1e-9))
-    near = F.slice("points", skipped + 1, F.greatest(reached - skipped + 1, F.lit(0)))
-    pairs = F.zip_with(F.slice(near, 1, F.greatest(F.size(near) - 1, F.lit(0))), F.slice(near, 2, F.greatest(F.size(near) - 1, F.lit(0))), lambda a, b: F.named_struct(F.lit("s"), b["src"] - a["src"], F.lit("t"), (b["beat"] - a["beat"]) * F.col("beat_seconds")))
-    bent = F.transform(F.filter(pairs, lambda p: (p["s"] > 0) & (p["t"] > 0)), lambda p: F.abs(F.log(p["t"] / p["s"] / F.col("ratio"))))
-    rows = rows.withColumns({"held": held, "deform": F.when(F.size(bent) > 0, _mean(bent)).otherwise(0.0), "combo": F.explode(_rests(q, F.col("x"), notes))})
+    slices = lambda near: F.zip_with(F.slice(near, 1, F.greatest(F.size(near) - 1, F.lit(0))), F.slice(near, 2, F.greatest(F.size(near) - 1, F.lit(0))), lambda a, b: F.named_struct(F.lit("s"), b["src"] - a["src"], F.lit("t"), (b["beat"] - a["beat"]) * F.col("beat_seconds")))
+    near = let(skipped, lambda s: F.slice("points", s + 1, F.greatest(reached - s + 1, F.lit(0))))
+    bent = F.transform(F.filter(let(near, slices), lambda p: (p["s"] > 0) & (p["t"] > 0)), lambda p: F.abs(F.log(p["t"] / p["s"] / F.col("ratio"))))
+    deform = let(bent, lambda b: F.when(F.size(b) > 0, _mean(b)).otherwise(0.0))
+    rows = rows.withColumns({"held": held, "deform": deform, "combo": F.explode(_rests(q, F.col("x"), notes))})
     xs, shift_of = F.col("combo.xs"), F.zip_with("combo.xs", "x", lambda a, b: a - b)
     tail = F.get("combo.xs", F.lit(n - 1)) - F.get("x", F.lit(n - 1))
     others = F.concat(F.slice("onsets", 1, F.col("at")), F.transform(F.slice("onsets", F.col("at") + n + 1, F.greatest(F.size("onsets"), F.lit(1))), lambda y: y + tail))
@@ -242,7 +258,8 @@ def beat_evidence(windows: DataFrame, schemes: DataFrame, q: RhythmQuery) -> Dat
     extra = REST_WEIGHT * F.col("combo.changed") + (q.speed_weight * F.abs(F.log2("speed")) if q.speed_weight else F.lit(0.0))
     if q.strict:
         lower = F.array_max(F.zip_with(notes, lasting, lambda m, s: m["b"] - s))
-        rows = rows.withColumn("e", shift_fit(xs, others, notes, q.tolerance, lower)).where("e is not null")
+        # through a generator, so that the test for null does not fit the shift once more
+        rows = rows.withColumn("e", F.explode(F.array(shift_fit(xs, others, notes, q.tolerance, lower)))).where("e is not null")
         zero = F.lit(0.0)
         judged = F.struct(F.col("e.mean").alias("order"), F.col("combo.changed").alias("changed"), (F.col("e.mean") + DEFORM_WEIGHT * F.col("deform") + extra).alias("cost"), F.lit(True).alias("strict"), F.col("e.mean").alias("error"), F.lit(0).alias("conflicts"), zero.alias("deficit"), F.col("e.shift").alias("shift"), F.col("combo.rests").alias("rests"))
     else:

@@ -198,7 +198,7 @@ def q8_choose_evidence(spark, d):
 def q6_shift_fit(spark, d):
     g = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct(F.col("l_discount").alias("x"), F.col("l_tax").alias("a"), (F.col("l_tax") + 0.01).alias("b"))).alias("n"))
     fit = evidence.shift_fit(F.transform("n", lambda s: s["x"]), F.array().cast("array<double>"), F.transform("n", lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))), 0.05)
-    return g.select("id", fit.alias("f")).where("f is not null").select("id", F.round("f.mean", 9).alias("err"))
+    return g.select("id", F.explode(F.array(fit)).alias("f")).where("f is not null").select("id", F.round("f.mean", 9).alias("err"))
 
 
 # ---- lineage and analysis
