@@ -125,3 +125,25 @@ def test_points_need_no_map(spark):
     whole = stretch.mapped(rows, F.lit(2.0), F.lit(150.0)).select("sample_id", F.posexplode("scheme.points").alias("i", "point"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect()))
     assert "pieces" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_batches_of_maps_are_those_of_columns(spark, plans):
+    many = spark.createDataFrame([(101, 0, 0.0, 0.5, 64, 0.5, 0.0), (102, 0, 0.5, 0.6, 1, 0.1, 0.0), (102, 1, 0.5, 0.7, 1, 0.2, 0.0), *[(103, k, k * 0.3, k * 0.3 + 0.1, 1 + k % 3, 0.2, 0.1) for k in range(100)]], "sample_id int, k int, onset double, end double, cells int, dur double, rest double")
+    pauses = spark.createDataFrame([(103, k * 0.3 + 0.15, k * 0.3 + 0.25) for k in range(0, 99, 2)], "sample_id int, start double, end double")
+    cuts = spark.createDataFrame([(103, k + 1, k % 4 == 0) for k in range(0, 99, 2)], "sample_id int, k int, merged boolean")
+    windows = spark.createDataFrame([(i, 0.0, w, RATE) for i, w in ((101, 20.0), (102, 20.0), (103, 40.0), (104, 1.0))], "sample_id int, w0 double, w1 double, rate double")
+    rows = plans.unionByName(stretch.plans(many, pauses, cuts, windows)).select("*", F.explode(F.sequence(F.lit(-4), F.lit(6))).alias("x"))
+    rows = rows.withColumns({"sample_id": F.col("sample_id") * 100 + F.col("x"), "d": F.pow(F.lit(2.0), F.col("x"))}).cache()
+    columns = {r.sample_id: (r.error, r.speed, r.knots) for r in stretch.mapped(rows, F.col("d"), F.lit(97.0)).select("sample_id", F.coalesce("error", "scheme.error").alias("error"), "scheme.speed", "scheme.knots").collect()}
+    fast = {r.sample_id: (r.error, r.speed) for r in stretch.speeds(rows, F.col("d"), F.lit(97.0)).collect()}
+    knots = {r.sample_id: (r.error, r.knots) for r in stretch.map_knots(rows, F.col("d"), F.lit(97.0)).collect()}
+    # a map that failed has no speed and no knots
+    columns = {i: (e, None, None) if e else (e, s, k) for i, (e, s, k) in columns.items()}
+    assert fast == {i: (e, s) for i, (e, s, _) in columns.items()} and knots == {i: (e, k) for i, (e, _, k) in columns.items()}
+    assert {e for e, _ in fast.values()} == {None, "rhythm-map-not-monotonic", "rhythm-output-too-long", "rhythm-no-blocks"}
+
+
+def test_candidates_without_maps(plans):
+    pick = lambda found: {(r.sample_id, r.plan): (r.error, r.density, r.speed, r.bpm) for r in found.select("sample_id", "plan", "error", "scheme.density", "scheme.speed", "scheme.bpm").collect()}
+    for bpm in (170.0, None):
+        assert pick(stretch.candidates(plans, bpm, maps=False)) == pick(stretch.candidates(plans, bpm))
