@@ -113,3 +113,30 @@ def test_pieces_are_claimed_once(spark, tmp_path):
         new = [tuple(r) for r in spark.read.parquet(f"{out}/batch={len(claimed)}").select("kind", "id", "piece").collect()]
         claimed.append(sorted(new))
     assert claimed == [[("analysis", "u1", "f1"), ("frames", "x", "1")], [("index", "b", "k2")], [("frames", "y", "0"), ("index", "c", "k3")], []]
+
+
+def test_due_objects_are_computed_once_a_batch(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    src, out, log = (str(tmp_path / x) for x in ("in", "out", "log"))
+    spark.createDataFrame([("sample", str(i)) for i in range(20)], "entity string, id string").coalesce(1).write.parquet(src)
+    due = spark.readStream.schema("entity string, id string").parquet(src).select("entity", counted("id").alias("id"))
+    piece = lambda df, kind: df.select(F.lit(kind).alias("kind"), "id", F.lit("p").alias("piece"))
+    streams.claim_stream(due, lambda df: piece(df, "x").unionByName(piece(df.join(df.select("id"), "id"), "y")), out, log).awaitTermination()
+    assert spark.read.parquet(out).count() == 40 and seen.value == 20
+
+
+def test_a_change_at_the_full_delay_begins_a_burst(spark, tmp_path):
+    src, log, out = (str(tmp_path / x) for x in ("in", "log", "out"))
+    base = 1_700_000_000_000_000
+    rows = [("sample", "a", t) for t in (0, 9_999_999, 19_999_999, 19_999_999, 100_000_000)]
+    spark.createDataFrame(rows, "entity string, id string, t long").select("entity", "id", F.timestamp_micros(F.col("t") + base).alias("ts")).coalesce(1).write.parquet(src)
+    stream = streams.due_objects(spark.readStream.schema("entity string, id string, ts timestamp").parquet(src), 10.0, "5 seconds")
+    stream.writeStream.foreachBatch(lambda df, n: df.write.parquet(f"{out}/batch={n}")).option("checkpointLocation", log).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.first - base, r["last"] - base, r.n) for r in spark.read.parquet(out).collect())
+    assert got == [(0, 9_999_999, 2), (19_999_999, 19_999_999, 1)]

@@ -5,16 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from timelake.operators.catalog import index_status
 from timelake.operators.frames import frame_coverage
 from timelake.operators.intervals import overlap_join
 from timelake.operators.planning import plan_analysis
-from timelake.sources.shared import hadoop_path
+from timelake.sources.shared import drop, hadoop_path, saved
 
 
 def affected_samples(changes: DataFrame, samples: DataFrame) -> DataFrame:
@@ -129,74 +127,21 @@ def preparation(changes: DataFrame, gap: str, late: str) -> DataFrame:
     return once.groupBy("entity", "id", w.alias("w")).agg(F.count("*").alias("n")).select("entity", "id", F.col("w.start").alias("start"), "n")
 
 
-class Debounce(StatefulProcessor):
-    """Pending bursts of changes of one object, each with a timer; a burst comes out once nothing can join it any more.
-
-    State: the bursts (first, last, n) in microseconds, in order. A change closer than the delay to a burst joins it, and bursts
-    that meet become one. A burst is due a delay after its last change, on the clock of events; then it leaves the state. The
-    same change twice is one change as long as its burst is pending.
-    """
-
-    BURSTS = "bursts array<struct<first:bigint,last:bigint,seen:array<bigint>>>"
-
-    def __init__(self, delay: int, keys: tuple[str, ...]):
-        self.delay, self.keys = delay, keys
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.pending = handle.getValueState("pending", self.BURSTS)
-
-    def _bursts(self) -> list[tuple[int, int, list[int]]]:
-        return [(b["first"], b["last"], list(b["seen"])) for b in self.pending.get()[0]] if self.pending.exists() else []
-
-    def handleInputRows(self, key, rows, timerValues):
-        before = self._bursts()
-        times = {t for _, _, seen in before for t in seen}
-        for part in rows:
-            times |= set(part["at"].astype("int64").tolist())
-        bursts: list[tuple[int, int, list[int]]] = []
-        for t in sorted(times):
-            if bursts and t - bursts[-1][1] < self.delay:
-                bursts[-1] = (bursts[-1][0], t, [*bursts[-1][2], t])
-            else:
-                bursts.append((t, t, [t]))
-        self.pending.update(([{"first": a, "last": b, "seen": seen} for a, b, seen in bursts],))
-        due = lambda b: -(-(b[1] + self.delay) // 1000)
-        old, new = set(map(due, before)), set(map(due, bursts))
-        for t in old - new:
-            self.handle.deleteTimer(t)
-        for t in new - old:
-            self.handle.registerTimer(t)
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        at = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        bursts = self._bursts()
-        done = [b for b in bursts if b[1] + self.delay <= at]
-        left = [b for b in bursts if b[1] + self.delay > at]
-        if left:
-            self.pending.update(([{"first": a, "last": b, "seen": seen} for a, b, seen in left],))
-        else:
-            self.pending.clear()
-        if done:
-            yield pd.DataFrame({**{k: [v] * len(done) for k, v in zip(self.keys, key, strict=True)}, "first": [b[0] for b in done], "last": [b[1] for b in done], "n": [len(b[2]) for b in done]})
-
-    def close(self) -> None:
-        pass
-
-
 def due_objects(changes: DataFrame, delay_seconds: float, late: str) -> DataFrame:
-    """(entity, id, first, last, n) on a stream of changes (entity, id, ts): the bursts whose preparation is due (see `Debounce`).
+    """(entity, id, first, last, n) on a stream of changes (entity, id, ts): the bursts whose preparation is due.
 
-    A change that comes later than `late` behind the newest one is dropped. Times are microseconds since 1970.
+    A change closer than the delay to a burst joins it, and bursts that meet become one. A burst is due a delay after its last
+    change, on the clock of events, when nothing can join it any more. The same change twice is one change, and one that comes
+    later than `late` behind the newest is dropped. Times are microseconds since 1970.
     """
     spark = changes.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    keys = ("entity", "id")
-    kinds = ", ".join(f"{k} {changes.schema[k].dataType.simpleString()}" for k in keys)
-    marked = changes.select(*keys, "ts").withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
-    processor = Debounce(round(delay_seconds * 1_000_000), keys)
-    return marked.groupBy(*keys).transformWithStateInPandas(processor, f"{kinds}, first long, last long, n long", "append", "eventTime")
+    once = changes.select("entity", "id", "ts").withWatermark("ts", late).dropDuplicatesWithinWatermark(["entity", "id", "ts"])
+    # session windows join those that only touch: a microsecond less, and a change at the full delay begins a new burst
+    w = F.session_window(F.col("ts"), f"{round(delay_seconds * 1_000_000) - 1} microseconds")
+    at = F.unix_micros("ts")
+    out = once.groupBy("entity", "id", w.alias("w")).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"))
+    return out.select("entity", "id", "first", "last", "n")
 
 
 def claim_stream(due: DataFrame, plan: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
@@ -208,12 +153,14 @@ def claim_stream(due: DataFrame, plan: Callable[[DataFrame], DataFrame], path: s
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        pieces = plan(df.select("entity", "id").distinct()).select("kind", F.col("id").cast("string").alias("id"), "piece").distinct()
+        due_ = saved(df.select("entity", "id").distinct(), "due")  # a plan reads it many times, and the stream's state once
+        pieces = plan(due_).select("kind", F.col("id").cast("string").alias("id"), "piece").distinct()
         earlier = [n for n in _batches(spark, path) if n < number]
         if earlier:
             taken = spark.read.parquet(*(f"{path}/batch={n}" for n in earlier))
             pieces = pieces.join(taken.select("kind", "id", "piece"), ["kind", "id", "piece"], "left_anti")
         pieces.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        drop(due_)
 
     return due.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
