@@ -198,6 +198,22 @@ def test_target_pitch(spark):
     assert measures.target_pitch(f, parts, "left").where("key = 'a'").first().error == "flatten-edge-insufficient"
 
 
+def test_target_pitch_reads_frames_once_in_small_parts(spark):
+    r = random.Random(3)
+    f = [(r.choice("abcdef"), r.randint(0, 20) / 10, r.choice([None, 60.2, 61.0, 62.7, 64.4]), r.choice([0.0, 0.3, 0.9])) for _ in range(150)]
+    parts = [(k, a, a + 0.7) for k in "abcdefg" for a in (0.1, 0.5, 1.4)]  # the first two of a key overlap
+    frames = spark.createDataFrame(f + f[:40], "key string, t double, midi double, conf double")
+    found = measures.target_pitch(frames, spark.createDataFrame(parts, "key string, start double, end double"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ") == 2 and "HashAggregate" not in plan
+    assert plan.count("REPARTITION_BY_NUM") == 2
+    for row in found.collect():
+        inside = {x for x in f if x[0] == row.key and x[2] is not None and any(k == row.key and a - 1e-9 <= x[1] < b - 1e-9 for k, a, b in parts)}
+        weight = lambda top: sum(max(x[3], 1e-6) for x in inside if x[2] <= top)  # noqa: B023, E731
+        want = min((x[2] for x in inside if weight(x[2]) >= weight(99) / 2 - 1e-9), default=None) if len(inside) >= 3 else None
+        assert row.original == want and (row.error is None) == (want is not None)
+
+
 # ---- tags and filters
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timelake.operators.intervals import overlap_join
+from timelake.sources.shared import spread
 
 VOWELS = ("a", "i", "u", "e", "o")
 
@@ -177,12 +178,16 @@ def target_pitch(frames: DataFrame, ranges: DataFrame, side: str | None = None,
         ranges = ranges.groupBy("key").agg(F.min("start").alias("start")).withColumn("end", F.col("start") + edge)
     elif side == "right":
         ranges = ranges.groupBy("key").agg(F.max("end").alias("end")).withColumn("start", F.col("end") - edge)
-    r = ranges.select("key", "start", "end")
-    inside = frames.where("midi is not null").join(r, "key").where((F.col("t") >= F.col("start") - 1e-9) & (F.col("t") < F.col("end") - 1e-9))
-    once = inside.select("key", "t", "midi", "conf").distinct()
-    enough = once.groupBy("key").agg(F.count("*").alias("n")).where("n >= 3").select("key")
-    median = weighted_median(once.join(enough, "key", "left_semi"), "key", "midi", "conf")
-    out = ranges.select("key").distinct().join(median, "key", "left")
+    f = frames.where("midi is not null").select(F.col("key").alias("_key"), "t", "midi", "conf")
+    inside = (F.col("key") == F.col("_key")) & (F.col("t") >= F.col("start") - 1e-9) & (F.col("t") < F.col("end") - 1e-9)
+    met = spread(ranges.select("key", "start", "end"), "key").join(spread(f, "_key"), inside, "left").select("key", "midi", "t", "conf")
+    # one sort of a key's frames serves all windows: equal frames count once, and a key without frames keeps its row
+    once, rising, whole = Window.partitionBy("key", "midi", "t", "conf").orderBy("key"), Window.partitionBy("key").orderBy("midi"), Window.partitionBy("key")
+    met = met.withColumn("_n", (F.col("midi").isNotNull() & (F.row_number().over(once) == 1)).cast("long"))
+    met = met.withColumn("_w", F.when(F.col("_n") == 1, F.greatest(F.col("conf").cast("double"), F.lit(1e-6))).otherwise(0.0))
+    met = met.select("key", "midi", F.sum("_w").over(rising).alias("_run"), F.row_number().over(rising).alias("_place"), F.sum("_w").over(whole).alias("_whole"), F.sum("_n").over(whole).alias("_all"))
+    reached = (F.col("_all") >= 3) & (F.col("_run") >= F.col("_whole") / 2 - 1e-9)
+    out = met.select("key", "_place", F.min(F.when(reached, F.col("midi"))).over(whole).alias("value")).where("_place = 1")
     return out.select("key", F.col("value").alias("original"), F.floor(F.col("value") + 0.5).cast("double").alias("midi"), F.when(F.col("value").isNull(), "flatten-edge-insufficient" if side else "flatten-f0-insufficient").alias("error"))
 
 
