@@ -201,3 +201,16 @@ def test_pauses_leave_closures_and_silence_around_out(spark):
 def test_names_are_trimmed_of_spaces_alone(spark):
     df = spark.createDataFrame([(" 0a , 1b,2c2 ,,0a",)], "n string")
     assert df.select(text.split_names(F.col("n"))).first()[0] == ["0a", "1b", "2c2"]
+
+
+def test_a_session_is_judged_once(spark):
+    e = spark.createDataFrame([(1, 1, "set", "agent", "s", None), (2, 2, "set", "agent", "s", None)], "edit_id int, seq int, label string, actor string, session string, undo_of int")
+    c = spark.createDataFrame([(1, 0, "a", "update", {"f": "0"}, {"f": "1"}), (2, 0, "a", "update", {"f": "1"}, {"f": "2"}), (2, 1, "a", "update", {"f": "1"}, {"f": None}), (1, 1, "b", "update", {"f": "0"}, {"f": None})], "edit_id int, idx int, id string, op string, before map<string,string>, after map<string,string>")
+    now = spark.createDataFrame([("a", 2, {"f": "2"}), ("b", 2, {"f": None})], "id string, version int, fields map<string,string>")
+    summary = history.undo_session(e, c, now, "s")[1]
+    plan = summary._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "edit_id" in plan and "Generate" not in plan
+    assert tuple(summary.first()) == (0, 2, 2)  # one edit that sets a field twice, to a value and to none, doesn't hold
+    plan = history.history(e, c, now)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan
+    assert [r.reason for r in history.history(e, c, now).orderBy("seq").collect()] == ["changed-later", "changed-later"]

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from timelake.sources.shared import saved, spread
+
 BARRIER = "barrier"
 #: Actors whose sessions can be taken back as a whole.
 AUTOMATIC = ("agent", "script")
@@ -48,7 +50,9 @@ def history(edits: DataFrame, changes: DataFrame, current: DataFrame, actor: str
     sizes = changes.groupBy("edit_id").agg(F.count("*").alias("changes"))
     asked = edits if actor is None else edits.where(F.col("actor") == actor)
     asked = asked if session is None else asked.where(F.col("session") == session)
-    held = still_after(changes.join(asked.select("edit_id"), "edit_id", "left_semi"), current)
+    # without a filter there is nothing to leave out, and all changes needn't meet all edits
+    mine = changes if actor is None and session is None else changes.join(asked.select("edit_id"), "edit_id", "left_semi")
+    held = still_after(mine, current)
     all_ = asked.join(undone, "edit_id", "left").join(sizes, "edit_id", "left").join(held, "edit_id", "left").join(F.broadcast(_last_barrier(edits)), F.lit(True))
     reason = F.when(F.col("undo_of").isNotNull(), "is-undo").when(F.col("undone_by").isNotNull(), "already-undone").when((F.col("label") == BARRIER) | (F.col("seq") <= F.col("_barrier")), "before-barrier").when(~F.coalesce("held", F.lit(True)), "changed-later")
     return all_.select("edit_id", "seq", "label", "actor", "session", "undo_of", "undone_by", F.coalesce("changes", F.lit(0)).cast("long").alias("changes"), reason.isNull().alias("undoable"), reason.alias("reason"))
@@ -88,9 +92,9 @@ def undo_session(edits: DataFrame, changes: DataFrame, current: DataFrame, sessi
     undone = edits.where("undo_of is not null").select(F.col("undo_of").alias("edit_id"))
     mine = edits.where((F.col("session") == session) & F.col("actor").isin(*AUTOMATIC) & F.col("undo_of").isNull()).join(undone, "edit_id", "left_anti")
     mine = mine.join(F.broadcast(_last_barrier(edits)), F.col("seq") > F.col("_barrier")).select("edit_id", "seq")
-    fields = _values(changes).join(mine, "edit_id")
+    fields = spread(_values(changes).join(mine, "edit_id"), "id", "field")  # one shuffle for what follows on a field
     # one entry for each field of an edit; two values of one edit on a field never both hold
-    per = fields.groupBy("edit_id", "seq", "id", "field").agg(F.min("after").alias("after"), (F.count_distinct(F.struct("after")) == 1).alias("one"), F.max_by(F.struct("before"), "idx").alias("b"), F.min_by("op", "idx").alias("op"))
+    per = fields.groupBy("edit_id", "seq", "id", "field").agg(F.min("after").alias("after"), F.min(F.struct("after")).eqNullSafe(F.max(F.struct("after"))).alias("one"), F.max_by(F.struct("before"), "idx").alias("b"), F.min_by("op", "idx").alias("op"))
     there = current.where("fields is not null").select("id", F.lit(True).alias("there"))
     met = per.join(_now(current), ["id", "field"], "left").join(there, "id", "left")
     later = Window.partitionBy("id", "field").orderBy("seq")
@@ -99,6 +103,7 @@ def undo_session(edits: DataFrame, changes: DataFrame, current: DataFrame, sessi
     # an object that the session made is deleted when that is taken back, so nothing older of the session can stand on it
     met = met.withColumns({"found": found, "ok": F.col("one") & F.coalesce("there", F.lit(False)) & F.col("after").eqNullSafe(found)})
     judged = mine.join(met.groupBy("edit_id").agg(F.min("ok").alias("held")), "edit_id", "left").withColumn("held", F.coalesce("held", F.lit(True)))
+    judged = saved(judged, "judged")  # one row an edit, read four times
     stop = judged.where("not held").agg(F.max("seq").alias("_stop"), F.max_by("edit_id", "seq").alias("blocked"))  # one row
     gone = judged.join(F.broadcast(stop), F.col("_stop").isNull() | (F.col("seq") > F.col("_stop"))).select("edit_id", "seq")
     count = lambda df, name: df.agg(F.count("*").alias(name))
