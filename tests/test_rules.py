@@ -190,6 +190,22 @@ def test_effective_range_by_hand(spark):
     assert got[1] == (1.04, 1.13) and got[2] == (1.0, 1.03) and got[3] == (1.0, 1.06) and got[4] == (1.0, 1.08) and got[5] == (None, None)
 
 
+def test_texts_are_normalised_in_small_batches(spark):
+    keys = [f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        spark.conf.set(keys[0], "10000")
+        spark.conf.set(keys[1], "2147483647b")
+        texts = ["Plain, Text 1", "Ｆｕｌｌ　Ｗｉｄｔｈ", "e\u0301 ﬁ", "", None]
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text.norm_text(F.col("t")).alias("n"))
+        assert [r.n for r in df.orderBy("i").collect()] == ["plaintext1", "fullwidth", "éfi", "", None]
+        assert [spark.conf.get(k) for k in keys] == ["1024", str(4 << 20)]
+        assert "octet_length" in df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
+
+
 def test_target_pitch(spark):
     f = spark.createDataFrame([("a", 0.1 * i, 60.4 + i % 3, 0.9) for i in range(10)] + [("b", 0.0, 60.0, 0.9)], "key string, t double, midi double, conf double")
     parts = spark.createDataFrame([("a", 0.0, 0.45), ("a", 0.6, 1.0), ("b", 0.0, 1.0)], "key string, start double, end double")

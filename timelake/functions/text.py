@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +35,22 @@ def stripped(text: Column) -> Column:
 
 
 def norm_text(text: Column) -> Column:
-    """The form in which texts are searched: NFKC, lower case, no punctuation or space."""
-    return stripped(nfkc(text))
+    """The form in which texts are searched: NFKC, lower case, no punctuation or space.
+
+    Only texts beyond ASCII, which NFKC may change, go to Python, in batches of bounded size (see `small_batches`).
+    """
+    small_batches()
+    return stripped(F.coalesce(nfkc(F.when(F.octet_length(text) > F.char_length(text), text)), text))
+
+
+def small_batches() -> None:
+    """Keep the active session's Arrow batches below 1,024 rows and 4 MB, as one text may be very long."""
+    spark = SparkSession.getActiveSession()
+    for name, most in (("maxRecordsPerBatch", 1024), ("maxBytesPerBatch", 4 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = re.fullmatch("([0-9]+)[bB]?", spark.conf.get(key)) if spark else None
+        if spark and not (now and 0 < int(now[1]) <= most):
+            spark.conf.set(key, str(most))
 
 
 def norm_needle(text: str) -> str:
