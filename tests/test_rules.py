@@ -500,3 +500,16 @@ def test_steady_windows_have_the_brute_force_evidence(spark):
         off = [abs(v + m - a) for (a, _), v in zip(notes, x)]
         hits = sum(a - 1e-9 <= y + m < b - 1e-9 for y in o for a, b in notes)
         assert (q.e.conflicts, q.e.strict) == (hits, max(off) <= 0.25 + 1e-9 and not hits) and abs(q.e.err - sum(off) / 3) < 1e-12 and abs(q.e.shift - m) < 1e-12
+
+
+def test_sentences_solved_together_are_those_solved_alone(spark):
+    r = random.Random(8)
+    sizes = [r.randint(1, 12) for _ in range(9)]
+    made = [rhythm.Sentence([round(r.uniform(0.06, 0.5), 3) for _ in range(n)], [r.random() < 0.3 for _ in range(n)], 1.0, {k: r.randint(1, 9) for k in range(n) if r.random() < 0.1}) for n in sizes]
+    assert rhythm.quantize_all(made) == [x.quantize() for x in made]
+    rows = [(i, k, float(x), int(sum(s.breaks[: k + 1])), 0.0) for i, s in enumerate(made) for k, x in enumerate(s.d)]
+    r.shuffle(rows)
+    got = {(x.sample_id, x.choice): (x.cost, tuple(x.cells), x.tick) for x in rhythm.quantize(spark.createDataFrame(rows, "sample_id long, k long, dur double, pseg long, rest double")).collect()}
+    for i, s in enumerate(made):
+        s.manual = {}
+        assert [got[i, j] for j in range(len(s.quantize()))] == s.quantize()
