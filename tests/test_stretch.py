@@ -6,9 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from timelake.functions import timemap
 from timelake.operators import stretch
-from timelake.plans.stretch import hundredths
+from timelake.plans.stretch import BPM, hundredths, sentences
 
 RATE = 8000.0
 
@@ -147,3 +148,21 @@ def test_candidates_without_maps(plans):
     pick = lambda found: {(r.sample_id, r.plan): (r.error, r.density, r.speed, r.bpm) for r in found.select("sample_id", "plan", "error", "scheme.density", "scheme.speed", "scheme.bpm").collect()}
     for bpm in (170.0, None):
         assert pick(stretch.candidates(plans, bpm, maps=False)) == pick(stretch.candidates(plans, bpm))
+
+
+def test_pause_ends_on_half_a_frame_are_rounded_as_in_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    lines = {
+        1: [(2940, 24, 2, 50.0), (17514, 994, 3, 33.0), (19643, 606, 5, 42.0), (1417, 717, 6, 31.0)],
+        2: [(10111, 731, 3, 35.0), (10857, 385, 4, 2.0), (3995, 33, 5, 26.0), (8692, 743, 6, 40.0), (15716, 913, 7, 33.0)],
+        3: [(12990, 363, 2, 41.0), (7581, 70, 6, 8.0), (10483, 367, 6, 30.0), (4843, 375, 7, 20.0), (14933, 751, 7, 33.0)],
+    }
+    rows = [(k, *x, 1.0) for k, v in lines.items() for x in v]
+    table = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double")
+    table.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(__spark_entry__.oracle_sql()["w11_time_map"]).fetchall()
+    assert sorted(map(tuple, __spark_entry__.queries()["w11_time_map"](spark, str(tmp_path)).collect())) == sorted(want)
+    columns = stretch.knots(stretch.mapped(sentences(spark, str(tmp_path))[1], F.lit(2.0), F.lit(BPM)))
+    assert sorted((r.sample_id, r.i, r.s, r.t) for r in columns.collect()) == sorted(want)

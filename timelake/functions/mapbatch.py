@@ -132,15 +132,16 @@ class Plans:
         spoken = np.minimum(speech * q, length - np.minimum(silence, RESERVE * length))
         laid = bridge & (silence > 0) & (speech > 0)
         slow, fast = (length - spoken) / silence, spoken / speech
-        at, done = ta.astype(float), sa.copy()
+        at, done, gone = ta.astype(float), sa.copy(), np.zeros(s.shape)
         for j, (a, b, here) in enumerate(met):
             here = here & laid
             for k, stop, live, pace in ((1, a, here & (a > done), fast), (2, b, here, slow)):
-                end = at + (stop - done) * pace
-                end = np.where((k == 2) & (stop == sb), tb, end)
+                # lengths are added up before they meet the bridge's start, as in SQL: at a half the order decides
+                length = gone + (stop - done) * pace
+                end = np.where((k == 2) & (stop == sb), tb, ta + length)
                 near = _rint(end)
                 ks[:, :, 2 * j + k], kt[:, :, 2 * j + k], on[:, :, 2 * j + k] = stop, near, live & (near > _rint(at))
-                at, done = np.where(live, end, at), np.where(live, stop, done)
+                at, done, gone = np.where(live, end, at), np.where(live, stop, done), np.where(live, length, gone)
         ks[:, :, -1], kt[:, :, -1] = sb, tb
         on[:, :, -1] = bridge & np.where(laid, (sb > done) & (tb > _rint(at)), (sb > sa) | (tb > ta))
         one = np.ones((len(m), 1), bool)
