@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -166,3 +167,28 @@ def test_pause_ends_on_half_a_frame_are_rounded_as_in_sql(spark, tmp_path):
     assert sorted(map(tuple, __spark_entry__.queries()["w11_time_map"](spark, str(tmp_path)).collect())) == sorted(want)
     columns = stretch.knots(stretch.mapped(sentences(spark, str(tmp_path))[1], F.lit(2.0), F.lit(BPM)))
     assert sorted((r.sample_id, r.i, r.s, r.t) for r in columns.collect()) == sorted(want)
+
+
+def test_original_tempo_is_sought_in_one_pass_after_one_shuffle(spark):
+    plan = __spark_entry__.queries()["w13_original_tempo"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Scan parquet") == 1 and "Join" not in plan
+
+
+def test_gathered_plans_are_plans(spark):
+    blocks, pauses, cuts, windows = tables(spark, 50, 3)
+    odd = [(None, 0, 0.1, 0.2, 1, 0.1, 0.0), (70, 0, 0.0, 0.1, None, 0.1, 0.0), (71, 0, 0.0, 0.1, 1, 0.0, 0.0)]
+    odd += [(72, k, k * 0.1, k * 0.1 + 0.05, 1, 0.1, 0.0) for k in range(129)] + [(73, k, k * 0.1, k * 0.1 + 0.05, 1, 0.1, 0.0) for k in range(128)]
+    blocks = blocks.unionByName(spark.createDataFrame(odd, blocks.schema)).cache()
+    windows = windows.unionByName(spark.createDataFrame([(i, 0.0, 20.0, RATE) for i in (None, 70, 71, 72, 73)], windows.schema))
+    # a pause starts behind the block after which it lies, and its cut is before the next one
+    behind = blocks.select("sample_id", "k", "end", F.lead("onset").over(Window.partitionBy("sample_id").orderBy("k")).alias("next"))
+    pause = behind.join(pauses.withColumnRenamed("end", "stop"), "sample_id").where("start > end and start < next").select("sample_id", "k", F.struct("start", F.col("stop").alias("end")).alias("pause"))
+    cut = cuts.where("not merged").select("sample_id", (F.col("k") - 1).alias("k"), F.col("k").alias("cut"))
+    rich = blocks.join(pause, ["sample_id", "k"], "left").join(cut, ["sample_id", "k"], "left").withColumn("n", F.count("*").over(Window.partitionBy("sample_id")))
+    rich = rich.join(windows.withColumnRenamed("sample_id", "id"), F.expr("sample_id <=> id")).drop("id")
+    got = stretch.gathered_plans(rich, {c: F.max(c) for c in ("w0", "w1", "rate")})
+    want = stretch.plans(blocks, pauses, cuts, windows)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    found, by_key = got.collect(), lambda r: (r.sample_id is None, r.sample_id)
+    assert sorted(found, key=by_key) == sorted(want.collect(), key=by_key) and sum(len(r.pauses) for r in found) > 20
+    assert {r.sample_id: r.error for r in found if r.error} == {None: "rhythm-no-blocks", 70: "rhythm-no-duration", 71: "rhythm-no-duration", 72: "rhythm-too-many-blocks"}

@@ -1,19 +1,24 @@
 """Time maps of a batch of plans at once, in numpy on Arrow arrays: errors, knots and speeds as `timemap.scheme` gives them.
 
-Rows are padded to matrices and every step is one over all rows, in the order of `timemap`'s sums, so that both agree to the bit.
+Every step is one over all rows, in the order of `timemap`'s sums, so that both agree to the bit. What no tempo changes (points,
+the pauses that a bridge may meet, the places of knots) is laid out once a density, end to end over the rows (`Maps`).
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 
-from timelake.functions.timemap import CORE, EXPONENT, HALVINGS, LAST, LONGEST, RESERVE, SPEED_EPS, STEPS, TEMPI
+from timelake.functions.timemap import CORE, EXPONENT, HALVINGS, LAST, LONGEST, RESERVE, SPEED_EPS, SPEED_OFF, STEPS, TEMPI
 
-ERRORS = np.array([None, "rhythm-map-not-monotonic", "rhythm-output-too-long"], object)
+ERRORS = np.array([None, "rhythm-map-not-monotonic", "rhythm-output-too-long", "rhythm-original-speed-impossible"], object)
+IMPOSSIBLE = 3
 #: Cells of the largest matrix of a part of a batch.
 MOST = 400_000
-FAR = 1 << 62
+#: Above the range of a source's frames, so that rows and frames sort as one number.
+SPAN = 1 << 38
 
 
 def padded(values: np.ndarray, sizes: np.ndarray, fill) -> np.ndarray:
@@ -26,8 +31,8 @@ def _rint(x) -> np.ndarray:
     return np.rint(np.where(np.isfinite(x), x, 0)).astype(np.int64)
 
 
-def _at(m: np.ndarray, i: np.ndarray) -> np.ndarray:
-    return m[np.arange(len(m)), i]
+def _sorting(row: np.ndarray, frame: np.ndarray) -> np.ndarray:
+    return row * SPAN + np.clip(frame + SPAN // 2, 0, SPAN - 1)
 
 
 class Plans:
@@ -61,9 +66,6 @@ class Plans:
             ends = (take(c, rows).to_numpy(zero_copy_only=False).astype(float) for c in ("w0", "w1", "rate"))
             yield rows, cls(ns, ps, blocks, (field("pauses", "start", ps, np.inf), field("pauses", "end", ps, np.inf)), cuts, *ends)
 
-    def only(self, rows: np.ndarray) -> Plans:
-        return Plans(self.n[rows], self.p[rows], {f: v[rows] for f, v in self.blocks.items()}, tuple(v[rows] for v in self.pauses), self.cuts[rows], self.w0[rows], self.w1[rows], self.rate[rows])
-
     def points(self, density):
         """(src, beat, ratio without the tempo's part): control points in order, those beyond a row's number at infinity."""
         b, n, rows = self.blocks, self.n, np.arange(len(self.n))
@@ -89,131 +91,260 @@ class Plans:
         return np.take_along_axis(src, order, 1), np.take_along_axis(beats, order, 1), m, cells / density, seconds, twice
 
     def judged(self, density: np.ndarray, bpm: np.ndarray):
-        """(error by its place in ERRORS, speed, knots s and t as padded matrices, how many)."""
-        src, beat, m, cells, seconds, bad = self.points(density)
+        """(error by its place in ERRORS, speed, knots s and t of all rows end to end, how many each row has)."""
+        return Maps.of(self, density).judged(bpm)
+
+    def near_fast(self, k: np.ndarray, bpm: np.ndarray):
+        """(k, error): the exponent of the least density not slower than speech: down from `k` while it is fast, else up until it is."""
+        return Maps.of(self, 2.0**k).near_fast(k, bpm)[1:]
+
+    def original_tempo(self, density: np.ndarray):
+        """(bpm, off, error): the tempo at which speech keeps its own speed, by halving, and how far off it stays."""
+        bpm, off, _, bad = Maps.of(self, density).original_tempo()
+        return bpm, off, bad
+
+    def candidates(self, k: np.ndarray, bpm: float | None, probe: float, steps: tuple[int, ...]):
+        """(bpm, a (density, speed, error) for each step from the near-fast exponent, error), all on one layout of the plans."""
+        maps, k, bad = Maps.of(self, 2.0**k).near_fast(k, np.full(len(k), float(probe if bpm is None else bpm)))
+        tempo, own = np.full(len(k), bpm, float), None
+        if bpm is None:
+            tempo, off, own, wrong = maps.original_tempo()
+            wrong = np.where((wrong == 0) & (off > SPEED_OFF), IMPOSSIBLE, wrong)
+            bad = np.where(bad == 0, wrong, bad)
+        found = []
+        for by in steps:
+            # the search for the tempo has seen its map, and no other row of it is asked for
+            error, speed = (bad, own) if own is not None and by == 0 else maps.scaled(np.full(len(k), by)).judged(tempo)[:2]
+            found.append((2.0 ** (k + by), speed, error))
+        return tempo, found, bad
+
+
+class Maps:
+    """Maps of plans at a density, but for the tempo: control points of all rows end to end, and what may follow each of them."""
+
+    @classmethod
+    def of(cls, plans: Plans, density: np.ndarray) -> Maps:
+        src, beat, m, cells, seconds, bad = plans.points(density)
+        self = cls()
+        self.m, self.cells, self.seconds, self.w0, self.w1, self.rate = m, cells, seconds, plans.w0, plans.w1, plans.rate
+        real = np.arange(src.shape[1]) < m[:, None]
+        with np.errstate(invalid="ignore"):
+            self.bad = bad | (real[:, 1:] & ~((src[:, 1:] > src[:, :-1]) & (beat[:, 1:] > beat[:, :-1]))).any(1)
+            self.beat, src = (beat - beat[:, :1])[real], src[real]
+            self.row = np.repeat(np.arange(len(m)), m)
+            self.frame, self.size = _rint((src - self.w0[self.row]) * self.rate[self.row]), _rint((self.w1 - self.w0) * self.rate)
+            paused = np.arange(plans.pauses[0].shape[1]) < plans.p[:, None]
+            self._heard(src, *(x[paused] for x in plans.pauses), np.nonzero(paused)[0])
+        return self
+
+    def _heard(self, src, start, end, row):
+        """The speech of each row in source frames: its ends, and pauses between them; none depends on a density or a tempo."""
+        last = np.cumsum(self.m) - 1
+        at = lambda x, r: (x - self.w0[r]) * self.rate[r]
+        rows = np.arange(len(self.m))
+        self.a, self.b = at(src[last - self.m + 1], rows), at(src[last], rows)
+        c, d = at(start, row), at(end, row)
+        met = (d > self.a[row]) & (c < self.b[row])
+        self.still = row[met]
+        self.c, self.d = np.maximum(self.a[self.still], c[met]), np.minimum(self.b[self.still], d[met])
+        self.quiet = np.bincount(self.still, self.d - self.c, len(rows))
+        self.pa, self.pb, self.prow = _rint(at(start, row)), _rint(at(end, row)), row
+
+    def only(self, rows: np.ndarray) -> Maps:
+        """Some rows, each once, in rising order."""
+        out, keep = Maps(), np.zeros(len(self.m), bool)
+        keep[rows] = True
+        new = np.cumsum(keep) - 1
+        for x in ("m", "cells", "seconds", "w0", "w1", "rate", "bad", "size", "a", "b", "quiet"):
+            setattr(out, x, getattr(self, x)[rows])
+        for at, names in (("row", ("beat", "frame")), ("still", ("c", "d")), ("prow", ("pa", "pb"))):
+            here = keep[getattr(self, at)]
+            setattr(out, at, new[getattr(self, at)[here]])
+            for x in names:
+                setattr(out, x, getattr(self, x)[here])
+        return out
+
+    def scaled(self, by: np.ndarray) -> Maps:
+        """The same plans at densities of 2**by times these: beats are divided by a power of two, which is exact."""
+        out = Maps()
+        out.__dict__.update(self.__dict__)
+        out.beat, out.cells = self.beat / 2.0 ** by[self.row], self.cells / 2.0**by
+        return out
+
+    @cached_property
+    def layout(self):
+        """(first and last points, points with a next one, bridge and place of each pause that it may meet, slots of knots)."""
+        last = np.cumsum(self.m) - 1
+        first = last - self.m + 1
+        inner = np.ones(len(self.row), bool)
+        inner[last] = False
+        bridge = np.flatnonzero(inner)
+        # pauses and points rise, so a pause meets the bridges from the one that ends behind its start to the one before its end
+        brow = self.row[bridge]
+        low = np.searchsorted(np.maximum.accumulate(_sorting(brow, self.frame[bridge + 1])), _sorting(self.prow, self.pa), "right")
+        high = np.searchsorted(np.maximum.accumulate(_sorting(brow, self.frame[bridge])), _sorting(self.prow, self.pb), "left")
+        many = np.maximum(high - low, 0)
+        pause = np.repeat(np.arange(len(self.pa)), many)
+        at = np.arange(len(pause)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+        order = np.lexsort((pause, at))
+        at, pause = at[order], pause[order]
+        # bridges with pauses, and for each of their pauses its bridge among these and its place there
+        begins = np.r_[True, at[1:] != at[:-1]] if len(at) else np.zeros(0, bool)
+        held, begin = at[begins], np.flatnonzero(begins)
+        among = np.cumsum(begins) - 1
+        nth = np.arange(len(at)) - begin[among] if len(at) else among
+        met = np.bincount(at, minlength=len(bridge))
+        # knots: the start, the first edge, each point's core, two for each pause of its bridge, the bridge's end, the end
+        width = np.ones(len(self.row), np.int64)
+        width[bridge] = 2 + 2 * met
+        width[first] += 2
+        width[last] += 1
+        end = np.cumsum(width)
+        core = end - width
+        core[first] += 2
+        pair = core[bridge[at]] + 1 + 2 * nth
+        return first, last, bridge, brow, held, among, nth, pause, core, pair, end[bridge] - 1, int(end[-1]) if len(end) else 0
+
+    def judged(self, bpm: np.ndarray):
         with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
-            return self._map(src, beat, m, cells * (60.0 / bpm) / seconds, 60.0 / bpm, bad)
-
-    def _map(self, src, beat, m, ratio, beat_seconds, bad):
-        rows, w0, rate, col = np.arange(len(m)), self.w0[:, None], self.rate[:, None], np.arange(src.shape[1])
-        real, q = col < m[:, None], ratio[:, None]
-        bad = bad | (real[:, 1:] & ~((src[:, 1:] > src[:, :-1]) & (beat[:, 1:] > beat[:, :-1]))).any(1)
-        s = np.where(real, _rint((src - w0) * rate), 0)
-        rel = np.where(real, _rint((beat - beat[:, :1]) * beat_seconds[:, None] * rate), 0)
-        size, cap = _rint((self.w1 - self.w0) * self.rate), _rint(CORE * self.rate)[:, None]
-        first, final = col[None, :] == 0, col == (m - 1)[:, None]
-        before, behind = (lambda x: np.c_[x[:, :1], x[:, :-1]]), (lambda x: np.c_[x[:, 1:], x[:, -1:]])
-        whole = lambda x: np.trunc(x * q).astype(np.int64)
-        sl, sr = s - np.where(first, 0, before(s)), np.where(final, size[:, None], behind(s)) - s
-        tl = np.where(first, whole(s), rel - before(rel))
-        tr = np.where(final, whole(size[:, None] - s), behind(rel) - rel)
-        le, re = first & ((sl == 0) | (tl == 0)), final & ((sr == 0) | (tr == 0))
-        left, right = (np.maximum(0, np.minimum(cap, np.minimum(x // 4, y // 4))) for x, y in ((sl, tl), (sr, tr)))
-        both, apart = np.minimum(left, right), le | re
-        left, right = np.where(le, 0, np.where(apart, left, both)), np.where(re, 0, np.where(apart, right, both))
-        t = rel + (_rint((s[:, 0] - left[:, 0]) * ratio) + left[:, 0])[:, None]
-        sz, tz, rz = _at(s, m - 1), _at(t, m - 1), _at(right, m - 1)
-        tail = size - sz - rz
+            beat_seconds = 60.0 / bpm
+            return self._map(self.cells * beat_seconds / self.seconds, beat_seconds)
+
+    def _map(self, ratio, beat_seconds):
+        first, last, bridge, brow, held, among, nth, pause, core, pair, close, slots = self.layout
+        s, size, cap = self.frame, self.size, _rint(CORE * self.rate)
+        rel = _rint(self.beat * beat_seconds[self.row] * self.rate[self.row])
+        whole = lambda x: np.trunc(x * ratio).astype(np.int64)
+        quarter = lambda x, y, most: np.maximum(0, np.minimum(most, np.minimum(x, y) // 4))
+        space = quarter(s[bridge + 1] - s[bridge], rel[bridge + 1] - rel[bridge], cap[brow])
+        head, foot = s[first], size - s[last]
+        over, under = whole(head), whole(foot)
+        left, right = np.empty(len(s), np.int64), np.empty(len(s), np.int64)
+        left[bridge + 1], right[bridge] = space, space
+        left[first], right[last] = quarter(head, over, cap), quarter(foot, under, cap)
+        le, re = (head == 0) | (over == 0), (foot == 0) | (under == 0)
+        outer, inner = right[first], left[last]
+        left = right = np.minimum(left, right)
+        if le.any() or re.any():
+            left, right = left.copy(), right.copy()
+            left[first[le]], right[first[le]] = 0, outer[le]
+            left[last[re]], right[last[re]] = inner[re], 0
+        s0 = head - left[first]
+        t = rel + (_rint(s0 * ratio) + left[first])[self.row]
+        sa, sb, ta, tb = s[bridge] + right[bridge], (s - left)[bridge + 1], t[bridge] + right[bridge], (t - left)[bridge + 1]
+        tz, rz = t[last], right[last]
+        tail = foot - rz
         out = tz + rz + _rint(tail * ratio)
 
-        # knots in order: the start, the first edge, then each point's core and the pieces behind it, the last edge
-        pauses = [_rint((x - w0) * rate) for x in self.pauses]
-        width = 2 * self.pauses[0].shape[1] + 2
-        ks, kt, on = (np.zeros((len(m), len(col), width), d) for d in (np.int64, np.int64, bool))
-        ks[:, :, 0], kt[:, :, 0], on[:, :, 0] = s + right, t + right, real & (left + right > 0)
-        bridge = col < (m - 1)[:, None]
-        sa, sb, ta, tb = s + right, behind(s) - behind(left), t + right, behind(t) - behind(left)
-        met, silence = [], np.zeros(s.shape, np.int64)
-        for j in range(self.pauses[0].shape[1]):
-            a, b = np.maximum(sa, pauses[0][:, j, None]), np.minimum(sb, pauses[1][:, j, None])
-            met.append((a, b, bridge & (j < self.p)[:, None] & (b > a)))
-            silence += np.where(met[-1][2], b - a, 0)
-        speech, length = (sb - sa) - silence, tb - ta
-        spoken = np.minimum(speech * q, length - np.minimum(silence, RESERVE * length))
-        laid = bridge & (silence > 0) & (speech > 0)
-        slow, fast = (length - spoken) / silence, spoken / speech
-        at, done, gone = ta.astype(float), sa.copy(), np.zeros(s.shape)
-        for j, (a, b, here) in enumerate(met):
-            here = here & laid
-            for k, stop, live, pace in ((1, a, here & (a > done), fast), (2, b, here, slow)):
-                # lengths are added up before they meet the bridge's start, as in SQL: at a half the order decides
-                length = gone + (stop - done) * pace
-                end = np.where((k == 2) & (stop == sb), tb, ta + length)
-                near = _rint(end)
-                ks[:, :, 2 * j + k], kt[:, :, 2 * j + k], on[:, :, 2 * j + k] = stop, near, live & (near > _rint(at))
-                at, done, gone = np.where(live, end, at), np.where(live, stop, done), np.where(live, length, gone)
-        ks[:, :, -1], kt[:, :, -1] = sb, tb
-        on[:, :, -1] = bridge & np.where(laid, (sb > done) & (tb > _rint(at)), (sb > sa) | (tb > ta))
-        one = np.ones((len(m), 1), bool)
-        s0, t0 = s[:, 0] - left[:, 0], t[:, 0] - left[:, 0]
-        flat = lambda head, edge, x, end: np.concatenate([head, edge[:, None], x.reshape(len(m), -1), end[:, None]], 1)
-        on = flat(one, (s0 > 0) | (t0 > 0), on, (tail > 0) | (out > tz + rz))
-        zero = np.zeros((len(m), 1), np.int64)
-        ks, kt = flat(zero, s0, ks, size)[on], flat(zero, t0, kt, out)[on]
-        row = np.repeat(rows, on.sum(1))
-        same = np.r_[False, (row[1:] == row[:-1]) & (ks[1:] == ks[:-1]) & (kt[1:] == kt[:-1])]
-        row, ks, kt = row[~same], ks[~same], kt[~same]
-        falls = (row[1:] == row[:-1]) & ~((ks[1:] > ks[:-1]) & (kt[1:] > kt[:-1]))
-        error = np.where(bad, 1, np.where(out / self.rate > LONGEST, 2, np.where(np.bincount(row[1:][falls], minlength=len(m)) > 0, 1, 0)))
-        count = np.bincount(row, minlength=len(m))
-        ks, kt = padded(ks, count, FAR), padded(kt, count, FAR)
-        return error, np.where(error == 0, self._speed(src, m, ks, kt, count), np.nan), ks, kt, count
-
-    def _speed(self, src, m, ks, kt, count):
-        rows = np.arange(len(m))
-
-        def target(x):
-            i = (ks < x[:, None]).sum(1)
-            j = np.clip(i, 1, np.maximum(count - 1, 1))
-            j = np.minimum(j, ks.shape[1] - 1)
-            sl, sr, tl, tr = ks[rows, j - 1], ks[rows, j], kt[rows, j - 1], kt[rows, j]
-            inner = tl + (x - sl) * (tr - tl) / (sr - sl)
-            return np.where(i == 0, kt[:, 0], np.where(i >= count, kt[rows, count - 1], inner))
-
-        a, b = (src[:, 0] - self.w0) * self.rate, (_at(src, m - 1) - self.w0) * self.rate
-        quiet, kept = np.zeros(len(m)), np.zeros(len(m))
-        for j in range(self.pauses[0].shape[1]):
-            c, d = ((x[:, j] - self.w0) * self.rate for x in self.pauses)
-            met = (j < self.p) & (d > a) & (c < b)
-            c, d = np.where(met, np.maximum(a, c), a), np.where(met, np.minimum(b, d), a)
-            quiet = quiet + np.where(met, d - c, 0.0)
-            kept = kept + np.where(met, target(d) - target(c), 0.0)
-        made = target(b) - target(a) - kept
-        return np.where(made > 0, ((b - a) - quiet) / made, np.inf)
+        ks, kt, on = (np.zeros(slots, d) for d in (np.int64, np.int64, bool))
+        begin = core[first] - 2
+        on[begin] = True
+        ks[begin + 1], kt[begin + 1] = s0, t[first] - left[first]
+        on[begin + 1] = (ks[begin + 1] > 0) | (kt[begin + 1] > 0)
+        ks[core], kt[core], on[core] = s + right, t + right, left + right > 0
+        final = core[last] + 1
+        ks[final], kt[final], on[final] = size, out, (tail > 0) | (out > tz + rz)
+        ks[close], kt[close], on[close] = sb, tb, (sb > sa) | (tb > ta)
+        if len(held):
+            hsa, hsb, hta, htb = sa[held], sb[held], ta[held], tb[held]
+            a, b = np.maximum(hsa[among], self.pa[pause]), np.minimum(hsb[among], self.pb[pause])
+            here = b > a
+            silence = np.bincount(among, np.where(here, b - a, 0), len(held)).astype(np.int64)
+            speech, length = (hsb - hsa) - silence, htb - hta
+            spoken = np.minimum(speech * ratio[brow[held]], length - np.minimum(silence, RESERVE * length))
+            laid = (silence > 0) & (speech > 0)
+            slow, fast = (length - spoken) / silence, spoken / speech
+            here &= laid[among]
+            at, done, gone = hta.astype(float), hsa.copy(), np.zeros(len(held))
+            for n in range(int(nth.max()) + 1):
+                these = np.flatnonzero(here & (nth == n))
+                for h, p, x in ((among[these], these, 0), (among[these], these, 1)):
+                    stop = b[p] if x else a[p]
+                    if not x:
+                        live = stop > done[h]
+                        h, p, stop = h[live], p[live], stop[live]
+                    # lengths are added up before they meet the bridge's start, as in SQL: at a half the order decides
+                    far = gone[h] + (stop - done[h]) * (slow if x else fast)[h]
+                    end = hta[h] + far
+                    if x:
+                        end = np.where(stop == hsb[h], htb[h], end)
+                    near, place = _rint(end), pair[p] + x
+                    ks[place], kt[place], on[place] = stop, near, near > _rint(at[h])
+                    at[h], done[h], gone[h] = end, stop, far
+            laid = np.flatnonzero(laid)
+            on[close[held[laid]]] = ((hsb > done) & (htb > _rint(at)))[laid]
+
+        which = np.flatnonzero(on)
+        ks, kt = ks[which], kt[which]
+        row = np.repeat(np.arange(len(self.m)), np.diff(np.r_[begin, slots]))[which]
+        within = row[1:] == row[:-1]
+        ds, dt = np.diff(ks), np.diff(kt)
+        same = within & (ds == 0) & (dt == 0)
+        if same.any():
+            keep = ~np.r_[False, same]
+            row, ks, kt = row[keep], ks[keep], kt[keep]
+            within, ds, dt = row[1:] == row[:-1], np.diff(ks), np.diff(kt)
+        error = np.where(out / self.rate > LONGEST, 2, 0)
+        falls = row[1:][within & ~((ds > 0) & (dt > 0))]
+        error[falls[error[falls] == 0]] = 1
+        error[self.bad] = 1
+        count = np.bincount(row, minlength=len(self.m))
+        return error, np.where(error == 0, self._speed(row, ks, kt, count), np.nan), ks, kt, count
+
+    def _speed(self, row, ks, kt, count):
+        sort = _sorting(row, ks)
+        begin = np.cumsum(count) - count
+
+        def target(x, r):
+            # a knot lies below x where it lies below the next whole frame
+            i = np.searchsorted(sort, _sorting(r, _rint(np.ceil(x))), "left") - begin[r]
+            j = begin[r] + np.minimum(np.clip(i, 1, np.maximum(count[r] - 1, 1)), count[r] - 1)
+            k = np.maximum(j - 1, begin[r])
+            sl, sr, tl, tr = ks[k], ks[j], kt[k], kt[j]
+            made = tl + (x - sl) * (tr - tl) / (sr - sl)
+            return np.where(i == 0, kt[begin[r]], np.where(i >= count[r], kt[begin[r] + count[r] - 1], made))
+
+        rows, r = np.arange(len(self.m)), self.still
+        kept = np.bincount(r, target(self.d, r) - target(self.c, r), len(rows))
+        made = target(self.b, rows) - target(self.a, rows) - kept
+        return np.where(made > 0, ((self.b - self.a) - self.quiet) / made, np.inf)
 
     def near_fast(self, k: np.ndarray, bpm: np.ndarray):
-        """(k, error): the exponent of the least density not slower than speech: down from `k` while it is fast, else up until it is."""
-        k = k.astype(np.int64).copy()
-        bad, speed = self.judged(2.0**k, bpm)[:2]
-        down = (bad == 0) & (speed >= 1 - SPEED_EPS)
+        """(maps at the found densities, their exponents, error) of maps at densities 2**k."""
+        start, k = k.astype(np.int64), k.astype(np.int64).copy()
+        bad, speed = self.judged(bpm)[:2]
+        bad, down = bad.copy(), (bad == 0) & (speed >= 1 - SPEED_EPS)
         todo = np.flatnonzero(bad == 0)
         for _ in range(STEPS):
             to = k[todo] + np.where(down[todo], -1, 1)
             todo, to = todo[np.abs(to) <= EXPONENT], to[np.abs(to) <= EXPONENT]
             if not len(todo):
                 break
-            error, speed = self.only(todo).judged(2.0**to, bpm[todo])[:2]
+            error, speed = self.only(todo).scaled(to - start[todo]).judged(bpm[todo])[:2]
             fast = (error == 0) & (speed >= 1 - SPEED_EPS)
             k[todo] = np.where((error > 0) | ~down[todo] | fast, to, k[todo])
             bad[todo] = error
             todo = todo[(error == 0) & (down[todo] == fast)]
-        return k, bad
+        return self.scaled(k - start), k, bad
 
-    def original_tempo(self, density: np.ndarray):
-        """(bpm, off, error): the tempo at which speech keeps its own speed, by halving, and how far off it stays."""
-        lo, hi = (np.full(len(density), x) for x in TEMPI)
-        best, off, bad, todo = lo.copy(), np.full(len(density), np.inf), np.zeros(len(density), int), np.arange(len(density))
+    def original_tempo(self):
+        """(bpm, how far off speech stays, its speed, error): the tempo at which speech keeps its own speed, by halving."""
+        n = len(self.m)
+        lo, hi = (np.full(n, x) for x in TEMPI)
+        best, off, own, bad, todo, maps = lo.copy(), np.full(n, np.inf), np.full(n, np.nan), np.zeros(n, int), np.arange(n), self
         for _ in range(HALVINGS):
             if not len(todo):
                 break
             mid = (lo[todo] + hi[todo]) / 2
-            error, speed = self.only(todo).judged(density[todo], mid)[:2]
+            error, speed = maps.judged(mid)[:2]
             bad[todo] = error
             keep = error == 0
-            todo, mid, speed = todo[keep], mid[keep], speed[keep]
+            rows, mid, speed = todo[keep], mid[keep], speed[keep]
             away, slow = np.abs(speed - 1), speed < 1
-            nearer = away < off[todo]
-            best[todo], off[todo] = np.where(nearer, mid, best[todo]), np.where(nearer, away, off[todo])
-            lo[todo], hi[todo] = np.where(slow, mid, lo[todo]), np.where(slow, hi[todo], mid)
-            todo = todo[away >= SPEED_EPS]
-        return best, off, bad
+            nearer = away < off[rows]
+            best[rows], off[rows], own[rows] = np.where(nearer, mid, best[rows]), np.where(nearer, away, off[rows]), np.where(nearer, speed, own[rows])
+            lo[rows], hi[rows] = np.where(slow, mid, lo[rows]), np.where(slow, hi[rows], mid)
+            keep[keep] = away >= SPEED_EPS
+            if not keep.all():
+                maps, todo = maps.only(np.flatnonzero(keep)), todo[keep]
+        return best, off, own, bad
