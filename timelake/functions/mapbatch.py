@@ -291,22 +291,26 @@ class Maps:
         count = np.bincount(row, minlength=len(self.m))
         return error, np.where(error == 0, self._speed(row, ks, kt, count), np.nan), ks, kt, count
 
+    @cached_property
+    def ears(self):
+        """(source frames at which speech begins and ends and its pauses do, their rows, and their places among sorted knots)."""
+        rows = np.arange(len(self.m))
+        x, row = np.concatenate([self.a, self.b, self.c, self.d]), np.concatenate([rows, rows, self.still, self.still])
+        # a knot lies below x where it lies below the next whole frame
+        return x, row, _sorting(row, _rint(np.ceil(x)))
+
     def _speed(self, row, ks, kt, count):
-        sort = _sorting(row, ks)
+        x, r, place = self.ears
         begin = np.cumsum(count) - count
-
-        def target(x, r):
-            # a knot lies below x where it lies below the next whole frame
-            i = np.searchsorted(sort, _sorting(r, _rint(np.ceil(x))), "left") - begin[r]
-            j = begin[r] + np.minimum(np.clip(i, 1, np.maximum(count[r] - 1, 1)), count[r] - 1)
-            k = np.maximum(j - 1, begin[r])
-            sl, sr, tl, tr = ks[k], ks[j], kt[k], kt[j]
-            made = tl + (x - sl) * (tr - tl) / (sr - sl)
-            return np.where(i == 0, kt[begin[r]], np.where(i >= count[r], kt[begin[r] + count[r] - 1], made))
-
-        rows, r = np.arange(len(self.m)), self.still
-        kept = np.bincount(r, target(self.d, r) - target(self.c, r), len(rows))
-        made = target(self.b, rows) - target(self.a, rows) - kept
+        first, n = begin[r], count[r]
+        i = np.searchsorted(_sorting(row, ks), place, "left") - first
+        j = first + np.minimum(np.clip(i, 1, np.maximum(n - 1, 1)), n - 1)
+        k = np.maximum(j - 1, first)
+        sl, tl = ks[k], kt[k]
+        target = tl + (x - sl) * (kt[j] - tl) / (ks[j] - sl)
+        target = np.where(i == 0, kt[first], np.where(i >= n, kt[first + n - 1], target))
+        a, b, c, d = np.split(target, np.cumsum([len(self.a), len(self.b), len(self.c)]))
+        made = b - a - np.bincount(self.still, d - c, len(self.m))
         return np.where(made > 0, ((self.b - self.a) - self.quiet) / made, np.inf)
 
     def near_fast(self, k: np.ndarray, bpm: np.ndarray):
